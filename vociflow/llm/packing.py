@@ -62,8 +62,7 @@ def pack(lengths: list[int], sequence: int = SEQUENCE) -> list[tuple[int, int, i
         if start < length:
             left.append((length - start, doc, start))
     left.sort(key=lambda x: (-x[0], x[1], x[2]))
-    # Open sequences by cost. One that has no room for a piece has none for... a larger one either, but may for the
-    # smaller ones to come: it waits until pieces have shrunk to its room.
+    # Open sequences by cost. One without room for a piece waits until pieces, which shrink, fit into it.
     by_cost = [(0.0, k) for k in range(whole, len(room))]
     heapq.heapify(by_cost)
     waiting: list[tuple[int, float, int]] = []  # largest room first

@@ -5,9 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vociflow.llm import packing, tokens
-from vociflow.llm.common import table
+from vociflow.llm import backoff_lm, decontam, jaccard, langid, packing, quality, tokens, toxicity, url_rules, warc
+from vociflow.llm.common import crc_fold, table
+
+
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by the Jaccard similarity of their 3-word shingles, 0.9 or more."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,14 +21,133 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents")).drop("sequence_length")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from labels of folds 1 to 4."""
+    docs, fold = table(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 5)
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), fold != 0)
+    return toxicity.score_toxicity(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, read back from the archives."""
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents under the add-one unigram model and the backoff automaton."""
+    docs = table(spark, sf_dir, "documents")
+    return backoff_lm.score_texts(docs, crc_fold(F.col("doc_id"), 7) == 2, backoff_lm.table_blocks())
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the URLs of all pages."""
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of all documents' token ids, written to token files and read back."""
     return tokens.token_files(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of the quality rules for all documents."""
+    return quality.judge_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learnt from the lang column of folds 0 and 2."""
+    docs, fold = table(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 3)
+    langs, prototypes = langid.learn_prototypes(docs.where(fold != 1))
+    found = langid.predict_languages(docs, langs, prototypes)
+    return found.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items that leaked into documents: a row for each document and item."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_packing": op2_packing,
+    "op3_toxicity": op3_toxicity,
+    "op4_warc": op4_warc,
+    "op5_lm_score": op5_lm_score,
+    "op6_url_filter": op6_url_filter,
     "op7_token_files": op7_token_files,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_language_id": op9_language_id,
+    "op10_decontamination": op10_decontamination,
 }
 
-SQL: dict[str, str] = {}
+_JACCARD = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+rare AS (SELECT doc_id, n, g FROM shingles WHERE g IN (SELECT g FROM shingles GROUP BY g HAVING count(*) > 1)),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM rare a JOIN rare b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+links AS (SELECT x, y FROM pairs UNION SELECT y, x FROM pairs),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, b.y FROM reach r JOIN links b ON r.y = b.x)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(least(s.doc_id, m.y), s.doc_id) AS component_id
+FROM sets s LEFT JOIN (SELECT x, min(y) AS y FROM reach GROUP BY x) m ON m.x = s.doc_id
+"""
+
+_QUALITY = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (
+  SELECT k, i, h, count(*) OVER (PARTITION BY k, h) AS c FROM (
+    SELECT k, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda j: w[j] || ' ' || w[j + 1] || ' ' || w[j + 2])) AS h
+    FROM words WHERE len(w) >= 3)),
+repeated AS (SELECT k, count(DISTINCT i + o) AS n FROM windows, (SELECT unnest([0, 1, 2]) AS o) WHERE c > 1 GROUP BY k),
+counts AS (
+  SELECT words.k, doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM words LEFT JOIN repeated USING (k)),
+fails AS (
+  SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_words < 50 AS f1, 100 * n_repeat_words > 50 * n_words AS f2,
+    n_symbols > 0.1 * n_words AS f3, (len(lines) - len(list_distinct(lines))) > 0.3 * len(lines) AS f4,
+    coalesce(word_chars / nullif(n_words, 0) < 3 OR word_chars / nullif(n_words, 0) > 10, false) AS f5 FROM counts),
+rates AS (
+  SELECT source, r, count(*) AS n, count(*) FILTER (f) AS bad FROM (
+    SELECT source, unnest([1, 2, 3, 4, 5]) AS r, unnest([f1, f2, f3, f4, f5]) AS f FROM fails) GROUP BY source, r),
+prior AS (SELECT r, avg(bad / n) AS m, var_pop(bad / n) AS v FROM rates GROUP BY r),
+strengths AS (SELECT r, m, CASE WHEN v > 0 THEN least(1000, greatest(1, m * (1 - m) / v - 1)) ELSE 1000 END AS s FROM prior),
+hosts AS (SELECT DISTINCT source FROM rates JOIN strengths USING (r) WHERE (bad + m * s) / (n + s) > 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f1 OR f2) AS base_failed,
+  (NOT (f1 OR f2) AND NOT EXISTS (SELECT 1 FROM hosts WHERE hosts.source IS NOT DISTINCT FROM fails.source)) AS kept FROM fails
+"""
+
+_URLS = r"""
+WITH urls AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM urls),
+rules (verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+judged AS (
+  SELECT page_id, url, host, path, (SELECT {'rule': h || p, 'verdict': verdict} FROM rules
+    WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1) AS best FROM parts)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN regexp_matches(url, '^[^?#]*[/.](ads|adserver|banner)[/.]')
+  OR regexp_matches(url, '^[^?#]*/(login|signup|logout)([/?#.]|$)') OR regexp_matches(url, '[?&](sessionid|sid)=')
+  OR regexp_matches(url, '^[^?#]*/tag/[^?#]*/page/[0-9]+') THEN 'block' ELSE 'allow' END) AS verdict FROM judged
+"""
+
+_WARC = r"""
+WITH digests AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS x FROM pages),
+firsts AS (
+  SELECT page_id, octet_length(html::BLOB)::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY html) AS f, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest
+  FROM digests)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> f THEN f END AS refers_to FROM firsts
+"""
+
+SQL: dict[str, str] = {"op1_jaccard_join": _JACCARD, "op4_warc": _WARC, "op6_url_filter": _URLS, "op8_quality_rules": _QUALITY}
