@@ -143,7 +143,7 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN
 _WARC = r"""
 WITH digests AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS x FROM pages),
 firsts AS (
-  SELECT page_id, octet_length(html::BLOB)::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY html) AS f, array_to_string(list_transform(range(0, 32), lambda i:
+  SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY html) AS f, array_to_string(list_transform(range(0, 32), lambda i:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest
   FROM digests)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
