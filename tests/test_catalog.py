@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import canonical
+from compare import canonical
 from vociflow.plans import catalog
 
 
