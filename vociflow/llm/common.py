@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _own_dir: list[str] = []
+_held: dict = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +61,14 @@ def small_join(df: DataFrame, small: DataFrame, on, how: str) -> DataFrame:
     return df.join(small, on, how)
 
 
+def hold(key, make):
+    """What an operator keeps in a Python worker between tasks; another operator's takes its place, so memory stays bounded."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def raw_texts(column: pa.Array) -> list[bytes | None]:
     """A string column's values as UTF-8 bytes, without decoding them."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

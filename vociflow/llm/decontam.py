@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vociflow.llm.common import raw_texts, slices
+from vociflow.llm.common import hold, raw_texts, slices
 
 #: Words of a passage and between passages: an item of STRIDE words or fewer lies whole in some passage.
 PASSAGE, STRIDE = 128, 64
@@ -141,7 +141,7 @@ class _Terms(dict):
     def __missing__(self, word: bytes) -> int:
         plain = normal(word)
         value = self.terms.get(plain, -1) if plain else -2
-        if len(self) < 300_000:
+        if len(self) < 200_000:
             self[word] = value
         return value
 
@@ -252,15 +252,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = f"doc_id {id_type}, item_id {item_type}, score double, overlap double, overlap_question double, overlap_answer double"
     found = None
     for index in indexes(benchmark):
-        part = docs.select("doc_id", "text").mapInArrow(_leak_rows(docs.sparkSession.sparkContext.broadcast(index), item_type), schema)
+        part = docs.select("doc_id", "text").mapInArrow(_leak_rows(_Shared(docs.sparkSession, index), item_type), schema)
         found = part if found is None else found.unionAll(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 
 
+class _Shared:
+    """A broadcast index and a number that tells it from others."""
+
+    def __init__(self, spark, index: Index):
+        self.broadcast = spark.sparkContext.broadcast(index)
+        self.id = self.broadcast._jbroadcast.id() if self.broadcast._jbroadcast is not None else id(self)
+
+    @property
+    def value(self) -> Index:
+        return self.broadcast.value
+
+    def __getstate__(self):
+        return {"broadcast": self.broadcast, "id": self.id}
+
+
 def _leak_rows(shared, item_type: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        known = _Terms(index.terms)
+        known = hold(("terms", shared.id), lambda: _Terms(index.terms))
         for batch in slices(batches, 500):
             rows = leaks(index, raw_texts(batch["text"]), known)
             if rows:
@@ -280,10 +295,10 @@ def _leak_rows(shared, item_type: str):
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no test item; their columns stay as they are."""
     for index in indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = _Shared(docs.sparkSession, index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = _Terms(shared.value.terms)
+            known = hold(("terms", shared.id), lambda: _Terms(shared.value.terms))
             for batch in slices(batches, 500):
                 bad = {k for k, *_ in leaks(shared.value, raw_texts(batch["text"]), known)}
                 yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_()))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vociflow.llm.common import slices
+from vociflow.llm.common import hold, slices
 
 #: Dimensions of the vectors, and the seed of the letters' random vectors.
 DIMENSIONS, SEED = 1024, 20241
@@ -28,15 +28,20 @@ UNKNOWN = "und"
 MIN_SCORE = 0.2
 
 _space = np.uint32(32)
-_letters: list[np.ndarray] = []
-_vectors: dict[int, np.ndarray] = {}
+
+
+class _Letters:
+    """What a worker keeps: which characters are letters, and the vectors of those seen."""
+
+    def __init__(self):
+        self.alphabetic = np.array([chr(i).isalpha() for i in range(0x10000)])
+        self.vectors: dict[tuple[int, int], np.ndarray] = {}
 
 
 def _is_letter(points: np.ndarray) -> np.ndarray:
-    if not _letters:
-        _letters.append(np.array([chr(i).isalpha() for i in range(0x10000)]))
     low = points < 0x10000
-    found = _letters[0][np.where(low, points, 0)]
+    table = hold("letters", _Letters).alphabetic
+    found = table[np.where(low, points, 0)]
     if not low.all():
         found[~low] = [chr(p).isalpha() for p in points[~low]]
     return found
@@ -56,12 +61,12 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 def _letter_vector(point: int, dimensions: int) -> np.ndarray:
-    key = point * 100_000 + dimensions
-    if key not in _vectors:
-        if len(_vectors) > 20_000:
-            _vectors.clear()
-        _vectors[key] = (np.random.default_rng([SEED, point]).integers(0, 2, dimensions) * 2 - 1).astype(np.int8)
-    return _vectors[key]
+    vectors, key = hold("letters", _Letters).vectors, (point, dimensions)
+    if key not in vectors:
+        if len(vectors) > 20_000:
+            vectors.clear()
+        vectors[key] = (np.random.default_rng([SEED, point]).integers(0, 2, dimensions) * 2 - 1).astype(np.int8)
+    return vectors[key]
 
 
 def bind(codes: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vociflow.llm.common import raw_texts, slices, stage_table
+from vociflow.llm.common import hold, raw_texts, slices, stage_table
 
 #: Labelled rows of each kind to learn from: the bound of the sample, taken by a hash of doc_id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
@@ -28,7 +28,7 @@ TOXIC_WORDS, CLEAN_WORDS, LANDMARKS = 1500, 4500, 96
 #: Letter classes; the decay of a subsequence with its span, the widest span, and the longest piece of a word.
 CLASSES, DECAY, SPAN, PIECE = 48, 0.6, 7, 20
 #: Words whose scores a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Digits that stand for letters inside a word.
 LEET = str.maketrans("013457", "oieast")
 
@@ -275,7 +275,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = hold(("toxicity", shared.value.bias, shared.value.slope), lambda: Scorer(shared.value))
         for batch in slices(batches, 500):
             score = scorer.model.probability(scorer.values(raw_texts(batch["text"])))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
