@@ -26,13 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vociflow.llm.common import raw_texts, slices, small_join, stage_table
+from vociflow.llm.common import hold, raw_texts, slices, small_join, stage_table
 from vociflow.llm.components import components
 
 #: Documents with at least so many shingles compare only those of a fixed share of the shingle space at first.
 RESTRICT_FROM = 64
 #: Word hashes that a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Copies of one shingle, after which it counts as this frequent; bounds what a task holds of one shingle.
 HOT = 1 << 18
 #: Pivots of a cluster, and the size from which pivots are used instead of comparing all.
@@ -51,21 +51,18 @@ class WordHashes(dict):
         return value
 
 
-_hashes = WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * M2
     x = (x ^ (x >> np.uint64(27))) * M3
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: bytes | None, words: int) -> np.ndarray:
+def shingles(text: bytes | None, words: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word n-grams; a shorter text is one shingle, an empty one has none."""
     split = text.lower().split() if text else []
     if not split:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, split), np.uint64, len(split))
+    h = np.fromiter(map(hashes.__getitem__, split), np.uint64, len(split))
     k = min(words, len(split))
     acc = np.full(len(h) - k + 1, k, np.uint64)
     for j in range(k):
@@ -99,11 +96,12 @@ def _describe(words: int, num: int, den: int, share: float):
     small = (RESTRICT_FROM - 1) * den // num
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2000):
+        hashes = hold("word hashes", WordHashes)
+        for batch in slices(batches, 1000):
             sizes, highs, lows, restricted, whole, keys = [], [], [], [], [], []
             seen: set[tuple[int, int]] = set()
             for text, doc_id in zip(raw_texts(batch["text"]), batch["doc_id"].to_pylist(), strict=True):
-                found = shingles(text, words)
+                found = shingles(text, words, hashes)
                 n = len(found)
                 mark = _fingerprint(found)
                 own = []
@@ -199,34 +197,31 @@ def _window_keys(described: DataFrame, num: int, den: int) -> DataFrame:
 
 
 class Region:
-    """The sets of one cluster, and which of them are linked so far."""
+    """The sets of one cluster, and which of them are linked so far (equal labels)."""
 
     def __init__(self, sets: list[np.ndarray], num: int, den: int):
         self.sets, self.num, self.den = sets, num, den
         self.sizes = np.array([len(s) for s in sets], np.int64)
-        self.parent = list(range(len(sets)))
-
-    def find(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
+        self.label = np.arange(len(sets))
 
-    def union(self, x: int, y: int) -> None:
-        x, y = self.find(x), self.find(y)
-        if x != y:
-            self.parent[max(x, y)] = min(x, y)
+    def union(self, x: int, others: np.ndarray) -> None:
+        """Give a set and others one label, the least of theirs."""
+        labels = np.unique(np.append(self.label[others], self.label[x]))
+        if len(labels) > 1:
+            self.label[np.isin(self.label, labels)] = labels[0]
 
-    def shared(self, x: int, members: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Sizes of the intersections of a set with all members."""
+    def shared(self, x: int, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of a set with those that lie in flat from starts on."""
         own = self.sets[x]
         at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-        return np.add.reduceat((own[at] == flat).astype(np.int64), starts)
+        return np.add.reduceat((own[at] == flat).astype(np.int32), starts)
 
-    def linked(self, x: int, members: np.ndarray, shared: np.ndarray) -> np.ndarray:
-        return self.den * shared >= self.num * (self.sizes[x] + self.sizes[members] - shared)
+    def link(self, x: int, members: np.ndarray, shared: np.ndarray) -> None:
+        """Link a set with those members that are similar enough."""
+        self.union(x, members[self.den * shared >= self.num * (self.sizes[x] + self.sizes[members] - shared)])
 
     def lay(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The members' sets one after the other, and where each starts."""
         starts = np.concatenate([[0], np.cumsum(self.sizes[members])[:-1]])
         return np.concatenate([self.sets[m] for m in members]), starts
 
@@ -236,7 +231,7 @@ class Region:
         radius = 1 - self.num / self.den
         while stack:
             members = stack.pop()
-            if len({self.find(int(m)) for m in members}) < 2:
+            if (self.label[members] == self.label[members[0]]).all():
                 continue
             if len(members) <= SMALL_REGION:
                 self.compare(members)
@@ -246,62 +241,69 @@ class Region:
             far = np.full(len(members), np.inf)
             pick = 0
             for _ in range(PIVOTS):
-                shared = self.shared(int(members[pick]), members, flat, starts)
-                for m in members[self.linked(int(members[pick]), members, shared)]:
-                    self.union(int(members[pick]), int(m))
-                rows.append(1 - shared / (self.sizes[members[pick]] + self.sizes[members] - shared))
+                pivot = int(members[pick])
+                shared = self.shared(pivot, flat, starts)
+                self.link(pivot, members, shared)
+                rows.append(1 - shared / (self.sizes[pivot] + self.sizes[members] - shared))
                 far = np.minimum(far, rows[-1])
                 pick = int(far.argmax())
                 if far[pick] <= 0:
                     break
             distance = np.array(rows)
             cell, nearest = distance.argmin(0), distance.min(0)
-            for k in range(len(rows)):
-                inside = (cell == k) | (distance[k] <= nearest + 2 * radius + 1e-9)
-                if distance[k][inside].max(initial=0) <= radius / 2 - 1e-9:
-                    continue  # all within half the radius: linked with each other, and with the pivot already
-                region = members[inside]
-                if len(region) > 0.8 * len(members):  # distances do not part them: take single shingles as pivots
-                    self.anchored(members)
-                    break
-                stack.append(region)
+            inside = [(cell == k) | (distance[k] <= nearest + 2 * radius + 1e-9) for k in range(len(rows))]
+            # A cell within half the radius of its pivot is linked already: any two in it, and all with the pivot.
+            regions = [members[i] for k, i in enumerate(inside) if distance[k][i].max(initial=0) > radius / 2 - 1e-9]
+            if sum(map(len, regions)) > 1.5 * len(members):  # distances do not part them: take single shingles as pivots
+                self.anchored(members, flat, starts)
+            else:
+                stack += regions
 
     def compare(self, members: np.ndarray) -> None:
-        """Compare each member with those after it whose size allows a link, unless they are linked already."""
-        members = members[np.argsort(self.sizes[members], kind="stable")]
-        for i, x in enumerate(members[:-1]):
-            rest = members[i + 1 :]
-            rest = rest[self.den * self.sizes[x] >= self.num * self.sizes[rest]]
-            root = self.find(int(x))
-            rest = np.array([m for m in rest if self.find(int(m)) != root], np.int64)
+        """Compare all members of a small region that are not linked yet."""
+        for x in members.tolist():
+            rest = members[self.label[members] != self.label[x]]
             if len(rest):
                 flat, starts = self.lay(rest)
-                for m in rest[self.linked(int(x), rest, self.shared(int(x), rest, flat, starts))]:
-                    self.union(int(x), int(m))
+                self.link(x, rest, self.shared(x, flat, starts))
+
+    def anchored(self, members: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> None:
+        """As over the corpus: each member's window is its shingles that are rarest here, as far as it reaches.
 
-    def anchored(self, members: np.ndarray) -> None:
-        """As over the corpus: regions of the shingles that are rarest here, and comparison within those."""
-        flat, starts = self.lay(members)
-        owner = np.repeat(np.arange(len(members)), self.sizes[members])
+        Members with the commonest label are linked with each other, so only the others search; each compares with
+        the members that share a shingle of both windows, have another label, and a size that allows a link.
+        """
+        sizes = self.sizes[members]
+        owner = np.repeat(np.arange(len(members)), sizes)
         _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
         rank = np.lexsort((inverse, counts[inverse], owner))
-        place = np.arange(len(flat)) - np.repeat(starts, self.sizes[members])
-        reach = np.array([allowed(int(n), self.num, self.den) + 1 for n in self.sizes[members]])
-        kept = rank[place < reach[owner]]
-        kept = kept[counts[inverse[kept]] > 1]
-        kept = kept[np.argsort(inverse[kept], kind="stable")]
-        bounds = np.flatnonzero(np.diff(inverse[kept])) + 1
-        for group in np.split(owner[kept], bounds):
-            if len(group) > 1 and len({self.find(int(members[g])) for g in group}) > 1:
-                self.compare(members[group])
+        place = np.arange(len(flat)) - np.repeat(starts, sizes)
+        reach = sizes - -(-sizes * self.num // self.den) + 1
+        kept = rank[(place < reach[owner]) & (counts[inverse[rank]] > 1)]
+        window_of, window_key = owner[kept], inverse[kept]  # by owner
+        own_starts = np.searchsorted(window_of, np.arange(len(members) + 1))
+        by_key = np.argsort(window_key, kind="stable")
+        holders = window_of[by_key]
+        key_starts = np.searchsorted(window_key[by_key], np.arange(len(counts) + 1))
+        labels, times = np.unique(self.label[members], return_counts=True)
+        for x in np.flatnonzero(self.label[members] != labels[times.argmax()]).tolist():
+            keys = window_key[own_starts[x] : own_starts[x + 1]]
+            if not len(keys):
+                continue
+            met = np.unique(np.concatenate([holders[key_starts[k] : key_starts[k + 1]] for k in keys.tolist()]))
+            fits = (self.label[members[met]] != self.label[members[x]]) & (self.den * np.minimum(sizes[met], sizes[x]) >= self.num * np.maximum(sizes[met], sizes[x]))
+            if fits.any():
+                rest = members[met[fits]]
+                self.link(int(members[x]), rest, self.shared(int(members[x]), *self.lay(rest)))
 
 
 def _join_clusters(words: int, num: int, den: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2000):
+        hashes = hold("word hashes", WordHashes)
+        for batch in slices(batches, 1000):
             blobs = []
             for text, high, low in zip(raw_texts(batch["text"]), batch["high"].to_pylist(), batch["low"].to_pylist(), strict=True):
-                found = shingles(text, words)
+                found = shingles(text, words, hashes)
                 blobs.append(found.tobytes() if _fingerprint(found) == (high, low) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch["cluster"], batch["doc_id"].cast(pa.int64()), batch["high"], batch["low"], pa.array(blobs, pa.binary())],
@@ -312,7 +314,7 @@ def _join_clusters(words: int, num: int, den: int):
         pdf = pdf.sort_values("doc_id").drop_duplicates(["high", "low"]).reset_index(drop=True)
         region = Region([np.frombuffer(b, np.uint64) for b in pdf["blob"]], num, den)
         region.join(np.arange(len(pdf)))
-        least = [int(pdf["doc_id"][region.find(i)]) for i in range(len(pdf))]
+        least = pdf["doc_id"].to_numpy()[region.label]
         return pd.DataFrame({"high": pdf["high"], "low": pdf["low"], "component_id": least})
 
     return sets, join
