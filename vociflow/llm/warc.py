@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vociflow.llm.common import new_path, small_join, stage_table
+from vociflow.llm.common import BROADCAST_ROWS, new_path, small_join, stage_table
 
 #: What every record starts with.
 MAGIC = "WARC/1.0\r\n"
@@ -35,8 +35,8 @@ def base32_sha1(payload: Column) -> Column:
 def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """page_id, url, html, payload_digest, payload_bytes, and refers_to: the page whose payload a revisit repeats.
 
-    Digests are counted before the shuffle, and the join with repeated ones is salted, as a third of all pages may
-    have the same payload.
+    Digests are counted before the shuffle. Those that repeat are broadcast after counting them, and payloads stay
+    where they are; if they are too many the join is salted, as a third of all pages may have the same payload.
     """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", html.alias("html")).withColumns(
@@ -44,9 +44,14 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFr
     )
     repeated = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes")
     repeated = repeated.agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    repeated = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(repeated, ["payload_digest", "payload_bytes", "salt"], "left")
+    keys = ["payload_digest", "payload_bytes"]
+    repeated = stage_table(repeated, "repeated")
+    if repeated.count() <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(repeated), keys, "left")
+    else:
+        repeated = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(repeated, [*keys, "salt"], "left")
     refers = F.when(F.col("page_id") > F.col("first_id"), F.col("first_id"))
     return joined.select("page_id", "url", "html", "payload_digest", "payload_bytes", refers.alias("refers_to"))
 
