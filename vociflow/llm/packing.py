@@ -115,7 +115,7 @@ def _pack_partition(path: str, sequence: int, block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         first, ids, doc_ids, held = 0, [], [], 0
-        for batch in slices(batches, 500):
+        for batch in slices(batches, 800):
             if not ids and not first:
                 first = batch["part"][0].as_py() << 40
             encoded = enc.encode(raw_texts(batch["text"]))

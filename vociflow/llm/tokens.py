@@ -7,24 +7,29 @@ ids of a text are those of its white-space separated words in turn, and each dis
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vociflow.llm.common import new_path, raw_texts, slices
+from vociflow.llm.common import hold, new_path, raw_texts, slices
 
 #: Id appended to every document.
 END_ID = 1
-#: Words kept by each of the encoder's two generations; bounds a worker's memory.
-CACHE_WORDS = 250_000
+#: Full stop and comma.
+STOPS = b".,"
+#: Words that a worker keeps, and the share of unknown ones in a batch from which it starts anew when that is reached.
+CACHE_WORDS, UNKNOWN_SHARE = 800_000, 0.25
 
 #: Parquet settings of the token files: dictionary (or delta) encoded lists, bounded row groups, small indexed pages.
 FILE_OPTIONS = {
-    "compression": "zstd",
+    "compression": "snappy",
     "parquet.block.size": str(32 * 1024 * 1024),
     "parquet.page.size": str(256 * 1024),
     "parquet.page.row.count.limit": "2000",
@@ -40,64 +45,107 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _is_plain(word: bytes) -> bool:
+    """Whether a word is all letters, in lower case and composed form."""
+    if word.isalpha():
+        return word.islower()
+    text = word.decode()
+    return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+
+
 class WordEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids, with a two-generation cache of words."""
+    """Encodes texts to little-endian unsigned 32-bit ids, with a bounded cache of words."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.encode_words = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.encode_words = self.tokenizer.encode_batch_fast
+        spaced = Tokenizer.from_file(path)
+        spaced.normalizer = normalizers.Sequence([])
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        spaced.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), to_bytes])
+        self.encode_letters = spaced.encode_batch_fast
         self.cache_words = cache_words
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        """Make sure that all these words are in the young generation."""
-        missing = words - self.new.keys()
-        if not missing:
-            return
-        if len(self.new) + len(missing) > self.cache_words and self.new:
-            self.old, self.new = self.new, {}
-            missing = words
-        old, new = self.old, self.new
-        unknown = []
+        self.stops = {s: array("I", self.tokenizer.encode(chr(s), add_special_tokens=False).ids).tobytes() for s in STOPS}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+
+    def learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that are not known yet.
+
+        The pre-tokenizer parts letters from other characters: a plain word and the stop after it are encoded apart.
+        """
+        known = self.known.get
+        plain, stopped, others, found = [], [], [], {}
         for word in missing:
-            ids = old.get(word)
-            if ids is None:
-                unknown.append(word)
+            if _is_plain(word):
+                plain.append(word)
+            elif word[-1] in STOPS and _is_plain(word[:-1]):
+                ids = known(word[:-1])
+                if ids is None:
+                    plain.append(word[:-1])
+                    stopped.append(word)
+                else:
+                    found[word] = ids + self.stops[word[-1]]
             else:
-                new[word] = ids
-        encoded = self.encode_words([w.decode() for w in unknown], add_special_tokens=False)
-        for word, encoding in zip(unknown, encoded, strict=True):
-            new[word] = np.array(encoding.ids, dtype="<u4").tobytes()
+                others.append(word)
+        plain = list(dict.fromkeys(plain))
+        if not self._learn_letters(plain, found):
+            others += plain
+        encoded = self.encode_words([w.decode() for w in others], add_special_tokens=False)
+        for word, encoding in zip(others, encoded, strict=True):
+            found[word] = array("I", encoding.ids).tobytes()
+        for word in stopped:
+            found[word] = found[word[:-1]] + self.stops[word[-1]]
+        return found
+
+    def _learn_letters(self, words: list[bytes], found: dict[bytes, bytes]) -> bool:
+        """Encode plain words, which are normal and one pre-token each, as one text without those steps; tokens that end a
+        word part them. False if the tokenizer does not mark the ends of all words.
+        """
+        for start in range(0, len(words), 20_000):
+            some = words[start : start + 20_000]
+            encoding = self.encode_letters([b" ".join(some).decode()], add_special_tokens=False)[0]
+            ids = np.array(encoding.ids, dtype="<u4")
+            blob, ends = ids.tobytes(), [0, *(4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()]
+            if len(ends) != len(some) + 1:
+                return False
+            found.update(zip(some, [blob[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
+        return True
 
     def encode(self, texts: list[bytes | None], end: int = END_ID) -> list[bytes]:
         """The ids of each text, as bytes, with the end id; a null text is empty."""
         # Lower-casing first saves cache entries, as the tokenizer lower-cases too; a special token's text is kept.
         split = [((t if b"<|" in t else t.lower()).split() if t else []) for t in texts]
-        words: set[bytes] = set()
-        words.update(*split)
-        self.learn(words)
-        get, tail = self.new.__getitem__, np.array([end], dtype="<u4").tobytes()
-        return [b"".join(map(get, s)) + tail for s in split]
-
-
-_encoders: dict[str, WordEncoder] = {}
+        flat = list(chain.from_iterable(split))
+        found = list(map(self.known.get, flat))
+        if holes := [k for k, ids in enumerate(found) if ids is None]:
+            rare = [flat[k] for k in holes]
+            new = self.learn(set(rare))
+            for k, ids in zip(holes, map(new.__getitem__, rare), strict=True):
+                found[k] = ids
+            if len(self.known) + len(new) <= self.cache_words:
+                self.known.update(new)
+            elif len(holes) > UNKNOWN_SHARE * len(flat):
+                self.known = new
+        ends = list(accumulate(map(len, split), initial=0))
+        tail = np.array([end], dtype="<u4").tobytes()
+        return [b"".join(found[a:b]) + tail for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder for a tokenizer file, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return hold(("encoder", path), lambda: WordEncoder(path))
 
 
 def _encode_sorted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, before = encoder(path), 0
-        for batch in slices(batches, 500):
+        for batch in slices(batches, 800):
             ids = enc.encode(raw_texts(batch["text"]))
             lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
             offsets = np.concatenate([[0], np.cumsum(lengths)])
@@ -126,10 +174,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, partitions: in
     spark = docs.sparkSession
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = (
-        docs.select("doc_id", "text")
-        .repartitionByRange(count, F.col("doc_id"), F.xxhash64("text"))
-        .sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"))
-        .withColumn("part", F.spark_partition_id())
+        docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+        .repartitionByRange(count, "doc_id", "tie")
+        .sortWithinPartitions("doc_id", "tie")
+        .select("doc_id", "text", F.spark_partition_id().alias("part"))
     )
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, part int, start_in_part long, n_tokens long, tokens array<int>"
