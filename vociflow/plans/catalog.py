@@ -978,7 +978,7 @@ def event_types(s, d):
     return views.event_types(t.table(s, d, "events"))
 
 
-@query("SELECT 'UNKNOWN_AUTHOR' AS rule, o_orderkey AS id FROM orders WHERE o_custkey >= 1000 UNION ALL SELECT 'ROLE_OF_UNKNOWN', s_suppkey + 950 FROM supplier WHERE s_suppkey + 950 >= 1000")
+@query("WITH a AS (SELECT c_custkey FROM customer WHERE c_custkey < 1000) SELECT 'UNKNOWN_AUTHOR' AS rule, o_orderkey AS id FROM orders WHERE o_custkey NOT IN (FROM a) UNION ALL SELECT 'ROLE_OF_UNKNOWN', s_suppkey + 950 FROM supplier WHERE s_suppkey + 950 NOT IN (FROM a)")
 def corpus_violations(s, d):
     """What is wrong with a corpus."""
     a = t.table(s, d, "customer").where("c_custkey < 1000").select(F.col("c_custkey").alias("id"))
