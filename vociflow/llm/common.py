@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +16,9 @@ from pyspark.sql import functions as F
 #: Largest table, in rows, that an operator broadcasts after counting it; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1_000
+
 _own_dir: list[str] = []
 _held: dict = {}
 
@@ -65,15 +71,45 @@ def hold(key, make):
     """What an operator keeps in a Python worker between tasks; another operator's takes its place, so memory stays bounded."""
     if key not in _held:
         _held.clear()
+        release()
         _held[key] = make()
+        release()
     return _held[key]
 
 
+def release() -> None:
+    """Give freed memory of this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def texts_of(df: DataFrame) -> DataFrame:
+    """df, after lowering the session's rows of an Arrow batch: whole texts may be long, and batches lie in memory."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def raw_texts(column: pa.Array) -> list[bytes | None]:
     """A string column's values as UTF-8 bytes, without decoding them."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def gather(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Record batches of so many rows or more, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Record batches of at most so many rows."""
     for batch in batches:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vociflow.llm.common import hold, raw_texts, slices
+from vociflow.llm.common import hold, raw_texts, slices, texts_of
 
 #: Words of a passage and between passages: an item of STRIDE words or fewer lies whole in some passage.
 PASSAGE, STRIDE = 128, 64
@@ -252,7 +252,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = f"doc_id {id_type}, item_id {item_type}, score double, overlap double, overlap_question double, overlap_answer double"
     found = None
     for index in indexes(benchmark):
-        part = docs.select("doc_id", "text").mapInArrow(_leak_rows(_Shared(docs.sparkSession, index), item_type), schema)
+        part = texts_of(docs).select("doc_id", "text").mapInArrow(_leak_rows(_Shared(docs.sparkSession, index), item_type), schema)
         found = part if found is None else found.unionAll(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -303,5 +303,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 bad = {k for k, *_ in leaks(shared.value, raw_texts(batch["text"]), known)}
                 yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = texts_of(docs).mapInArrow(run, docs.schema)
     return docs

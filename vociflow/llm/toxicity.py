@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vociflow.llm.common import hold, raw_texts, slices, stage_table
+from vociflow.llm.common import hold, raw_texts, slices, stage_table, texts_of
 
 #: Labelled rows of each kind to learn from: the bound of the sample, taken by a hash of doc_id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
@@ -232,7 +232,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model:
     taken = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     sample = stage_table(taken[0].unionAll(taken[1]), "labels")
     # Kept for two reads: the sample's words and, with the machine learnt, its values.
-    texts = stage_table(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("text", "toxic"), "labelled")
+    texts = stage_table(texts_of(docs).select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("text", "toxic"), "labelled")
     counts = texts.mapInArrow(_word_counts, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = stage_table(counts.where(F.octet_length("word") >= 3), "words")
     sides = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -280,4 +280,4 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
             score = scorer.model.probability(scorer.values(raw_texts(batch["text"])))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, score double, predicted int")
+    return texts_of(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, score double, predicted int")
