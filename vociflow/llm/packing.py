@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vociflow.llm.common import raw_texts, slices
-from vociflow.llm.tokens import default_tokenizer, encoder
+from vociflow.llm.common import gather, slices, texts_of
+from vociflow.llm.tokens import ENCODE_ROWS, default_tokenizer, encoder
 
 #: Tokens of a full sequence.
 SEQUENCE = 2048
 #: Tokens packed at a time: bounds memory, and leaves sequences enough for an even balance.
 BLOCK_TOKENS = 2_000_000
+#: Words that a worker keeps.
+CACHE_WORDS = 400_000
 #: Cost of a token, and of a pair of tokens that attend to each other.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
@@ -92,15 +94,17 @@ def pack(lengths: list[int], sequence: int = SEQUENCE) -> list[tuple[int, int, i
 
 
 def _pack_partition(path: str, sequence: int, block_tokens: int):
-    def emit(ids: list[bytes], doc_ids: list, first: int) -> pa.RecordBatch:
-        lengths = [len(x) // 4 for x in ids]
+    def emit(held: list[np.ndarray], lengths: list[int], doc_ids: list, first: int) -> pa.RecordBatch:
+        ids = memoryview(np.concatenate(held)).cast("B")
+        begins = np.cumsum(lengths) - lengths
         pieces = sorted(pack(lengths, sequence), key=lambda p: (p[3], p[4]))
         room = capacities(sum(lengths), sequence)
         cols = np.array(pieces, dtype=np.int64).reshape(-1, 5)
-        sums = [zlib.crc32(memoryview(ids[d])[4 * s : 4 * (s + n)]) for d, s, n, _, _ in pieces]
+        at = 4 * (begins[cols[:, 0]] + cols[:, 1])
+        sums = [zlib.crc32(ids[a : a + 4 * n]) for a, n in zip(at.tolist(), cols[:, 2].tolist(), strict=True)]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(doc_ids).take(pa.array(cols[:, 0])) if doc_ids else pa.array([], pa.int64()),
+                pa.array(doc_ids).take(pa.array(cols[:, 0])),
                 pa.array(cols[:, 1]),
                 pa.array(cols[:, 2]),
                 pa.array(sums, pa.int64()),
@@ -113,22 +117,22 @@ def _pack_partition(path: str, sequence: int, block_tokens: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        first, ids, doc_ids, held = 0, [], [], 0
-        for batch in slices(batches, 800):
-            if not ids and not first:
+        enc = encoder(path, CACHE_WORDS)
+        first, held, lengths, doc_ids, tokens = -1, [], [], [], 0
+        for batch in gather(slices(batches, ENCODE_ROWS), ENCODE_ROWS):
+            if first < 0:
                 first = batch["part"][0].as_py() << 40
-            encoded = enc.encode(raw_texts(batch["text"]))
-            ids += encoded
+            ids, starts = enc.encode(batch["text"])
+            held.append(ids)
+            lengths += np.diff(starts).tolist()
             doc_ids += batch["doc_id"].to_pylist()
-            held += sum(map(len, encoded)) // 4
-            if held >= block_tokens:
-                out = emit(ids, doc_ids, first)
-                first += len(capacities(held, sequence))
-                ids, doc_ids, held = [], [], 0
-                yield _cast(out, batch)
-        if ids:
-            yield _cast(emit(ids, doc_ids, first), batch)
+            tokens += len(ids)
+            if tokens >= block_tokens:
+                yield _cast(emit(held, lengths, doc_ids, first), batch)
+                first += len(capacities(tokens, sequence))
+                held, lengths, doc_ids, tokens = [], [], [], 0
+        if lengths:
+            yield _cast(emit(held, lengths, doc_ids, first), batch)
 
     def _cast(out: pa.RecordBatch, like: pa.RecordBatch) -> pa.RecordBatch:
         return out.set_column(0, "doc_id", out["doc_id"].cast(like["doc_id"].type))
@@ -143,6 +147,6 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, sequence: int
     times 2^40 plus a count. Null texts are empty and hold the end id alone; repeated rows are packed as often as
     they occur; empty tables give no rows; columns other than doc_id and text are ignored.
     """
-    rows = docs.select("doc_id", "text", F.spark_partition_id().cast("long").alias("part"))
+    rows = texts_of(docs).select("doc_id", "text", F.spark_partition_id().cast("long").alias("part"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_pack_partition(tokenizer or default_tokenizer(), sequence, block_tokens), PIECES.format(id_type))

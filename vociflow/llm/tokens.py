@@ -11,29 +11,33 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vociflow.llm.common import hold, new_path, raw_texts, slices
+from vociflow.llm.common import gather, hold, new_path, slices, texts_of
 
 #: Id appended to every document.
 END_ID = 1
+#: Texts encoded together, whose distinct words are looked up once, and texts whose ids are copied together.
+ENCODE_ROWS, COPY_ROWS = 2000, 200
 #: Full stop and comma.
-STOPS = b".,"
-#: Words that a worker keeps, and the share of unknown ones in a batch from which it starts anew when that is reached.
-CACHE_WORDS, UNKNOWN_SHARE = 800_000, 0.25
+STOPS = ".,"
+#: Words that a worker keeps, and the share of unknown ones among the distinct words of a batch from which it starts anew when that is reached.
+CACHE_WORDS, UNKNOWN_SHARE = 600_000, 0.9
 
-#: Parquet settings of the token files: dictionary (or delta) encoded lists, bounded row groups, small indexed pages.
+#: Parquet settings of the token files: delta encoded lists, which need no dictionary or compression, bounded row groups,
+#: small indexed pages.
 FILE_OPTIONS = {
-    "compression": "snappy",
+    "compression": "uncompressed",
     "parquet.block.size": str(32 * 1024 * 1024),
     "parquet.page.size": str(256 * 1024),
     "parquet.page.row.count.limit": "2000",
-    "parquet.enable.dictionary": "true",
+    "parquet.enable.dictionary": "false",
     "parquet.writer.version": "PARQUET_2_0",
 }
 
@@ -45,12 +49,9 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _is_plain(word: bytes) -> bool:
+def _is_plain(word: str) -> bool:
     """Whether a word is all letters, in lower case and composed form."""
-    if word.isalpha():
-        return word.islower()
-    text = word.decode()
-    return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+    return word.isalpha() and word.islower() and (word.isascii() or unicodedata.is_normalized("NFC", word))
 
 
 class WordEncoder:
@@ -68,48 +69,44 @@ class WordEncoder:
         spaced.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), to_bytes])
         self.encode_letters = spaced.encode_batch_fast
         self.cache_words = cache_words
-        self.stops = {s: array("I", self.tokenizer.encode(chr(s), add_special_tokens=False).ids).tobytes() for s in STOPS}
+        self.stops = {s: array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes() for s in STOPS}
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
-    def learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
+    def learn(self, missing: list[str]) -> dict[str, bytes]:
         """The ids of words that are not known yet.
 
         The pre-tokenizer parts letters from other characters: a plain word and the stop after it are encoded apart.
         """
-        known = self.known.get
-        plain, stopped, others, found = [], [], [], {}
+        known, stops = self.known, self.stops
+        plain, stopped, others, found = {}, [], [], {"": b""}
         for word in missing:
             if _is_plain(word):
-                plain.append(word)
-            elif word[-1] in STOPS and _is_plain(word[:-1]):
-                ids = known(word[:-1])
-                if ids is None:
-                    plain.append(word[:-1])
-                    stopped.append(word)
-                else:
-                    found[word] = ids + self.stops[word[-1]]
-            else:
+                plain[word] = None
+            elif word[-1:] in stops and _is_plain(word[:-1]):
+                stopped.append(word)
+                if word[:-1] not in known:
+                    plain[word[:-1]] = None
+            elif word:
                 others.append(word)
-        plain = list(dict.fromkeys(plain))
+        plain = list(plain)
         if not self._learn_letters(plain, found):
             others += plain
-        encoded = self.encode_words([w.decode() for w in others], add_special_tokens=False)
-        for word, encoding in zip(others, encoded, strict=True):
+        for word, encoding in zip(others, self.encode_words(others, add_special_tokens=False), strict=True):
             found[word] = array("I", encoding.ids).tobytes()
         for word in stopped:
-            found[word] = found[word[:-1]] + self.stops[word[-1]]
+            found[word] = (found.get(word[:-1]) or known[word[:-1]]) + stops[word[-1]]
         return found
 
-    def _learn_letters(self, words: list[bytes], found: dict[bytes, bytes]) -> bool:
+    def _learn_letters(self, words: list[str], found: dict[str, bytes]) -> bool:
         """Encode plain words, which are normal and one pre-token each, as one text without those steps; tokens that end a
         word part them. False if the tokenizer does not mark the ends of all words.
         """
         for start in range(0, len(words), 20_000):
             some = words[start : start + 20_000]
-            encoding = self.encode_letters([b" ".join(some).decode()], add_special_tokens=False)[0]
+            encoding = self.encode_letters([" ".join(some)], add_special_tokens=False)[0]
             ids = np.array(encoding.ids, dtype="<u4")
             blob, ends = ids.tobytes(), [0, *(4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()]
             if len(ends) != len(some) + 1:
@@ -117,50 +114,64 @@ class WordEncoder:
             found.update(zip(some, [blob[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
         return True
 
-    def encode(self, texts: list[bytes | None], end: int = END_ID) -> list[bytes]:
-        """The ids of each text, as bytes, with the end id; a null text is empty."""
+    def encode(self, texts: pa.Array, end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, one after the other, and where each text starts; null is empty.
+
+        Arrow splits the texts and numbers their distinct words; only those are looked up or encoded.
+        """
+        texts = pc.fill_null(texts.cast(pa.string()), "")
         # Lower-casing first saves cache entries, as the tokenizer lower-cases too; a special token's text is kept.
-        split = [((t if b"<|" in t else t.lower()).split() if t else []) for t in texts]
-        flat = list(chain.from_iterable(split))
-        found = list(map(self.known.get, flat))
-        if holes := [k for k, ids in enumerate(found) if ids is None]:
-            rare = [flat[k] for k in holes]
-            new = self.learn(set(rare))
-            for k, ids in zip(holes, map(new.__getitem__, rare), strict=True):
-                found[k] = ids
-            if len(self.known) + len(new) <= self.cache_words:
-                self.known.update(new)
-            elif len(holes) > UNKNOWN_SHARE * len(flat):
-                self.known = new
-        ends = list(accumulate(map(len, split), initial=0))
-        tail = np.array([end], dtype="<u4").tobytes()
-        return [b"".join(found[a:b]) + tail for a, b in zip(ends, ends[1:], strict=False)]
-
-
-def encoder(path: str) -> WordEncoder:
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        numbered = lists.flatten().dictionary_encode()
+        words = numbered.dictionary.to_pylist()
+        found = list(map(self.known.get, words))
+        if missing := [w for w, ids in zip(words, found, strict=True) if ids is None]:
+            new = self.learn(missing)
+            found = [new[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+            if len(self.known) >= self.cache_words and len(missing) > UNKNOWN_SHARE * len(words):
+                self.known = {}
+            self.known.update(islice(new.items(), max(0, self.cache_words - len(self.known))))
+        each = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        ids, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(each, dtype=np.int64) - each
+        del words, found
+        word = numbered.indices.to_numpy()
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        counts = each[word] if len(word) else np.zeros(0, np.int32)
+        per_text = np.diff(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[offsets])
+        starts = np.concatenate([[0], np.cumsum(per_text + 1)])
+        out = np.full(starts[-1], end, "<u4")
+        for a in range(0, len(per_text), COPY_ROWS):  # in parts, as each id takes several places while it is copied
+            b = min(a + COPY_ROWS, len(per_text))
+            some, n = slice(offsets[a], offsets[b]), int(per_text[a:b].sum())
+            places = np.repeat(first[word[some]] - (np.cumsum(counts[some], dtype=np.int64) - counts[some]), counts[some])
+            places += np.arange(n)
+            into = np.arange(n) + np.repeat(np.arange(b - a), per_text[a:b])
+            out[starts[a] : starts[b]][into] = ids[places]
+        return out, starts
+
+
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> WordEncoder:
     """The worker's encoder for a tokenizer file, kept between tasks."""
-    return hold(("encoder", path), lambda: WordEncoder(path))
+    return hold(("encoder", path, cache_words), lambda: WordEncoder(path, cache_words))
 
 
 def _encode_sorted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, before = encoder(path), 0
-        for batch in slices(batches, 800):
-            ids = enc.encode(raw_texts(batch["text"]))
-            lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            offsets = np.concatenate([[0], np.cumsum(lengths)])
-            flat = np.frombuffer(b"".join(ids), dtype="<i4")
+        for batch in gather(slices(batches, ENCODE_ROWS), ENCODE_ROWS):
+            ids, starts = enc.encode(batch["text"])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"],
                     batch["part"],
-                    pa.array(before + offsets[:-1], pa.int64()),
-                    pa.array(lengths, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32())),
+                    pa.array(before + starts[:-1], pa.int64()),
+                    pa.array(np.diff(starts), pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.view("<i4"), pa.int32())),
                 ],
                 ["doc_id", "part", "start_in_part", "n_tokens", "tokens"],
             )
-            before += int(offsets[-1])
+            before += int(starts[-1])
 
     return run
 
@@ -174,7 +185,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, partitions: in
     spark = docs.sparkSession
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = (
-        docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+        texts_of(docs).select("doc_id", "text", F.xxhash64("text").alias("tie"))
         .repartitionByRange(count, "doc_id", "tie")
         .sortWithinPartitions("doc_id", "tie")
         .select("doc_id", "text", F.spark_partition_id().alias("part"))
@@ -219,7 +230,7 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens and the CRC-32 of its ids, all read from the files."""
     rows = (
-        spark.read.parquet(path)
+        texts_of(spark.read.parquet(path))
         .join(_part_starts(spark, path), "part")
         .select("doc_id", (F.col("part_start") + F.col("start_in_part")).alias("start"), "n_tokens", "tokens")
     )
