@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vociflow.llm.common import hold, raw_texts, slices, small_join, stage_table
+from vociflow.llm.common import hold, raw_texts, slices, small_join, stage_table, texts_of
 from vociflow.llm.components import components
 
 #: Documents with at least so many shingles compare only those of a fixed share of the shingle space at first.
@@ -38,6 +38,11 @@ HOT = 1 << 18
 #: Pivots of a cluster, and the size from which pivots are used instead of comparing all.
 PIVOTS, SMALL_REGION = 8, 48
 
+#: Shingles of a cluster that one task joins; larger clusters are joined by regions, and those by blocks of documents.
+CLUSTER_SHINGLES, BLOCK_DOCS = 6_000_000, 2_000
+#: Pivot sets that are broadcast; more are joined by cluster.
+BROADCAST_PIVOTS = 1_000
+
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -320,7 +325,61 @@ def _join_clusters(words: int, num: int, den: int):
     return sets, join
 
 
-def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, share: float | None = None) -> DataFrame:
+def _near_pivots(num: int, den: int):
+    """From rows (doc_id, blob, pivot, pivot_blob): those whose sets link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch["blob"].to_pylist(), batch["pivot_blob"].to_pylist(), strict=True):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                keep.append(den * both >= num * (len(x) + len(y) - both))
+            rows = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["pivot"]], ["u", "v"])
+
+    return run
+
+
+def _join_large(sets: DataFrame, window: DataFrame, num: int, den: int, block_docs: int) -> DataFrame:
+    """Components (high, low, component_id) of clusters too large for a task: sets has cluster, doc_id, high, low, blob.
+
+    Documents link with some pivots of their cluster first, which joins most near copies. Then each region, that is a
+    shingle of several windows, is joined on its own if its documents are not all linked by now; a region of more than
+    block_docs documents is dealt to tasks as pairs of blocks.
+    """
+    order = F.xxhash64("doc_id", "high")
+    pivots = sets.groupBy("cluster", F.pmod(order, F.lit(PIVOTS)).alias("salt")).agg(F.min(F.struct(order.alias("h"), "doc_id", "blob")).alias("p"))
+    pivots = stage_table(pivots.select("cluster", F.col("p.doc_id").alias("pivot"), F.col("p.blob").alias("pivot_blob")), "pivots")
+    near = sets.join(F.broadcast(pivots) if pivots.count() <= BROADCAST_PIVOTS else pivots, "cluster").select("doc_id", "blob", "pivot", "pivot_blob")
+    first = stage_table(near.mapInArrow(_near_pivots(num, den), "u long, v long"), "pivot_links")
+    known = components(first).withColumnsRenamed({"node": "doc_id", "component": "label"})
+    ids = sets.select("doc_id").distinct().join(known, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"))
+    rows = stage_table(window.withColumnRenamed("node", "doc_id").join(ids, "doc_id"), "regions")
+    open_regions = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    blocks = F.ceil(F.col("c") / block_docs).cast("int")
+    dealt = rows.join(open_regions.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "label")
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id").reset_index(drop=True)
+        region = Region([np.frombuffer(b, np.uint64) for b in pdf["blob"]], num, den)
+        region.label = pdf.groupby("label")["doc_id"].transform("idxmin").to_numpy().copy()
+        region.join(np.arange(len(pdf)))
+        ids = pdf["doc_id"].to_numpy()
+        return pd.DataFrame({"u": ids, "v": ids[region.label]})
+
+    with_sets = dealt.join(sets.select("doc_id", "blob"), "doc_id")
+    more = with_sets.groupBy("key", "i", "j").applyInPandas(join, "u long, v long").where("u <> v")
+    links = first.unionByName(stage_table(more, "region_links"))
+    final = components(links).withColumnsRenamed({"node": "doc_id", "component": "component_id"})
+    return sets.select("doc_id", "high", "low").join(final, "doc_id", "left").select("high", "low", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def jaccard_components(
+    docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, share: float | None = None, cluster_shingles: int = CLUSTER_SHINGLES, block_docs: int = BLOCK_DOCS
+) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id, the smallest doc_id that links lead to.
 
     Words are split at ASCII white space after lower-casing A-Z. Two documents link when
@@ -328,10 +387,11 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     shingle; one without words, or null, has none and links with nothing. Rows with equal sets link, repeated rows
     are all returned, a null doc_id names no component (its row's component_id is that of its equals, or null), and
     an empty table gives no rows. Other columns are ignored. share is the part of the shingle space in which large
-    sets look for partners: above 1 - num / den any value finds the same links.
+    sets look for partners: above 1 - num / den any value finds the same links. cluster_shingles and block_docs bound
+    what one task holds, and do not change the result.
     """
     spark_share = min(1.0, 2 * (1 - num / den)) if share is None else share
-    pairs = docs.select("doc_id", "text")
+    pairs = texts_of(docs).select("doc_id", "text")
     rows = stage_table(pairs.mapInArrow(_describe(words, num, den, spark_share), DESCRIBED), "sets")
     marks = ["high", "low"]
     # One document stands for all that have the same set; the keys are on one of its rows in each batch at least.
@@ -344,11 +404,19 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     centres = window.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("c")).where("c > 1")
     edges = window.join(centres, "key").select(F.col("node").alias("u"), "v")
     clusters = components(edges).withColumnsRenamed({"node": "doc_id", "component": "cluster"})
-    members = stage_table(clusters.join(equal.select("doc_id", *marks), "doc_id"), "members")
+    members = stage_table(clusters.join(equal.select("doc_id", "n", *marks), "doc_id"), "members")
+    large = stage_table(members.groupBy("cluster").agg(F.sum("n").alias("n")).where(F.col("n") > cluster_shingles).select("cluster"), "large")
     to_sets, join = _join_clusters(words, num, den)
     sets = small_join(pairs, members, "doc_id", "inner").select("cluster", "doc_id", "text", *marks)
     blobs = sets.mapInArrow(to_sets, "cluster long, doc_id long, high long, low long, blob binary").where("blob is not null")
-    joined = stage_table(blobs.groupBy("cluster").applyInPandas(join, "high long, low long, component_id long"), "joined")
+    found = "high long, low long, component_id long"
+    if large.isEmpty():
+        joined = stage_table(blobs.groupBy("cluster").applyInPandas(join, found), "joined")
+    else:
+        blobs = stage_table(blobs, "blobs")
+        apart = _join_large(small_join(blobs, large, "cluster", "left_semi"), window, num, den, block_docs)
+        joined = small_join(blobs, large, "cluster", "left_anti").groupBy("cluster").applyInPandas(join, found)
+        joined = stage_table(joined.unionByName(apart.dropDuplicates(["high", "low"])), "joined")
     # Links are between sets: the document that stands for a set may differ from the least one that has it.
     named = joined.join(equal.select(*marks, "least", "doc_id"), marks)
     least = named.groupBy("component_id").agg(F.min("least").alias("least_id"))
