@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +23,11 @@ TOKEN = r"(\[URL]|\[USER]|[а-яёА-ЯЁa-zA-Z0-9]+|[^\s])"
 LETTER_FIRST = r"^[а-яёА-ЯЁa-zA-Z]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once for each row however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def clean(raw: Column) -> Column:
     """Text without tags and emoji, with links and mentions as placeholders and single spaces (X1), not yet cut."""
     text = raw
@@ -33,13 +38,16 @@ def clean(raw: Column) -> Column:
 
 def cleaned(raw: Column, p: Params = DEFAULT) -> Column:
     """A struct of the clean text, cut at the longest length, and why it was cut."""
-    text = clean(raw)
-    long = F.length(text) > p.max_text
-    return F.struct(
-        F.substring(text, 1, p.max_text).alias("clean_text"),
-        F.coalesce(long, F.lit(False)).alias("truncated"),
-        F.when(long, F.lit(f"TEXT_EXCEEDS_{p.max_text}_CHARS")).alias("truncation_reason"),
-    )
+
+    def cut(text: Column) -> Column:
+        long = F.length(text) > p.max_text
+        return F.struct(
+            F.substring(text, 1, p.max_text).alias("clean_text"),
+            F.coalesce(long, F.lit(False)).alias("truncated"),
+            F.when(long, F.lit(f"TEXT_EXCEEDS_{p.max_text}_CHARS")).alias("truncation_reason"),
+        )
+
+    return let(clean(raw), cut)
 
 
 def tag_counts(raw: Column) -> Column:
@@ -72,9 +80,8 @@ def words_only(tokens: Column) -> Column:
 
 def language_share(tokens: Column, frequent: Sequence[str]) -> Column:
     """Share of frequent words among tokens that start with a letter; 0 without any."""
-    words = words_only(tokens)
-    hits = F.filter(words, lambda t: F.lower(t).isin(*frequent))
-    return F.coalesce(F.try_divide(F.size(hits).cast("double"), F.size(words)), F.lit(0.0))
+    hits = lambda words: F.size(F.filter(words, lambda t: F.lower(t).isin(*frequent))).cast("double")
+    return let(words_only(tokens), lambda words: F.coalesce(F.try_divide(hits(words), F.size(words)), F.lit(0.0)))
 
 
 def language_status(share: Column, words: Column, p: Params = DEFAULT) -> Column:
@@ -132,15 +139,17 @@ def token_similarity(a: Column, b: Column) -> Column:
 
     Each distinct token of the pair becomes one character, so that the built-in distance counts tokens.
     """
-    names = F.array_distinct(F.concat(a, b))
 
-    def code(tokens: Column) -> Column:
-        point = lambda t: F.lpad(F.hex(F.array_position(names, t) + 13312), 4, "0")
-        return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(point(t)), "UTF-16BE")), "")
+    def compare(x: Column, y: Column, names: Column) -> Column:
+        def code(tokens: Column) -> Column:
+            point = lambda t: F.lpad(F.hex(F.array_position(names, t) + 13312), 4, "0")
+            return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(point(t)), "UTF-16BE")), "")
+
+        longer = F.greatest(F.size(x), F.size(y))
+        found = 1 - F.levenshtein(code(x), code(y)) / longer
+        return F.when(longer == 0, F.lit(1.0)).when(F.least(F.size(x), F.size(y)) == 0, F.lit(0.0)).otherwise(found)
 
-    longer = F.greatest(F.size(a), F.size(b))
-    distance = F.levenshtein(code(a), code(b))
-    return F.when(longer == 0, F.lit(1.0)).when(F.least(F.size(a), F.size(b)) == 0, F.lit(0.0)).otherwise(1 - distance / longer)
+    return let(a, lambda x: let(b, lambda y: let(F.array_distinct(F.concat(x, y)), lambda names: compare(x, y, names))))
 
 
 def salted_hash(value: Column, salt: bytes) -> Column:

@@ -41,22 +41,28 @@ def near_pairs(posts: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """
     span = p.near_hours * 3600
     rows = posts.select("id", "published_at", "tokens").withColumns({"n": F.size("tokens"), "bucket": F.floor(F.unix_timestamp("published_at") / span)}).where("n > 0")
-    run = lambda i, size: F.xxhash64(F.slice("tokens", i, size))
+    hashes = F.transform("tokens", lambda t: F.xxhash64(t))
+    long_run = lambda h, i: F.xxhash64(*[F.get(h, i + k) for k in range(RUN)])
     parts = F.floor(F.col("n") * (1 - p.near_similarity) / p.near_similarity + 1e-9).cast("int") + 1
     size = F.floor(F.col("n") / parts).cast("int")
-    starts = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: k * size + 1)
-    mine = F.when(F.col("n") < SHORT, F.transform(starts, lambda i: run(i, F.lit(1)))).otherwise(F.transform(starts, lambda i: run(i, F.lit(RUN))))
-    ones = F.when(F.col("n") < 2 * SHORT, F.transform("tokens", lambda t: F.xxhash64(F.array(t)))).otherwise(F.array().cast("array<bigint>"))
-    runs = F.when(F.col("n") >= RUN, F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - RUN + 1, F.lit(1))), lambda i: run(i, F.lit(RUN)))).otherwise(F.array().cast("array<bigint>"))
-    left = rows.select(F.col("id").alias("x"), "n", F.explode(F.array_distinct(mine)).alias("run"), F.col("bucket"))
+    starts = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: k * size)
+    none = F.array().cast("array<bigint>")
+    mine = text.let(hashes, lambda h: F.transform(starts, lambda i: F.when(F.col("n") < SHORT, F.get(h, i)).otherwise(long_run(h, i))))
+    ones = F.when(F.col("n") < 2 * SHORT, hashes).otherwise(none)
+    places = F.sequence(F.lit(0), F.greatest(F.col("n") - RUN, F.lit(0)))
+    runs = F.when(F.col("n") >= RUN, text.let(hashes, lambda h: F.transform(places, lambda i: long_run(h, i)))).otherwise(none)
+    left = rows.select(F.col("id").alias("x"), "n", F.explode(F.array_distinct(mine)).alias("run"), "bucket")
+    left = left.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
     right = rows.select(F.col("id").alias("y"), F.col("n").alias("m"), F.explode(F.array_distinct(F.concat(ones, runs))).alias("run"), "bucket")
-    right = right.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
     near_length = F.least("n", "m") >= p.near_similarity * F.greatest("n", "m") - 1e-9
     met = left.join(right, ["run", "bucket"]).where((F.col("x") != F.col("y")) & near_length)
     pairs = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     side = lambda c: rows.select(F.col("id").alias(c), F.struct("published_at", "id").alias(f"{c}_at"), F.col("tokens").alias(f"{c}_tokens"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     both = both.where(F.abs(F.unix_timestamp("x_at.published_at") - F.unix_timestamp("y_at.published_at")) <= span)
+    # Tokens that one side alone has are edits at least: most pairs that differ go without a distance.
+    apart = F.greatest(F.size(F.array_except("x_tokens", "y_tokens")), F.size(F.array_except("y_tokens", "x_tokens")))
+    both = both.where(apart <= (1 - p.near_similarity) * F.greatest(F.size("x_tokens"), F.size("y_tokens")) + 1e-9)
     found = both.withColumn("similarity", text.token_similarity(F.col("x_tokens"), F.col("y_tokens"))).where(F.col("similarity") >= p.near_similarity - 1e-12)
     earlier = F.least("x_at", "y_at")
     return found.select(earlier["id"].alias("a"), F.greatest("x_at", "y_at")["id"].alias("b"), "similarity")

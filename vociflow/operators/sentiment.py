@@ -27,9 +27,11 @@ def polarity_counts(tokens: Column, lexicon: Lexicon, window: int = 3) -> Column
         up, down = _in(word, lexicon.positive), _in(word, lexicon.negative) & ~_in(word, lexicon.positive)
         return F.when(up, F.when(turned, -2).otherwise(1)).when(down, F.when(turned, 2).otherwise(-1)).otherwise(0)
 
-    marks = F.transform(tokens, mark)
-    count = lambda *values: F.size(F.filter(marks, lambda m: m.isin(*values)))
-    return F.struct(count(1, 2).alias("positive"), count(-1, -2).alias("negative"), (count(2, -2) > 0).alias("negated"))
+    def counts(marks: Column) -> Column:
+        count = lambda *values: F.size(F.filter(marks, lambda m: m.isin(*values)))
+        return F.struct(count(1, 2).alias("positive"), count(-1, -2).alias("negative"), (count(2, -2) > 0).alias("negated"))
+
+    return text.let(F.transform(tokens, mark), counts)
 
 
 def _result(label: Column | str, score: Column, method: str, negated: Column) -> Column:
@@ -39,28 +41,38 @@ def _result(label: Column | str, score: Column, method: str, negated: Column) ->
 def by_signals(tokens: Column, lexicon: Lexicon, p: Params = DEFAULT) -> Column:
     """Sentiment from signal words, exclamation and capitals."""
     count = lambda f: F.size(F.filter(tokens, f))
-    good = count(lambda w: _in(w, lexicon.positive_signals))
     bad = count(lambda w: _in(w, lexicon.negative_signals)) + count(lambda w: F.contains(w, F.lit("?!")) | F.contains(w, F.lit("!?")))
-    cries, asks = count(lambda w: F.contains(w, F.lit("!"))), count(lambda w: F.contains(w, F.lit("?")))
+    cries = count(lambda w: F.contains(w, F.lit("!")))
     shouted = count(lambda w: (F.length(w) > 2) & (w == F.upper(w)) & w.rlike(r"\p{L}"))
-    force = F.least(cries + shouted, F.lit(3))
-    raw = (
-        F.when(good > bad, 0.2 + force * 0.05).when(good < bad, -(0.2 + force * 0.05)).when((force > 0) & (asks > cries), -(0.15 + force * 0.05)).when(force > 0, 0.15 + force * 0.05).otherwise(F.lit(0.0))
+    found = F.struct(
+        count(lambda w: _in(w, lexicon.positive_signals)).alias("good"), bad.alias("bad"), cries.alias("cries"), count(lambda w: F.contains(w, F.lit("?"))).alias("asks"), shouted.alias("shouted")
     )
-    label = F.when(raw > 0, "POSITIVE").otherwise("NEGATIVE")
-    return F.when(F.abs(raw) < p.low_confidence, _result("NEUTRAL", F.lit(0.0), "NO_LEXICON_MATCH", F.lit(False))).otherwise(_result(label, raw, "SIGNAL", F.lit(False)))
+
+    def strength(c: Column) -> Column:
+        force = F.least(c["cries"] + c["shouted"], F.lit(3))
+        strong, weak = 0.2 + force * 0.05, 0.15 + force * 0.05
+        return F.when(c["good"] > c["bad"], strong).when(c["good"] < c["bad"], -strong).when((force > 0) & (c["asks"] > c["cries"]), -weak).when(force > 0, weak).otherwise(F.lit(0.0))
+
+    def judge(raw: Column) -> Column:
+        label = F.when(raw > 0, "POSITIVE").otherwise("NEGATIVE")
+        return F.when(F.abs(raw) < p.low_confidence, _result("NEUTRAL", F.lit(0.0), "NO_LEXICON_MATCH", F.lit(False))).otherwise(_result(label, raw, "SIGNAL", F.lit(False)))
+
+    return text.let(text.let(found, strength), judge)
 
 
 def by_dictionary(tokens: Column, lexicon: Lexicon, p: Params = DEFAULT) -> Column:
     """label, score, method and negated of a token list (N1): words first, then signals."""
-    counts = polarity_counts(tokens, lexicon, p.negation_window)
-    up, down = counts["positive"], counts["negative"]
-    score = ((up - down) / (up + down + 1)).cast("float")
-    weak = F.abs(score) < F.lit(p.low_confidence).cast("float")
-    label = F.when(score > 0, "POSITIVE").otherwise("NEGATIVE")
-    found = F.when(weak, _result("NEUTRAL", score, "LOW_CONFIDENCE", counts["negated"])).otherwise(_result(label, score, "DICTIONARY", counts["negated"]))
-    empty = _result("NEUTRAL", F.lit(0.0), "NO_LEXICON_MATCH", F.lit(False))
-    return F.when(F.size(tokens) == 0, empty).when(up + down > 0, found).otherwise(by_signals(tokens, lexicon, p))
+
+    def judge(counts: Column, words: Column) -> Column:
+        up, down = counts["positive"], counts["negative"]
+        score = ((up - down) / (up + down + 1)).cast("float")
+        weak = F.abs(score) < F.lit(p.low_confidence).cast("float")
+        label = F.when(score > 0, "POSITIVE").otherwise("NEGATIVE")
+        found = F.when(weak, _result("NEUTRAL", score, "LOW_CONFIDENCE", counts["negated"])).otherwise(_result(label, score, "DICTIONARY", counts["negated"]))
+        empty = _result("NEUTRAL", F.lit(0.0), "NO_LEXICON_MATCH", F.lit(False))
+        return F.when(F.size(words) == 0, empty).when(up + down > 0, found).otherwise(by_signals(words, lexicon, p))
+
+    return text.let(tokens, lambda words: text.let(polarity_counts(words, lexicon, p.negation_window), lambda counts: judge(counts, words)))
 
 
 def local_service(raw: Column, lexicon: Lexicon, p: Params = DEFAULT) -> Column:
