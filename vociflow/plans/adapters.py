@@ -18,8 +18,10 @@ def as_of():
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the driver's tables; texts in fewer files than there are cores are dealt to all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "pages") and len(df.inputFiles()) < cores else df
 
 
 def authors(spark: SparkSession, sf_dir: str) -> DataFrame:
