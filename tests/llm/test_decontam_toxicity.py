@@ -53,6 +53,20 @@ def test_search_finds_all_items_above_their_threshold(items):
         assert score == pytest.approx(exact[found])
 
 
+def test_questions_alone_and_split_items_are_found(spark, docs):
+    rng = random.Random(5)
+    draw = lambda letter, n: [f"{letter}{rng.randint(0, 4000)}" for _ in range(n)]
+    pairs = [(draw("q", 15 if k % 2 else 25), draw("r", 40 if k % 2 else 25)) for k in range(60)]
+    benchmark = spark.createDataFrame([(k, " ".join(q) + ". " + " ".join(a)) for k, (q, a) in enumerate(pairs)], "item_id long, text string")
+    filler = lambda: [f"z{rng.randint(0, 300)}" for _ in range(300)]
+    rows = [(k, " ".join([*filler(), *q, *filler(), *([] if k % 2 else a), *filler()])) for k, (q, a) in enumerate(pairs)]
+    rows += [(100 + k, " ".join([*filler(), *a, *filler()])) for k, (_, a) in enumerate(pairs)]
+    table = docs(rows)
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(table, benchmark).collect()}
+    assert got == {(k, k) for k in range(60)}
+    assert {r["doc_id"] for r in decontam.drop_leaks(table, benchmark).collect()} == set(range(100, 160))
+
+
 def test_leak_edge_rows(spark, docs, items):
     text = items[0][1]
     benchmark = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, text)], "item_id long, text string")

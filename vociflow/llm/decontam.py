@@ -24,7 +24,7 @@ from vociflow.llm.common import hold, raw_texts, slices, texts_of
 PASSAGE, STRIDE = 128, 64
 #: BM25's saturation and length weight.
 K1, B = 1.2, 0.75
-#: Share of an item's own score that a passage must reach.
+#: Share that a passage must reach of the lowest score among the forms of an item that make a leak.
 THRESHOLD = 0.6
 #: Items in a block of the postings.
 BLOCK = 4
@@ -91,6 +91,31 @@ class Index:
     question_words: list[int]
 
 
+def _lowest(ids: np.ndarray, own: np.ndarray) -> float:
+    """The lowest score of what some passage holds of these words: all of them, or STRIDE words or more."""
+    windows = range(0, max(1, len(ids) - STRIDE + 1))
+    return min(own[np.unique(ids[w : w + STRIDE], return_index=True)[1] + w].sum() for w in windows)
+
+
+def _lowest_form(ids: np.ndarray, own: np.ndarray, cut: int, question: np.ndarray, answer: np.ndarray, whole: np.ndarray) -> float:
+    """The lowest score that a form of an item gives which makes a leak (see leaks).
+
+    The item is ids with impacts own, and its question ends at cut. Forms are the whole item, its question or answer alone if
+    that is enough, and both in passages far from each other, of which the better one counts.
+    """
+    forms = [_lowest(ids, own)]
+    if cut < len(ids):
+        q, a = _lowest(ids[:cut], own[:cut]), _lowest(ids[cut:], own[cut:])
+        share = lambda *found: np.isin(whole, np.concatenate(found)).mean()
+        if cut >= QUESTION_WORDS or share(question) >= OVERLAP:
+            forms.append(q)
+        if share(answer) >= OVERLAP:
+            forms.append(a)
+        if share(question, answer) >= OVERLAP:
+            forms.append(max(q, a))
+    return min(forms)
+
+
 def build_index(items: list[tuple[int, str | None]]) -> Index:
     """Index (item_id, text) rows; items without words are left out, and equal items are separate ones."""
     split = [(i, *parts(t)) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")) if parts(t or "")[1]]
@@ -117,14 +142,14 @@ def build_index(items: list[tuple[int, str | None]]) -> Index:
     firsts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
     block_max = np.maximum.reduceat(impact, firsts) if len(firsts) else np.zeros(0)
     block_starts = np.concatenate([[0], np.cumsum(np.bincount(term_of[firsts], minlength=len(terms)))])
+    marks = [[_shingles(np.array([terms[w] for w in ws], np.int64)) for ws in (q, a, q + a if q is not a else q)] for _, q, a in split]
     threshold = np.zeros(n)
     for k, x in enumerate(ids):
         lo, hi = starts[x], starts[x + 1]
         own = np.array([impact[a + np.searchsorted(item_of[a:b], k)] for a, b in zip(lo, hi, strict=True)])
-        windows = range(0, max(1, len(x) - STRIDE + 1))  # a longer item is held by several passages, STRIDE words or more in each
-        threshold[k] = THRESHOLD * min(own[np.unique(x[w : w + STRIDE], return_index=True)[1] + w].sum() for w in windows)
+        _, q, a = split[k]
+        threshold[k] = THRESHOLD * _lowest_form(x, own, len(q) if q is not a else len(x), *[m for _, m in marks[k]])
     block_threshold = np.minimum.reduceat(threshold, np.arange(0, n, BLOCK)) if n else np.zeros(0)
-    marks = [[_shingles(np.array([terms[w] for w in ws], np.int64)) for ws in (q, a, q + a if q is not a else q)] for _, q, a in split]
     return Index(
         [i for i, _, _ in split], terms, starts, item_of, impact, block_starts, item_of[firsts] // BLOCK, block_max, threshold, block_threshold,
         [m[0] for m in marks], [m[1] for m in marks], [m[2] for m in marks], [len(q) for _, q, _ in split],
