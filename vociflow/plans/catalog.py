@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vociflow.functions import scalars, text
 from vociflow.operators import bootstrap, dedup, quality, robust, scores, sentiment, topic, views
-from vociflow.params import LATIN
+from vociflow.params import DEFAULT, LATIN
 from vociflow.plans import adapters as t
 from vociflow.sources import collection, corpus, importer, store
 
@@ -709,8 +709,9 @@ def boot_label_ci(s, d):
     return rounded(bootstrap.hashed_intervals(rows, "from_id", "id", {"positive": share("POSITIVE"), "negative": share("NEGATIVE")}, 50), 9)
 
 
-def _intervals(s, d, iterations=200, outer=30, inner=20) -> DataFrame:
-    return bootstrap.intervals(bootstrap.score_samples(t.authors(s, d), t.posts(s, d), t.comments(s, d)), iterations, outer, inner)
+def _intervals(s, d) -> DataFrame:
+    samples = bootstrap.score_samples(t.authors(s, d), t.posts(s, d), t.comments(s, d))
+    return bootstrap.intervals(samples, DEFAULT.bootstrap, DEFAULT.bootstrap_outer, DEFAULT.bootstrap_inner)
 
 
 @query()
