@@ -70,6 +70,19 @@ def test_probabilities_of_a_state_sum_to_one(docs):
         assert total == pytest.approx(1, abs=1e-6)
 
 
+def test_ngrams_count_from_two_in_any_corpus(docs, monkeypatch):
+    monkeypatch.setattr(backoff_lm, "PART_TOKENS", 20_000, raising=False)
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 300, 800))) for k in range(320)] + [(500, "rare pair here"), (501, "rare pair here"), (502, "a rare pair here")]
+    _, model = backoff_lm.learn(docs(rows[:-1]).select(F.lit(1).cast("long").alias("block"), "text", F.lit(True).alias("train")))
+    words = [r.encode() for t in rows[:-1] for r in [*t[1].split(), "\n"]]
+    counts = {w: (model.word(n), model.next_state.get(w, 0)) for w, n in zip(*np.unique(np.array(words, object), return_counts=True), strict=True)}
+    got = {r["doc_id"]: r["score"] for r in backoff_lm.score_texts(docs(rows), F.col("doc_id") == 502).collect()}
+    assert model.tokens > 250_000 and (b"rare", b"pair") in model.state
+    for i, text in [*rows[:20], *rows[-3:]]:
+        assert got[i] == pytest.approx(model.score(backoff_lm.words_of(text.encode()), counts, (model.word(0), 0)), rel=1e-9)
+
+
 def test_without_training_rows_or_any_rows(docs):
     got = backoff_lm.score_texts(docs([(1, "a b")]), F.lit(True)).collect()
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got] == [(3, 0, 0, 0.0)]

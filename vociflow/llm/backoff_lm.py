@@ -1,30 +1,30 @@
 """Language model scoring with a weighted backoff automaton (operator 5).
 
-The model is learnt from all training texts. Word counts are exact and distributed: they never meet on one machine.
-N-grams of two and three words become states and arcs of an automaton if they make up a share MIN_SHARE of all
-training tokens, so there are 1 / MIN_SHARE of them for each order at most, however large the corpus is. Where a
-state has no arc for a word, a failure arc leads to the state of the next shorter context and adds its backoff
-weight; the state without context has an arc for every word, and one for unknown words.
-
-Texts are scored in blocks of documents: a block's words meet their counts in one shuffle, then one pass from left to
-right through each text carries the state and adds up log-probabilities.
+The model is learnt from all training texts. Words, and every n-gram of two and three words that occurs MIN_COUNT times or
+more, become states and arcs of an automaton, whose table is distributed: no machine holds all of it. Where a state has no
+arc for a word, a failure arc leads to the state of the next shorter context and adds its backoff weight; the state
+without context has an arc for every word, and one for unknown words.
+
+Texts are scored in blocks of documents. A block's n-grams meet their counts over all blocks in one shuffle, and the
+contexts among them meet what their arcs add up to in a second one, so that a block is scored with the part of the
+automaton that its texts visit. N-grams are known by 64-bit hashes, in arrays dealt by hash to parts of bounded size.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from math import log10
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vociflow.llm.common import gather, raw_texts, slices, stage_table, texts_of
 
-#: Share of all training tokens from which an n-gram has a state: bounds the automaton at 1 / MIN_SHARE n-grams an order.
-MIN_SHARE = 1e-5
-#: Occurrences that an n-gram needs besides, in small corpora.
+#: Occurrences in all training texts from which an n-gram has a state, whatever the size of the corpus.
 MIN_COUNT = 2
 #: Orders of n-grams in the automaton.
 ORDER = 3
@@ -32,15 +32,15 @@ ORDER = 3
 DISCOUNT = 0.75
 #: Documents of a block, in table order.
 BLOCK_ROWS = 4096
-#: N-grams counted in one pass.
-COUNT_SLICE = 1_000_000
+#: Training tokens for each part of the table of n-grams.
+PART_TOKENS = 1_000_000
 #: The end of a text, and its start as a context; words hold no white space.
 END, START = b"\n", b"\t"
 
-#: Part of MIN_SHARE that an n-gram has within a block to be reported from it; the rest tells chance finds apart.
-LOCAL_PART = 0.75
-
-COUNTED = "block long, word binary, n long, gram boolean, excess double"
+COUNTED = "block long, word binary, n long"
+#: Arrays of n-grams by part: sums holds so many 64-bit numbers for each key.
+DEALT = "part int, block long, keys binary, sums binary"
+MERGED = "block long, keys binary, sums binary, first binary"
 
 
 class _Ids(dict):
@@ -56,94 +56,202 @@ def words_of(text: bytes | None) -> list[bytes]:
     return [*text.lower().split(), END] if text else [END]
 
 
-def _frequent_grams(ids: np.ndarray, end: int, least: float, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order from 2: the n-grams (rows of ids) that occur least times or more, and counts; none spans an end."""
-    base = int(ids.max()) + 1
-    out, code, alive = [], ids.astype(np.int64), np.bincount(ids)[ids] >= least
-    names = np.arange(base)[:, None]
-    for size in range(2, order + 1):
-        # an n-gram is as frequent as asked only if its parts are
-        places = max(0, len(ids) - size + 1)
-        first = np.flatnonzero(alive[:places] & (ids[size - 2 : size - 2 + places] != end))
-        pair = code[first] * base + ids[first + size - 1]
-        found, inverse, counts = np.unique(pair, return_inverse=True, return_counts=True)
-        good = counts >= least
-        names = np.concatenate([names[found // base], (found % base)[:, None]], axis=1)
-        out.append((names[good], counts[good]))
-        alive = np.zeros(len(ids), bool)
-        alive[first] = good[inverse]
-        code = np.zeros(len(ids), np.int64)
-        code[first] = inverse
-    return out
-
-
-def _count(share: float, order: int):
-    """Per batch and block: its words with their training counts, and n-grams that are frequent within it.
-
-    An n-gram is reported where its count is LOCAL_PART of the share of the block's tokens or more, with the excess over
-    that. One with the share of all tokens has excesses that sum to 1 - LOCAL_PART of the share of all tokens or more,
-    as it exceeds nothing in the blocks that do not report it.
-    """
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch and block: its words with their training counts."""
+    for batch in gather(slices(batches, BLOCK_ROWS), BLOCK_ROWS):
+        blocks, train = batch["block"].to_numpy(), batch["train"].to_numpy(zero_copy_only=False)
+        texts = raw_texts(batch["text"])
+        for block in np.unique(blocks):
+            own = np.flatnonzero(blocks == block)
+            names, ids, starts = _numbered([texts[k] for k in own])
+            counts = np.bincount(ids[np.repeat(train[own], np.diff([*starts, len(ids)]))], minlength=len(names))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(block)] * (len(names) - 1), pa.int64()), pa.array(names[1:], pa.binary()), pa.array(counts[1:], pa.int64())], ["block", "word", "n"]
+            )
+
+
+def _numbered(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words (START is 0), the numbers of all texts' words after a START each, and where the texts begin."""
+    number = _Ids({START: 0, END: 1})
+    ids, starts, at = [], [], 0
+    for text in texts:
+        words = words_of(text)
+        ids.append(np.fromiter(map(number.__getitem__, (START, *words)), np.int64, len(words) + 1))
+        starts.append(at)
+        at += len(words) + 1
+    return list(number), np.concatenate(ids), np.array(starts)
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a ^ (a >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    x = ((x ^ (x >> np.uint64(29))) + b) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(31))
+
+
+def _hashes(names: list[bytes]) -> np.ndarray:
+    return pd.util.hash_array(np.array(names, object), categorize=False)
+
+
+def _places(ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the two and of the three words that end at each place, and whether there are such; none spans an end."""
+    own = hashes[ids]
+    two, three = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
+    two[1:] = _mix(own[:-1], own[1:])
+    three[1:] = _mix(two[:-1], own[1:])
+    is_two = ids != 0
+    is_three = is_two.copy()
+    is_three[1:] &= is_two[:-1]
+    return two, three, is_two, is_three
+
+
+def _deal(block: int, parts: int, keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    """A row for each part, with its keys and their rows of sums."""
+    part = (keys % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part, keys, sums = part[order], keys[order], sums[order]
+    cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
+    spans = [(x, y) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if y > x]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([part[x] for x, _ in spans], pa.int32()), pa.array([int(block)] * len(spans), pa.int64()),
+            pa.array([keys[x:y].tobytes() for x, y in spans], pa.binary()), pa.array([sums[x:y].astype(np.int64).tobytes() for x, y in spans], pa.binary()),
+        ],
+        ["part", "block", "keys", "sums"],
+    )
+
+
+def _grams(parts: int):
+    """Per batch and block: all its n-grams with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gather(slices(batches, BLOCK_ROWS), BLOCK_ROWS):
             blocks, train = batch["block"].to_numpy(), batch["train"].to_numpy(zero_copy_only=False)
             texts = raw_texts(batch["text"])
             for block in np.unique(blocks):
-                number = _Ids({START: 0, END: 1})
-                known, seen = [], []
-                for k in np.flatnonzero(blocks == block):
-                    words = words_of(texts[k])
-                    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-                    (known if train[k] else seen).append(ids)
-                names = list(number)
-                counts = np.bincount(np.concatenate(known), minlength=len(names)) if known else np.zeros(len(names), np.int64)
-                rows = [(w, int(c), False, None) for w, c in zip(names[1:], counts[1:], strict=True)]
-                if known:
-                    spaced = np.concatenate([x for ids in known for x in ([0], ids)])
-                    least = LOCAL_PART * share * counts.sum()
-                    for grams, n in _frequent_grams(spaced, 1, max(1, least), order):
-                        rows += [(b" ".join(names[i] for i in gram), c, True, c - least) for gram, c in zip(grams.tolist(), n.tolist(), strict=True)]
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(block)] * len(rows), pa.int64()), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3], pa.float64())],
-                    ["block", "word", "n", "gram", "excess"],
-                )
+                own = np.flatnonzero(blocks == block)
+                names, ids, starts = _numbered([texts[k] for k in own])
+                known = np.repeat(train[own], np.diff([*starts, len(ids)]))
+                two, three, is_two, is_three = _places(ids, _hashes(names))
+                keys, inverse = np.unique(np.concatenate([two[is_two], three[is_three]]), return_inverse=True)
+                counts = np.bincount(inverse, np.concatenate([known[is_two], known[is_three]]), len(keys))
+                yield _deal(block, parts, keys, counts[:, None])
 
     return run
 
 
-def _count_grams(shared):
-    """Exact counts of given n-grams over a task's training texts."""
+def _merge(width: int, least: int):
+    """Rows sorted by part: sums over all blocks, of keys whose first sum is least or more, back to each row's block.
+
+    first marks one of a key's rows.
+    """
+
+    def merged(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        sizes = [len(k) // 8 for _, k, _ in rows]
+        keys = np.concatenate([np.frombuffer(k, np.uint64) for _, k, _ in rows])
+        sums = np.concatenate([np.frombuffer(v, np.int64) for _, _, v in rows]).reshape(-1, width)
+        found, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        totals = np.stack([np.bincount(inverse, sums[:, j], len(found)) for j in range(width)], 1).astype(np.int64)
+        good = (totals[:, 0] >= least)[inverse]
+        first = np.zeros(len(keys), bool)
+        first[index] = True
+        out, at = [], 0
+        for (block, _, _), size in zip(rows, sizes, strict=True):
+            own = np.flatnonzero(good[at : at + size]) + at
+            if len(own):
+                out.append((block, keys[own].tobytes(), totals[inverse[own]].tobytes(), first[own].tobytes()))
+            at += size
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["block", "keys", "sums", "first"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = shared.value
-        number = {START: 0, END: 1}
-        for gram in grams:
-            for word in gram:
-                number.setdefault(word, len(number))
-        base, size = len(number) + 1, len(number)
-        wanted = {}
-        for order in {len(g) for g in grams}:
-            own = [(sum(number[w] * base**p for p, w in enumerate(reversed(g))), k) for k, g in enumerate(grams) if len(g) == order]
-            codes, places = (np.array(x, np.int64) for x in zip(*sorted(own), strict=True))
-            wanted[order] = (codes, places)
-        total = np.zeros(len(grams), np.int64)
-        get = number.get
-        for batch in slices(batches, 2000):
-            ids = [0]
-            for text in raw_texts(batch["text"]):
-                ids += [get(w, size) for w in words_of(text)]
-                ids.append(0)
-            ids = np.array(ids, np.int64)
-            for order, (codes, places) in wanted.items():
-                code = np.zeros(len(ids) - order + 1, np.int64)
-                for j in range(order):
-                    code = code * base + ids[j : len(ids) - order + 1 + j]
-                at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                total[places] += np.bincount(at[codes[at] == code], minlength=len(codes))
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["gram", "n"])
+        part, held = None, []
+        for batch in batches:
+            for p, *row in zip(*[batch[c].to_pylist() for c in ("part", "block", "keys", "sums")], strict=True):
+                if p != part and held:
+                    yield merged(held)
+                    held = []
+                part = p
+                held.append(row)
+        if held:
+            yield merged(held)
+
+    return run
+
+
+def _merged(dealt: DataFrame, parts: int, width: int, least: int, tag: str) -> DataFrame:
+    rows = dealt.repartition(parts, "part").sortWithinPartitions("part")
+    return stage_table(rows.mapInArrow(_merge(width, least), MERGED), tag)
+
+
+class _Table:
+    """Keys with rows of numbers."""
+
+    def __init__(self, rows: list[tuple[bytes, bytes, bytes]], width: int):
+        keys = np.concatenate([np.frombuffer(k, np.uint64) for k, _, _ in rows] or [np.zeros(0, np.uint64)])
+        sums = np.concatenate([np.frombuffer(v, np.int64) for _, v, _ in rows] or [np.zeros(0, np.int64)]).reshape(-1, width)
+        first = np.concatenate([np.frombuffer(f, bool) for _, _, f in rows] or [np.zeros(0, bool)])
+        self.first = np.unique(keys[first])
+        self.keys, index = np.unique(keys, return_index=True)
+        self.sums = np.concatenate([sums[index], np.zeros((1, width), np.int64)])
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The rows of keys; zeros for unknown ones."""
+        if not len(self.keys):
+            return self.sums[np.zeros(len(wanted), np.int64)]
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return self.sums[np.where(self.keys[at] == wanted, at, len(self.keys))]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]):
+    """(block, word counts, n-grams, contexts, batches of texts) from rows sorted by block and kind."""
+    block, words, arrays, texts = None, {}, {1: [], 2: []}, []
+    for batch in batches:
+        blocks, kinds = batch["block"].to_numpy(), batch["kind"].to_numpy()
+        cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(blocks)], strict=True):
+            if a == b:
+                continue
+            if blocks[a] != block:
+                if block is not None:
+                    yield block, words, _Table(arrays[1], 1), _Table(arrays[2], 3), texts
+                block, words, arrays, texts = blocks[a], {}, {1: [], 2: []}, []
+            part = batch.slice(a, b - a)
+            if kinds[a] == 0:
+                words.update(zip(part["word"].to_pylist(), part["n"].to_pylist(), strict=True))
+            elif kinds[a] == 3:
+                texts.append(part.select(["doc_id", "held_out", "text"]))
+            else:
+                arrays[int(kinds[a])] += zip(*[part[c].to_pylist() for c in ("keys", "sums", "first")], strict=True)
+    if block is not None:
+        yield block, words, _Table(arrays[1], 1), _Table(arrays[2], 3), texts
+
+
+def _contexts(parts: int, texts_in_training: int):
+    """Per block: its contexts, with the number of arcs, and the sums of the counts of their n-grams and of those without the first word.
+
+    Each n-gram is added by the block that has it first; the other contexts of a block are there to be answered.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, words, grams, _, texts in _blocks(batches):
+            if not texts:
+                continue
+            names, ids, _ = _numbered([x for part in texts for x in raw_texts(part["text"])])
+            counts = np.array([texts_in_training, *[words.get(w, 0) for w in names[1:]]], np.int64)
+            hashes = _hashes(names)
+            two, three, is_two, is_three = _places(ids, hashes)
+            keys, sums = [hashes[counts >= MIN_COUNT], grams.keys], []
+            sums = [np.zeros((len(k), 3), np.int64) for k in keys]
+            for key, there, order in ((two, is_two, 2), (three, is_three, 3)):
+                at = np.flatnonzero(there)
+                at = at[np.unique(key[at], return_index=True)[1]]
+                at = at[np.isin(key[at], grams.first)]
+                keys.append(hashes[ids[at - 1]] if order == 2 else two[at - 1])
+                lower = counts[ids[at]] if order == 2 else grams.find(two[at])[:, 0]
+                sums.append(np.stack([np.ones(len(at), np.int64), grams.find(key[at])[:, 0], lower], 1))
+            found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            sums = np.concatenate(sums)
+            yield _deal(block, parts, found, np.stack([np.bincount(inverse, sums[:, j], len(found)) for j in range(3)], 1))
 
     return run
 
@@ -215,46 +323,46 @@ class Automaton:
         return total
 
 
-def _score(shared):
-    """Rows sorted by block: first its words with their counts, then its texts."""
+def _backoff(sums: np.ndarray, total: np.ndarray, lower_total: np.ndarray) -> np.ndarray:
+    """log10 backoff weights of contexts that occur total times, and without their first word lower_total times; 0 without arcs."""
+    arcs, own, lower = sums.T
+    has = arcs > 0
+    rest = 1 - (own - arcs * DISCOUNT) / np.where(has, total, 1)
+    unseen = 1 - (lower - arcs * DISCOUNT) / np.where(has, lower_total, 1)
+    return np.where(has, np.log10(np.maximum(np.where(has, rest, 1), 1e-12) / np.maximum(np.where(has, unseen, 1), 1e-12)), 0.0)
+
+
+def _score(tokens: int, distinct: int, texts_in_training: int):
+    """Rows sorted by block: its words, n-grams and contexts with their counts, then its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Automaton = shared.value
-        floor = log10(1 / (model.tokens + model.distinct + 1))
-        unknown = (model.word(0), 0, 0.0)
-        block, vocabulary, by_count = None, {}, {}
-        for batch in batches:
-            blocks, kinds = batch["block"].to_numpy(), batch["is_text"].to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(blocks)], strict=True):
-                if a == b:
-                    continue
-                if blocks[a] != block:
-                    block, vocabulary, by_count = blocks[a], {}, {}
-                part = batch.slice(a, b - a)
-                if not kinds[a]:
-                    state = model.next_state.get
-                    for word, count in zip(part["word"].to_pylist(), part["n"].to_pylist(), strict=True):
-                        if count:
-                            key = (count, state(word, 0))
-                            entry = by_count.get(key)
-                            if entry is None:
-                                entry = by_count[key] = (model.word(count), key[1], log10(count + 1))
-                            vocabulary[word] = entry
-                    continue
-                tokens, known, base, score = [], [], [], []
-                get = vocabulary.get
-                for text in raw_texts(part["text"]):
-                    words = words_of(text)
-                    gains = [x[2] for x in map(get, words) if x is not None]
-                    tokens.append(len(words))
-                    known.append(len(gains))
-                    base.append(sum(gains) + len(words) * floor)
-                    score.append(model.score(words, vocabulary, unknown))
+        floor = log10(1 / (tokens + distinct + 1))
+        unknown = log10(DISCOUNT * distinct / tokens) if tokens else 0.0
+        log = lambda x, good: np.log10(np.where(good, x, 1.0))
+        for _, words, grams, contexts, texts in _blocks(batches):
+            for part in texts:
+                names, ids, starts = _numbered(raw_texts(part["text"]))
+                counts = np.array([0, *[words.get(w, 0) for w in names[1:]]], np.int64)
+                totals = np.array([texts_in_training, *counts[1:]], np.int64)
+                hashes = _hashes(names)
+                two, three, is_two, is_three = _places(ids, hashes)
+                by_word = np.where(counts > 0, log((counts - DISCOUNT) / max(tokens, 1), counts > 0), unknown)
+                from_word = _backoff(contexts.find(hashes), totals, np.full(len(names), max(tokens, 1)))
+                before = np.concatenate([[0], ids[:-1]])
+                n2 = np.where(is_two, grams.find(two)[:, 0], 0)
+                n3 = np.where(is_three, grams.find(three)[:, 0], 0)
+                p = np.where(n2 > 0, log((n2 - DISCOUNT) / np.maximum(totals[before], 1), n2 > 0), from_word[before] + by_word[ids])
+                n2_before, pairs = np.concatenate([[0], n2[:-1]]), np.concatenate([[np.uint64(0)], two[:-1]])
+                sums = np.where((is_three & (n2_before > 0))[:, None], contexts.find(pairs), 0)
+                p = np.where(n3 > 0, log((n3 - DISCOUNT) / np.maximum(n2_before, 1), n3 > 0), _backoff(sums, n2_before, totals[before]) + p)
+                score = np.add.reduceat(np.where(is_two, p, 0.0), starts)
+                lengths = np.diff([*starts, len(ids)]) - 1
+                known = np.add.reduceat((counts > 0)[ids].astype(np.int64), starts)
+                base = np.add.reduceat(np.log10(counts + 1.0)[ids], starts) + lengths * floor
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part["doc_id"], part["held_out"], pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
-                        pa.array([model.tokens] * len(tokens), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()),
+                        part["doc_id"], part["held_out"], pa.array(lengths, pa.int64()), pa.array(known, pa.int64()),
+                        pa.array([tokens] * len(starts), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()),
                     ],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
@@ -262,37 +370,29 @@ def _score(shared):
     return run
 
 
-def learn(rows: DataFrame, share: float = MIN_SHARE, order: int = ORDER) -> tuple[DataFrame, Automaton]:
-    """Counts of each block's words, and the automaton, from rows (block, text, train)."""
-    spark = rows.sparkSession
-    counted = stage_table(rows.select("block", "text", "train").mapInArrow(_count(share, order), COUNTED), "counts")
+def _count_words(rows: DataFrame) -> DataFrame:
+    """Each block's words with their counts over all blocks, and whether a row is the word's first."""
+    counted = stage_table(rows.select("block", "text", "train").mapInArrow(_count, COUNTED), "counts")
     everywhere = Window.partitionBy("word").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = F.row_number().over(Window.partitionBy("word").orderBy("block")) == 1
-    words = counted.where("not gram").select("block", "word", F.sum("n").over(everywhere).alias("n"), first.alias("first"))
-    words = stage_table(words, "words")
-    tokens, distinct = words.where("first and n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(MIN_COUNT, share * tokens)
-    candidates = counted.where("gram").groupBy("word").agg(F.sum("excess").alias("excess"))
-    candidates = stage_table(candidates.where(F.col("excess") >= (1 - LOCAL_PART) * share * tokens - 1e-6).select("word"), "grams")
-    slices_of = -(-candidates.count() // COUNT_SLICE)
-    grams: dict[tuple[bytes, ...], int] = {}
-    for k in range(slices_of):
-        some = candidates.where(F.pmod(F.xxhash64("word"), F.lit(slices_of)) == k).toArrow()["word"].to_pylist()
-        named = sorted(tuple(g.split(b" ")) for g in map(bytes, some))
-        shared = spark.sparkContext.broadcast(named)
-        counts = rows.where("train").select("text").mapInArrow(_count_grams(shared), "gram long, n long")
-        for gram, n in counts.groupBy("gram").agg(F.sum("n")).where(F.col("sum(n)") >= least).collect():
-            grams[named[gram]] = n
-    own = sorted({w for g in grams for w in g} - {START})
-    found: dict[bytes, int] = {}
-    if own:
-        wanted = F.broadcast(spark.createDataFrame([(bytearray(w),) for w in own], "word binary"))
-        found = {bytes(w): n for w, n in words.where("first").join(wanted, "word").select("word", "n").collect()}
-    starts = rows.where("train").count() if grams else 0
-    return words, Automaton(grams, found, tokens, distinct, starts)
-
-
-def score_texts(docs: DataFrame, held_out: Column, block: Column | None = None, share: float = MIN_SHARE, order: int = ORDER) -> DataFrame:
+    return stage_table(counted.select("block", "word", F.sum("n").over(everywhere).alias("n"), first.alias("first")), "words")
+
+
+def _totals(words: DataFrame) -> tuple[int, int]:
+    """Training tokens and distinct words."""
+    return tuple(words.where("first and n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
+
+
+def learn(rows: DataFrame, order: int = ORDER) -> tuple[DataFrame, Automaton]:
+    """Counts of each block's words, and the whole automaton on the driver, from few rows (block, text, train): a plain form to compare with."""
+    words = _count_words(rows)
+    texts = [[START, *words_of(bytes(t.encode()) if t else None)] for (t,) in rows.where("train").select("text").collect()]
+    counts = Counter(tuple(t[i : i + k]) for t in texts for k in range(2, order + 1) for i in range(len(t) - k + 1))
+    found = Counter(w for t in texts for w in t[1:])
+    return words, Automaton({g: n for g, n in counts.items() if n >= MIN_COUNT}, found, *_totals(words), len(texts))
+
+
+def score_texts(docs: DataFrame, held_out: Column, block: Column | None = None) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     held_out is a boolean column; the model learns from the other rows. block numbers groups of a few thousand
@@ -300,17 +400,29 @@ def score_texts(docs: DataFrame, held_out: Column, block: Column | None = None,
     automaton. Null and empty texts are their end alone; repeated rows count as often as they occur; with no training
     rows all words are unknown; empty tables give no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
     number = block if block is not None else F.pmod(F.xxhash64("doc_id"), F.lit(64))
     rows = texts_of(docs).select(number.cast("long").alias("block"), "doc_id", "text", held_out.alias("held_out"))
-    words, model = learn(rows.withColumn("train", ~F.col("held_out")), share, order)
+    learnt = rows.select("block", "text", (~F.col("held_out")).alias("train"))
+    words = _count_words(learnt)
+    tokens, distinct = _totals(words)
+    texts = learnt.where("train").count()
+    parts = max(1, -(-tokens // PART_TOKENS))
+    grams = _merged(learnt.mapInArrow(_grams(parts), DEALT), parts, 1, MIN_COUNT, "grams")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    both = words.select(
-        "block", F.lit(False).alias("is_text"), "word", "n", F.lit(None).cast(id_type).alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("held_out")
-    ).unionAll(rows.select("block", F.lit(True), F.lit(None).cast("binary"), F.lit(None).cast("long"), "doc_id", "text", "held_out"))
-    both = both.repartition("block").sortWithinPartitions("block", "is_text")
+    columns = f"block long, kind int, word binary, n long, keys binary, sums binary, first binary, doc_id {id_type}, text string, held_out boolean"
+
+    def joined(*tables: tuple[int, DataFrame]) -> DataFrame:
+        out = None
+        for kind, df in tables:
+            own = {"kind": F.lit(kind)} | {c: F.col(c) for c in df.columns if c != "first" or kind}
+            some = df.select(*[own.get(n, F.lit(None)).cast(k).alias(n) for n, k in (c.split(" ") for c in columns.split(", "))])
+            out = some if out is None else out.unionAll(some)
+        return out.repartition("block").sortWithinPartitions("block", "kind")
+
+    sums = joined((0, words), (1, grams), (3, rows)).mapInArrow(_contexts(parts, texts), DEALT)
+    contexts = _merged(sums, parts, 3, 1, "contexts")
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return both.mapInArrow(_score(spark.sparkContext.broadcast(model)), schema)
+    return joined((0, words), (1, grams), (2, contexts), (3, rows)).mapInArrow(_score(tokens, distinct, texts), schema)
 
 
 def table_blocks(rows: int = BLOCK_ROWS) -> Column:
