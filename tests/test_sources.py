@@ -126,3 +126,11 @@ def test_raw_export_needs_confirmation(spark, tmp_path):
     raw = spark.read.option("header", True).option("escape", "\\").csv(str(tmp_path / "raw")).first()
     assert raw["vk_id"] == "7" and raw["aud"] == "1.0000" and raw["top_vol"] == "2"
     assert json.loads(store.json_document(rows, 4, "secret", b"s").first()["document"])["sessionName"] == "Session #4"
+
+
+def test_import_query_keeps_one_comment_of_each_repeated_id(spark, duck, sf_dir):
+    from vociflow.plans import catalog
+
+    found = [r["vk_id"] for r in catalog.composite_key_import_first(spark, sf_dir).select("vk_id").collect()]
+    wanted = duck.execute("SELECT DISTINCT l_orderkey * 10 + l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 3 = 1").fetchall()
+    assert sorted(found) == sorted(x for (x,) in wanted)

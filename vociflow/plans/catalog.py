@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vociflow.functions import scalars, text
@@ -214,6 +214,15 @@ def composite_key_import_join(s, d):
     return importer.import_comments(comments.join(once, "vkId"), importer.import_posts(posts, 1), 1).select("vk_id", "post_window", "text")
 
 
+@query("""SELECT (l_orderkey * 10 + l_linenumber)::INTEGER AS vk_id, CASE WHEN o_orderkey % 2 = 0 THEN 'BASELINE' ELSE 'CURRENT' END AS post_window, CASE WHEN l_linestatus <> 'F' THEN 'x' END AS text
+  FROM (FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_suppkey, l_linestatus) = 1) JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 3 = 1""")
+def composite_key_import_first(s, d):
+    """The same over all comments: of those with one id the first stays, by date, author and text."""
+    posts, comments = _records(s, d)
+    place = F.row_number().over(Window.partitionBy("vkId").orderBy("date", "fromId", "text"))
+    return importer.import_comments(comments.withColumn("position", place), importer.import_posts(posts, 1), 1).select("vk_id", "post_window", "text")
+
+
 @query("SELECT DISTINCT l_orderkey AS post_id FROM lineitem WHERE l_orderkey NOT IN (SELECT event_id FROM events)")
 def orphan_comments_anti(s, d):
     """Posts that comments name but that are unknown."""
