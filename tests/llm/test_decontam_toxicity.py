@@ -53,6 +53,14 @@ def test_search_finds_all_items_above_their_threshold(items):
         assert score == pytest.approx(exact[found])
 
 
+def test_thresholds_do_not_depend_on_the_number_of_indexes(spark, items):
+    benchmark = spark.createDataFrame([*items, (10_000, None), (10_001, "")], "item_id long, text string")
+    whole, shards = decontam.indexes(benchmark), decontam.indexes(benchmark, max_items=len(items) // 4)
+    assert len(whole) == 1 and len(shards) > 3
+    of = lambda found: {i: t for index in found for i, t in zip(index.item_ids, index.threshold.tolist(), strict=True)}
+    assert of(shards) == pytest.approx(of(whole))
+
+
 def test_questions_alone_and_split_items_are_found(spark, docs):
     rng = random.Random(5)
     draw = lambda letter, n: [f"{letter}{rng.randint(0, 4000)}" for _ in range(n)]

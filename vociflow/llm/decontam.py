@@ -10,6 +10,7 @@ the document holds.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -116,15 +117,39 @@ def _lowest_form(ids: np.ndarray, own: np.ndarray, cut: int, question: np.ndarra
     return min(forms)
 
 
-def build_index(items: list[tuple[int, str | None]]) -> Index:
-    """Index (item_id, text) rows; items without words are left out, and equal items are separate ones."""
+def _words(text: str | None) -> list[str]:
+    """The words of an item, empty for one without any."""
+    question, answer = parts(text or "")
+    return question + answer if question is not answer else question
+
+
+@dataclass
+class Statistics:
+    """What BM25 needs to know of a whole benchmark: items with words, their words, and the items that hold each word."""
+
+    items: int
+    words: int
+    holding: Counter
+
+    def add(self, texts: list[str | None]) -> None:
+        for words in filter(None, map(_words, texts)):
+            self.items += 1
+            self.words += len(words)
+            self.holding.update(set(words))
+
+
+def build_index(items: list[tuple[int, str | None]], statistics: Statistics | None = None) -> Index:
+    """Index (item_id, text) rows; items without words are left out, and equal items are separate ones.
+
+    statistics are those of the whole benchmark, if items are a part of it.
+    """
     split = [(i, *parts(t)) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")) if parts(t or "")[1]]
     words = [q + a if q is not a else q for _, q, a in split]
     terms: dict[str, int] = {}
     ids = [np.array([terms.setdefault(w, len(terms)) for w in ws], np.int64) for ws in words]
     n = len(ids)
     lengths = np.array([len(x) for x in ids], float)
-    mean = lengths.mean() if n else 1.0
+    mean = (statistics.words / statistics.items if statistics else lengths.mean()) if n else 1.0
     term_of, item_of, tf = [], [], []
     for k, x in enumerate(ids):
         found, counts = np.unique(x, return_counts=True)
@@ -133,7 +158,8 @@ def build_index(items: list[tuple[int, str | None]]) -> Index:
         tf.append(counts)
     term_of, item_of, tf = (np.concatenate(x) if n else np.zeros(0, np.int64) for x in (term_of, item_of, tf))
     df = np.bincount(term_of, minlength=len(terms))
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    held, total = (np.array([statistics.holding[w] for w in terms], float), statistics.items) if statistics else (df, n)
+    idf = np.log1p((total - held + 0.5) / (held + 0.5))
     impact = idf[term_of] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item_of] / mean)) if n else np.zeros(0)
     order = np.lexsort((item_of, term_of))
     term_of, item_of, impact = term_of[order], item_of[order], impact[order]
@@ -255,14 +281,19 @@ def leaks(index: Index, texts: list[bytes | None], known: _Terms) -> list[tuple[
 
 
 def indexes(benchmark: DataFrame, max_items: int = MAX_ITEMS) -> list[Index]:
-    """Indexes over all test items (item_id, text), of at most max_items each: the driver reads one slice at a time."""
+    """Indexes over all test items (item_id, text), of about max_items each: the driver reads one slice at a time.
+
+    Scores and thresholds are those of one index over all items.
+    """
     shards = -(-benchmark.count() // max_items)
     slice_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, shards)))
-    out = []
-    for k in range(shards):
-        rows = benchmark.select("item_id", "text").where(slice_of == k).collect()
-        out.append(build_index([(r["item_id"], r["text"]) for r in rows]))
-    return out
+    read = lambda k: [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").where(slice_of == k).collect()]
+    statistics = None
+    if shards > 1:
+        statistics = Statistics(0, 0, Counter())
+        for k in range(shards):
+            statistics.add([text for _, text in read(k)])
+    return [build_index(read(k), statistics) for k in range(shards)]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
