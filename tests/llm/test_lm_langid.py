@@ -10,28 +10,25 @@ from pyspark.sql import functions as F
 from vociflow.llm import backoff_lm, langid
 
 ROWS = [
-    (0, "the cat sat on the mat"), (1, "The cat sat on the hat"), (2, "a dog sat on the mat the cat sat"), (3, None), (4, ""), (5, "zebra the cat sat on"), (6, "unknown words only here"),
+    (0, "the cat sat on the mat"), (1, "The cat sat on the hat"), (2, "a dog sat on the mat the cat sat"), (3, None), (4, ""), (5, "zebra the cat sat on"), (6, "unknown words only here and once"), (9, "twice here or there twice"),
     (7, "the cat sat on the mat"), (7, "the cat sat on the mat"), (8, " ".join(["the cat"] * 4000)),
 ]
 HELD = {5, 6}
 
 
-def plain_model(order=3, share=1e-5):
+def plain_model(order=3):
     train = [["\t", *(t or "").lower().split(), "\n"] for i, t in ROWS if i not in HELD]
     counts = Counter(w for t in train for w in t[1:])
     n, v = sum(counts.values()), len(counts)
-    grams = {k: Counter(tuple(t[i : i + k]) for t in train for i in range(len(t) - k + 1)) for k in range(1, order + 1)}
-    kept = {g: c for k in range(2, order + 1) for g, c in grams[k].items() if c >= max(2, share * n)}
+    grams = Counter(tuple(t[i : i + k]) for t in train for k in range(1, order + 1) for i in range(len(t) - k + 1))
+    of = Counter(counts.values())
+    unseen = max(1, of[1] ** 2 / (2 * of[2]))
 
     def p(word, context):
         if not context:
-            return (counts[word] - 0.75) / n if counts[word] else 0.75 * v / n
-        arcs = {g[-1]: (c - 0.75) / grams[len(context)][context] for g, c in kept.items() if g[:-1] == context}
-        if word in arcs:
-            return arcs[word]
-        if not arcs:
-            return p(word, context[1:])
-        return p(word, context[1:]) * max(1 - sum(arcs.values()), 1e-12) / max(1 - sum(p(w, context[1:]) for w in arcs), 1e-12)
+            return (counts[word] - 0.75) / n if counts[word] else 0.75 * v / n / unseen
+        prior = {1: 1000, 2: 4}[len(context)]
+        return (grams[*context, word] + prior * p(word, context[1:])) / (grams[context] + prior)
 
     def score(text):
         words = ["\t", *(text or "").lower().split(), "\n"]
@@ -40,47 +37,46 @@ def plain_model(order=3, share=1e-5):
     return counts, n, v, score
 
 
-def test_scores_equal_a_plain_model(docs):
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK_BYTES": 30, "PART_TOKENS": 500}, {"BLOCK_ROWS": 1, "PART_TOKENS": 40, "PARTS_A_TASK": 1}])
+def test_scores_equal_a_plain_model(docs, monkeypatch, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(backoff_lm, name, value)
     counts, n, v, score = plain_model()
-    table = docs(ROWS)
-    got = backoff_lm.score_texts(table, F.col("doc_id").isin(*HELD)).collect()
+    got = backoff_lm.score_texts(docs(ROWS), F.col("doc_id").isin(*HELD)).collect()
     assert len(got) == len(ROWS)
     texts = dict(ROWS)
     for r in got:
         words = [*(texts[r["doc_id"]] or "").lower().split(), "\n"]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(w in counts for w in words), n)
         assert r["base_score"] == pytest.approx(sum(log10((counts[w] + 1) / (n + v + 1)) for w in words))
-        if r["doc_id"] != 8:
-            assert r["score"] == pytest.approx(score(texts[r["doc_id"]]))
+        assert r["score"] == pytest.approx(score(texts[r["doc_id"]]))
         assert r["held_out"] == (r["doc_id"] in HELD)
 
 
-def test_probabilities_of_a_state_sum_to_one(docs):
-    rows = docs(ROWS).select(F.lit(1).cast("long").alias("block"), "text", F.lit(True).alias("train"))
-    words, model = backoff_lm.learn(rows)
-    counts = {bytes(r["word"]): r["n"] for r in words.where("first and n > 0").collect()}
-    vocabulary = {w: (model.word(c), 0) for w, c in counts.items()}
-    for s in range(1, len(model.arcs)):
-        total = 0.0
-        for w in [*counts, b"?"]:
-            at, weight = s, 0.0
-            while at and w not in model.arcs[at]:
-                weight, at = weight + model.backoff[at], model.fail[at]
-            total += 10 ** (weight + (model.arcs[at][w][0] if at else vocabulary.get(w, (model.word(0), 0))[0]))
-        assert total == pytest.approx(1, abs=1e-6)
+def test_probabilities_of_a_state_sum_to_one():
+    model = backoff_lm.Automaton([backoff_lm.words_of(t.encode())[:-1] if t else [] for _, t in ROWS])
+    words, unseen = list(model.arcs[0]), model.vocabulary.unseen
+    for s in range(len(model.arcs)):
+        assert sum(10 ** model.step(s, w) for w in words) + unseen * 10 ** model.step(s, b"?") == pytest.approx(1, abs=1e-9)
 
 
-def test_ngrams_count_from_two_in_any_corpus(docs, monkeypatch):
-    monkeypatch.setattr(backoff_lm, "PART_TOKENS", 20_000, raising=False)
+def test_the_traversal_gives_the_scores_of_a_larger_corpus(docs, monkeypatch):
+    monkeypatch.setattr(backoff_lm, "PART_TOKENS", 20_000)
+    monkeypatch.setattr(backoff_lm, "BLOCK_BYTES", 100_000)
     rng = np.random.default_rng(4)
     rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 300, 800))) for k in range(320)] + [(500, "rare pair here"), (501, "rare pair here"), (502, "a rare pair here")]
-    _, model = backoff_lm.learn(docs(rows[:-1]).select(F.lit(1).cast("long").alias("block"), "text", F.lit(True).alias("train")))
-    words = [r.encode() for t in rows[:-1] for r in [*t[1].split(), "\n"]]
-    counts = {w: (model.word(n), model.next_state.get(w, 0)) for w, n in zip(*np.unique(np.array(words, object), return_counts=True), strict=True)}
+    model = backoff_lm.Automaton([backoff_lm.words_of(t.encode())[:-1] for _, t in rows[:-1]])
     got = {r["doc_id"]: r["score"] for r in backoff_lm.score_texts(docs(rows), F.col("doc_id") == 502).collect()}
-    assert model.tokens > 250_000 and (b"rare", b"pair") in model.state
-    for i, text in [*rows[:20], *rows[-3:]]:
-        assert got[i] == pytest.approx(model.score(backoff_lm.words_of(text.encode()), counts, (model.word(0), 0)), rel=1e-9)
+    assert model.vocabulary.tokens > 250_000 and (b"rare", b"pair") in model.state
+    for i, text in rows:
+        assert got[i] == pytest.approx(model.score(backoff_lm.words_of(text.encode())[:-1]), rel=1e-9)
+
+
+def test_a_text_longer_than_a_block(docs, monkeypatch):
+    monkeypatch.setattr(backoff_lm, "BLOCK_BYTES", 1000)
+    rows = [(1, "a b c"), (2, " ".join(f"w{k}" for k in range(50_000))), (3, None), (4, "w1 w2 w3")]
+    got = {r["doc_id"]: r for r in backoff_lm.score_texts(docs(rows), F.col("doc_id") == 4).collect()}
+    assert got[2]["n_tokens"] == 50_001 and got[4]["n_known"] == 4 and got[3]["n_tokens"] == 1
 
 
 def test_without_training_rows_or_any_rows(docs):

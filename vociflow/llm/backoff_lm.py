@@ -1,13 +1,18 @@
 """Language model scoring with a weighted backoff automaton (operator 5).
 
-The model is learnt from all training texts. Words, and every n-gram of two and three words that occurs MIN_COUNT times or
-more, become states and arcs of an automaton, whose table is distributed: no machine holds all of it. Where a state has no
-arc for a word, a failure arc leads to the state of the next shorter context and adds its backoff weight; the state
-without context has an arc for every word, and one for unknown words.
-
-Texts are scored in blocks of documents. A block's n-grams meet their counts over all blocks in one shuffle, and the
-contexts among them meet what their arcs add up to in a second one, so that a block is scored with the part of the
-automaton that its texts visit. N-grams are known by 64-bit hashes, in arrays dealt by hash to parts of bounded size.
+The model is learnt from all training texts. Every word and every n-gram of two and three words, whatever its count, is a
+state or an arc of an automaton whose table is distributed: no machine holds all of it. An n-gram's probability is its
+count smoothed by the probability that the shorter context gives the word, as a Dirichlet prior of fixed weight:
+
+    p(w | h) = (count(h w) + prior * p(w | shorter h)) / (count(h) + prior)
+
+Where a state h has no arc for a word, its failure arc leads to the state of the shorter context and weighs
+prior / (count(h) + prior), so that the probabilities of each state sum to 1. Without context a word has its discounted
+share of all tokens, and the discounts are shared by the unseen words, whose number is estimated (Chao's estimator).
+
+Texts travel in compressed blocks of bounded size. A block sends its n-grams with their training counts to parts by hash,
+as differences of sorted keys, and gets the counts over all blocks back in the same order, without keys; then it is scored
+with the part of the automaton that its texts visit, by one traversal of all its places.
 """
 
 from __future__ import annotations
@@ -19,28 +24,32 @@ from math import log10
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vociflow.llm.common import gather, raw_texts, slices, stage_table, texts_of
+from vociflow.llm.common import raw_texts, stage_table, texts_of
 
-#: Occurrences in all training texts from which an n-gram has a state, whatever the size of the corpus.
-MIN_COUNT = 2
 #: Orders of n-grams in the automaton.
 ORDER = 3
-#: Subtracted from each count and given to what a context has not seen.
+#: Weight of the shorter context's probability, by the length of the context.
+PRIOR = {1: 1000.0, 2: 4.0}
+#: Subtracted from each word's count and given to unseen words.
 DISCOUNT = 0.75
-#: Documents of a block, in table order.
-BLOCK_ROWS = 4096
+#: Bytes of text in a block, but for a longer text, which is a block of its own; and rows at most.
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 1 << 16
 #: Training tokens for each part of the table of n-grams.
-PART_TOKENS = 1_000_000
+PART_TOKENS = 2_000_000
+#: Parts that one task merges, one after the other.
+PARTS_A_TASK = 4
+#: Bits of a hash that tell n-grams of one part apart, and the other ones, which deal n-grams to parts.
+KEY_BITS, PART_BITS = 36, 28
 #: The end of a text, and its start as a context; words hold no white space.
 END, START = b"\n", b"\t"
 
-COUNTED = "block long, word binary, n long"
-#: Arrays of n-grams by part: sums holds so many 64-bit numbers for each key.
-DEALT = "part int, block long, keys binary, sums binary"
-MERGED = "block long, keys binary, sums binary, first binary"
+WORDS, GRAMS, TEXTS = 1, 2, 3
+PACKED = "block long, texts long, tokens long, blob binary"
+DEALT = "part int, kind int, block long, keys binary, counts binary"
+MERGED = "block long, kind int, part int, blob binary, distinct long, once long, twice long"
 
 
 class _Ids(dict):
@@ -56,27 +65,13 @@ def words_of(text: bytes | None) -> list[bytes]:
     return [*text.lower().split(), END] if text else [END]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch and block: its words with their training counts."""
-    for batch in gather(slices(batches, BLOCK_ROWS), BLOCK_ROWS):
-        blocks, train = batch["block"].to_numpy(), batch["train"].to_numpy(zero_copy_only=False)
-        texts = raw_texts(batch["text"])
-        for block in np.unique(blocks):
-            own = np.flatnonzero(blocks == block)
-            names, ids, starts = _numbered([texts[k] for k in own])
-            counts = np.bincount(ids[np.repeat(train[own], np.diff([*starts, len(ids)]))], minlength=len(names))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(block)] * (len(names) - 1), pa.int64()), pa.array(names[1:], pa.binary()), pa.array(counts[1:], pa.int64())], ["block", "word", "n"]
-            )
-
-
 def _numbered(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words (START is 0), the numbers of all texts' words after a START each, and where the texts begin."""
     number = _Ids({START: 0, END: 1})
     ids, starts, at = [], [], 0
     for text in texts:
         words = words_of(text)
-        ids.append(np.fromiter(map(number.__getitem__, (START, *words)), np.int64, len(words) + 1))
+        ids.append(np.fromiter(map(number.__getitem__, (START, *words)), np.int32, len(words) + 1))
         starts.append(at)
         at += len(words) + 1
     return list(number), np.concatenate(ids), np.array(starts)
@@ -104,327 +99,283 @@ def _places(ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return two, three, is_two, is_three
 
 
-def _deal(block: int, parts: int, keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-    """A row for each part, with its keys and their rows of sums."""
-    part = (keys % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    part, keys, sums = part[order], keys[order], sums[order]
-    cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
-    spans = [(x, y) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if y > x]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([part[x] for x, _ in spans], pa.int32()), pa.array([int(block)] * len(spans), pa.int64()),
-            pa.array([keys[x:y].tobytes() for x, y in spans], pa.binary()), pa.array([sums[x:y].astype(np.int64).tobytes() for x, y in spans], pa.binary()),
-        ],
-        ["part", "block", "keys", "sums"],
-    )
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (keys & np.uint64((1 << PART_BITS) - 1)) % np.uint64(parts)
 
 
-def _grams(parts: int):
-    """Per batch and block: all its n-grams with their training counts."""
+def _grams_of(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams as part and key in one number, ascending, and the place of each of keys among them."""
+    return np.unique(_part_of(keys, parts) << np.uint64(KEY_BITS) | keys >> np.uint64(PART_BITS), return_inverse=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gather(slices(batches, BLOCK_ROWS), BLOCK_ROWS):
-            blocks, train = batch["block"].to_numpy(), batch["train"].to_numpy(zero_copy_only=False)
-            texts = raw_texts(batch["text"])
-            for block in np.unique(blocks):
-                own = np.flatnonzero(blocks == block)
-                names, ids, starts = _numbered([texts[k] for k in own])
-                known = np.repeat(train[own], np.diff([*starts, len(ids)]))
-                two, three, is_two, is_three = _places(ids, _hashes(names))
-                keys, inverse = np.unique(np.concatenate([two[is_two], three[is_three]]), return_inverse=True)
-                counts = np.bincount(inverse, np.concatenate([known[is_two], known[is_three]]), len(keys))
-                yield _deal(block, parts, keys, counts[:, None])
 
-    return run
+def _words_of_parts(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of words by part and hash, and their parts in that order."""
+    part = _part_of(hashes, parts)
+    order = np.lexsort((hashes, part))
+    return order, part[order]
 
 
-def _merge(width: int, least: int):
-    """Rows sorted by part: sums over all blocks, of keys whose first sum is least or more, back to each row's block.
+def _press(values: np.ndarray, width: int = 5) -> bytes:
+    """How many numbers there are, and the numbers, below 2^(8 * width), byte by byte of all of them, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T
+    return len(values).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpress(blob: bytes, width: int = 5) -> np.ndarray:
+    count = int.from_bytes(blob[:8], "little")
+    planes = np.frombuffer(pa.decompress(blob[8:], count * width, codec="zstd"), np.uint8).reshape(width, count)
+    out = np.zeros((count, 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").reshape(-1)
+
+
+def _spans(part: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal numbers begin and end."""
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+    return [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
 
-    first marks one of a key's rows.
-    """
 
-    def merged(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        sizes = [len(k) // 8 for _, k, _ in rows]
-        keys = np.concatenate([np.frombuffer(k, np.uint64) for _, k, _ in rows])
-        sums = np.concatenate([np.frombuffer(v, np.int64) for _, _, v in rows]).reshape(-1, width)
-        found, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        totals = np.stack([np.bincount(inverse, sums[:, j], len(found)) for j in range(width)], 1).astype(np.int64)
-        good = (totals[:, 0] >= least)[inverse]
-        first = np.zeros(len(keys), bool)
-        first[index] = True
-        out, at = [], 0
-        for (block, _, _), size in zip(rows, sizes, strict=True):
-            own = np.flatnonzero(good[at : at + size]) + at
-            if len(own):
-                out.append((block, keys[own].tobytes(), totals[inverse[own]].tobytes(), first[own].tobytes()))
-            at += size
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["block", "keys", "sums", "first"])
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block: its number, training texts and tokens, and all of its rows (doc_id, held_out, text), compressed."""
+    held: list[pa.RecordBatch] = []
+    task, count, rows, size, tokens, texts = 0, 0, 0, 0, 0, 0
+
+    def block() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        own = pa.concat_batches(held)
+        with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(own)
+        number = (task << 32) + count
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.array([texts], pa.int64()), pa.array([tokens], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+            ["block", "texts", "tokens", "blob"],
+        )
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        task, begin = batch["task"][0].as_py(), 0
+        own = batch.select(["doc_id", "held_out", "text"])
+        for k, (text, out) in enumerate(zip(raw_texts(batch["text"]), batch["held_out"].to_pylist(), strict=True)):
+            length = len(text) if text else 0
+            if rows and (size + length > BLOCK_BYTES or rows >= BLOCK_ROWS):
+                held.append(own.slice(begin, k - begin))
+                yield block()
+                held, begin, count, rows, size, tokens, texts = [], k, count + 1, 0, 0, 0, 0
+            rows, size = rows + 1, size + length
+            if not out:
+                tokens, texts = tokens + (len(text.split()) if text else 0) + 1, texts + 1
+        held.append(own.slice(begin))
+    if rows:
+        yield block()
+
+
+def _unpack(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob).read_next_batch()
+
+
+def _deal(parts: int):
+    """Per block and part: its words and its n-grams, ascending, with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = None, []
         for batch in batches:
-            for p, *row in zip(*[batch[c].to_pylist() for c in ("part", "block", "keys", "sums")], strict=True):
-                if p != part and held:
-                    yield merged(held)
-                    held = []
-                part = p
-                held.append(row)
-        if held:
-            yield merged(held)
+            for block, blob in zip(batch["block"].to_pylist(), batch["blob"], strict=True):
+                rows = _unpack(blob.as_py())
+                names, ids, starts = _numbered(raw_texts(rows["text"]))
+                train = np.repeat(~rows["held_out"].to_numpy(zero_copy_only=False), np.diff([*starts, len(ids)]))
+                hashes = _hashes(names)
+                out = []
+                order, part = _words_of_parts(hashes[1:], parts)
+                counts = np.bincount(ids[train], minlength=len(names))[1:][order]
+                for a, b in _spans(part):
+                    out.append((int(part[a]), WORDS, block, hashes[1:][order[a:b]].tobytes(), _press(counts[a:b])))
+                two, three, is_two, is_three = _places(ids, hashes)
+                keys, inverse = _grams_of(np.concatenate([two[is_two], three[is_three]]), parts)
+                counts = np.bincount(inverse, np.concatenate([train[is_two], train[is_three]]), len(keys)).astype(np.int64)
+                part, keys = keys >> np.uint64(KEY_BITS), keys & np.uint64((1 << KEY_BITS) - 1)
+                for a, b in _spans(part):
+                    steps = np.diff(keys[a:b], prepend=np.uint64(0))
+                    out.append((int(part[a]), GRAMS, block, _press(steps), _press(counts[a:b])))
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())],
+                    ["part", "kind", "block", "keys", "counts"],
+                )
 
     return run
 
 
-def _merged(dealt: DataFrame, parts: int, width: int, least: int, tag: str) -> DataFrame:
-    rows = dealt.repartition(parts, "part").sortWithinPartitions("part")
-    return stage_table(rows.mapInArrow(_merge(width, least), MERGED), tag)
+def _row(kind: int, keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A dealt row's keys and counts."""
+    found = np.frombuffer(keys, np.uint64) if kind == WORDS else np.cumsum(_unpress(keys), dtype=np.uint64)
+    return found, _unpress(counts)
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by part and kind: for each row the counts of its keys over all rows; and how many words there are, and occur once and twice."""
+
+    def merged(part: int, kind: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        found = [_row(kind, k, c) for _, k, c in rows]
+        keys, inverse = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+        totals = np.bincount(inverse, np.concatenate([c for _, c in found]), len(keys)).astype(np.int64)
+        ends = np.cumsum([len(k) for k, _ in found])
+        blobs = [_press(totals[own]) for own in np.split(inverse, ends[:-1])]
+        blocks, kinds = [b for b, _, _ in rows], [kind] * len(rows)
+        seen = [None] * len(rows)
+        if kind == WORDS:
+            blocks, kinds, blobs = [-1, *blocks], [0, *kinds], [None, *blobs]
+        stats = [[int(x), *seen] if kind == WORDS else seen for x in ((totals > 0).sum(), (totals == 1).sum(), (totals == 2).sum())]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(blocks, pa.int64()), pa.array(kinds, pa.int32()), pa.array([part] * len(blocks), pa.int32()), pa.array(blobs, pa.binary()), *[pa.array(x, pa.int64()) for x in stats]],
+            ["block", "kind", "part", "blob", "distinct", "once", "twice"],
+        )
+
+    at, held = None, []
+    for batch in batches:
+        for p, kind, *row in zip(*[batch[c].to_pylist() for c in ("part", "kind", "block", "keys", "counts")], strict=True):
+            if (p, kind) != at and held:
+                yield merged(*at, held)
+                held = []
+            at = (p, kind)
+            held.append(row)
+    if held:
+        yield merged(*at, held)
 
 
-class _Table:
-    """Keys with rows of numbers."""
+def unseen_words(once: int, twice: int) -> float:
+    """Chao's estimate of the number of words that no training text holds, from those that occur once and twice; 1 at least."""
+    return max(1.0, once * once / (2 * twice) if twice else once * (once - 1) / 2)
 
-    def __init__(self, rows: list[tuple[bytes, bytes, bytes]], width: int):
-        keys = np.concatenate([np.frombuffer(k, np.uint64) for k, _, _ in rows] or [np.zeros(0, np.uint64)])
-        sums = np.concatenate([np.frombuffer(v, np.int64) for _, v, _ in rows] or [np.zeros(0, np.int64)]).reshape(-1, width)
-        first = np.concatenate([np.frombuffer(f, bool) for _, _, f in rows] or [np.zeros(0, bool)])
-        self.first = np.unique(keys[first])
-        self.keys, index = np.unique(keys, return_index=True)
-        self.sums = np.concatenate([sums[index], np.zeros((1, width), np.int64)])
 
-    def find(self, wanted: np.ndarray) -> np.ndarray:
-        """The rows of keys; zeros for unknown ones."""
-        if not len(self.keys):
-            return self.sums[np.zeros(len(wanted), np.int64)]
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return self.sums[np.where(self.keys[at] == wanted, at, len(self.keys))]
+class Vocabulary:
+    """What all texts share: training tokens, texts, distinct words and unseen ones."""
 
+    def __init__(self, tokens: int, texts: int, distinct: int, once: int, twice: int):
+        self.tokens, self.texts, self.distinct = tokens, texts, distinct
+        self.unseen = unseen_words(once, twice)
 
-def _blocks(batches: Iterator[pa.RecordBatch]):
-    """(block, word counts, n-grams, contexts, batches of texts) from rows sorted by block and kind."""
-    block, words, arrays, texts = None, {}, {1: [], 2: []}, []
-    for batch in batches:
-        blocks, kinds = batch["block"].to_numpy(), batch["kind"].to_numpy()
-        cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(blocks)], strict=True):
-            if a == b:
-                continue
-            if blocks[a] != block:
-                if block is not None:
-                    yield block, words, _Table(arrays[1], 1), _Table(arrays[2], 3), texts
-                block, words, arrays, texts = blocks[a], {}, {1: [], 2: []}, []
-            part = batch.slice(a, b - a)
-            if kinds[a] == 0:
-                words.update(zip(part["word"].to_pylist(), part["n"].to_pylist(), strict=True))
-            elif kinds[a] == 3:
-                texts.append(part.select(["doc_id", "held_out", "text"]))
-            else:
-                arrays[int(kinds[a])] += zip(*[part[c].to_pylist() for c in ("keys", "sums", "first")], strict=True)
-    if block is not None:
-        yield block, words, _Table(arrays[1], 1), _Table(arrays[2], 3), texts
-
-
-def _contexts(parts: int, texts_in_training: int):
-    """Per block: its contexts, with the number of arcs, and the sums of the counts of their n-grams and of those without the first word.
-
-    Each n-gram is added by the block that has it first; the other contexts of a block are there to be answered.
-    """
+    def word(self, counts: np.ndarray) -> np.ndarray:
+        """Probabilities, without context, of words with these training counts; 1 for all words if there are no tokens."""
+        if not self.tokens:
+            return np.ones(len(counts))
+        return np.where(counts > 0, counts - DISCOUNT, DISCOUNT * self.distinct / self.unseen) / self.tokens
+
+
+def _score(shared: Vocabulary, parts: int):
+    """Rows sorted by block, kind and part: counts of its words and n-grams, then its texts."""
+
+    def scored(totals: dict[int, list[bytes]], rows: pa.RecordBatch) -> pa.RecordBatch:
+        names, ids, starts = _numbered(raw_texts(rows["text"]))
+        hashes = _hashes(names)
+        order, _ = _words_of_parts(hashes[1:], parts)
+        counts = np.zeros(len(names), np.int64)
+        counts[1 + order] = np.concatenate([_unpress(blob) for blob in totals[WORDS]])
+        floor = log10(1 / (shared.tokens + shared.distinct + 1))
+        lengths = np.diff([*starts, len(ids)]) - 1
+        known = np.add.reduceat((counts > 0)[ids].astype(np.int64), starts)
+        base = np.add.reduceat(np.log10(counts + 1.0)[ids], starts) + lengths * floor
+        by_word = shared.word(counts)[ids]
+        two, three, is_two, is_three = _places(ids, hashes)
+        _, inverse = _grams_of(np.concatenate([two[is_two], three[is_three]]), parts)
+        found = np.concatenate([_unpress(blob) for blob in totals[GRAMS]])[inverse].astype(np.float64)
+        n2, n3 = np.zeros(len(ids)), np.zeros(len(ids))
+        n2[is_two], n3[is_three] = found[: int(is_two.sum())], found[int(is_two.sum()) :]
+        # The traversal: arcs by what the contexts of one and of two words before a place give its word.
+        counts[0] = shared.texts
+        one_before, two_before = np.concatenate([[0], counts[ids[:-1]]]), np.concatenate([[0.0], n2[:-1]])
+        p = (n2 + PRIOR[1] * by_word) / (one_before + PRIOR[1])
+        p = np.where(is_three, (n3 + PRIOR[2] * p) / (two_before + PRIOR[2]), p)
+        score = np.add.reduceat(np.where(is_two, np.log10(p), 0.0), starts)
+        return pa.RecordBatch.from_arrays(
+            [
+                rows["doc_id"], rows["held_out"], pa.array(lengths, pa.int64()), pa.array(known, pa.int64()),
+                pa.array([shared.tokens] * len(starts), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()),
+            ],
+            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, words, grams, _, texts in _blocks(batches):
-            if not texts:
-                continue
-            names, ids, _ = _numbered([x for part in texts for x in raw_texts(part["text"])])
-            counts = np.array([texts_in_training, *[words.get(w, 0) for w in names[1:]]], np.int64)
-            hashes = _hashes(names)
-            two, three, is_two, is_three = _places(ids, hashes)
-            keys, sums = [hashes[counts >= MIN_COUNT], grams.keys], []
-            sums = [np.zeros((len(k), 3), np.int64) for k in keys]
-            for key, there, order in ((two, is_two, 2), (three, is_three, 3)):
-                at = np.flatnonzero(there)
-                at = at[np.unique(key[at], return_index=True)[1]]
-                at = at[np.isin(key[at], grams.first)]
-                keys.append(hashes[ids[at - 1]] if order == 2 else two[at - 1])
-                lower = counts[ids[at]] if order == 2 else grams.find(two[at])[:, 0]
-                sums.append(np.stack([np.ones(len(at), np.int64), grams.find(key[at])[:, 0], lower], 1))
-            found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            sums = np.concatenate(sums)
-            yield _deal(block, parts, found, np.stack([np.bincount(inverse, sums[:, j], len(found)) for j in range(3)], 1))
+        at, totals = None, {}
+        for batch in batches:
+            for block, kind, blob in zip(batch["block"].to_pylist(), batch["kind"].to_pylist(), batch["blob"], strict=True):
+                if block != at:
+                    at, totals = block, {WORDS: [], GRAMS: []}
+                if kind == TEXTS:
+                    yield scored(totals, _unpack(blob.as_py()))
+                else:
+                    totals[kind].append(blob.as_py())
 
     return run
 
 
 class Automaton:
-    """States (contexts), their arcs, and failure arcs with backoff weights.
+    """The automaton of a small corpus on one machine: the plain form that scores are checked with.
 
-    State 0 has no context. arcs[s] maps a word to its log10 probability and the next state.
+    State 0 has no context. arcs[s] maps a word to its log10 probability; fail and weight are the failure arcs.
     """
 
-    def __init__(self, grams: dict[tuple[bytes, ...], int], words: dict[bytes, int], tokens: int, distinct: int, starts: int):
-        """From counts of frequent n-grams, of the words in them, of tokens, distinct tokens and texts."""
-        self.tokens, self.distinct = tokens, distinct
-        contexts = sorted({g[:-1] for g in grams}, key=lambda c: (len(c), c))
-        self.state = {(): 0} | {c: k for k, c in enumerate(contexts, 1)}
-        self.arcs: list[dict[bytes, tuple[float, int]]] = [{} for _ in range(len(self.state))]
-        self.fail, self.backoff = [0] * len(self.state), [0.0] * len(self.state)
-        by_context: dict[tuple[bytes, ...], list[tuple[bytes, int]]] = {c: [] for c in contexts}
-        for gram, count in grams.items():
-            by_context[gram[:-1]].append((gram[-1], count))
-        for context in contexts:
-            total = grams[context] if len(context) > 1 else starts if context == (START,) else words[context[0]]
-            s = self.state[context]
-            self.fail[s] = self._longest(context[1:])
-            kept = lower = 0.0
-            for word, count in sorted(by_context[context]):
-                p = (count - DISCOUNT) / total
-                kept += p
-                lower += 10 ** self._lower(self.fail[s], word, words)
-                self.arcs[s][word] = (log10(p), self._longest((*context, word)))
-            # A context whose arcs leave nothing over gives its discounts to what follows it else.
-            self.backoff[s] = log10(max(1 - kept, 1e-12) / max(1 - lower, 1e-12))
-        self.next_state = {c[0]: s for c, s in self.state.items() if len(c) == 1}
-        self.start = self.state.get((START,), 0)
-
-    def _longest(self, context: tuple[bytes, ...]) -> int:
+    def __init__(self, texts: list[list[bytes]], order: int = ORDER):
+        """From the words of training texts, without their ends."""
+        padded = [[START, *t, END] for t in texts]
+        grams = Counter(tuple(t[i : i + k]) for t in padded for k in range(1, order + 1) for i in range(len(t) - k + 1))
+        words = {g[0]: n for g, n in grams.items() if len(g) == 1 and g != (START,)}
+        of = Counter(words.values())
+        shared = Vocabulary(sum(words.values()), len(texts), len(words), of[1], of[2])
+        self.vocabulary, self.unknown = shared, log10(shared.word(np.zeros(1))[0])
+        contexts = [(), *sorted({g[:-1] for g in grams if len(g) > 1}, key=lambda c: (len(c), c))]
+        self.state = {c: k for k, c in enumerate(contexts)}
+        self.arcs: list[dict[bytes, float]] = [{} for _ in contexts]
+        self.arcs[0] = {w: log10(p) for w, p in zip(words, shared.word(np.array(list(words.values()))), strict=True)} if words else {}
+        self.fail, self.weight = [0] * len(contexts), [0.0] * len(contexts)
+        for c in contexts[1:]:
+            self.fail[self.state[c]] = self.longest(c[1:])
+            self.weight[self.state[c]] = log10(PRIOR[len(c)] / (grams[c] + PRIOR[len(c)]))
+        for g in sorted((g for g in grams if len(g) > 1), key=len):
+            s, prior = self.state[g[:-1]], PRIOR[len(g) - 1]
+            self.arcs[s][g[-1]] = log10((grams[g] + prior * 10 ** self.step(self.fail[s], g[-1])) / (grams[g[:-1]] + prior))
+
+    def longest(self, context: tuple[bytes, ...]) -> int:
+        """The state of the longest end of a context."""
         while context not in self.state:
             context = context[1:]
         return self.state[context]
 
-    def _lower(self, s: int, word: bytes, words: dict[bytes, int]) -> float:
-        weight = 0.0
+    def step(self, s: int, word: bytes) -> float:
+        """log10 probability of a word in a state: failure arcs until one has the word."""
+        total = 0.0
         while s and word not in self.arcs[s]:
-            weight += self.backoff[s]
-            s = self.fail[s]
-        return weight + (self.arcs[s][word][0] if s else self.word(words[word]))
-
-    def word(self, count: int) -> float:
-        """log10 probability, without context, of a word with this training count; 0 stands for all unknown words."""
-        if not self.tokens:
-            return 0.0
-        return log10((count - DISCOUNT) / self.tokens if count else DISCOUNT * self.distinct / self.tokens)
-
-    def score(self, words: list[bytes], vocabulary: dict[bytes, tuple[float, int]], unknown: tuple[float, int]) -> float:
-        """log10 probability of the words: one traversal that carries the state."""
-        arcs, backoff, fail, get = self.arcs, self.backoff, self.fail, vocabulary.get
-        s, total = self.start, 0.0
-        for word in words:
-            while s:
-                arc = arcs[s].get(word)
-                if arc is not None:
-                    break
-                total += backoff[s]
-                s = fail[s]
-            else:
-                arc = get(word, unknown)
-            total += arc[0]
-            s = arc[1]
+            total, s = total + self.weight[s], self.fail[s]
+        return total + self.arcs[s].get(word, self.unknown)
+
+    def score(self, words: list[bytes]) -> float:
+        """log10 probability of a text's words and its end: one traversal that carries the state."""
+        context, total = (START,), 0.0
+        for word in [*words, END]:
+            total += self.step(self.longest(context), word)
+            context = (*context, word)[-ORDER + 1 :]
         return total
 
 
-def _backoff(sums: np.ndarray, total: np.ndarray, lower_total: np.ndarray) -> np.ndarray:
-    """log10 backoff weights of contexts that occur total times, and without their first word lower_total times; 0 without arcs."""
-    arcs, own, lower = sums.T
-    has = arcs > 0
-    rest = 1 - (own - arcs * DISCOUNT) / np.where(has, total, 1)
-    unseen = 1 - (lower - arcs * DISCOUNT) / np.where(has, lower_total, 1)
-    return np.where(has, np.log10(np.maximum(np.where(has, rest, 1), 1e-12) / np.maximum(np.where(has, unseen, 1), 1e-12)), 0.0)
-
-
-def _score(tokens: int, distinct: int, texts_in_training: int):
-    """Rows sorted by block: its words, n-grams and contexts with their counts, then its texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floor = log10(1 / (tokens + distinct + 1))
-        unknown = log10(DISCOUNT * distinct / tokens) if tokens else 0.0
-        log = lambda x, good: np.log10(np.where(good, x, 1.0))
-        for _, words, grams, contexts, texts in _blocks(batches):
-            for part in texts:
-                names, ids, starts = _numbered(raw_texts(part["text"]))
-                counts = np.array([0, *[words.get(w, 0) for w in names[1:]]], np.int64)
-                totals = np.array([texts_in_training, *counts[1:]], np.int64)
-                hashes = _hashes(names)
-                two, three, is_two, is_three = _places(ids, hashes)
-                by_word = np.where(counts > 0, log((counts - DISCOUNT) / max(tokens, 1), counts > 0), unknown)
-                from_word = _backoff(contexts.find(hashes), totals, np.full(len(names), max(tokens, 1)))
-                before = np.concatenate([[0], ids[:-1]])
-                n2 = np.where(is_two, grams.find(two)[:, 0], 0)
-                n3 = np.where(is_three, grams.find(three)[:, 0], 0)
-                p = np.where(n2 > 0, log((n2 - DISCOUNT) / np.maximum(totals[before], 1), n2 > 0), from_word[before] + by_word[ids])
-                n2_before, pairs = np.concatenate([[0], n2[:-1]]), np.concatenate([[np.uint64(0)], two[:-1]])
-                sums = np.where((is_three & (n2_before > 0))[:, None], contexts.find(pairs), 0)
-                p = np.where(n3 > 0, log((n3 - DISCOUNT) / np.maximum(n2_before, 1), n3 > 0), _backoff(sums, n2_before, totals[before]) + p)
-                score = np.add.reduceat(np.where(is_two, p, 0.0), starts)
-                lengths = np.diff([*starts, len(ids)]) - 1
-                known = np.add.reduceat((counts > 0)[ids].astype(np.int64), starts)
-                base = np.add.reduceat(np.log10(counts + 1.0)[ids], starts) + lengths * floor
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part["doc_id"], part["held_out"], pa.array(lengths, pa.int64()), pa.array(known, pa.int64()),
-                        pa.array([tokens] * len(starts), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()),
-                    ],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    return run
-
-
-def _count_words(rows: DataFrame) -> DataFrame:
-    """Each block's words with their counts over all blocks, and whether a row is the word's first."""
-    counted = stage_table(rows.select("block", "text", "train").mapInArrow(_count, COUNTED), "counts")
-    everywhere = Window.partitionBy("word").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = F.row_number().over(Window.partitionBy("word").orderBy("block")) == 1
-    return stage_table(counted.select("block", "word", F.sum("n").over(everywhere).alias("n"), first.alias("first")), "words")
-
-
-def _totals(words: DataFrame) -> tuple[int, int]:
-    """Training tokens and distinct words."""
-    return tuple(words.where("first and n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
-
-
-def learn(rows: DataFrame, order: int = ORDER) -> tuple[DataFrame, Automaton]:
-    """Counts of each block's words, and the whole automaton on the driver, from few rows (block, text, train): a plain form to compare with."""
-    words = _count_words(rows)
-    texts = [[START, *words_of(bytes(t.encode()) if t else None)] for (t,) in rows.where("train").select("text").collect()]
-    counts = Counter(tuple(t[i : i + k]) for t in texts for k in range(2, order + 1) for i in range(len(t) - k + 1))
-    found = Counter(w for t in texts for w in t[1:])
-    return words, Automaton({g: n for g, n in counts.items() if n >= MIN_COUNT}, found, *_totals(words), len(texts))
-
-
-def score_texts(docs: DataFrame, held_out: Column, block: Column | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
-    held_out is a boolean column; the model learns from the other rows. block numbers groups of a few thousand
-    documents (default: by a hash of doc_id). base_score is the add-one unigram log10 probability, score that of the
-    automaton. Null and empty texts are their end alone; repeated rows count as often as they occur; with no training
-    rows all words are unknown; empty tables give no rows. Other columns are ignored.
+    held_out is a boolean column (null counts as false); the model learns from the other rows. base_score is the add-one
+    unigram log10 probability, score that of the automaton. Null and empty texts are their end alone; repeated rows count
+    as often as they occur; with no training rows all words are unknown and certain; empty tables give no rows. Other
+    columns are ignored.
     """
-    number = block if block is not None else F.pmod(F.xxhash64("doc_id"), F.lit(64))
-    rows = texts_of(docs).select(number.cast("long").alias("block"), "doc_id", "text", held_out.alias("held_out"))
-    learnt = rows.select("block", "text", (~F.col("held_out")).alias("train"))
-    words = _count_words(learnt)
-    tokens, distinct = _totals(words)
-    texts = learnt.where("train").count()
-    parts = max(1, -(-tokens // PART_TOKENS))
-    grams = _merged(learnt.mapInArrow(_grams(parts), DEALT), parts, 1, MIN_COUNT, "grams")
+    out = F.coalesce(held_out, F.lit(False)).alias("held_out")
+    rows = texts_of(docs).select("doc_id", out, "text", F.spark_partition_id().cast("long").alias("task"))
+    blocks = stage_table(rows.mapInArrow(_pack, PACKED), "blocks")
+    tokens, texts = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0))).first()
+    parts = min(max(1, -(-tokens // PART_TOKENS)), 1 << PART_BITS)
+    dealt = blocks.select("block", "blob").mapInArrow(_deal(parts), DEALT)
+    dealt = dealt.repartition(max(1, -(-parts // PARTS_A_TASK)), "part") if parts > PARTS_A_TASK else dealt.repartition("part")
+    counts = stage_table(dealt.sortWithinPartitions("part", "kind").mapInArrow(_merge, MERGED), "counts")
+    stats = counts.where("kind = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("distinct", "once", "twice")]).first()
+    together = counts.where("kind > 0").select("block", "kind", "part", "blob")
+    together = together.unionAll(blocks.select("block", F.lit(TEXTS).alias("kind"), F.lit(0).alias("part"), "blob"))
+    together = together.repartition("block").sortWithinPartitions("block", "kind", "part")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    columns = f"block long, kind int, word binary, n long, keys binary, sums binary, first binary, doc_id {id_type}, text string, held_out boolean"
-
-    def joined(*tables: tuple[int, DataFrame]) -> DataFrame:
-        out = None
-        for kind, df in tables:
-            own = {"kind": F.lit(kind)} | {c: F.col(c) for c in df.columns if c != "first" or kind}
-            some = df.select(*[own.get(n, F.lit(None)).cast(k).alias(n) for n, k in (c.split(" ") for c in columns.split(", "))])
-            out = some if out is None else out.unionAll(some)
-        return out.repartition("block").sortWithinPartitions("block", "kind")
-
-    sums = joined((0, words), (1, grams), (3, rows)).mapInArrow(_contexts(parts, texts), DEALT)
-    contexts = _merged(sums, parts, 3, 1, "contexts")
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return joined((0, words), (1, grams), (2, contexts), (3, rows)).mapInArrow(_score(tokens, distinct, texts), schema)
-
-
-def table_blocks(rows: int = BLOCK_ROWS) -> Column:
-    """Blocks of consecutive rows of a file, for tables read from files: the same however a scan is split."""
-    return F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / rows))
+    return together.mapInArrow(_score(Vocabulary(tokens, texts, *stats), parts), schema)

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 #: Largest table, in rows, that an operator broadcasts after counting it; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
-#: Rows of an Arrow batch of texts.
-BATCH_ROWS = 1_000
+#: Rows and bytes of an Arrow batch of texts, and bytes of batches that are put together.
+BATCH_ROWS, BATCH_BYTES, GATHER_BYTES = 1_000, 16 << 20, 24 << 20
 
 _own_dir: list[str] = []
 _held: dict = {}
@@ -86,10 +86,14 @@ def release() -> None:
 
 
 def texts_of(df: DataFrame) -> DataFrame:
-    """df, after lowering the session's rows of an Arrow batch: whole texts may be long, and batches lie in memory."""
+    """df, after lowering the session's limits of an Arrow batch, by rows and by bytes, as batches lie in memory.
+
+    The limits hold when the result runs, so that they stay lowered; they bound memory and change no result.
+    """
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     return df
 
 
@@ -99,13 +103,15 @@ def raw_texts(column: pa.Array) -> list[bytes | None]:
 
 
 def gather(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Record batches of so many rows or more, but for the last."""
+    """Record batches put together until they have so many rows, or GATHER_BYTES, or more."""
     held: list[pa.RecordBatch] = []
+    count = size = 0
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) >= rows:
+        count, size = count + batch.num_rows, size + batch.nbytes
+        if count >= rows or size >= GATHER_BYTES:
             yield pa.concat_batches(held)
-            held = []
+            held, count, size = [], 0, 0
     if held:
         yield pa.concat_batches(held)
 

@@ -35,8 +35,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probabilities of all documents under the add-one unigram model and the backoff automaton."""
-    docs = table(spark, sf_dir, "documents")
-    return backoff_lm.score_texts(docs, crc_fold(F.col("doc_id"), 7) == 2, backoff_lm.table_blocks())
+    return backoff_lm.score_texts(table(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 7) == 2)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
