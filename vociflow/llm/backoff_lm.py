@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vociflow.llm.common import raw_texts, stage_table, texts_of
+from vociflow.llm.common import raw_texts, release, stage_table, texts_of
 
 #: Orders of n-grams in the automaton.
 ORDER = 3
@@ -36,7 +36,7 @@ PRIOR = {1: 1000.0, 2: 4.0}
 #: Subtracted from each word's count and given to unseen words.
 DISCOUNT = 0.75
 #: Bytes of text in a block, but for a longer text, which is a block of its own; and rows at most.
-BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 1 << 16
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 1 << 16
 #: Training tokens for each part of the table of n-grams.
 PART_TOKENS = 2_000_000
 #: Parts that one task merges, one after the other.
@@ -177,30 +177,29 @@ def _unpack(blob: bytes) -> pa.RecordBatch:
 def _deal(parts: int):
     """Per block and part: its words and its n-grams, ascending, with their training counts."""
 
+    def dealt(block: int, rows: pa.RecordBatch) -> pa.RecordBatch:
+        names, ids, starts = _numbered(raw_texts(rows["text"]))
+        train = np.repeat(~rows["held_out"].to_numpy(zero_copy_only=False), np.diff([*starts, len(ids)]))
+        hashes = _hashes(names)
+        out = []
+        order, part = _words_of_parts(hashes[1:], parts)
+        counts = np.bincount(ids[train], minlength=len(names))[1:][order]
+        for a, b in _spans(part):
+            out.append((int(part[a]), WORDS, block, hashes[1:][order[a:b]].tobytes(), _press(counts[a:b])))
+        two, three, is_two, is_three = _places(ids, hashes)
+        keys, inverse = _grams_of(np.concatenate([two[is_two], three[is_three]]), parts)
+        counts = np.bincount(inverse, np.concatenate([train[is_two], train[is_three]]), len(keys)).astype(np.int64)
+        part, keys = keys >> np.uint64(KEY_BITS), keys & np.uint64((1 << KEY_BITS) - 1)
+        for a, b in _spans(part):
+            out.append((int(part[a]), GRAMS, block, _press(np.diff(keys[a:b], prepend=np.uint64(0))), _press(counts[a:b])))
+        cols = zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["part", "kind", "block", "keys", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, blob in zip(batch["block"].to_pylist(), batch["blob"], strict=True):
-                rows = _unpack(blob.as_py())
-                names, ids, starts = _numbered(raw_texts(rows["text"]))
-                train = np.repeat(~rows["held_out"].to_numpy(zero_copy_only=False), np.diff([*starts, len(ids)]))
-                hashes = _hashes(names)
-                out = []
-                order, part = _words_of_parts(hashes[1:], parts)
-                counts = np.bincount(ids[train], minlength=len(names))[1:][order]
-                for a, b in _spans(part):
-                    out.append((int(part[a]), WORDS, block, hashes[1:][order[a:b]].tobytes(), _press(counts[a:b])))
-                two, three, is_two, is_three = _places(ids, hashes)
-                keys, inverse = _grams_of(np.concatenate([two[is_two], three[is_three]]), parts)
-                counts = np.bincount(inverse, np.concatenate([train[is_two], train[is_three]]), len(keys)).astype(np.int64)
-                part, keys = keys >> np.uint64(KEY_BITS), keys & np.uint64((1 << KEY_BITS) - 1)
-                for a, b in _spans(part):
-                    steps = np.diff(keys[a:b], prepend=np.uint64(0))
-                    out.append((int(part[a]), GRAMS, block, _press(steps), _press(counts[a:b])))
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())],
-                    ["part", "kind", "block", "keys", "counts"],
-                )
+                yield dealt(block, _unpack(blob.as_py()))
+                release()
 
     return run
 
@@ -236,6 +235,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (p, kind) != at and held:
                 yield merged(*at, held)
                 held = []
+                release()
             at = (p, kind)
             held.append(row)
     if held:
@@ -302,6 +302,7 @@ def _score(shared: Vocabulary, parts: int):
                     at, totals = block, {WORDS: [], GRAMS: []}
                 if kind == TEXTS:
                     yield scored(totals, _unpack(blob.as_py()))
+                    release()
                 else:
                     totals[kind].append(blob.as_py())
 
