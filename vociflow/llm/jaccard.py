@@ -10,13 +10,18 @@ d(x, y) = 1 - |x & y| / |x | y| is a metric. Two levels of pivots partition it:
   more than d of those has no partner at all.
 * Regions that share documents join to clusters, and inside a cluster pivots are documents: each document goes to
   the cell of its nearest pivot, the triangle inequality bounds which documents of other cells are copied into it,
-  cells join recursively, and a cell within half the radius of its pivot needs no comparison at all.
+  cells join recursively, and a cell within half the radius of its pivot needs no comparison at all. Pivots meet all
+  members of their region, so that they leave it, whatever its size; members that distances do not part are compared
+  by pairs or by their rarest shingles.
+* A cluster too large for one task is parted in the same way by distributed rounds: pivots of each region, cells and
+  windows, until a cell is linked throughout or fits a task.
 
 Every link is verified on whole sets with integers; no candidate is dropped.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +40,15 @@ RESTRICT_FROM = 64
 CACHE_WORDS = 200_000
 #: Copies of one shingle, after which it counts as this frequent; bounds what a task holds of one shingle.
 HOT = 1 << 18
-#: Pivots of a cluster, and the size from which pivots are used instead of comparing all.
+#: Pivots of a region, and the size up to which members that pivots do not part are compared by pairs.
 PIVOTS, SMALL_REGION = 8, 48
 
 #: Shingles of a cluster that one task joins; larger clusters are joined by regions, and those by blocks of documents.
 CLUSTER_SHINGLES, BLOCK_DOCS = 6_000_000, 2_000
-#: Pivot sets that are broadcast; more are joined by cluster.
-BROADCAST_PIVOTS = 1_000
+#: Bytes of pivot sets that are broadcast; more are joined by region. Rounds of pivots for a large cluster.
+BROADCAST_PIVOTS, ROUNDS = 16 << 20, 4
+#: Documents of 1,000 that hold a key from which it counts as common without a shuffle, and common keys that are broadcast.
+COMMON_IN_BATCH, COMMON_KEYS = 50, 10_000
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -208,12 +215,15 @@ class Region:
         self.sets, self.num, self.den = sets, num, den
         self.sizes = np.array([len(s) for s in sets], np.int64)
         self.label = np.arange(len(sets))
+        #: Labels that each step has done away with: pivots with their regions, pairs, and shingles.
+        self.merged: Counter[str] = Counter()
 
-    def union(self, x: int, others: np.ndarray) -> None:
+    def union(self, x: int, others: np.ndarray, step: str) -> None:
         """Give a set and others one label, the least of theirs."""
         labels = np.unique(np.append(self.label[others], self.label[x]))
         if len(labels) > 1:
             self.label[np.isin(self.label, labels)] = labels[0]
+            self.merged[step] += len(labels) - 1
 
     def shared(self, x: int, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Sizes of the intersections of a set with those that lie in flat from starts on."""
@@ -221,9 +231,9 @@ class Region:
         at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
         return np.add.reduceat((own[at] == flat).astype(np.int32), starts)
 
-    def link(self, x: int, members: np.ndarray, shared: np.ndarray) -> None:
+    def link(self, x: int, members: np.ndarray, shared: np.ndarray, step: str) -> None:
         """Link a set with those members that are similar enough."""
-        self.union(x, members[self.den * shared >= self.num * (self.sizes[x] + self.sizes[members] - shared)])
+        self.union(x, members[self.den * shared >= self.num * (self.sizes[x] + self.sizes[members] - shared)], step)
 
     def lay(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The members' sets one after the other, and where each starts."""
@@ -236,33 +246,35 @@ class Region:
         radius = 1 - self.num / self.den
         while stack:
             members = stack.pop()
-            if (self.label[members] == self.label[members[0]]).all():
-                continue
-            if len(members) <= SMALL_REGION:
-                self.compare(members)
+            if len(members) < 2 or (self.label[members] == self.label[members[0]]).all():
                 continue
             flat, starts = self.lay(members)
-            rows = []
+            rows, pivots = [], []
             far = np.full(len(members), np.inf)
             pick = 0
-            for _ in range(PIVOTS):
+            while len(pivots) < PIVOTS:
+                pivots.append(pick)
                 pivot = int(members[pick])
                 shared = self.shared(pivot, flat, starts)
-                self.link(pivot, members, shared)
+                self.link(pivot, members, shared, "pivots")
                 rows.append(1 - shared / (self.sizes[pivot] + self.sizes[members] - shared))
                 far = np.minimum(far, rows[-1])
                 pick = int(far.argmax())
-                if far[pick] <= 0:
+                if far[pick] <= radius / 2:
                     break
             distance = np.array(rows)
             cell, nearest = distance.argmin(0), distance.min(0)
-            inside = [(cell == k) | (distance[k] <= nearest + 2 * radius + 1e-9) for k in range(len(rows))]
+            rest = np.ones(len(members), bool)
+            rest[pivots] = False  # they have met all members
+            inside = [rest & ((cell == k) | (distance[k] <= nearest + 2 * radius + 1e-9)) for k in range(len(rows))]
             # A cell within half the radius of its pivot is linked already: any two in it, and all with the pivot.
             regions = [members[i] for k, i in enumerate(inside) if distance[k][i].max(initial=0) > radius / 2 - 1e-9]
-            if sum(map(len, regions)) > 1.5 * len(members):  # distances do not part them: take single shingles as pivots
-                self.anchored(members, flat, starts)
-            else:
+            if sum(map(len, regions)) <= 1.5 * rest.sum():
                 stack += regions
+            elif rest.sum() <= SMALL_REGION:  # distances do not part them
+                self.compare(members[rest])
+            else:
+                self.anchored(members[rest], *self.lay(members[rest]))
 
     def compare(self, members: np.ndarray) -> None:
         """Compare all members of a small region that are not linked yet."""
@@ -270,7 +282,7 @@ class Region:
             rest = members[self.label[members] != self.label[x]]
             if len(rest):
                 flat, starts = self.lay(rest)
-                self.link(x, rest, self.shared(x, flat, starts))
+                self.link(x, rest, self.shared(x, flat, starts), "pairs")
 
     def anchored(self, members: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> None:
         """As over the corpus: each member's window is its shingles that are rarest here, as far as it reaches.
@@ -299,7 +311,7 @@ class Region:
             fits = (self.label[members[met]] != self.label[members[x]]) & (self.den * np.minimum(sizes[met], sizes[x]) >= self.num * np.maximum(sizes[met], sizes[x]))
             if fits.any():
                 rest = members[met[fits]]
-                self.link(int(members[x]), rest, self.shared(int(members[x]), *self.lay(rest)))
+                self.link(int(members[x]), rest, self.shared(int(members[x]), *self.lay(rest)), "shingles")
 
 
 def _join_clusters(words: int, num: int, den: int):
@@ -325,42 +337,58 @@ def _join_clusters(words: int, num: int, den: int):
     return sets, join
 
 
-def _near_pivots(num: int, den: int):
-    """From rows (doc_id, blob, pivot, pivot_blob): those whose sets link."""
+def _cells(num: int, den: int):
+    """From rows (region, doc_id, blob, pivots): the cells that each document belongs to or is copied into, and its links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch["blob"].to_pylist(), batch["pivot_blob"].to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            rows = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["pivot"]], ["u", "v"])
+            out = []
+            for region, doc, blob, pivots in zip(*[batch[c].to_pylist() for c in ("region", "doc_id", "blob", "pivots")], strict=True):
+                x = np.frombuffer(blob, np.uint64)
+                others = [np.frombuffer(p["blob"], np.uint64) for p in pivots]
+                both = np.array([(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum() for y in others])
+                union = np.array([len(x) + len(y) for y in others]) - both
+                distance = 1 - both / union
+                for k in np.flatnonzero(distance <= distance.min() + 2 * (1 - num / den) + 1e-9):
+                    out.append((region, doc, pivots[k]["doc_id"], bool(den * both[k] >= num * union[k])))
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["region", "doc_id", "pivot", "linked"])
 
     return run
 
 
+def _deal_blocks(rows: DataFrame, block_docs: int) -> DataFrame:
+    """Rows (region, doc_id, label) dealt to tasks (region, i, j) so that documents with different labels meet in one of them.
+
+    Documents that do not have the commonest label of their region are the ones that search: a task holds a block of
+    them and a block of all. The others are copied once for each block of searching ones, not for each block of all.
+    """
+    labels = rows.groupBy("region", "label").agg(F.count("*").alias("n"))
+    sizes = labels.groupBy("region").agg(F.sum("n").alias("c"), F.max(F.struct("n", "label")).alias("top")).where("c > top.n")
+    number = lambda n: F.ceil(n / block_docs).cast("int")
+    sizes = sizes.select("region", F.col("top.label").alias("top"), number(F.col("c") - F.col("top.n")).alias("few"), number(F.col("c")).alias("all"))
+    dealt = rows.join(sizes, "region").withColumn("searches", F.col("label") != F.col("top"))
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    searching = dealt.where("searches").select("region", block("few").alias("i"), F.explode(to("all")).alias("j"), "doc_id", "label")
+    found = dealt.select("region", F.explode(to("few")).alias("i"), block("all").alias("j"), "doc_id", "label")
+    return searching.unionByName(found).distinct()
+
+
 def _join_large(sets: DataFrame, window: DataFrame, num: int, den: int, block_docs: int) -> DataFrame:
     """Components (high, low, component_id) of clusters too large for a task: sets has cluster, doc_id, high, low, blob.
 
-    Documents link with some pivots of their cluster first, which joins most near copies. Then each region, that is a
-    shingle of several windows, is joined on its own if its documents are not all linked by now; a region of more than
-    block_docs documents is dealt to tasks as pairs of blocks.
+    In each round every region takes pivots, its documents link with those and go to cells, with windows. A cell whose
+    documents are all linked by now is done; one of block_docs documents or fewer is joined by a task; others are the
+    regions of the next round. If cells hardly part them, documents are joined shingle by shingle of their windows.
     """
-    order = F.xxhash64("doc_id", "high")
-    pivots = sets.groupBy("cluster", F.pmod(order, F.lit(PIVOTS)).alias("salt")).agg(F.min(F.struct(order.alias("h"), "doc_id", "blob")).alias("p"))
-    pivots = stage_table(pivots.select("cluster", F.col("p.doc_id").alias("pivot"), F.col("p.blob").alias("pivot_blob")), "pivots")
-    near = sets.join(F.broadcast(pivots) if pivots.count() <= BROADCAST_PIVOTS else pivots, "cluster").select("doc_id", "blob", "pivot", "pivot_blob")
-    first = stage_table(near.mapInArrow(_near_pivots(num, den), "u long, v long"), "pivot_links")
-    known = components(first).withColumnsRenamed({"node": "doc_id", "component": "label"})
-    ids = sets.select("doc_id").distinct().join(known, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"))
-    rows = stage_table(window.withColumnRenamed("node", "doc_id").join(ids, "doc_id"), "regions")
-    open_regions = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    blocks = F.ceil(F.col("c") / block_docs).cast("int")
-    dealt = rows.join(open_regions.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "label")
+    blobs = sets.select("doc_id", "blob")
+    regions = stage_table(sets.select(F.col("cluster").alias("region"), "doc_id"), "regions")
+    links, known, size = None, None, regions.count()
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id").reset_index(drop=True)
@@ -370,9 +398,35 @@ def _join_large(sets: DataFrame, window: DataFrame, num: int, den: int, block_do
         ids = pdf["doc_id"].to_numpy()
         return pd.DataFrame({"u": ids, "v": ids[region.label]})
 
-    with_sets = dealt.join(sets.select("doc_id", "blob"), "doc_id")
-    more = with_sets.groupBy("key", "i", "j").applyInPandas(join, "u long, v long").where("u <> v")
-    links = first.unionByName(stage_table(more, "region_links"))
+    def joined(rows: DataFrame) -> DataFrame:
+        """Links within the regions of rows (region, doc_id, label)."""
+        dealt = _deal_blocks(rows, block_docs).join(blobs, "doc_id")
+        return stage_table(dealt.groupBy("region", "i", "j").applyInPandas(join, "u long, v long").where("u <> v"), "region_links")
+
+    for k in range(ROUNDS):
+        order = F.xxhash64("doc_id", F.lit(k))
+        chosen = regions.groupBy("region", F.pmod(order, F.lit(PIVOTS)).alias("salt")).agg(F.min(F.struct(order.alias("h"), "doc_id")).alias("p"))
+        pivots = stage_table(chosen.select("region", F.col("p.doc_id").alias("doc_id")).join(blobs, "doc_id"), "pivots")
+        own = pivots.groupBy("region").agg(F.collect_list(F.struct("doc_id", "blob")).alias("pivots"))  # PIVOTS at most
+        small = (pivots.agg(F.sum(F.octet_length("blob"))).first()[0] or 0) <= BROADCAST_PIVOTS
+        met = regions.join(blobs, "doc_id").join(F.broadcast(own) if small else own, "region").select("region", "doc_id", "blob", "pivots")
+        cells = stage_table(met.mapInArrow(_cells(num, den), "region long, doc_id long, pivot long, linked boolean"), "cells")
+        new = cells.where("linked and doc_id <> pivot").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v"))
+        links = new if links is None else links.unionByName(new)
+        known = components(links).withColumnsRenamed({"node": "doc_id", "component": "label"})
+        rows = labelled(cells.select(F.xxhash64("region", "pivot").alias("region"), "doc_id"))
+        sizes = rows.groupBy("region").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+        rows = stage_table(rows.join(sizes.select("region", "c"), "region"), "open_cells")
+        links = links.unionByName(joined(rows.where(F.col("c") <= block_docs).drop("c")))
+        regions = rows.where(F.col("c") > block_docs).select("region", "doc_id")
+        before, size = size, regions.count()
+        if not size or size > 1.5 * before:
+            break
+    if size:
+        known = components(links).withColumnsRenamed({"node": "doc_id", "component": "label"})
+        left = regions.select("doc_id").distinct()
+        by_shingle = window.withColumnsRenamed({"node": "doc_id", "key": "region"}).join(left, "doc_id", "left_semi")
+        links = links.unionByName(joined(stage_table(labelled(by_shingle.select("region", "doc_id")), "shingles")))
     final = components(links).withColumnsRenamed({"node": "doc_id", "component": "component_id"})
     return sets.select("doc_id", "high", "low").join(final, "doc_id", "left").select("high", "low", F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -401,8 +455,9 @@ def jaccard_components(
     )
     equal = stage_table(equal.select(*marks, "n", "least", F.col("k.doc_id").alias("doc_id"), "k.n_part", "k.n_whole", "k.keys"), "equal")
     window = stage_table(_window_keys(equal, num, den), "windows")
-    centres = window.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("c")).where("c > 1")
-    edges = window.join(centres, "key").select(F.col("node").alias("u"), "v")
+    # A table of its own, so that AQE may split the join at a key that many windows hold.
+    centres = stage_table(window.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("c")).where("c > 1").select("key", "v"), "centres")
+    edges = small_join(window, centres, "key", "inner").select(F.col("node").alias("u"), "v")
     clusters = components(edges).withColumnsRenamed({"node": "doc_id", "component": "cluster"})
     members = stage_table(clusters.join(equal.select("doc_id", "n", *marks), "doc_id"), "members")
     large = stage_table(members.groupBy("cluster").agg(F.sum("n").alias("n")).where(F.col("n") > cluster_shingles).select("cluster"), "large")
