@@ -52,6 +52,44 @@ def test_large_clusters_are_joined_in_parts(docs):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 3, 90, 100)
 
 
+@pytest.mark.parametrize("cluster_shingles", [100, 6_000_000])
+def test_common_shingles_do_not_change_links(docs, monkeypatch, cluster_shingles):
+    monkeypatch.setattr(jaccard, "COMMON_IN_BATCH", 3)
+    rows = [(i, "this line is in every text of them " + t) for i, t in corpus(9, 120)]
+    got = jaccard.jaccard_components(docs(rows), 3, 90, 100, cluster_shingles=cluster_shingles, block_docs=10).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 3, 90, 100)
+
+
+def test_large_cluster_that_pivots_do_not_part(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "PIVOTS", 1)
+    monkeypatch.setattr(jaccard, "ROUNDS", 2)
+    rng = random.Random(3)
+    common = [f"c{k}" for k in range(12)]
+    rows = [(k, " ".join([*common, *(f"p{k}x{j}" for j in range(4)), *(["q"] * (k % 3))])) for k in range(60)]
+    rows += [(100 + k, rng.choice(rows)[1] + " end") for k in range(30)]
+    got = jaccard.jaccard_components(docs(rows), 2, 85, 100, cluster_shingles=50, block_docs=3).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 2, 85, 100)
+
+
+def test_rows_with_one_id_and_different_texts(docs):
+    a, b, c = ("a b c d e f g h i j k l m n o p", "one two three four five six seven eight nine ten", "quite another text of some more words than five")
+    rows = docs([(1, a), (5, a), (5, b), (7, b), (7, c), (8, None), (8, None), (9, c), (9, c)])
+    got = sorted((r["doc_id"], r["text"]) for r in jaccard.drop_linked(rows).collect() if r["text"])
+    assert got == sorted([(1, a), (5, b), (7, c)])
+    assert jaccard.drop_linked(rows).where("text is null").count() == 2
+    parts = {(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(rows).where("n_shingles > 0").collect()}
+    assert parts == {(1, 1), (5, 1), (5, 5), (7, 5), (7, 7), (9, 7)}
+
+
+def test_pivots_and_cells_make_the_links_of_small_clusters():
+    rng = np.random.default_rng(6)
+    bases = [rng.integers(0, 2**62, 100).astype(np.uint64) for _ in range(4)]
+    sets = [np.unique(np.append(bases[k % 4][rng.random(100) > 0.02], rng.integers(0, 2**62, 2).astype(np.uint64))) for k in range(20)]
+    region = jaccard.Region(sets, 85, 100)
+    region.join(np.arange(20))
+    assert len(set(region.label.tolist())) == 4 and region.merged == {"pivots": 16}
+
+
 def test_edge_rows(docs):
     long = " ".join(f"a{k}" for k in range(30_000))
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "One two"), (5, "one TWO"), (6, "one"), (7, long), (8, long + " end"), (9, "É b c"), (10, "é b c"), (4, "One two"), (None, "one two")]

@@ -102,7 +102,8 @@ def _describe(words: int, num: int, den: int, share: float):
     The lowest bit of a key tells whether it stands for the whole space (1) or for the restricted share (0). Small
     sets use the whole space. A linked pair meets in the whole space if either set is smaller than RESTRICT_FROM,
     as the larger one then has at most (RESTRICT_FROM - 1) * den / num shingles; else both use the share, where one
-    of them holds more keys than it may lack, or both are short of keys and use the whole space too.
+    of them holds more keys than it may lack, or both are short of keys and use the whole space too. A batch's first
+    row names the keys that COMMON_IN_BATCH different sets of the batch or more hold.
     """
     limit = np.uint64(min(2**64 - 1, int(share * 2**64)))
     small = (RESTRICT_FROM - 1) * den // num
@@ -111,6 +112,7 @@ def _describe(words: int, num: int, den: int, share: float):
         hashes = hold("word hashes", WordHashes)
         for batch in slices(batches, 1000):
             sizes, highs, lows, restricted, whole, keys = [], [], [], [], [], []
+            blank = [[]] * (batch.num_rows - 1)
             seen: set[tuple[int, int]] = set()
             for text, doc_id in zip(raw_texts(batch["text"]), batch["doc_id"].to_pylist(), strict=True):
                 found = shingles(text, words, hashes)
@@ -136,23 +138,26 @@ def _describe(words: int, num: int, den: int, share: float):
                 whole.append(len(own) - restricted[-1])
                 keys.append(own.view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            found, times = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.empty(0, np.int64), np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"].cast(pa.int64()),
+                    batch["mark"],
                     pa.array(sizes, pa.int64()),
                     pa.array(highs, pa.int64()),
                     pa.array(lows, pa.int64()),
                     pa.array(restricted, pa.int32()),
                     pa.array(whole, pa.int32()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else [], pa.int64())),
+                    pa.array([found[times >= COMMON_IN_BATCH].tolist(), *blank][: batch.num_rows], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n", "high", "low", "n_part", "n_whole", "keys"],
+                ["doc_id", "mark", "n", "high", "low", "n_part", "n_whole", "keys", "common"],
             )
 
     return run
 
 
-DESCRIBED = "doc_id long, n long, high long, low long, n_part int, n_whole int, keys array<long>"
+DESCRIBED = "doc_id long, mark long, n long, high long, low long, n_part int, n_whole int, keys array<long>, common array<long>"
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,14 +195,19 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found
 
 
-def _window_keys(described: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows (node, key) of each document's window: its rarest shared shingles, as far as its window reaches."""
-    rows = described.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
-    rows = rows.repartition("key").sortWithinPartitions("key")
-    shared = rows.mapInArrow(_shared_keys, "node long, key long, df long")
+def _window_keys(described: DataFrame, common: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (node, key) of each document's window: its rarest shared shingles, as far as its window reaches.
+
+    Keys in common come after all others and are not counted, so that no task gets all holders of one of them. Any
+    order of keys finds the same links; rarest first finds them with the fewest comparisons.
+    """
+    rows = described.select(F.explode("keys").alias("key"), "node")
+    rare = rows.join(F.broadcast(common), "key", "left_anti").repartition("key").sortWithinPartitions("key")
+    shared = rare.mapInArrow(_shared_keys, "node long, key long, df long")
+    shared = shared.unionByName(rows.join(F.broadcast(common), "key", "left_semi").select("node", "key", F.lit(HOT + 1).cast("long").alias("df")))
     held = shared.groupBy("node").agg(F.collect_list(F.struct("df", "key")).alias("held"))
     lacking = F.expr(f"n - ceil(n * {num} / {den})").cast("int")
-    mine = held.join(described.select(F.col("doc_id").alias("node"), "n", "n_part", "n_whole"), "node")
+    mine = held.join(described.select("node", "n", "n_part", "n_whole"), "node")
 
     def window(size: str, bit: int):
         found = F.filter("held", lambda x: x["key"].bitwiseAND(F.lit(1)) == bit)
@@ -323,43 +333,41 @@ def _join_clusters(words: int, num: int, den: int):
                 found = shingles(text, words, hashes)
                 blobs.append(found.tobytes() if _fingerprint(found) == (high, low) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch["cluster"], batch["doc_id"].cast(pa.int64()), batch["high"], batch["low"], pa.array(blobs, pa.binary())],
-                ["cluster", "doc_id", "high", "low", "blob"],
+                [batch["cluster"], batch["high"], batch["low"], pa.array(blobs, pa.binary())], ["cluster", "high", "low", "blob"]
             )
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id").drop_duplicates(["high", "low"]).reset_index(drop=True)
+        pdf = pdf.sort_values(["high", "low"]).drop_duplicates(["high", "low"]).reset_index(drop=True)
         region = Region([np.frombuffer(b, np.uint64) for b in pdf["blob"]], num, den)
         region.join(np.arange(len(pdf)))
-        least = pdf["doc_id"].to_numpy()[region.label]
-        return pd.DataFrame({"high": pdf["high"], "low": pdf["low"], "component_id": least})
+        return pd.DataFrame({"high": pdf["high"], "low": pdf["low"], "component": pdf["high"].to_numpy()[region.label]})
 
     return sets, join
 
 
 def _cells(num: int, den: int):
-    """From rows (region, doc_id, blob, pivots): the cells that each document belongs to or is copied into, and its links."""
+    """From rows (region, node, blob, pivots): the cells that each document belongs to or is copied into, and its links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for region, doc, blob, pivots in zip(*[batch[c].to_pylist() for c in ("region", "doc_id", "blob", "pivots")], strict=True):
+            for region, doc, blob, pivots in zip(*[batch[c].to_pylist() for c in ("region", "node", "blob", "pivots")], strict=True):
                 x = np.frombuffer(blob, np.uint64)
                 others = [np.frombuffer(p["blob"], np.uint64) for p in pivots]
                 both = np.array([(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum() for y in others])
                 union = np.array([len(x) + len(y) for y in others]) - both
                 distance = 1 - both / union
                 for k in np.flatnonzero(distance <= distance.min() + 2 * (1 - num / den) + 1e-9):
-                    out.append((region, doc, pivots[k]["doc_id"], bool(den * both[k] >= num * union[k])))
+                    out.append((region, doc, pivots[k]["node"], bool(den * both[k] >= num * union[k])))
             cols = list(zip(*out, strict=True)) or [()] * 4
             types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["region", "doc_id", "pivot", "linked"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["region", "node", "pivot", "linked"])
 
     return run
 
 
 def _deal_blocks(rows: DataFrame, block_docs: int) -> DataFrame:
-    """Rows (region, doc_id, label) dealt to tasks (region, i, j) so that documents with different labels meet in one of them.
+    """Rows (region, node, label) dealt to tasks (region, i, j) so that documents with different labels meet in one of them.
 
     Documents that do not have the commonest label of their region are the ones that search: a task holds a block of
     them and a block of all. The others are copied once for each block of searching ones, not for each block of all.
@@ -369,130 +377,138 @@ def _deal_blocks(rows: DataFrame, block_docs: int) -> DataFrame:
     number = lambda n: F.ceil(n / block_docs).cast("int")
     sizes = sizes.select("region", F.col("top.label").alias("top"), number(F.col("c") - F.col("top.n")).alias("few"), number(F.col("c")).alias("all"))
     dealt = rows.join(sizes, "region").withColumn("searches", F.col("label") != F.col("top"))
-    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    searching = dealt.where("searches").select("region", block("few").alias("i"), F.explode(to("all")).alias("j"), "doc_id", "label")
-    found = dealt.select("region", F.explode(to("few")).alias("i"), block("all").alias("j"), "doc_id", "label")
+    searching = dealt.where("searches").select("region", block("few").alias("i"), F.explode(to("all")).alias("j"), "node", "label")
+    found = dealt.select("region", F.explode(to("few")).alias("i"), block("all").alias("j"), "node", "label")
     return searching.unionByName(found).distinct()
 
 
 def _join_large(sets: DataFrame, window: DataFrame, num: int, den: int, block_docs: int) -> DataFrame:
-    """Components (high, low, component_id) of clusters too large for a task: sets has cluster, doc_id, high, low, blob.
+    """Components (node, component) of clusters too large for a task: sets has cluster, node, low, blob.
 
     In each round every region takes pivots, its documents link with those and go to cells, with windows. A cell whose
     documents are all linked by now is done; one of block_docs documents or fewer is joined by a task; others are the
     regions of the next round. If cells hardly part them, documents are joined shingle by shingle of their windows.
     """
-    blobs = sets.select("doc_id", "blob")
-    regions = stage_table(sets.select(F.col("cluster").alias("region"), "doc_id"), "regions")
+    blobs = sets.select("node", "blob")
+    regions = stage_table(sets.select(F.col("cluster").alias("region"), "node"), "regions")
     links, known, size = None, None, regions.count()
 
     def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        return rows.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id").reset_index(drop=True)
+        pdf = pdf.sort_values("node").reset_index(drop=True)
         region = Region([np.frombuffer(b, np.uint64) for b in pdf["blob"]], num, den)
-        region.label = pdf.groupby("label")["doc_id"].transform("idxmin").to_numpy().copy()
+        region.label = pdf.groupby("label")["node"].transform("idxmin").to_numpy().copy()
         region.join(np.arange(len(pdf)))
-        ids = pdf["doc_id"].to_numpy()
+        ids = pdf["node"].to_numpy()
         return pd.DataFrame({"u": ids, "v": ids[region.label]})
 
     def joined(rows: DataFrame) -> DataFrame:
-        """Links within the regions of rows (region, doc_id, label)."""
-        dealt = _deal_blocks(rows, block_docs).join(blobs, "doc_id")
+        """Links within the regions of rows (region, node, label)."""
+        dealt = _deal_blocks(rows, block_docs).join(blobs, "node")
         return stage_table(dealt.groupBy("region", "i", "j").applyInPandas(join, "u long, v long").where("u <> v"), "region_links")
 
     for k in range(ROUNDS):
-        order = F.xxhash64("doc_id", F.lit(k))
-        chosen = regions.groupBy("region", F.pmod(order, F.lit(PIVOTS)).alias("salt")).agg(F.min(F.struct(order.alias("h"), "doc_id")).alias("p"))
-        pivots = stage_table(chosen.select("region", F.col("p.doc_id").alias("doc_id")).join(blobs, "doc_id"), "pivots")
-        own = pivots.groupBy("region").agg(F.collect_list(F.struct("doc_id", "blob")).alias("pivots"))  # PIVOTS at most
+        order = F.xxhash64("node", F.lit(k))
+        chosen = regions.groupBy("region", F.pmod(order, F.lit(PIVOTS)).alias("salt")).agg(F.min(F.struct(order.alias("h"), "node")).alias("p"))
+        pivots = stage_table(chosen.select("region", F.col("p.node").alias("node")).join(blobs, "node"), "pivots")
+        own = pivots.groupBy("region").agg(F.collect_list(F.struct("node", "blob")).alias("pivots"))  # PIVOTS at most
         small = (pivots.agg(F.sum(F.octet_length("blob"))).first()[0] or 0) <= BROADCAST_PIVOTS
-        met = regions.join(blobs, "doc_id").join(F.broadcast(own) if small else own, "region").select("region", "doc_id", "blob", "pivots")
-        cells = stage_table(met.mapInArrow(_cells(num, den), "region long, doc_id long, pivot long, linked boolean"), "cells")
-        new = cells.where("linked and doc_id <> pivot").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v"))
+        met = regions.join(blobs, "node").join(F.broadcast(own) if small else own, "region").select("region", "node", "blob", "pivots")
+        cells = stage_table(met.mapInArrow(_cells(num, den), "region long, node long, pivot long, linked boolean"), "cells")
+        new = cells.where("linked and node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
         links = new if links is None else links.unionByName(new)
-        known = components(links).withColumnsRenamed({"node": "doc_id", "component": "label"})
-        rows = labelled(cells.select(F.xxhash64("region", "pivot").alias("region"), "doc_id"))
+        known = components(links).withColumnRenamed("component", "label")
+        rows = labelled(cells.select(F.xxhash64("region", "pivot").alias("region"), "node"))
         sizes = rows.groupBy("region").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
         rows = stage_table(rows.join(sizes.select("region", "c"), "region"), "open_cells")
         links = links.unionByName(joined(rows.where(F.col("c") <= block_docs).drop("c")))
-        regions = rows.where(F.col("c") > block_docs).select("region", "doc_id")
+        regions = rows.where(F.col("c") > block_docs).select("region", "node")
         before, size = size, regions.count()
         if not size or size > 1.5 * before:
             break
     if size:
-        known = components(links).withColumnsRenamed({"node": "doc_id", "component": "label"})
-        left = regions.select("doc_id").distinct()
-        by_shingle = window.withColumnsRenamed({"node": "doc_id", "key": "region"}).join(left, "doc_id", "left_semi")
-        links = links.unionByName(joined(stage_table(labelled(by_shingle.select("region", "doc_id")), "shingles")))
-    final = components(links).withColumnsRenamed({"node": "doc_id", "component": "component_id"})
-    return sets.select("doc_id", "high", "low").join(final, "doc_id", "left").select("high", "low", F.coalesce("component_id", "doc_id").alias("component_id"))
+        known = components(links).withColumnRenamed("component", "label")
+        left = regions.select("node").distinct()
+        by_shingle = window.withColumnRenamed("key", "region").join(left, "node", "left_semi")
+        links = links.unionByName(joined(stage_table(labelled(by_shingle.select("region", "node")), "shingles")))
+    return sets.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def jaccard_components(
-    docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, share: float | None = None, cluster_shingles: int = CLUSTER_SHINGLES, block_docs: int = BLOCK_DOCS
-) -> DataFrame:
-    """Per document: doc_id, n_shingles and component_id, the smallest doc_id that links lead to.
+def _grouped(docs: DataFrame, words: int, num: int, den: int, share: float | None, cluster_shingles: int, block_docs: int) -> DataFrame:
+    """Per document: doc_id, mark (a hash of its text), n (size of its set), node (its set), component (the least node it is linked with).
 
-    Words are split at ASCII white space after lower-casing A-Z. Two documents link when
-    den * intersection >= num * union of their sets of distinct n-word shingles. A text with fewer words is one
-    shingle; one without words, or null, has none and links with nothing. Rows with equal sets link, repeated rows
-    are all returned, a null doc_id names no component (its row's component_id is that of its equals, or null), and
-    an empty table gives no rows. Other columns are ignored. share is the part of the shingle space in which large
-    sets look for partners: above 1 - num / den any value finds the same links. cluster_shingles and block_docs bound
-    what one task holds, and do not change the result.
+    Sets without words, and those that only rows without an id have, have no component.
     """
     spark_share = min(1.0, 2 * (1 - num / den)) if share is None else share
     pairs = texts_of(docs).select("doc_id", "text")
-    rows = stage_table(pairs.mapInArrow(_describe(words, num, den, spark_share), DESCRIBED), "sets")
-    marks = ["high", "low"]
-    # One document stands for all that have the same set; the keys are on one of its rows in each batch at least.
+    rows = stage_table(pairs.withColumn("mark", F.xxhash64("text")).mapInArrow(_describe(words, num, den, spark_share), DESCRIBED), "sets")
+    common = rows.select(F.explode("common").alias("key")).groupBy("key").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "key").limit(COMMON_KEYS).select("key")
+    # A set is a node of the graph, known by its fingerprint; one of its documents stands for it, whose rows hold the keys.
     keyed = F.struct("doc_id", "n_part", "n_whole", "keys")
-    equal = rows.where("n > 0 and doc_id is not null").groupBy(*marks, "n").agg(
-        F.min(F.when(F.size("keys") > 0, keyed)).alias("k"), F.min("doc_id").alias("least")
-    )
-    equal = stage_table(equal.select(*marks, "n", "least", F.col("k.doc_id").alias("doc_id"), "k.n_part", "k.n_whole", "k.keys"), "equal")
-    window = stage_table(_window_keys(equal, num, den), "windows")
+    equal = rows.where("n > 0 and doc_id is not null").groupBy("high", "low", "n").agg(F.min(F.when(F.size("keys") > 0, keyed)).alias("k"))
+    equal = stage_table(equal.select(F.col("high").alias("node"), "low", "n", "k.doc_id", "k.n_part", "k.n_whole", "k.keys"), "equal")
+    window = stage_table(_window_keys(equal, stage_table(common, "common"), num, den), "windows")
     # A table of its own, so that AQE may split the join at a key that many windows hold.
     centres = stage_table(window.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("c")).where("c > 1").select("key", "v"), "centres")
     edges = small_join(window, centres, "key", "inner").select(F.col("node").alias("u"), "v")
-    clusters = components(edges).withColumnsRenamed({"node": "doc_id", "component": "cluster"})
-    members = stage_table(clusters.join(equal.select("doc_id", "n", *marks), "doc_id"), "members")
+    clusters = components(edges).withColumnRenamed("component", "cluster")
+    members = stage_table(clusters.join(equal.select("node", "low", "doc_id", "n"), "node").withColumnRenamed("node", "high"), "members")
     large = stage_table(members.groupBy("cluster").agg(F.sum("n").alias("n")).where(F.col("n") > cluster_shingles).select("cluster"), "large")
     to_sets, join = _join_clusters(words, num, den)
-    sets = small_join(pairs, members, "doc_id", "inner").select("cluster", "doc_id", "text", *marks)
-    blobs = sets.mapInArrow(to_sets, "cluster long, doc_id long, high long, low long, blob binary").where("blob is not null")
-    found = "high long, low long, component_id long"
+    sets = small_join(pairs, members, "doc_id", "inner").select("cluster", "text", "high", "low")
+    blobs = sets.mapInArrow(to_sets, "cluster long, high long, low long, blob binary").where("blob is not null")
+    found = "high long, low long, component long"
     if large.isEmpty():
-        joined = stage_table(blobs.groupBy("cluster").applyInPandas(join, found), "joined")
+        joined = stage_table(blobs.groupBy("cluster").applyInPandas(join, found).select(F.col("high").alias("node"), "component"), "joined")
     else:
         blobs = stage_table(blobs, "blobs")
-        apart = _join_large(small_join(blobs, large, "cluster", "left_semi"), window, num, den, block_docs)
-        joined = small_join(blobs, large, "cluster", "left_anti").groupBy("cluster").applyInPandas(join, found)
-        joined = stage_table(joined.unionByName(apart.dropDuplicates(["high", "low"])), "joined")
-    # Links are between sets: the document that stands for a set may differ from the least one that has it.
-    named = joined.join(equal.select(*marks, "least", "doc_id"), marks)
-    least = named.groupBy("component_id").agg(F.min("least").alias("least_id"))
-    final = equal.select(*marks, "least").join(joined.join(least, "component_id").select(*marks, "least_id"), marks, "left")
-    final = final.select(*marks, F.coalesce("least_id", "least").alias("component_id"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), *marks).join(final, marks, "left")
-    alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", alone.alias("component_id"))
+        apart = small_join(blobs, large, "cluster", "left_semi").withColumnRenamed("high", "node").dropDuplicates(["node"])
+        joined = small_join(blobs, large, "cluster", "left_anti").groupBy("cluster").applyInPandas(join, found).select(F.col("high").alias("node"), "component")
+        joined = stage_table(joined.unionByName(_join_large(stage_table(apart, "apart"), window, num, den, block_docs)), "joined")
+    final = equal.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return rows.select("doc_id", "mark", "n", F.when(F.col("n") > 0, F.col("high")).alias("node")).join(final, "node", "left")
+
+
+def jaccard_components(
+    docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, share: float | None = None, cluster_shingles: int = CLUSTER_SHINGLES, block_docs: int = BLOCK_DOCS
+) -> DataFrame:
+    """Per document: doc_id, n_shingles and component_id, the smallest doc_id that links lead to.
+
+    Words are split at ASCII white space after lower-casing A-Z. Two documents link when
+    den * intersection >= num * union of their sets of distinct n-word shingles. A text with fewer words is one
+    shingle; one without words, or null, has none and links with nothing. Rows with equal sets link, repeated rows
+    are all returned, rows with one doc_id and different texts are judged apart, a null doc_id names no component (its
+    row's component_id is that of its equals, or null), and an empty table gives no rows. Other columns are ignored.
+    share is the part of the shingle space in which large sets look for partners: above 1 - num / den any value finds
+    the same links. cluster_shingles and block_docs bound what one task holds, and do not change the result.
+    """
+    found = _grouped(docs, words, num, den, share, cluster_shingles, block_docs)
+    least = found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least"))
+    return found.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
 
 def drop_linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, share: float | None = None) -> DataFrame:
-    """The documents without those that link, directly or not, to one with a smaller doc_id; repeated rows stay once.
+    """One document of each group of linked ones, that with the smallest doc_id; its repeated rows stay once.
 
-    Documents without words, or without an id, are kept. The columns stay as they are.
+    Rows are known by doc_id and text: of rows with one doc_id and different texts, linked ones are one group, others
+    stay. Documents without words, or without an id, are kept. The columns stay as they are.
     """
-    found = jaccard_components(docs, words, num, den, share)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = small_join(docs, gone, "doc_id", "left_anti")
-    again = found.where("component_id = doc_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = stage_table(again, "repeated")
+    found = stage_table(_grouped(docs, words, num, den, share, CLUSTER_SHINGLES, BLOCK_DOCS).where("component is not null and doc_id is not null"), "groups")
+    stays = found.groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count("*").alias("c")).where("c > 1")
+    judged = found.join(stays.select("component", "first"), "component").withColumn("stays", F.struct("doc_id", "mark") == F.col("first"))
+    gone = judged.where("not stays").select("doc_id", "mark").distinct()
+    marked = docs.withColumn("__mark", F.xxhash64("text"))
+    on = lambda other: (F.col("doc_id") == other["__id"]) & (F.col("__mark") == other["__of"])
+    named = lambda rows: stage_table(rows.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__of")), "marks")
+    gone = named(gone)
+    kept = small_join(marked, gone, on(gone), "left_anti")
+    again = named(judged.where("stays").groupBy("doc_id", "mark").count().where("count > 1"))
     if again.isEmpty():
-        return kept
-    once = small_join(kept, again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return small_join(kept, again, "doc_id", "left_anti").unionByName(once)
+        return kept.drop("__mark")
+    once = small_join(kept, again, on(again), "left_semi").dropDuplicates(["doc_id", "__mark"])
+    return small_join(kept, again, on(again), "left_anti").unionByName(once).drop("__mark")
