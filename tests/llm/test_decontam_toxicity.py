@@ -40,22 +40,64 @@ def test_planted_items_are_found_and_nothing_else(spark, docs, items):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - {d for d, _ in truth}
 
 
-def test_search_finds_all_items_above_their_threshold(items):
+@pytest.mark.parametrize("postings", [decontam.POSTINGS, 50])
+def test_search_finds_all_items_above_their_threshold(items, monkeypatch, postings):
+    monkeypatch.setattr(decontam, "POSTINGS", postings)
     index = decontam.build_index(items)
     rng = np.random.default_rng(1)
-    for _ in range(40):
-        ids = np.unique(rng.choice(len(index.terms), 100))
-        _, found, score = decontam.search(index, ids, np.zeros(len(ids), np.int64), 1)
+    some = [[index.terms[w] for w in decontam._words(items[k][1])[: rng.integers(5, 60)]] for k in range(40)]
+    queries = [np.unique(np.concatenate([rng.choice(len(index.terms), 60), own])) for own in some]
+    passage, item, score = decontam.search(index, np.concatenate(queries), np.repeat(np.arange(40), [len(q) for q in queries]))
+    level, found = index.levels[-1], 0
+    for k, ids in enumerate(queries):
         exact = np.zeros(len(index.item_ids))
         for t in ids:
-            exact[index.items[index.starts[t] : index.starts[t + 1]]] += index.impacts[index.starts[t] : index.starts[t + 1]]
-        assert found.tolist() == np.flatnonzero(exact >= index.threshold - 1e-9).tolist()
-        assert score == pytest.approx(exact[found])
+            own = slice(level.starts[t], level.starts[t + 1])
+            exact[level.blocks[own]] += level.maxima[own]
+        mine = item[passage == k]
+        found += len(mine)
+        assert mine.tolist() == np.flatnonzero(exact >= 1 - 1e-9).tolist()
+        assert score[passage == k] == pytest.approx(exact[mine] * index.threshold[mine])
+    assert found
+
+
+def test_all_pairs_by_overlap_are_found(spark, docs, items):
+    """Retrieval loses no pair that verification accepts: against verifying every document with every item."""
+    rng = random.Random(8)
+    words = sorted({w for _, t in items for w in t.split()})
+    rows = []
+    for k in range(150):
+        text = [rng.choice(words) for _ in range(rng.randint(0, 400))]
+        for _ in range(rng.randint(0, 2)):
+            passage = rng.choice(items)[1].split()
+            cut = passage[: rng.randint(len(passage) // 2, len(passage))] if rng.random() < 0.5 else [w if rng.random() > 0.02 else "other" for w in passage]
+            at = rng.randint(0, len(text))
+            text[at:at] = cut
+        rows.append((k, " ".join(text)))
+    index = decontam.build_index(items)
+    known, expected = decontam._Terms(index.terms), set()
+    for k, text in rows:
+        ids = np.array([known[w.encode()] for w in text.split()], np.int64)
+        ids = ids[ids > -2]
+        for i, item in enumerate(index.item_ids):
+            shares = [np.isin(wanted, decontam._grams(ids, n)).mean() for n, wanted in (index.whole[i], index.question[i])]
+            if shares[0] >= 0.8 or (shares[1] >= 0.8 and index.question_words[i] >= 13):
+                expected.add((k, item))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for most in (decontam.MAX_ITEMS, len(items) // 3):
+        got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs(rows), benchmark, most).collect()}
+        assert got == expected and len(got) > 40
+
+
+def test_ids_may_be_texts(spark, items):
+    benchmark = spark.createDataFrame([(f"i{i}", t) for i, t in items], "item_id string, text string")
+    rows = spark.createDataFrame([("a", items[3][1]), ("b", "nothing here")], "doc_id string, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(rows, benchmark).collect()] == [("a", f"i{items[3][0]}")]
 
 
 def test_thresholds_do_not_depend_on_the_number_of_indexes(spark, items):
     benchmark = spark.createDataFrame([*items, (10_000, None), (10_001, "")], "item_id long, text string")
-    whole, shards = decontam.indexes(benchmark), decontam.indexes(benchmark, max_items=len(items) // 4)
+    whole, shards = list(decontam.indexes(benchmark)[1]), list(decontam.indexes(benchmark, max_items=len(items) // 4)[1])
     assert len(whole) == 1 and len(shards) > 3
     of = lambda found: {i: t for index in found for i, t in zip(index.item_ids, index.threshold.tolist(), strict=True)}
     assert of(shards) == pytest.approx(of(whole))

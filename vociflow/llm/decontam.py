@@ -1,10 +1,13 @@
 """Benchmark decontamination: BM25 retrieval of test items for every passage, then verification (operator 10).
 
-The test items are an inverted index with BM25 impacts. Every passage (an overlapping window of a document) is a
-query. As in block-max WAND, postings lie in blocks of items that know each term's largest impact: a passage's block
-is scored only if the sum of those maxima reaches the lowest threshold in the block, and then in full. All items
-above their threshold are kept, and verified by the share of their question's and answer's five-word shingles that
-the document holds.
+The test items are an inverted index with BM25 impacts, and every passage (an overlapping window of a document) is a
+query. An item is retrieved if a passage reaches its threshold, so impacts are divided by their item's threshold and all
+items share one: 1. As in block-max WAND, postings lie in blocks of items, in ascending order of thresholds, that know
+each term's largest impact, and a block is visited only if the maxima of the terms that a passage has in it sum up to the
+threshold. As that threshold never rises (every item above it counts, not the best few), the cursors of WAND visit just
+the blocks with such a sum: they are found in ascending order for many passages at once, by large blocks first and by
+small ones in those that are left, and no block, however many there are, is visited without both bounds. All items
+retrieved are verified by the share of their question's and answer's five-word shingles that the document holds.
 """
 
 from __future__ import annotations
@@ -18,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from vociflow.llm.common import hold, raw_texts, slices, texts_of
+from vociflow.llm.common import hold, raw_texts, slices, stage_table, texts_of
 
 #: Words of a passage and between passages: an item of STRIDE words or fewer lies whole in some passage.
 PASSAGE, STRIDE = 128, 64
@@ -27,14 +31,16 @@ PASSAGE, STRIDE = 128, 64
 K1, B = 1.2, 0.75
 #: Share that a passage must reach of the lowest score among the forms of an item that make a leak.
 THRESHOLD = 0.6
-#: Items in a block of the postings.
-BLOCK = 4
+#: Items in a block of the postings, from large to small blocks; each size is a multiple of the next, and the last is 1.
+BLOCKS = (4, 1)
+#: Postings that are laid out at a time: bounds memory, however many items an index has.
+POSTINGS = 2_000_000
 #: Words of a shingle and share of shingles to be found for a leak.
 SHINGLE, OVERLAP = 5, 0.8
 #: Words from which a question alone makes a leak.
 QUESTION_WORDS = 13
-#: Items in one index, which is broadcast; more items are searched in several passes.
-MAX_ITEMS = 50_000
+#: Items in one index, which is broadcast; more items are searched in several passes. Texts searched together.
+MAX_ITEMS, TEXTS = 50_000, 500
 
 _not_word = re.compile(r"[\W_]+")
 
@@ -70,22 +76,27 @@ def _shingles(ids: np.ndarray) -> tuple[int, np.ndarray]:
     return size, np.unique(_grams(ids, size)) if size else np.zeros(0, np.uint64)
 
 
+@dataclass
+class Level:
+    """Postings by blocks of items: term t has the blocks, and the largest impacts in them, from starts[t] to starts[t + 1]."""
+
+    size: int
+    count: int
+    starts: np.ndarray
+    blocks: np.ndarray
+    maxima: np.ndarray
+    #: Term and block of each posting as one number, ascending.
+    keys: np.ndarray
+
+
 @dataclass
 class Index:
-    """Test items as an inverted index with impacts, blocks and thresholds."""
+    """Test items as an inverted index with impacts in blocks; impacts are shares of their item's threshold."""
 
     item_ids: list
     terms: dict[str, int]
-    #: Postings by term: offsets, items and impacts.
-    starts: np.ndarray
-    items: np.ndarray
-    impacts: np.ndarray
-    #: The same by block of items, with the largest impact in the block.
-    block_starts: np.ndarray
-    blocks: np.ndarray
-    block_max: np.ndarray
+    levels: list[Level]
     threshold: np.ndarray
-    block_threshold: np.ndarray
     question: list[tuple[int, np.ndarray]]
     answer: list[tuple[int, np.ndarray]]
     whole: list[tuple[int, np.ndarray]]
@@ -161,25 +172,35 @@ def build_index(items: list[tuple[int, str | None]], statistics: Statistics | No
     held, total = (np.array([statistics.holding[w] for w in terms], float), statistics.items) if statistics else (df, n)
     idf = np.log1p((total - held + 0.5) / (held + 0.5))
     impact = idf[term_of] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item_of] / mean)) if n else np.zeros(0)
-    order = np.lexsort((item_of, term_of))
+    order = np.lexsort((term_of, item_of))
     term_of, item_of, impact = term_of[order], item_of[order], impact[order]
-    starts = np.concatenate([[0], np.cumsum(np.bincount(term_of, minlength=len(terms)))])
-    pair = term_of * (n // BLOCK + 1) + item_of // BLOCK
-    firsts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
-    block_max = np.maximum.reduceat(impact, firsts) if len(firsts) else np.zeros(0)
-    block_starts = np.concatenate([[0], np.cumsum(np.bincount(term_of[firsts], minlength=len(terms)))])
+    by_item = np.searchsorted(item_of, np.arange(n + 1))
     marks = [[_shingles(np.array([terms[w] for w in ws], np.int64)) for ws in (q, a, q + a if q is not a else q)] for _, q, a in split]
     threshold = np.zeros(n)
     for k, x in enumerate(ids):
-        lo, hi = starts[x], starts[x + 1]
-        own = np.array([impact[a + np.searchsorted(item_of[a:b], k)] for a, b in zip(lo, hi, strict=True)])
+        own = impact[by_item[k] + np.searchsorted(term_of[by_item[k] : by_item[k + 1]], x)]
         _, q, a = split[k]
         threshold[k] = THRESHOLD * _lowest_form(x, own, len(q) if q is not a else len(x), *[m for _, m in marks[k]])
-    block_threshold = np.minimum.reduceat(threshold, np.arange(0, n, BLOCK)) if n else np.zeros(0)
+    # Items with like thresholds share blocks, so that a short item's large shares do not loosen the bounds of long ones.
+    order = np.argsort(threshold, kind="stable")
+    place = np.argsort(order)
+    share, item_of = impact / threshold[item_of] if n else impact, place[item_of]
+    pick = lambda xs: [xs[k] for k in order.tolist()]
+    levels = [_level(size, n, len(terms), term_of, item_of, share) for size in BLOCKS]
     return Index(
-        [i for i, _, _ in split], terms, starts, item_of, impact, block_starts, item_of[firsts] // BLOCK, block_max, threshold, block_threshold,
-        [m[0] for m in marks], [m[1] for m in marks], [m[2] for m in marks], [len(q) for _, q, _ in split],
-    )
+        pick([i for i, _, _ in split]), terms, levels, threshold[order], *[pick([m[j] for m in marks]) for j in range(3)], pick([len(q) for _, q, _ in split])
+    )
+
+
+def _level(size: int, items: int, terms: int, term_of: np.ndarray, item_of: np.ndarray, share: np.ndarray) -> Level:
+    count = -(-items // size)
+    keys = term_of * count + item_of // size
+    order = np.argsort(keys, kind="stable")
+    keys, share = keys[order], share[order]
+    firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    keys, maxima = keys[firsts], np.maximum.reduceat(share, firsts) if len(firsts) else np.zeros(0)
+    starts = np.searchsorted(keys, np.arange(terms + 1) * count)
+    return Level(size, count, starts, keys % max(1, count), maxima, keys)
 
 
 class _Terms(dict):
@@ -197,42 +218,59 @@ class _Terms(dict):
         return value
 
 
-def _spread(starts: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each posting of each term: the term's place in the list, and the posting's index."""
-    counts = starts[terms + 1] - starts[terms]
-    at = np.repeat(np.arange(len(terms)), counts)
-    first = np.repeat(starts[terms], counts)
-    return at, first + np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from each lo to hi, and the place of the range that each is of."""
+    counts = hi - lo
+    at = np.repeat(np.arange(len(lo)), counts)
+    return at, np.arange(len(at)) + np.repeat(lo - (np.cumsum(counts) - counts), counts)
+
+
+def _reached(level: Level, passage: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, block, sum of maxima), ascending, of the blocks whose sum reaches the threshold, from ranges of postings."""
+    at, posting = _ranges(lo, hi)
+    cells, inverse = np.unique(passage[at] * level.count + level.blocks[posting], return_inverse=True)
+    bound = np.bincount(inverse, level.maxima[posting], len(cells))
+    good = bound >= 1 - 1e-9
+    return cells[good] // level.count, cells[good] % level.count, bound[good]
+
 
+def _runs(passage: np.ndarray, size: np.ndarray) -> Iterator[slice]:
+    """Slices of rows, without parting a passage, whose sizes sum up to POSTINGS at most but for a single passage."""
+    ends, a = np.cumsum(size), 0
+    while a < len(passage):
+        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + POSTINGS, "right"))
+        if b < len(passage):
+            b = int(np.searchsorted(passage, passage[b]))
+        b = b if b > a else int(np.searchsorted(passage, passage[a], "right"))
+        yield slice(a, b)
+        a = b
 
-def search(index: Index, ids: np.ndarray, passage_of: np.ndarray, passages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def search(index: Index, ids: np.ndarray, passage_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(passage, item, score) of all items that reach their threshold in a passage.
 
-    ids are the distinct terms of the passages in passage_of.
+    ids are the distinct terms of the passages in passage_of, which ascend.
     """
-    n_blocks = len(index.block_threshold)
-    none = np.zeros(0, np.int64)
-    if not n_blocks or not len(ids):
-        return none, none, np.zeros(0)
-    at, posting = _spread(index.block_starts, ids)
-    cell = passage_of[at] * n_blocks + index.blocks[posting]
-    cells, inverse = np.unique(cell, return_inverse=True)
-    bound = np.bincount(inverse, index.block_max[posting])
-    alive = cells[bound >= index.block_threshold[cells % n_blocks] - 1e-9]
-    if not len(alive):
-        return none, none, np.zeros(0)
-    some = np.isin(passage_of, alive // n_blocks)
-    ids, passage_of = ids[some], passage_of[some]
-    at, posting = _spread(index.starts, ids)
-    cell = passage_of[at] * n_blocks + index.items[posting] // BLOCK
-    keep = np.isin(cell, alive)
-    at, posting = at[keep], posting[keep]
-    pair = passage_of[at] * len(index.item_ids) + index.items[posting]
-    pairs, inverse = np.unique(pair, return_inverse=True)
-    score = np.bincount(inverse, index.impacts[posting])
-    passage, item = pairs // len(index.item_ids), pairs % len(index.item_ids)
-    good = score >= index.threshold[item] - 1e-9
-    return passage[good], item[good], score[good]
+    top, out = index.levels[0], [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    lo, hi = (top.starts[ids], top.starts[ids + 1]) if top.count else (np.zeros(0, np.int64),) * 2
+    for rows in _runs(passage_of[: len(lo)], hi - lo):
+        found = [_reached(top, passage_of[rows], lo[rows], hi[rows])]
+        for before, level in zip(index.levels, index.levels[1:], strict=False):
+            # The terms of each passage that is left, for each of its blocks: their postings in that block.
+            parts, below = before.size // level.size, []
+            for passage, block, _ in found:
+                first, last = np.searchsorted(passage_of, passage), np.searchsorted(passage_of, passage, "right")
+                for some in _runs(passage, last - first):
+                    at, term = _ranges(first[some], last[some])
+                    base, own = ids[term] * level.count, block[some][at] * parts
+                    a = np.searchsorted(level.keys, base + np.minimum(own, level.count))
+                    b = np.searchsorted(level.keys, base + np.minimum(own + parts, level.count))
+                    has = b > a
+                    below.append(_reached(level, passage[some][at][has], a[has], b[has]))
+            found = below
+        out += found
+    passage, block, bound = (np.concatenate(x) for x in zip(*out, strict=True))
+    return passage, block, bound * index.threshold[block] if len(block) else bound
 
 
 def leaks(index: Index, texts: list[bytes | None], known: _Terms) -> list[tuple[int, int, float, float, float, float]]:
@@ -260,7 +298,7 @@ def leaks(index: Index, texts: list[bytes | None], known: _Terms) -> list[tuple[
     owner = np.concatenate(owner)
     size = len(index.terms)
     cells = np.unique(np.concatenate(passage_of) * size + np.concatenate(terms))
-    passage, item, score = search(index, cells % size, cells // size, count)
+    passage, item, score = search(index, cells % size, cells // size)
     best: dict[tuple[int, int], float] = {}
     for p, i, s in zip(passage.tolist(), item.tolist(), score.tolist(), strict=True):
         key = (int(owner[p]), i)
@@ -280,35 +318,46 @@ def leaks(index: Index, texts: list[bytes | None], known: _Terms) -> list[tuple[
     return out
 
 
-def indexes(benchmark: DataFrame, max_items: int = MAX_ITEMS) -> list[Index]:
-    """Indexes over all test items (item_id, text), of about max_items each: the driver reads one slice at a time.
+def indexes(benchmark: DataFrame, max_items: int = MAX_ITEMS) -> tuple[int, Iterator[Index]]:
+    """How many indexes of about max_items each hold all test items (item_id, text), and the indexes in turn.
 
-    Scores and thresholds are those of one index over all items.
+    The driver reads one slice at a time. Scores and thresholds are those of one index over all items.
     """
     shards = -(-benchmark.count() // max_items)
     slice_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, shards)))
     read = lambda k: [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").where(slice_of == k).collect()]
-    statistics = None
-    if shards > 1:
-        statistics = Statistics(0, 0, Counter())
+
+    def made() -> Iterator[Index]:
+        statistics = None
+        if shards > 1:
+            statistics = Statistics(0, 0, Counter())
+            for k in range(shards):
+                statistics.add([text for _, text in read(k)])
         for k in range(shards):
-            statistics.add([text for _, text in read(k)])
-    return [build_index(read(k), statistics) for k in range(shards)]
+            yield build_index(read(k), statistics)
 
+    return shards, made()
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
     """A row for each document and test item that leaked into it: doc_id, item_id, score, overlap, overlap_question, overlap_answer.
 
     Words are compared by their letters and digits in lower case, over whole texts. Null and empty texts and items
     have no leaks, repeated rows give repeated results, ties in score do not matter as all items above their
-    threshold are verified, and empty tables give no rows. Other columns are ignored.
+    threshold are verified, and empty tables give no rows. Ids may be of any type; other columns are ignored. More than
+    max_items test items are searched in passes, each written to the shared folder before the next index is made.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    item_type = benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, item_id {item_type}, score double, overlap double, overlap_question double, overlap_answer double"
+    item_type = benchmark.schema["item_id"].dataType
+    schema = f"doc_id {id_type}, item_id {item_type.simpleString()}, score double, overlap double, overlap_question double, overlap_answer double"
     found = None
-    for index in indexes(benchmark):
-        part = texts_of(docs).select("doc_id", "text").mapInArrow(_leak_rows(_Shared(docs.sparkSession, index), item_type), schema)
+    shards, made = indexes(benchmark, max_items)
+    for index in made:
+        shared = _Shared(docs.sparkSession, index)
+        part = texts_of(docs).select("doc_id", "text").mapInArrow(_leak_rows(shared, to_arrow_type(item_type)), schema)
+        if shards > 1:
+            part = stage_table(part, "leaks")
+            shared.broadcast.destroy()
         found = part if found is None else found.unionAll(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -328,18 +377,18 @@ class _Shared:
         return {"broadcast": self.broadcast, "id": self.id}
 
 
-def _leak_rows(shared, item_type: str):
+def _leak_rows(shared, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         known = hold(("terms", shared.id), lambda: _Terms(index.terms))
-        for batch in slices(batches, 500):
+        for batch in slices(batches, TEXTS):
             rows = leaks(index, raw_texts(batch["text"]), known)
             if rows:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["doc_id"].take(pa.array(cols[0])),
-                        pa.array([index.item_ids[i] for i in cols[1]], pa.int32() if item_type == "int" else pa.int64()),
+                        pa.array([index.item_ids[i] for i in cols[1]], item_type),
                         *[pa.array(c, pa.float64()) for c in cols[2:]],
                     ],
                     ["doc_id", "item_id", "score", "overlap", "overlap_question", "overlap_answer"],
@@ -348,16 +397,20 @@ def _leak_rows(shared, item_type: str):
     return run
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no test item; their columns stay as they are."""
-    for index in indexes(benchmark):
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
+    """The rows of docs that hold no test item; their columns stay as they are. Passes are as in find_leaks."""
+    shards, made = indexes(benchmark, max_items)
+    for index in made:
         shared = _Shared(docs.sparkSession, index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = hold(("terms", shared.id), lambda: _Terms(shared.value.terms))
-            for batch in slices(batches, 500):
+            for batch in slices(batches, TEXTS):
                 bad = {k for k, *_ in leaks(shared.value, raw_texts(batch["text"]), known)}
                 yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_()))
 
         docs = texts_of(docs).mapInArrow(run, docs.schema)
+        if shards > 1:
+            docs = stage_table(docs, "kept")
+            shared.broadcast.destroy()
     return docs
