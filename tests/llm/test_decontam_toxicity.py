@@ -127,13 +127,40 @@ def test_leak_edge_rows(spark, docs, items):
     assert decontam.find_leaks(rows, benchmark.limit(0)).count() == 0 and decontam.drop_leaks(rows, benchmark.limit(0)).count() == 5
 
 
+def subsequence_kernel(a, b, decay=toxicity.DECAY, n=3):
+    """The gap-weighted subsequence kernel by its dynamic programme, over whole words."""
+    inner = np.ones((len(a) + 1, len(b) + 1))
+    for _ in range(n - 1):
+        below, new = inner, np.zeros_like(inner)
+        for i in range(1, len(a) + 1):
+            row = 0.0
+            for j in range(1, len(b) + 1):
+                row = decay * row + (decay**2 * below[i - 1, j - 1] if a[i - 1] == b[j - 1] else 0.0)
+                new[i, j] = decay * new[i - 1, j] + row
+        inner = new
+    return sum(decay**2 * inner[i - 1, j - 1] for i in range(1, len(a) + 1) for j in range(1, len(b) + 1) if a[i - 1] == b[j - 1])
+
+
+def test_kernel_equals_its_dynamic_programme():
+    words = [toxicity.classes(w) for w in (b"idiot", b"idixot", b"banana", b"anagram", b"stupid", b"tpd")]
+    for a in words:
+        for b in words:
+            norm = toxicity._norm(len(a)) * toxicity._norm(len(b))
+            assert toxicity.kernel(toxicity.features(a), toxicity.features(b)) == pytest.approx(subsequence_kernel(a, b) / norm)
+
+
 def test_folded_weights_equal_the_kernel_expansion():
     words = [toxicity.classes(w) for w in (b"idiot", b"stupid", b"moron", b"house", b"garden", b"window", b"river")]
-    model = toxicity.train_words(words[:3], words[3:])
-    probe = toxicity.classes(b"idixot")
-    value = sum(v * model.weights[t] for t, v in toxicity.features(probe).items()) + model.bias
+    space = toxicity.Space(words)
+    beta = np.array([1.0, 2, -1, 0, 3, 0.5, -2])
+    model, probe = space.fold(beta, -0.5), toxicity.classes(b"idixot")
+    value = sum(x * toxicity.kernel(toxicity.features(probe), toxicity.features(w)) for x, w in zip(beta, words, strict=True)) - 0.5
     assert toxicity.decide(model, [probe])[0] == pytest.approx(value)
-    assert toxicity.kernel(toxicity.features(probe), toxicity.features(probe)) == pytest.approx(1, abs=0.2)
+    # With all words as landmarks coordinates give the kernel itself.
+    x = space.place(words)
+    assert (x @ x.T)[0, 2] == pytest.approx(toxicity.kernel(toxicity.features(words[0]), toxicity.features(words[2])), abs=1e-6)
+    trained = space.train(words[:3], words[3:])
+    assert (toxicity.decide(trained, words[:3]) > 0).all() and (toxicity.decide(trained, words[3:]) < 0).all()
 
 
 def labelled(n=600, seed=2):

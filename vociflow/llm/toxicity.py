@@ -1,10 +1,13 @@
 """Toxicity with a subsequence string kernel, Nystrom landmarks and a support vector machine (operator 3).
 
 Two words are similar by the letter triples that they have in common as subsequences: a triple counts less the more
-letters it spans, so that gaps and inserted characters cost something but do not hide a word. Landmark words span
-the kernel space (Nystrom), a linear support vector machine is trained in it on words of labelled sentences, and as
-the kernel's features are explicit, the machine folds into one weight for each triple. A text scores as its most
-toxic word; labels calibrate that to a probability.
+letters it spans, so that gaps and inserted characters cost something but do not hide a word. A word's similarities to
+landmark words are its place in the kernel space (Nystrom), in which a linear support vector machine is trained on
+labelled texts. Labels tell that a toxic text has a toxic word at least, and a clean one none (multiple instances): each
+text is represented by the word that the machine finds most toxic in it, and the machine learns again from these words,
+so that company does not hide an insult and no word is labelled by itself. As the kernel's features are explicit, the
+machine folds into one weight for each triple. A text scores as its most toxic word; labels calibrate that to a
+probability.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +27,10 @@ from vociflow.llm.common import hold, raw_texts, slices, stage_table, texts_of
 
 #: Labelled rows of each kind to learn from: the bound of the sample, taken by a hash of doc_id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
-#: Words of each kind to train on, and landmarks of each kind.
-TOXIC_WORDS, CLEAN_WORDS, LANDMARKS = 1500, 4500, 96
+#: Landmarks: words that go with toxic labels, and words by a hash. Toxic texts that hold a landmark of the first kind, at least.
+MARKED, OTHERS, LEAST_TEXTS = 96, 96, 2
+#: Times that the machine chooses each text's word and is trained again.
+ROUNDS = 4
 #: Letter classes; the decay of a subsequence with its span, the widest span, and the longest piece of a word.
 CLASSES, DECAY, SPAN, PIECE = 48, 0.6, 7, 20
 #: Words whose scores a worker keeps.
@@ -135,17 +141,27 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.cache = model, {}
 
-    def values(self, texts: list[bytes | None]) -> np.ndarray:
-        """The largest value of each text's words; the bias for texts without words."""
+    def _seen(self, texts: list[bytes | None]) -> list[set[bytes]]:
         sets = [text_words(t) for t in texts]
         new = list(set().union(*sets) - self.cache.keys()) if sets else []
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache = {}
             new = list(set().union(*sets))
         self.cache.update(zip(new, decide(self.model, [classes(w) for w in new]).tolist(), strict=True))
-        get = self.cache.__getitem__
+        return sets
+
+    def values(self, texts: list[bytes | None]) -> np.ndarray:
+        """The largest value of each text's words; the bias for texts without words."""
+        sets, get = self._seen(texts), self.cache.__getitem__
         return np.array([max(map(get, s), default=self.model.bias) for s in sets])
 
+    def words(self, texts: list[bytes | None]) -> list[bytes]:
+        """The most toxic piece of each text, as classes; empty for texts without words."""
+        sets, get = self._seen(texts), self.cache.__getitem__
+        words = [classes(max(sorted(s), key=get, default=b"")) for s in sets]
+        parts = [pieces(w) for w in words]
+        return [p[int(decide(self.model, p).argmax())] if len(p) > 1 else w for p, w in zip(parts, words, strict=True)]
+
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: each word (as classes) with the toxic and clean texts that hold it."""
@@ -167,41 +183,59 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, rounds: int = 40) -> tuple[np.ndarray, float]:
-    """A linear support vector machine by dual coordinate descent, with a constant feature for the bias."""
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, float]:
+    """A linear support vector machine with squared hinge loss, by Newton's method, with a constant feature for the bias."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    diagonal = (x * x).sum(1)
-    alpha, w = np.zeros(len(x)), np.zeros(x.shape[1])
-    rng = np.random.default_rng(7)
+    w, active = np.zeros(x.shape[1]), np.ones(len(x), bool)
+
+    def loss(w: np.ndarray) -> float:
+        return 0.5 * w @ w + c * (weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+
     for _ in range(rounds):
-        for i in rng.permutation(len(x)):
-            gradient = y[i] * (x[i] @ w) - 1
-            new = min(max(alpha[i] - gradient / diagonal[i], 0.0), c * weight[i])
-            if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
-                alpha[i] = new
+        own = x[active] * weight[active, None]
+        best = np.linalg.solve(np.eye(len(w)) + 2 * c * own.T @ x[active], 2 * c * own.T @ y[active])
+        step = 1.0
+        while step > 1e-6 and loss(w + step * (best - w)) > loss(w):
+            step /= 2
+        w = w + step * (best - w)
+        before, active = active, y * (x @ w) < 1
+        if (before == active).all():
+            break
     return w[:-1], float(w[-1])
 
 
-def train_words(toxic: list[bytes], clean: list[bytes], landmarks: int = LANDMARKS) -> Model:
-    """A machine from toxic and clean words (as classes), each in descending importance."""
-    words = [w for w in toxic + clean]
-    own = [features(w) for w in words]
-    chosen = [own[k] for k in (*range(min(landmarks, len(toxic))), *range(len(toxic), min(len(toxic) + landmarks, len(words))))]
-    if not toxic or not clean:
-        return Model(np.zeros(CLASSES**3), -1.0)
-    m = np.array([[kernel(a, b) for b in chosen] for a in chosen])
-    values, vectors = np.linalg.eigh(m)
-    keep = values > 1e-6 * values.max()
-    root = vectors[:, keep] / np.sqrt(values[keep])  # K^-1/2 up to a rotation
-    x = np.array([[kernel(f, b) for b in chosen] for f in own]) @ root
-    y = np.array([1.0] * len(toxic) + [-1.0] * len(clean))
-    beta, bias = _svm(x, y, np.where(y > 0, max(1.0, len(clean) / len(toxic) / 2), 1.0))
-    weights = np.zeros(CLASSES**3)
-    for gamma, f in zip(root @ beta, chosen, strict=True):
-        for triple, v in f.items():
-            weights[triple] += gamma * v
-    return Model(weights, bias)
+class Space:
+    """The kernel space that landmarks span: similarities to landmarks turn into coordinates."""
+
+    def __init__(self, landmarks: list[bytes]):
+        self.landmarks = [features(w) for w in landmarks]
+        values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in self.landmarks] for a in self.landmarks]))
+        keep = values > 1e-6 * values.max()
+        self.root = vectors[:, keep] / np.sqrt(values[keep])  # K^-1/2 up to a rotation
+        self.known: dict[bytes, np.ndarray] = {}
+
+    def place(self, words: list[bytes]) -> np.ndarray:
+        """Coordinates of words (as classes)."""
+        for w in words:
+            if w not in self.known:
+                own = features(w)
+                self.known[w] = np.array([kernel(own, f) for f in self.landmarks]) @ self.root
+        return np.array([self.known[w] for w in words])
+
+    def fold(self, beta: np.ndarray, bias: float) -> Model:
+        """A machine in this space as weights of letter triples."""
+        weights = np.zeros(CLASSES**3)
+        for gamma, f in zip(beta, self.landmarks, strict=True):
+            for triple, v in f.items():
+                weights[triple] += gamma * v
+        return Model(weights, bias)
+
+    def train(self, toxic: list[bytes], clean: list[bytes]) -> Model:
+        """A machine from the words that stand for toxic and for clean texts."""
+        y = np.array([1.0] * len(toxic) + [-1.0] * len(clean))
+        weight = np.where(y > 0, max(1.0, len(clean) / max(1, len(toxic)) / 2), 1.0)
+        beta, bias = _svm(self.place(toxic + clean), y, weight)
+        return self.fold(self.root @ beta, bias)
 
 
 def calibrate(model: Model, value: np.ndarray, label: np.ndarray) -> Model:
@@ -222,47 +256,58 @@ def calibrate(model: Model, value: np.ndarray, label: np.ndarray) -> Model:
     return Model(model.weights, model.bias, max(0.1, float(a)), float(b))
 
 
+#: The model of a corpus without labels of both kinds: nothing is toxic.
+NOTHING = Model(np.zeros(CLASSES**3), -1.0)
+
+
 def learn(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model:
     """Learn from labelled rows where allowed (a condition on doc_id) holds.
 
     A bounded sample of labelled rows is used, SAMPLE_TOXIC and SAMPLE_CLEAN at most, chosen by a hash of doc_id; of a
-    doc_id with several labels the largest counts. Only doc_id, text and toxic are read.
+    doc_id with several labels the largest counts. Only doc_id, text and toxic are read. The driver gets the landmarks
+    and a word of each text of the sample.
     """
     known = labels.where(allowed & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     taken = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     sample = stage_table(taken[0].unionAll(taken[1]), "labels")
-    # Kept for two reads: the sample's words and, with the machine learnt, its values.
+    # Kept for the reads that follow: the sample's words, and the words that stand for its texts in each round.
     texts = stage_table(texts_of(docs).select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("text", "toxic"), "labelled")
     counts = texts.mapInArrow(_word_counts, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = stage_table(counts.where(F.octet_length("word") >= 3), "words")
     sides = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    toxic_texts, clean_texts = sides.get(1, 0), sides.get(0, 0)
-    if not toxic_texts or not clean_texts:
-        return Model(np.zeros(CLASSES**3), -1.0)
-    # Letter runs that toxic texts have and clean ones lack: a run's count must be too large for chance.
-    text = F.decode("word", "ISO-8859-1")
-    run = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 3, F.lit(1))), lambda i: F.substring(text, i, 4))))
-    runs = counts.select(run.alias("run"), "clean", "toxic").groupBy("run").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    share = toxic_texts / (toxic_texts + clean_texts)
+    if not sides.get(1) or not sides.get(0):
+        return NOTHING
+    share = sides[1] / (sides[1] + sides[0])
+    # How much more often toxic texts hold a word than by chance: landmarks are placed where labels differ, and at random.
     surprise = F.col("toxic") * F.log(F.col("toxic") / (F.col("toxic") + F.col("clean")) / share)
-    marked = runs.where((F.col("toxic") > 0) & (F.col("clean") * 30 <= F.col("toxic"))).where(surprise > 12)
-    marked = [r["run"] for r in marked.orderBy(F.desc("toxic"), "run").limit(1000).collect()]
-    holds = F.arrays_overlap(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 3, F.lit(1))), lambda i: F.substring(text, i, 4)), F.lit(marked or ["-"]))
-    pure = holds & (F.col("clean") * 10 <= F.col("toxic"))
-    pick = lambda rows, by, n: [bytes(r["word"]) for r in rows.orderBy(F.desc(by), "word").limit(n).collect()]
-    toxic = pick(counts.where(pure), "toxic", TOXIC_WORDS)
-    rest = counts.where(~holds & (F.col("clean") > 0))
-    frequent = pick(rest, "clean", CLEAN_WORDS // 3)
-    others = [bytes(r["word"]) for r in rest.orderBy(F.xxhash64("word"), "word").limit(CLEAN_WORDS - CLEAN_WORDS // 3).collect()]
-    model = train_words(toxic, list(dict.fromkeys(frequent + others)))
-    scorer = Scorer(model)
-
-    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 500):
-            yield pa.RecordBatch.from_arrays([pa.array(scorer.values(raw_texts(batch["text"]))), batch["toxic"]], ["value", "toxic"])
-
-    seen = texts.mapInArrow(values, "value double, toxic int").toPandas()
-    return calibrate(model, seen["value"].to_numpy(), seen["toxic"].to_numpy().astype(float))
+    top = counts.where(f"toxic >= {LEAST_TEXTS}").select("word", surprise.alias("s")).orderBy(F.desc("s"), "word").limit(MARKED)
+    marked = {bytes(r["word"]): max(r["s"], 0.0) for r in top.collect()}
+    others = [bytes(r["word"]) for r in counts.orderBy(F.xxhash64("word"), "word").limit(OTHERS).collect()]
+    if not marked:
+        return NOTHING
+    space = Space([*marked, *(w for w in others if w not in marked)])
+
+    def judged(model: Model, column: str, kind: str, of) -> pd.DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer = Scorer(model)
+            for batch in slices(batches, 500):
+                yield pa.RecordBatch.from_arrays([pa.array(of(scorer, raw_texts(batch["text"]))), batch["toxic"]], [column, "toxic"])
+
+        return texts.mapInArrow(run, f"{column} {kind}, toxic int").toPandas()
+
+    # At first the word that is most similar to landmarks of the marked kind, by their surprise, stands for its text.
+    model = space.fold(np.array([*marked.values(), *[0.0] * (len(space.landmarks) - len(marked))]), 0.0)
+    clean: set[bytes] = set(others)
+    for _ in range(ROUNDS):
+        found = judged(model, "word", "binary", Scorer.words)
+        words = [bytes(w) for w in found["word"]]
+        toxic = [w for w, t in zip(words, found["toxic"], strict=True) if t and w]
+        clean |= {w for w, t in zip(words, found["toxic"], strict=True) if not t and w}  # what was found before still counts
+        if not toxic:
+            return NOTHING
+        model = space.train(toxic, sorted(clean))
+    found = judged(model, "value", "double", Scorer.values)
+    return calibrate(model, found["value"].to_numpy(), found["toxic"].to_numpy().astype(float))
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
