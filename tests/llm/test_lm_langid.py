@@ -86,11 +86,55 @@ def test_without_training_rows_or_any_rows(docs):
 
 
 def test_bundles_are_sums_of_bound_letters():
-    vectors, lettered = langid.bundle(["ab", None, "", "12", "Ab"], 64)
+    vectors, sizes = langid.bundle(["ab", None, "", "12", "Ab"], 64)
     rolled = lambda c, k: np.roll(langid._letter_vector(ord(c), 64), k).astype(int)
     expected = rolled(" ", 2) * rolled("a", 1) * rolled("b", 0) + rolled("a", 2) * rolled("b", 1) * rolled(" ", 0)
     assert vectors[0].tolist() == expected.tolist() == vectors[4].tolist()
-    assert lettered.tolist() == [True, False, False, False, True] and not vectors[1:4].any()
+    assert sizes.tolist() == [2, 0, 0, 0, 2] and not vectors[1:4].any()
+
+
+def test_many_letters_in_bounded_memory(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = ["".join(chr(0x4E00 + k) for k in rng.integers(0, 8000, 300)) for _ in range(6)] + ["plain letters"]
+    whole, _ = langid.bundle(texts, 128)
+    monkeypatch.setattr(langid, "CODES", 100)
+    parts, sizes = langid.bundle(texts, 128)
+    assert np.array_equal(whole, parts) and sizes[0] == 300
+
+    def peak(n):
+        import tracemalloc
+
+        tracemalloc.start()
+        langid.bundle(["".join(chr(0x4E00 + k) for k in rng.integers(0, 20000, 2000)) for _ in range(n)])
+        found = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found / 1e6
+
+    monkeypatch.setattr(langid, "CODES", 4096)
+    assert peak(40) < 120
+
+
+def test_prototypes_equal_plain_sums(spark, docs, monkeypatch):
+    monkeypatch.setattr(langid, "CODES", 7)
+    rows = [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, "a dog", "en"), (4, None, "de"), (5, "x", None)]
+    langs, prototypes = langid.learn_prototypes(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langs == ["de", "en"]
+    vectors, _ = langid.bundle([t for _, t, _ in rows])
+    for lang, found in zip(langs, prototypes, strict=True):
+        total = sum(vectors[k] for k, (_, t, x) in enumerate(rows) if x == lang and t)
+        assert found == pytest.approx(total / np.linalg.norm(total), abs=1e-6)
+
+
+def test_filter_rejects_other_languages_and_random_letters(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 400").select("doc_id", "text", "lang")
+    langs, prototypes = langid.learn_prototypes(table)
+    rng = np.random.default_rng(2)
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan oikeuksiltaan heille on annettu järki omatunto heidän toimittava toisiaan kohtaan".split()
+    word = lambda: "".join(chr(97 + k) for k in rng.integers(0, 26, rng.integers(3, 10)))
+    bad = [(10_000 + k, " ".join(rng.choice(finnish, 80)) if k % 2 else " ".join(word() for _ in range(80)), "en") for k in range(40)]
+    both = table.unionByName(spark.createDataFrame(bad, table.schema))
+    kept = {r["doc_id"] for r in langid.keep_known_languages(both, langs, prototypes).collect()}
+    assert kept == {r["doc_id"] for r in table.collect()}
 
 
 def test_languages_of_held_out_documents(spark, duck, sf_dir):

@@ -18,14 +18,15 @@ from vociflow.llm.common import hold, slices, texts_of
 
 #: Dimensions of the vectors, and the seed of the letters' random vectors.
 DIMENSIONS, SEED = 1024, 20241
-#: Texts whose trigram vectors are made together.
-TEXTS = 400
+#: Texts that are read together, and distinct trigrams whose vectors are made together: bounds memory in any script.
+TEXTS, CODES = 400, 16_384
 #: Languages that may be learnt: bounds the model, of languages x DIMENSIONS numbers, on the driver and in tasks.
 MAX_LANGUAGES = 1000
 #: Predicted for texts without letters.
 UNKNOWN = "und"
-#: Cosine under which the filter rejects a text as no known language.
-MIN_SCORE = 0.2
+#: Cosine under which the filter rejects a text as no known language, if it has so many trigrams or more; the fewer it has,
+#: the more its cosine is left to chance, and the bound falls with the root of their number.
+MIN_SCORE, MIN_TRIGRAMS = 0.22, 250
 
 _space = np.uint32(32)
 
@@ -81,15 +82,18 @@ def bind(codes: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
 
 
 def bundle(texts: list[str | None], dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
-    """The vector of each text, and whether it has a letter."""
+    """The vector of each text, and its number of trigrams."""
     each = [np.unique(trigrams(t), return_counts=True) for t in texts]
     codes = np.unique(np.concatenate([c for c, _ in each])) if each else np.empty(0, np.int64)
-    vectors = bind(codes, dimensions)
     out = np.zeros((len(texts), dimensions), np.float32)
-    for i, (own, counts) in enumerate(each):
-        if len(own):
-            out[i] = counts.astype(np.float32) @ vectors[np.searchsorted(codes, own)].astype(np.float32)
-    return out, np.array([len(c) > 0 for c, _ in each], bool)
+    for a in range(0, len(codes), CODES):
+        some = codes[a : a + CODES]
+        vectors = bind(some, dimensions)
+        for i, (own, counts) in enumerate(each):
+            lo, hi = (0, len(own)) if len(codes) <= CODES else np.searchsorted(own, (some[0], some[-1] + 1))
+            if hi > lo:
+                out[i] += counts[lo:hi].astype(np.float32) @ vectors[np.searchsorted(some, own[lo:hi])].astype(np.float32)
+    return out, np.array([int(n.sum()) for _, n in each], np.int64)
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,16 +102,19 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, TEXTS):
         each = [trigrams(t) for t in batch["text"].to_pylist()]
         langs = batch["lang"].to_pylist()
-        codes = np.unique(np.concatenate(each)) if each else np.empty(0, np.int64)
-        vectors = bind(codes)
-        for lang in set(langs):
-            own = np.concatenate([c for c, x in zip(each, langs, strict=True) if x == lang])
-            counts = np.bincount(np.searchsorted(codes, own), minlength=len(codes)).astype(np.float64)
-            sums[lang] = sums.get(lang, 0) + counts @ vectors.astype(np.float64)
+        numbers = {lang: k for k, lang in enumerate(dict.fromkeys(langs))}
+        owner = np.repeat([numbers[x] for x in langs], [len(c) for c in each])
+        codes, inverse = np.unique(np.concatenate(each), return_inverse=True)
+        for a in range(0, len(codes), CODES):
+            own = (inverse >= a) & (inverse < a + CODES)
+            size = min(CODES, len(codes) - a)
+            counts = np.bincount(owner[own] * size + inverse[own] - a, minlength=len(numbers) * size).reshape(-1, size)
+            # Whole numbers below 2^24 are exact in this type.
+            found = counts.astype(np.float32) @ bind(codes[a : a + size]).astype(np.float32)
+            for lang, total in zip(numbers, found, strict=True):
+                sums[lang] = sums.get(lang, 0) + total.astype(np.int64)
     for lang, total in sums.items():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(total)), pa.array(range(len(total)), pa.int32()), pa.array(total.astype(np.int64))], ["lang", "dim", "value"]
-        )
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total)), pa.array(range(len(total)), pa.int32()), pa.array(total)], ["lang", "dim", "value"])
 
 
 def learn_prototypes(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -127,15 +134,15 @@ def learn_prototypes(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     return list(wide.index), (wide.to_numpy() / np.maximum(norms, 1e-12)).astype(np.float32)
 
 
-def classify(texts: list[str | None], langs: list[str], prototypes: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Language and cosine (0 to 1) of each text; UNKNOWN and 0 for texts without letters or without a model."""
-    vectors, lettered = bundle(texts)
+def classify(texts: list[str | None], langs: list[str], prototypes: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, cosine (0 to 1) and number of trigrams of each text; UNKNOWN and 0 for texts without letters or without a model."""
+    vectors, sizes = bundle(texts)
     if not langs:
-        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), sizes
     cosines = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)) @ prototypes.T
     best = cosines.argmax(axis=1) if len(texts) else np.empty(0, int)
     score = np.clip(cosines.max(axis=1, initial=0.0), 0, 1).astype(float)
-    return [langs[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)], np.where(lettered, score, 0.0)
+    return [langs[b] if n else UNKNOWN for b, n in zip(best, sizes, strict=True)], np.where(sizes > 0, score, 0.0), sizes
 
 
 def predict_languages(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFrame:
@@ -148,18 +155,19 @@ def predict_languages(docs: DataFrame, langs: list[str], prototypes: np.ndarray)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, TEXTS):
-            found, score = classify(batch["text"].to_pylist(), langs, prototypes)
+            found, score, _ = classify(batch["text"].to_pylist(), langs, prototypes)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return texts_of(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double")
 
 
 def keep_known_languages(docs: DataFrame, langs: list[str], prototypes: np.ndarray, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of docs whose language is known: not UNKNOWN, and with a cosine of min_score at least."""
+    """The rows of docs whose language is known: not UNKNOWN, and with a cosine of min_score at least, less for short texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, TEXTS):
-            found, score = classify(batch["text"].to_pylist(), langs, prototypes)
-            yield batch.filter(pa.array([f != UNKNOWN and s >= min_score for f, s in zip(found, score, strict=True)], pa.bool_()))
+            found, score, sizes = classify(batch["text"].to_pylist(), langs, prototypes)
+            least = min_score * np.sqrt(np.minimum(1, sizes / MIN_TRIGRAMS))
+            yield batch.filter(pa.array([f != UNKNOWN and s >= m for f, s, m in zip(found, score, least, strict=True)], pa.bool_()))
 
     return texts_of(docs).mapInArrow(run, docs.schema)
