@@ -77,6 +77,66 @@ def test_url_rules(spark):
     assert url_rules.judge_urls(rows.limit(0)).count() == 0
 
 
+def adblock_fits(rule, url):
+    """Whether a rule of a filter list fits a URL, character by character."""
+    body = rule.removeprefix("@@")
+    if len(body) > 2 and body[0] == body[-1] == "/":
+        return bool(re.search(body[1:-1], url, re.I | re.S))
+    domain, start, end = body.startswith("||"), body.startswith("|") and not body.startswith("||"), body.endswith("|")
+    body = body.removeprefix("||").removeprefix("|").removesuffix("|").lower()
+    low = url.lower()
+
+    def at(i, k):
+        if k == len(body):
+            return i == len(low) if end else True
+        if body[k] == "*":
+            return any(at(j, k + 1) for j in range(i, len(low) + 1))
+        if body[k] == "^" and i == len(low):
+            return at(i, k + 1)
+        if i < len(low) and (not re.match(r"[0-9a-z_.%-]", low[i]) if body[k] == "^" else low[i] == body[k]):
+            return at(i + 1, k + 1)
+        return False
+
+    if domain:
+        m = re.match(r"[a-z][a-z0-9+.-]*://", low)
+        host = re.match(r"[^/?#]*", low[m.end() :])[0] if m else ""
+        places = [m.end(), *(m.end() + j + 1 for j, c in enumerate(host) if c == ".")] if m else []
+    else:
+        places = [0] if start else range(len(low) + 1)
+    return any(at(i, 0) for i in places)
+
+
+@pytest.mark.parametrize("broadcast_rows", [200_000, 10])
+def test_thousands_of_rules_from_a_list(spark, tmp_path, monkeypatch, broadcast_rows):
+    import random
+
+    from vociflow.llm import common
+
+    monkeypatch.setattr(url_rules, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast_rows)
+    rng = random.Random(4)
+    names = [f"n{rng.randrange(900)}" for _ in range(900)]
+    pick = lambda: rng.choice(names)
+    kinds = [
+        lambda: f"||{pick()}.com^", lambda: f"/{pick()}/{pick()}^", lambda: f"&{pick()}=", lambda: f"{pick()}/{pick()}", lambda: f"/{pick()}*{pick()}|", lambda: f"|http://{pick()}.org/", lambda: f"@@||{pick()}.org^*/{pick()}/",
+    ]
+    rules = [rng.choice(kinds)() for _ in range(3000)] + ["/x[0-9]{3}y/", "@@/Q(1|2)z/", "a.b|c", "b*^"]
+    path = tmp_path / "rules.txt"
+    path.write_text("\n".join(["! comment", "[Adblock]", "example.com##.ad", "||h.com^$third-party", "", *rules]))
+    urls = [f"http://{pick()}.{rng.choice(['com', 'org', 'com.x'])}/{pick()}/{pick()}{rng.choice(['', '/', '?a=1&' + pick() + '=2', '/' + pick(), 'x123Y', '/q1Z'])}" for _ in range(400)] + [None, "", "nothing", "http://A.b|c", "HTTP://N1.com"]
+    table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = url_rules.read_rules(spark, "file://" + str(path))
+    assert found.count() == len(set(rules))
+    hosts = url_rules.rules_table(spark, pattern_rules=(), any_token=(), host_rules=[("allow", f"{n}.com.x", "/") for n in names[:50]])
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_rules.judge_urls(table, found.unionByName(hosts)).collect()}
+    for k, u in enumerate(urls):
+        fit = [r for r in rules if adblock_fits(r, u or "")]
+        own = "block" if fit and not any(r.startswith("@@") for r in fit) else "allow"
+        host = next((f"{n}.com.x/" for n in names[:50] if (u or "").startswith(f"http://{n}.com.x/")), None)
+        assert got[k] == (host, "allow" if host else own), (u, fit)
+    assert {"block", "allow"} == {v for _, v in got.values()}
+
+
 def plain_measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]

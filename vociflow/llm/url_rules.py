@@ -2,6 +2,7 @@
 
 Every rule is a regular expression with literal tokens that any URL it fits must hold. The index has each rule once,
 under the one of its tokens that the fewest URLs hold; a URL's tokens fetch the rules to try, and only those are run.
+Rules come from tables, or from filter lists in the syntax that ad blockers share.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vociflow.llm.common import BROADCAST_ROWS
+from vociflow.llm.common import BROADCAST_ROWS, small_join
 
 #: (verdict, host, path): a rule fits its host and all subdomains if the URL's path starts with the rule's.
 HOST_RULES = (
@@ -34,6 +35,9 @@ ANY_TOKEN = (True, True, True, False)
 #: Salts of the join with an index too large to broadcast.
 SALTS = 32
 
+#: Fetches the rules that need no token; every URL has it.
+NO_TOKEN = "*"
+
 RULE = "rule string, verdict string, pattern string, own boolean, length int, tokens array<string>"
 
 
@@ -55,6 +59,31 @@ def rules_table(spark: SparkSession, host_rules: Sequence = HOST_RULES, pattern_
     return spark.createDataFrame(rows, RULE)
 
 
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Pattern rules from filter lists, a rule a line: * is any text, ^ a separator or the end, | an end of the URL, || the
+    begin of a domain, /.../ a regular expression, and @@ before a rule makes it an exception. Letter case does not count.
+
+    Comments (! or [), element rules (with ##, #@# or #?#) and rules with options ($) are left out, as a URL alone does not
+    tell whether they hold. A rule's tokens are its runs of letters and digits that other literal characters bound.
+    """
+    line = F.trim("value")
+    lines = spark.read.text(path).select(line.alias("rule")).where("rule <> ''").where(~F.col("rule").rlike(r"^[!\[]|#[@?]?#")).distinct()
+    rows = lines.select("rule", F.regexp_replace("rule", "^@@", "").alias("body")).withColumn("is_regex", F.col("body").rlike("^/.+/$"))
+    rows = rows.where(F.col("is_regex") | ~F.contains("body", F.lit("$")))
+    text = F.regexp_replace("body", r"([\\.+?{}()\[\]])", r"\\$1")
+    for what, by in (
+        (r"^\|\|", r"\\A[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*[.])?"), (r"^\|", r"\\A"), (r"\|$", r"\\z"), (r"\|", r"[|]"), (r"(?<!\[)\^", r"(?:[^0-9A-Za-z_.%-]|\\z)"), (r"(?<![\])])\*", ".*"),
+    ):
+        text = F.regexp_replace(text, what, by)
+    pattern = F.concat(F.lit("(?is)"), F.when(F.col("is_regex"), F.expr("substring(body, 2, length(body) - 2)")).otherwise(text))
+    tokens = F.regexp_extract_all(F.lower("body"), F.lit("(?<=[^0-9a-z*])([0-9a-z]+)(?=[^0-9a-z*])"), F.lit(1))
+    none = F.array().cast("array<string>")
+    return rows.select(
+        "rule", F.when(F.startswith("rule", F.lit("@@")), "allow").otherwise("block").alias("verdict"), pattern.alias("pattern"), F.lit(True).alias("own"), F.length("rule").alias("length"),
+        F.when(F.col("is_regex"), none).otherwise(F.array_distinct(tokens)).alias("tokens"),
+    )
+
+
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a URL; both are empty without a '://'."""
     rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://(.*)$", 1)
@@ -68,10 +97,11 @@ def _tokens(url: Column) -> Column:
 
 
 def index_rules(rules: DataFrame, urls: DataFrame) -> DataFrame:
-    """Each rule with the token, of those it needs, that the fewest of the URLs (rows with tokens) hold."""
-    needed = rules.select("rule", "verdict", "pattern", "own", "length", F.posexplode("tokens").alias("place", "token"), F.col("tokens").alias("group"))
+    """Each rule with the token, of those it needs, that the fewest of the URLs (rows with tokens) hold; NO_TOKEN if it needs none."""
+    group = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit(NO_TOKEN)))
+    needed = rules.select("rule", "verdict", "pattern", "own", "length", F.posexplode(group).alias("place", "token"), F.col("tokens").alias("group"))
     wanted = needed.select("token").distinct()
-    held = urls.select(F.explode("tokens").alias("token")).join(F.broadcast(wanted), "token").groupBy("token").agg(F.count("*").alias("urls"))
+    held = small_join(urls.select(F.explode("tokens").alias("token")), wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("urls"))
     counted = needed.join(held, "token", "left")
     keys = ["rule", "verdict", "pattern", "own", "length", "group"]
     rarest = counted.groupBy(*keys).agg(F.min(F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "place", "token")).alias("least"))
@@ -82,7 +112,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Per page: page_id, host, path, rule and verdict.
 
     The longest host rule that fits wins (of equal ones the first by its text); where none fits, rule is null and the
-    pattern rules decide: block if one that blocks fits, else allow. Null URLs have an empty host and path and are
+    pattern rules decide: block if one that blocks fits and none that allows, else allow. Null URLs have an empty host and path and are
     allowed; repeated rows are all returned; empty tables give no rows; other columns are ignored.
     """
     spark = pages.sparkSession
@@ -92,7 +122,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     urls = pages.groupBy("page_id", "url").agg(F.count("*").alias("copies"))
     urls = urls.select("page_id", "url", "copies", host.alias("host"), path.alias("path"), _tokens(F.coalesce("url", F.lit(""))).alias("tokens"))
     index = index_rules(rules, urls)
-    tried = urls.withColumn("token", F.explode("tokens")).drop("tokens")
+    tried = urls.withColumn("token", F.explode(F.array_append("tokens", F.lit(NO_TOKEN)))).drop("tokens")
     if rules.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         tried = tried.join(F.broadcast(index), "token", "left")
     else:
@@ -101,7 +131,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     subject = F.when(F.col("own"), F.coalesce("url", F.lit(""))).otherwise(F.concat("host", "path"))
     fits = F.when(F.col("pattern").isNotNull(), F.regexp_like(subject, F.col("pattern")))
     best = F.min(F.when(fits & ~F.col("own"), F.struct((-F.col("length")).alias("rank"), "rule", "verdict")))
-    blocked = F.bool_or(F.coalesce(fits & F.col("own") & (F.col("verdict") == "block"), F.lit(False)))
+    says = lambda verdict: F.bool_or(F.coalesce(fits & F.col("own") & (F.col("verdict") == verdict), F.lit(False)))
+    blocked = says("block") & ~says("allow")
     judged = tried.groupBy("page_id", "url").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.first("copies").alias("copies"), best.alias("best"), blocked.alias("blocked"))
     verdict = F.coalesce("best.verdict", F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow")))
     out = judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
