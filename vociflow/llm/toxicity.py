@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vociflow.llm.common import hold, raw_texts, slices, stage_table, texts_of
+from vociflow.llm.common import hold, raw_texts, release, slices, stage_table, texts_of
 
 #: Labelled rows of each kind to learn from: the bound of the sample, taken by a hash of doc_id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
@@ -33,8 +33,8 @@ MARKED, OTHERS, LEAST_TEXTS = 96, 96, 2
 ROUNDS = 4
 #: Letter classes; the decay of a subsequence with its span, the widest span, and the longest piece of a word.
 CLASSES, DECAY, SPAN, PIECE = 48, 0.6, 7, 20
-#: Words whose scores a worker keeps.
-CACHE_WORDS = 200_000
+#: Words whose scores, and whose counts, a worker keeps; texts scored together.
+CACHE_WORDS, COUNTED_WORDS, TEXTS = 200_000, 200_000, 500
 #: Digits that stand for letters inside a word.
 LEET = str.maketrans("013457", "oieast")
 
@@ -163,6 +163,11 @@ class Scorer:
         return [p[int(decide(self.model, p).argmax())] if len(p) > 1 else w for p, w in zip(parts, words, strict=True)]
 
 
+def held_scorer(model: Model) -> Scorer:
+    """The worker's scorer for a model, kept between tasks; that of another model goes first."""
+    return hold(("toxicity", model.bias, model.slope, float(model.weights.sum())), lambda: Scorer(model))
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: each word (as classes) with the toxic and clean texts that hold it."""
     counts: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
@@ -177,10 +182,11 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = counts[label]
             for word in {p for w in text_words(text) for p in pieces(classes(w))}:
                 own[word] = own.get(word, 0) + 1
-        if len(counts[0]) + len(counts[1]) > 500_000:
+        if len(counts[0]) + len(counts[1]) > COUNTED_WORDS:
             yield flush()
             counts[0].clear(), counts[1].clear()
     yield flush()
+    release()
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, float]:
@@ -289,8 +295,8 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model:
 
     def judged(model: Model, column: str, kind: str, of) -> pd.DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer = Scorer(model)
-            for batch in slices(batches, 500):
+            scorer = held_scorer(model)
+            for batch in slices(batches, TEXTS):
                 yield pa.RecordBatch.from_arrays([pa.array(of(scorer, raw_texts(batch["text"]))), batch["toxic"]], [column, "toxic"])
 
         return texts.mapInArrow(run, f"{column} {kind}, toxic int").toPandas()
@@ -320,8 +326,8 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = hold(("toxicity", shared.value.bias, shared.value.slope), lambda: Scorer(shared.value))
-        for batch in slices(batches, 500):
+        scorer = held_scorer(shared.value)
+        for batch in slices(batches, TEXTS):
             score = scorer.model.probability(scorer.values(raw_texts(batch["text"])))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
