@@ -43,7 +43,7 @@ HOT = 1 << 18
 #: Pivots of a region, and the size up to which members that pivots do not part are compared by pairs.
 PIVOTS, SMALL_REGION = 8, 48
 
-#: Shingles of a cluster that one task joins; larger clusters are joined by regions, and those by blocks of documents.
+#: Shingles and documents of a cluster that one task joins; larger clusters are joined in rounds, and regions by blocks.
 CLUSTER_SHINGLES, BLOCK_DOCS = 6_000_000, 2_000
 #: Bytes of pivot sets that are broadcast; more are joined by region. Rounds of pivots for a large cluster.
 BROADCAST_PIVOTS, ROUNDS = 16 << 20, 4
@@ -457,7 +457,8 @@ def _grouped(docs: DataFrame, words: int, num: int, den: int, share: float | Non
     edges = small_join(window, centres, "key", "inner").select(F.col("node").alias("u"), "v")
     clusters = components(edges).withColumnRenamed("component", "cluster")
     members = stage_table(clusters.join(equal.select("node", "low", "doc_id", "n"), "node").withColumnRenamed("node", "high"), "members")
-    large = stage_table(members.groupBy("cluster").agg(F.sum("n").alias("n")).where(F.col("n") > cluster_shingles).select("cluster"), "large")
+    sizes = members.groupBy("cluster").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    large = stage_table(sizes.where((F.col("n") > cluster_shingles) | (F.col("docs") > block_docs)).select("cluster"), "large")
     to_sets, join = _join_clusters(words, num, den)
     sets = small_join(pairs, members, "doc_id", "inner").select("cluster", "text", "high", "low")
     blobs = sets.mapInArrow(to_sets, "cluster long, high long, low long, blob binary").where("blob is not null")
