@@ -141,15 +141,46 @@ def test_signals(spark):
 
 
 def test_bootstrap_needs_two_values_and_clusters():
-    rng = np.random.default_rng(1)
-    assert bootstrap.one_level(np.array([1.0]), rng, 100) is None
-    assert bootstrap.two_level(np.array([[1, 0, 0]]), rng, 10, 10) is None
-    low, high = bootstrap.one_level(np.arange(50.0), rng, 1000)
+    rng, one = np.random.default_rng(1), np.array([1])
+    assert bootstrap.one_level(np.array([1.0]), one, rng, 100) is None
+    assert bootstrap.two_level(np.array([[1, 0, 0]]), one, rng, 10, 10) is None
+    assert bootstrap.two_level(np.array([[0, 0, 0], [1, 0, 0]]), np.array([9, 1]), rng, 10, 10) is None
+    low, high = bootstrap.one_level(np.arange(50.0), np.ones(50, int), rng, 1000)
     assert low < 24.5 < high
-    (pl, ph), _ = bootstrap.two_level(np.array([[3, 1, 1], [1, 3, 1], [2, 2, 1]]), rng, 30, 30)
+    (pl, ph), _ = bootstrap.two_level(np.array([[3, 1, 1], [1, 3, 1], [2, 2, 1]]), np.ones(3, int), rng, 30, 30)
     assert 0 <= pl <= ph <= 1
 
 
+def test_bootstrap_of_counts_equals_that_of_rows():
+    """Distributions over many draws: counts of distinct values and kinds of clusters against rows drawn one by one."""
+    rng = np.random.default_rng(2)
+    values, times = np.array([1.0, 2.0, 5.0, 9.0]), np.array([4, 1, 3, 2])
+    rows = np.repeat(values, times)
+    plain = np.quantile(rows[rng.integers(0, 10, (100_000, 10))].mean(1), bootstrap.TAILS)
+    assert bootstrap.one_level(values, times, rng, 100_000) == pytest.approx(plain, abs=0.15)
+    assert bootstrap.one_level(values, times, rng, 100_000, "sum") == pytest.approx(10 * plain, abs=1.5)
+    counts, times = np.array([[2, 0, 0], [1, 1, 0], [2, 2, 0], [0, 1, 3], [0, 0, 1]]), np.array([2, 3, 1, 2, 1])
+    clusters = [np.repeat([0, 1, 2], c) for c, n in zip(counts, times, strict=True) for _ in range(n)]
+    found = []
+    for _ in range(4000):
+        chosen = rng.integers(0, len(clusters), len(clusters))
+        for _ in range(5):
+            drawn = np.concatenate([rng.choice(clusters[k], len(clusters[k])) for k in chosen])
+            found.append(((drawn == 0).mean(), (drawn == 2).mean()))
+    plain = np.quantile(np.array(found), bootstrap.TAILS, axis=0)
+    (pl, ph), (nl, nh) = bootstrap.two_level(counts, times, rng, 20_000, 5)
+    assert (pl, ph) == pytest.approx(plain[:, 0], abs=0.06) and (nl, nh) == pytest.approx(plain[:, 1], abs=0.06)
+
+
+def test_hashed_intervals_by_join_and_by_array_are_equal(spark):
+    rows = spark.createDataFrame([(k, k % 7 if k < 60 else 9, float(k * k % 31)) for k in range(61)], "id long, key long, x double")
+    wanted = {"mean": F.avg("x"), "total": F.sum("x")}
+    found = [sorted(map(tuple, bootstrap.hashed_intervals(rows, "key", "id", wanted, 200, array_rows=n).collect())) for n in (0, 8, 10_000)]
+    assert len(found[0]) == 7 and found[0] == [pytest.approx(r) for r in found[1]] == [pytest.approx(r) for r in found[2]]
+    mean = {r["key"]: r["m"] for r in rows.groupBy("key").agg(F.avg("x").alias("m")).collect()}
+    assert all(low < mean[k] < high for k, low, high, *_ in found[0])
+
+
 def test_beta_posterior_without_votes(spark):
     assert value(spark, topic.beta_posterior(F.lit(1), F.lit(1)))["mean"] == 0.5
 

@@ -1,8 +1,8 @@
 """Bootstrap confidence intervals.
 
-Two forms give the same kind of interval. The hashed form draws by a hash of (seed, author, iteration, draw), is made of
+Two forms give the same kind of interval. The hashed form draws by a hash of (seed, key, iteration, draw), is made of
 built-in functions alone, and can be checked value by value. The NumPy form draws with a generator seeded by (seed,
-author), so its results depend on neither cores nor partitions.
+author), so its results depend on neither cores nor partitions; it gets counts, not rows, wherever counts are enough.
 """
 
 from __future__ import annotations
@@ -15,29 +15,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TAILS = (0.025, 0.975)
+#: Rows of a key up to which its values travel as an array; the draws of a key with more rows are joined with them.
+ARRAY_ROWS = 10_000
+#: Modulus, multipliers and strides of the hash that draws.
+MODULUS, FIRST, SECOND, BY_ITERATION, BY_PLACE = 2147483647, 48271, 69621, 1000003, 7919
 
 
-def draw(seed: int, key: Column, iteration: Column, place: Column, n: Column) -> Column:
-    """The index, from 1, that a draw takes of n values: 32 bits of an MD5."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), iteration.cast("string"), place.cast("string")))
-    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), n.cast("long")) + 1
+def _start(seed: int, key: Column) -> Column:
+    """32 bits of an MD5 of seed and key."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"))), 1, 8), 16, 10).cast("long")
 
 
-def _indexed(values: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key)
-    return values.withColumns({"__i": F.row_number().over(w.orderBy(order)).cast("long"), "__n": F.count("*").over(w)})
+def _mixed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column of numbers below 2^31 that depend on all bits of value; step by step, so that none is computed twice."""
+    df = df.withColumn(name, F.pmod(F.pmod(value, F.lit(MODULUS)) * FIRST, F.lit(MODULUS)))
+    df = df.withColumn(name, F.col(name).bitwiseXOR(F.shiftright(name, 15)))
+    df = df.withColumn(name, F.pmod(F.col(name) * SECOND, F.lit(MODULUS)))
+    return df.withColumn(name, F.col(name).bitwiseXOR(F.shiftright(name, 13)))
 
 
-def hashed_intervals(values: DataFrame, key: str, order: str, statistics: dict[str, Column], iterations: int, seed: int = 42) -> DataFrame:
+def _drawn(df: DataFrame) -> DataFrame:
+    """df, with rows of an iteration (__h) of a key of __n rows and a place (__d), and the index from 0 that is drawn (__i)."""
+    return _mixed(df, "__x", F.col("__h") + F.col("__d") * BY_PLACE).withColumn("__i", F.shiftright(F.col("__x") * F.col("__n"), 31))
+
+
+def _iterations(df: DataFrame, seed: int, key: str, iterations: int) -> DataFrame:
+    """df, a row for each iteration (__b), with the hash that its draws go on from (__h)."""
+    rows = df.withColumn("__s", _start(seed, F.col(key))).withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))))
+    return _mixed(rows, "__h", F.col("__s") + F.col("__b") * BY_ITERATION)
+
+
+def hashed_intervals(values: DataFrame, key: str, order: str, statistics: dict[str, Column], iterations: int, seed: int = 42, array_rows: int = ARRAY_ROWS) -> DataFrame:
     """Percentile intervals of statistics over resampled rows, for keys with two rows or more (B1, B2).
 
-    statistics are aggregates over the columns of values. Each draw is a row, dealt by key and index, so that no
-    key's values are collected.
+    statistics are aggregates over the columns of values; order numbers a key's rows. The values of a key of array_rows
+    rows or fewer lie in one array, from which its draws pick in place; of a larger key draws and rows are joined, so that
+    no large group is collected. Both give the same intervals.
     """
-    rows = _indexed(values, key, order).where("__n >= 2")
-    draws = rows.select(key, F.col("__i").alias("__d"), "__n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("__b"))
-    draws = draws.select(key, "__b", draw(seed, F.col(key), F.col("__b"), F.col("__d") - 1, F.col("__n")).alias("__i"))
-    stats = draws.join(rows, [key, "__i"]).groupBy(key, "__b").agg(*[s.alias(n) for n, s in statistics.items()])
+    columns = [c for c in values.columns if c != key]
+    counted = values.groupBy(key).agg(F.count("*").alias("__n")).where("__n >= 2")
+    rows = values.join(counted, key)
+    few = rows.where(F.col("__n") <= array_rows).groupBy(key, "__n").agg(F.sort_array(F.collect_list(F.struct(order, *[c for c in columns if c != order]))).alias("__v"))
+    few = _iterations(few, seed, key, iterations).withColumn("__d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    few = _drawn(few).select(key, "__b", F.get("__v", F.col("__i").cast("int")).alias("__r")).select(key, "__b", "__r.*")
+    many = rows.where(F.col("__n") > array_rows).withColumn("__i", F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long") - 1)
+    draws = _drawn(_iterations(many.select(key, "__n", F.col("__i").alias("__d")), seed, key, iterations)).select(key, "__b", "__i")
+    many = draws.join(many, [key, "__i"]).select(key, "__b", *columns)
+    stats = few.unionByName(many).groupBy(key, "__b").agg(*[s.alias(n) for n, s in statistics.items()])
     out = [F.percentile(n, F.lit(t)).alias(f"{n}_{end}") for n in statistics for t, end in zip(TAILS, ("low", "high"), strict=True)]
     return stats.groupBy(key).agg(*out)
 
@@ -46,35 +70,50 @@ def _generator(seed: int, key) -> np.random.Generator:
     return np.random.default_rng([seed, zlib.crc32(str(key).encode())])
 
 
-def one_level(values: np.ndarray, rng: np.random.Generator, iterations: int, statistic: str = "mean") -> tuple[float, float] | None:
-    """The interval of a mean or sum; none for fewer than two values (B1). Draws are made in slices of bounded size."""
-    n = len(values)
+def one_level(values: np.ndarray, times: np.ndarray, rng: np.random.Generator, iterations: int, statistic: str = "mean") -> tuple[float, float] | None:
+    """The interval of a mean or sum of distinct values and how often each occurs; none for fewer than two (B1).
+
+    Draws with replacement are multinomial counts of the distinct values, made in slices of bounded size.
+    """
+    n = int(times.sum())
     if n < 2:
         return None
-    step = max(1, 2_000_000 // n)
-    parts = [values[rng.integers(0, n, (min(step, iterations - k), n))] for k in range(0, iterations, step)]
-    found = np.concatenate([p.mean(1) if statistic == "mean" else p.sum(1) for p in parts])
-    return tuple(np.quantile(found, TAILS))
+    step = max(1, 2_000_000 // len(values))
+    found = np.concatenate([rng.multinomial(n, times / n, min(step, iterations - k)) @ values for k in range(0, iterations, step)])
+    return tuple(np.quantile(found / n if statistic == "mean" else found, TAILS))
 
 
-def two_level(counts: np.ndarray, rng: np.random.Generator, outer: int, inner: int) -> tuple[tuple[float, float], tuple[float, float]] | None:
+def two_level(counts: np.ndarray, times: np.ndarray, rng: np.random.Generator, outer: int, inner: int) -> tuple[tuple[float, float], tuple[float, float]] | None:
     """Intervals of the positive and negative shares of clustered labels.
 
-    counts has a row (positive, neutral, negative) for each cluster. Clusters are drawn, then within each drawn one
-    as many labels as it has; empty clusters are left out, and fewer than two give none.
+    counts has a row (positive, neutral, negative) for each kind of cluster, and times the clusters of that kind.
+    Clusters are drawn, then within each drawn one as many labels as it has; as labels of equal clusters are drawn alike,
+    each kind is drawn at once. Empty clusters are left out, and fewer than two give none.
     """
-    counts = counts[counts.sum(1) > 0]
-    n = len(counts)
+    some = counts.sum(1) > 0
+    counts, times = counts[some], times[some]
+    n = int(times.sum())
     if n < 2:
         return None
-    sizes, shares = counts.sum(1), counts / counts.sum(1, keepdims=True)
+    sizes = counts.sum(1)
+    # Clusters whose labels have the same shares draw together; where all labels are equal there is nothing to draw.
+    shares, kind = np.unique(counts / sizes[:, None], axis=0, return_inverse=True)
+    into = np.zeros((len(sizes), len(shares)), np.int64)
+    into[np.arange(len(sizes)), kind.reshape(-1)] = sizes
+    open_ = shares.max(1) < 1
+    positive = shares[open_, 0]
+    negative = np.divide(shares[open_, 2], 1 - positive, out=np.zeros(len(positive)), where=positive < 1).clip(0, 1)
+    step = max(1, 1_000_000 // (inner * len(shares)))
     found = []
-    for _ in range(outer):
-        chosen = rng.integers(0, n, n)
-        drawn = rng.multinomial(np.tile(sizes[chosen], (inner, 1)), shares[chosen]).sum(1)
-        found.append(drawn / drawn.sum(1, keepdims=True))
+    for a in range(0, outer, step):
+        labels = rng.multinomial(n, times / n, min(step, outer - a)) @ into  # labels drawn with each share, by outer iteration
+        drawn = np.repeat(labels[:, None, open_], inner, 1)
+        p = rng.binomial(drawn, positive)
+        q = rng.binomial(drawn - p, negative)
+        sure = (labels[:, ~open_] @ shares[~open_])[:, None]
+        found.append((np.stack([p.sum(2) + sure[..., 0], q.sum(2) + sure[..., 2]], -1) / labels.sum(1)[:, None, None]).reshape(-1, 2))
     found = np.concatenate(found)
-    return tuple(np.quantile(found[:, 0], TAILS)), tuple(np.quantile(found[:, 2], TAILS))
+    return tuple(np.quantile(found[:, 0], TAILS)), tuple(np.quantile(found[:, 1], TAILS))
 
 
 INTERVALS = "author_id long, score string, low double, high double"
@@ -83,31 +122,37 @@ INTERVALS = "author_id long, score string, low double, high double"
 def intervals(samples: DataFrame, iterations: int = 1000, outer: int = 300, inner: int = 100, seed: int = 42) -> DataFrame:
     """Intervals of all scores (B4) from rows (author_id, score, kind, value, cluster, label).
 
-    kind is mean, sum, label or cluster; label rows give <score>_positive and <score>_negative, as cluster rows do.
+    kind is mean, sum, label or cluster; label rows give <score>_positive and <score>_negative, as cluster rows do. Rows
+    are counted before they are dealt: a task gets a score's distinct values, or its kinds of clusters by their labels.
     """
+    labels = ("POSITIVE", "NEUTRAL", "NEGATIVE")
+    of = [F.count_if(F.col("label") == x).alias(f"n{k}") for k, x in enumerate(labels)]
+    by = ["author_id", "score", "kind"]
+    none = [F.lit(0).cast("long").alias(f"n{k}") for k in range(3)]
+    values = samples.where(F.col("kind").isin("mean", "sum")).groupBy(*by, "value").agg(F.count("*").alias("times")).select(*by, "value", "times", *none)
+    judged = samples.where(~F.col("kind").isin("mean", "sum")).withColumn("cluster", F.when(F.col("kind") == "cluster", F.col("cluster")))
+    clusters = judged.groupBy(*by, "cluster").agg(*of).groupBy(*by, "n0", "n1", "n2").agg(F.count("*").alias("times"))
+    counted = values.unionByName(clusters.select(*by, F.lit(None).cast("double").alias("value"), "times", "n0", "n1", "n2"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         author, score, kind = pdf["author_id"].iloc[0], pdf["score"].iloc[0], pdf["kind"].iloc[0]
         rng = _generator(seed, f"{author}|{score}")
-        pdf = pdf.sort_values(["cluster", "value", "label"], kind="stable")
+        pdf = pdf.sort_values(["value", "n0", "n1", "n2"], kind="stable")
+        times, counts = pdf["times"].to_numpy(), pdf[["n0", "n1", "n2"]].to_numpy()
         out = []
         if kind in ("mean", "sum"):
-            if found := one_level(pdf["value"].to_numpy(float), rng, iterations, kind):
+            if found := one_level(pdf["value"].to_numpy(float), times, rng, iterations, kind):
                 out.append((author, score, *found))
         elif kind == "label":
-            labels = pdf["label"].dropna()
-            if len(labels) >= 2:
-                p = np.array([(labels == x).sum() for x in ("POSITIVE", "NEUTRAL", "NEGATIVE")])
-                drawn = rng.multinomial(p.sum(), p / p.sum(), iterations) / p.sum()
-                out += [(author, f"{score}_{n}", *np.quantile(drawn[:, k], TAILS)) for n, k in (("positive", 0), ("negative", 2))]
-        else:
-            table = pdf.dropna(subset=["label"])
-            counts = pd.crosstab(table["cluster"], table["label"]).reindex(columns=["POSITIVE", "NEUTRAL", "NEGATIVE"], fill_value=0)
-            if found := two_level(counts.to_numpy(), rng, outer, inner):
-                out += [(author, f"{score}_{n}", *f) for n, f in zip(("positive", "negative"), found, strict=True)]
+            n = counts.sum()
+            if n >= 2:
+                drawn = rng.multinomial(n, counts[0] / n, iterations) / n
+                out += [(author, f"{score}_{x}", *np.quantile(drawn[:, k], TAILS)) for x, k in (("positive", 0), ("negative", 2))]
+        elif found := two_level(counts, times, rng, outer, inner):
+            out += [(author, f"{score}_{x}", *f) for x, f in zip(("positive", "negative"), found, strict=True)]
         return pd.DataFrame(out, columns=["author_id", "score", "low", "high"])
 
-    return samples.groupBy("author_id", "score").applyInPandas(run, INTERVALS)
+    return counted.groupBy("author_id", "score").applyInPandas(run, INTERVALS)
 
 
 def score_samples(authors: DataFrame, posts: DataFrame, comments: DataFrame) -> DataFrame:

@@ -692,30 +692,34 @@ def cache_probe(s, d):
 
 # ---- inference
 
-_DRAWS = """v AS (SELECT %s AS key, %s AS x, row_number() OVER (PARTITION BY %s ORDER BY %s) AS i, count(*) OVER (PARTITION BY %s) AS n FROM %s),
-  draws AS (SELECT key, b, ('0x' || substr(md5(concat_ws('|', '42', key, b, i - 1)), 1, 8))::BIGINT %% n + 1 AS i FROM v, (SELECT unnest(range(0, %d)) AS b) WHERE n >= 2),
+_DRAWS = """v AS (SELECT %s AS key, %s AS x, row_number() OVER (PARTITION BY %s ORDER BY %s) - 1 AS i, count(*) OVER (PARTITION BY %s) AS n FROM %s),
+  y1 AS (SELECT key, n, b, (('0x' || substr(md5('42|' || key), 1, 8))::BIGINT + b * 1000003) %% 2147483647 * 48271 %% 2147483647 AS y FROM (SELECT DISTINCT key, n FROM v WHERE n >= 2), (SELECT unnest(range(0, 1000)) AS b)),
+  y2 AS (SELECT key, n, b, xor(y, y >> 15) * 69621 %% 2147483647 AS y FROM y1),
+  y3 AS (SELECT key, n, b, (xor(y, y >> 13) + d * 7919) %% 2147483647 * 48271 %% 2147483647 AS y FROM (SELECT *, unnest(range(0, n)) AS d FROM y2)),
+  y4 AS (SELECT key, n, b, xor(y, y >> 15) * 69621 %% 2147483647 AS y FROM y3),
+  draws AS (SELECT key, b, (xor(y, y >> 13) * n) >> 31 AS i FROM y4),
   st AS (SELECT key, b, %s FROM draws JOIN v USING (key, i) GROUP BY key, b)"""
 
 
-@query("+ " + _DRAWS % ("from_id", "k", "from_id", "id", "from_id", "posts", 50, "avg(x) AS m") + " SELECT key AS from_id, round(quantile_cont(m, 0.025), 9) AS mean_low, round(quantile_cont(m, 0.975), 9) AS mean_high FROM st GROUP BY 1", "p")
+@query("+ " + _DRAWS % ("from_id", "k", "from_id", "id", "from_id", "posts", "avg(x) AS m") + " SELECT key AS from_id, round(quantile_cont(m, 0.025), 9) AS mean_low, round(quantile_cont(m, 0.975), 9) AS mean_high FROM st GROUP BY 1", "p")
 def boot_mean_ci(s, d):
     """Intervals of a mean by author (B1)."""
-    return rounded(bootstrap.hashed_intervals(t.posts(s, d).select("id", "from_id", "k"), "from_id", "id", {"mean": F.avg("k")}, 50), 9)
+    return rounded(bootstrap.hashed_intervals(t.posts(s, d).select("id", "from_id", "k"), "from_id", "id", {"mean": F.avg("k")}, DEFAULT.bootstrap), 9)
 
 
-@query("+ " + _DRAWS % ("from_id", "k", "from_id", "id", "from_id", "posts", 50, "sum(x) AS m") + " SELECT key AS from_id, round(quantile_cont(m, 0.025), 9) AS total_low, round(quantile_cont(m, 0.975), 9) AS total_high FROM st GROUP BY 1", "p")
+@query("+ " + _DRAWS % ("from_id", "k", "from_id", "id", "from_id", "posts", "sum(x) AS m") + " SELECT key AS from_id, round(quantile_cont(m, 0.025), 9) AS total_low, round(quantile_cont(m, 0.975), 9) AS total_high FROM st GROUP BY 1", "p")
 def boot_sum_ci(s, d):
     """Intervals of a sum by author (B1)."""
-    return rounded(bootstrap.hashed_intervals(t.posts(s, d).select("id", "from_id", "k"), "from_id", "id", {"total": F.sum("k")}, 50), 9)
+    return rounded(bootstrap.hashed_intervals(t.posts(s, d).select("id", "from_id", "k"), "from_id", "id", {"total": F.sum("k")}, DEFAULT.bootstrap), 9)
 
 
-@query("+ lab AS (SELECT * FROM posts WHERE label IS NOT NULL), " + _DRAWS % ("from_id", "label", "from_id", "id", "from_id", "lab", 50, "avg((x = 'POSITIVE')::INT) AS p, avg((x = 'NEGATIVE')::INT) AS q")
+@query("+ lab AS (SELECT * FROM posts WHERE label IS NOT NULL), " + _DRAWS % ("from_id", "label", "from_id", "id", "from_id", "lab", "avg((x = 'POSITIVE')::INT) AS p, avg((x = 'NEGATIVE')::INT) AS q")
        + " SELECT key AS from_id, round(quantile_cont(p, 0.025), 9) AS positive_low, round(quantile_cont(p, 0.975), 9) AS positive_high, round(quantile_cont(q, 0.025), 9) AS negative_low, round(quantile_cont(q, 0.975), 9) AS negative_high FROM st GROUP BY 1", "p")
 def boot_label_ci(s, d):
     """Intervals of label shares by author (B2)."""
     rows = t.posts(s, d).where("label is not null").select("id", "from_id", "label")
     share = lambda x: F.avg((F.col("label") == x).cast("int"))
-    return rounded(bootstrap.hashed_intervals(rows, "from_id", "id", {"positive": share("POSITIVE"), "negative": share("NEGATIVE")}, 50), 9)
+    return rounded(bootstrap.hashed_intervals(rows, "from_id", "id", {"positive": share("POSITIVE"), "negative": share("NEGATIVE")}, DEFAULT.bootstrap), 9)
 
 
 def _intervals(s, d) -> DataFrame:
