@@ -110,22 +110,33 @@ def test_originality(spark, args, kind):
     assert value(spark, dedup.originality(*map(F.lit, args))) == kind
 
 
-def test_near_pairs_equal_all_pairs(spark):
+@pytest.mark.parametrize("least", [0.8, 0.9, 0.95])
+def test_near_pairs_equal_all_pairs(spark, least):
     rng = np.random.default_rng(3)
-    base = [[f"w{rng.integers(40)}" for _ in range(n)] for n in (8, 11, 25, 60)]
+    base = [[f"w{rng.integers(40)}" for _ in range(n)] for n in (3, 8, 11, 20, 25, 60)]
     rows = []
-    for k in range(60):
-        tokens = list(base[k % 4])
-        for _ in range(int(rng.integers(0, 4))):
-            tokens[int(rng.integers(len(tokens)))] = f"x{rng.integers(99)}"
+    for k in range(90):
+        tokens = list(base[k % 6])
+        for _ in range(int(rng.integers(0, 2 + len(tokens) // 5))):
+            at = int(rng.integers(len(tokens)))
+            tokens[at : at + int(rng.integers(0, 2))] = [f"x{rng.integers(99)}"] * int(rng.integers(0, 2))
         rows.append((k, int(rng.integers(0, 12)) * 86400, tokens))
+    twenty = [f"t{k}" for k in range(20)]
+    rows += [(500, 0, twenty), (501, 0, [f"u{k}" if k % 5 == 2 else f"t{k}" for k in range(20)])]
     df = spark.createDataFrame(rows, "id long, at long, tokens array<string>").withColumn("published_at", F.timestamp_seconds("at"))
     x, y = df.alias("x"), df.alias("y")
     order = F.struct("x.published_at", "x.id") < F.struct("y.published_at", "y.id")
-    pairs = x.join(y, order & (F.abs(F.col("x.at") - F.col("y.at")) <= 72 * 3600))
+    pairs = x.join(y, order & (F.abs(F.col("x.at") - F.col("y.at")) <= 72 * 3600) & (F.size("x.tokens") > 0) & (F.size("y.tokens") > 0))
     similarity = text.token_similarity(F.col("x.tokens"), F.col("y.tokens"))
-    expected = {(r[0], r[1]) for r in pairs.where(similarity >= 0.9 - 1e-12).select("x.id", "y.id").collect()}
-    assert {(r["a"], r["b"]) for r in dedup.near_pairs(df).collect()} == expected and expected
+    expected = {(r[0], r[1]) for r in pairs.where(similarity >= least - 1e-12).select("x.id", "y.id").collect()}
+    found = dedup.near_pairs(df, Params(near_similarity=least))
+    assert {(r["a"], r["b"]) for r in found.collect()} == expected and expected
+    assert ((500, 501) in expected) == (least == 0.8)
+
+
+def test_similarity_of_very_many_tokens(spark):
+    one, other = F.transform(F.sequence(F.lit(1), F.lit(43_000)), lambda k: k.cast("string")), F.lit("x")
+    assert value(spark, text.token_similarity(F.slice(one, 42_900, 100), F.concat(F.slice(one, 42_900, 99), F.array(other)))) == pytest.approx(0.99)
 
 
 def test_negation_window(spark):

@@ -142,8 +142,9 @@ def token_similarity(a: Column, b: Column) -> Column:
 
     def compare(x: Column, y: Column, names: Column) -> Column:
         def code(tokens: Column) -> Column:
-            point = lambda t: F.lpad(F.hex(F.array_position(names, t) + 13312), 4, "0")
-            return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(point(t)), "UTF-16BE")), "")
+            # Characters from 3400 on, and past the surrogates, which are no characters, from 10000 on (hexadecimal).
+            place = lambda t: let(F.array_position(names, t), lambda k: F.when(k < 41_984, k + 13_312).otherwise(k + 23_552))
+            return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex(place(t)), 8, "0")), "UTF-32")), "")
 
         longer = F.greatest(F.size(x), F.size(y))
         found = 1 - F.levenshtein(code(x), code(y)) / longer

@@ -9,8 +9,8 @@ from vociflow.functions import text
 from vociflow.params import DEFAULT, Params
 from vociflow.sources.store import running_first
 
-#: Words of the runs that near duplicates are found by; below SHORT words single words are used.
-RUN, SHORT = 5, 12
+#: Longest runs of words that near duplicates are found by.
+RUN = 5
 #: Weights of the originality kinds, for information.
 ORIGINALITY_WEIGHTS = {"ORIGINAL": 1.0, "REPOST_WITH_COMMENT": 0.5, "PURE_REPOST": 0.0, "DETECTED_COPY": 0.0, "MEDIA_ONLY": 0.25}
 
@@ -32,38 +32,66 @@ def exact_edges(posts: DataFrame, p: Params = DEFAULT) -> DataFrame:
     )
 
 
+def _parts(n: int, similarity: float) -> int:
+    """Equal parts of n words of which a list that is similar enough has one at least, whichever is the longer one."""
+    return int(n * (1 - similarity) / similarity + 1e-9) + 1
+
+
+def _run_lengths(similarity: float, most: int = 2000) -> dict[int, tuple[int, int | None]]:
+    """The run lengths that lists look for, each with the least and the greatest number of words of those lists.
+
+    A run is the beginning of a part, and no longer than it. From some length on all lists look for runs of one length.
+    """
+    found: dict[int, tuple[int, int | None]] = {}
+    for n in range(1, most):
+        run = max(1, min(RUN, n // _parts(n, similarity)))
+        found[run] = (found.get(run, (n, n))[0], n)
+    return {run: (lo, None if hi > most // 2 else hi) for run, (lo, hi) in found.items()}
+
+
 def near_pairs(posts: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """All pairs (a earlier, b) of posts with tokens whose similarity is at least the limit within the time window.
 
-    If two token lists differ in t places at most, one of t + 1 equal parts of the first is whole in the second: each
-    post names the beginnings of its own parts, and all runs of the other, within neighbouring time buckets. Pairs
-    that meet are compared once, with the exact distance.
+    If two token lists differ in t places at most, one of t + 1 equal parts of the first is whole in the second, at most t
+    places off: each post names the beginnings of its own parts, and all runs of the lengths that others may look for,
+    within neighbouring time buckets. Pairs that meet are compared once, with the exact distance.
     """
-    span = p.near_hours * 3600
+    span, least = p.near_hours * 3600, p.near_similarity
     rows = posts.select("id", "published_at", "tokens").withColumns({"n": F.size("tokens"), "bucket": F.floor(F.unix_timestamp("published_at") / span)}).where("n > 0")
     hashes = F.transform("tokens", lambda t: F.xxhash64(t))
-    long_run = lambda h, i: F.xxhash64(*[F.get(h, i + k) for k in range(RUN)])
-    parts = F.floor(F.col("n") * (1 - p.near_similarity) / p.near_similarity + 1e-9).cast("int") + 1
+    run_at = lambda h, i, run: F.xxhash64(*[F.get(h, i + k) for k in range(run)])
+    lengths = _run_lengths(least)
+    parts = F.floor(F.col("n") * (1 - least) / least + 1e-9).cast("int") + 1
     size = F.floor(F.col("n") / parts).cast("int")
-    starts = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: k * size)
-    none = F.array().cast("array<bigint>")
-    mine = text.let(hashes, lambda h: F.transform(starts, lambda i: F.when(F.col("n") < SHORT, F.get(h, i)).otherwise(long_run(h, i))))
-    ones = F.when(F.col("n") < 2 * SHORT, hashes).otherwise(none)
-    places = F.sequence(F.lit(0), F.greatest(F.col("n") - RUN, F.lit(0)))
-    runs = F.when(F.col("n") >= RUN, text.let(hashes, lambda h: F.transform(places, lambda i: long_run(h, i)))).otherwise(none)
-    left = rows.select(F.col("id").alias("x"), "n", F.explode(F.array_distinct(mine)).alias("run"), "bucket")
-    left = left.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
-    right = rows.select(F.col("id").alias("y"), F.col("n").alias("m"), F.explode(F.array_distinct(F.concat(ones, runs))).alias("run"), "bucket")
-    near_length = F.least("n", "m") >= p.near_similarity * F.greatest("n", "m") - 1e-9
-    met = left.join(right, ["run", "bucket"]).where((F.col("x") != F.col("y")) & near_length)
+    own = F.greatest(F.lit(1), F.least(F.lit(RUN), size))
+
+    def begins(h: Column) -> Column:
+        beginning = lambda i: F.coalesce(*[F.when(own == run, run_at(h, i, run)) for run in lengths])
+        return F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct((k * size).alias("at"), beginning(k * size).alias("run")))
+
+    def runs(h: Column, run: int, lo: int, hi: int | None) -> Column:
+        wanted = (F.col("n") >= run) & (F.col("n") >= lo * least - 1e-9)
+        if hi is not None:
+            wanted &= F.col("n") <= hi / least + 1e-9
+        places = F.sequence(F.lit(0), F.greatest(F.col("n") - run, F.lit(0)))
+        found = F.transform(places, lambda i: F.struct(i.alias("at"), run_at(h, i, run).alias("run")))
+        return F.when(wanted, found).otherwise(F.slice(found, 1, 0))
+
+    left = rows.select(F.col("id").alias("x"), "n", F.explode(text.let(hashes, begins)).alias("r"), "bucket")
+    left = left.select("x", "n", "r.run", F.col("r.at").alias("at"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    all_runs = text.let(hashes, lambda h: F.concat(*[runs(h, run, lo, hi) for run, (lo, hi) in lengths.items()]))
+    right = rows.select(F.col("id").alias("y"), F.col("n").alias("m"), F.explode(all_runs).alias("r"), "bucket").select("y", "m", "r.run", F.col("r.at").alias("place"), "bucket")
+    near_length = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9
+    near_place = F.abs(F.col("at") - F.col("place")) <= (1 - least) * F.greatest("n", "m") + 1e-9
+    met = left.join(right, ["run", "bucket"]).where((F.col("x") != F.col("y")) & near_length & near_place)
     pairs = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     side = lambda c: rows.select(F.col("id").alias(c), F.struct("published_at", "id").alias(f"{c}_at"), F.col("tokens").alias(f"{c}_tokens"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     both = both.where(F.abs(F.unix_timestamp("x_at.published_at") - F.unix_timestamp("y_at.published_at")) <= span)
     # Tokens that one side alone has are edits at least: most pairs that differ go without a distance.
     apart = F.greatest(F.size(F.array_except("x_tokens", "y_tokens")), F.size(F.array_except("y_tokens", "x_tokens")))
-    both = both.where(apart <= (1 - p.near_similarity) * F.greatest(F.size("x_tokens"), F.size("y_tokens")) + 1e-9)
-    found = both.withColumn("similarity", text.token_similarity(F.col("x_tokens"), F.col("y_tokens"))).where(F.col("similarity") >= p.near_similarity - 1e-12)
+    both = both.where(apart <= (1 - least) * F.greatest(F.size("x_tokens"), F.size("y_tokens")) + 1e-9)
+    found = both.withColumn("similarity", text.token_similarity(F.col("x_tokens"), F.col("y_tokens"))).where(F.col("similarity") >= least - 1e-12)
     earlier = F.least("x_at", "y_at")
     return found.select(earlier["id"].alias("a"), F.greatest("x_at", "y_at")["id"].alias("b"), "similarity")
 
