@@ -74,7 +74,7 @@ def test_batches_pad_and_retries_end():
         raise OSError
 
     with pytest.raises(OSError):
-        collection.with_retry(fails, attempts=3, sleep=lambda s: None, rng=random.Random(1))
+        collection.with_retry(fails, retries=2, sleep=lambda s: None, rng=random.Random(1))
     assert len(calls) == 3
 
 
@@ -91,15 +91,73 @@ def test_rate_limiter_waits():
     assert waits == [1.0]
 
 
-def test_wall_source_reads_pages(spark, tmp_path):
-    spark.dataSource.register(collection.WallSource)
-    got = spark.read.format("vociflow_wall").option("owners", "1,2").option("fetch", "test_sources:fake_wall").load()
-    if got.schema:
-        assert got.columns == ["id", "owner_id", "from_id", "date", "text"]
+def test_partitions_share_the_calls_that_are_allowed():
+    time = [0.0]
+    slow = collection.RateLimiter(0.5, lambda: time[0], lambda s: time.__setitem__(0, time[0] + s))
+    for _ in range(4):
+        slow.acquire()
+    assert time[0] == 6.0
+    reader = collection._RemoteReader({"keys": "1,2,3", "partitions": "2", "fetch": "m:f"}, "wall")
+    assert [(p.keys, p.share) for p in reader.partitions()] == [(["1", "3"], 1.0), (["2"], 1.0)]
 
 
-def fake_wall(owner, offset):
-    return ([{"id": owner * 10, "from_id": owner, "date": 5}] if offset == 0 else []), 1
+def test_flood_control_waits_longer_and_gives_up():
+    waits, answers = [], [9, 9, None, 9, 9, 9, 9]
+
+    def call():
+        code = answers.pop(0)
+        if code:
+            raise collection.RemoteError(code=code)
+        return "page"
+
+    flood = collection.FloodControl(sleep=waits.append)
+    assert flood.page(call) == "page" and waits == [10, 30] and flood.used == 0
+    assert flood.page(call) is None and waits == [10, 30, 10, 30, 60]
+
+
+def test_retries_wait_twice_as_long_and_leave_client_errors():
+    waits, answers = [], [503, 429, None]
+
+    def call():
+        status = answers.pop(0)
+        if status:
+            raise collection.RemoteError(status=status)
+        return 1
+
+    assert collection.with_retry(call, sleep=waits.append) == 1 and [int(w) for w in waits] == [2, 4]
+    for error in (collection.RemoteError(status=404), collection.RemoteError(code=9)):
+        with pytest.raises(OSError):
+            collection.with_retry(lambda e=error: (_ for _ in ()).throw(e), sleep=waits.append)
+    assert len(waits) == 2
+    with pytest.raises(OSError):
+        collection.with_retry(lambda: (_ for _ in ()).throw(collection.RemoteError(status=500)), 3, sleep=waits.append)
+    assert len(waits) == 5
+
+
+def fake_remote(key, at):
+    """A remote service: two pages of 2 rows, then an end; users and likes come by lists of keys."""
+    if isinstance(key, list):
+        return [None if k == "0" else {"id": int(k), "count": 3, "object_id": 5, "type": "user"} for k in key[:-1]] if len(key) > 2 else [{"id": int(k), "count": 4} for k in key]
+    if at is None or isinstance(at, str):
+        return [{"id": 7 if at else 6, "date": 1}], None if at else "next"
+    rows = [{"id": at + k + 1, "date": 1, "likes": {"count": 2}, "views": None} for k in range(2 if at < 4 else 0)]
+    return rows, 100
+
+
+@pytest.mark.parametrize(("method", "keys", "expected"), [
+    ("wall", "1,2", 8), ("comments", "1_2", 4), ("groups", "q", 4), ("newsfeed", "q", 2), ("users", "1,2", 2), ("likes", "1,0,2,3", 2), ("resolve", "4,5,6", 2),
+])
+def test_remote_methods(method, keys, expected):
+    reader = collection._RemoteReader({"keys": keys, "fetch": "test_sources:fake_remote", "calls_a_second": "1000"}, method)
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    columns = [c.split()[0] for c in collection.REMOTE[method][0].split(", ")]
+    assert len(rows) == expected and all(len(r) == len(columns) for r in rows)
+
+
+def test_remote_source_in_a_session(spark):
+    spark.dataSource.register(collection.RemoteSource)
+    got = spark.read.format("vociflow_remote").option("method", "wall").option("keys", "1,2").option("fetch", "test_sources:fake_remote").load()
+    assert got.columns == ["owner_id", "id", "from_id", "date", "text", "likes", "reposts", "comments", "views"]
 
 
 def test_session_partitions_are_replaced(spark, tmp_path):

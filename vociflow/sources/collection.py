@@ -19,7 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 WALL_CAPS = {"BASELINE": 200, "CURRENT": 100}
 COMMUNITY_CAPS = {"BASELINE": 10_000, "CURRENT": 5_000}
 TOP_AUTHORS, TOP_POSTS, SEARCH_CAP, SEGMENT_FULL = 100, 200, 100, 1000
-FLOOD_WAITS = (10, 30, 60)
+FLOOD_WAITS, FLOOD_CODE = (10, 30, 60), 9
+PAGE_ROWS, SEARCH_ROWS, CALLS_A_SECOND, BATCH_CALLS = 100, 200, 2, 25
 
 
 def newest_per_key(rows: DataFrame, key: str, ts: str, cap: int, tie: str) -> DataFrame:
@@ -106,32 +107,80 @@ def community_ids(entries: DataFrame, column: str) -> DataFrame:
 class RateLimiter:
     """At most so many calls in any second."""
 
-    def __init__(self, per_second: int = 2, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        self.per_second, self.clock, self.sleep = per_second, clock, sleep
+    def __init__(self, per_second: float = 2, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.count, self.window = max(1, int(per_second)), max(1.0, 1.0 / per_second)
+        self.clock, self.sleep = clock, sleep
         self.calls: deque[float] = deque()
 
     def acquire(self) -> None:
         """Wait until another call is allowed, and count it."""
         while True:
             now = self.clock()
-            while self.calls and now - self.calls[0] >= 1.0:
+            while self.calls and now - self.calls[0] >= self.window:
                 self.calls.popleft()
-            if len(self.calls) < self.per_second:
+            if len(self.calls) < self.count:
                 self.calls.append(now)
                 return
-            self.sleep(1.0 - (now - self.calls[0]))
+            self.sleep(self.window - (now - self.calls[0]))
 
 
-def with_retry(call: Callable, attempts: int = 5, base: float = 0.5, sleep: Callable[[float], None] = time.sleep, rng: random.Random | None = None):
-    """The result of a call, tried again after exponential waits with jitter."""
+class RemoteError(OSError):
+    """A failed remote call: an HTTP status, or an error number of the remote service."""
+
+    def __init__(self, message: str = "", status: int | None = None, code: int | None = None):
+        super().__init__(message)
+        self.status, self.code = status, code
+
+
+def with_retry(call: Callable, retries: int = 5, longest: float = 60, sleep: Callable[[float], None] = time.sleep, rng: random.Random | None = None):
+    """The result of a call, tried again after waits of 2, 4, 8 ... seconds, longest at most, and up to one more.
+
+    A client's error (a status that is neither 429 nor 500 to 599) and flood control are raised at once.
+    """
     rng = rng or random.Random()
-    for attempt in range(attempts):
+    for attempt in range(1, retries + 2):
         try:
             return call()
-        except OSError:
-            if attempt == attempts - 1:
+        except OSError as e:
+            status = getattr(e, "status", None)
+            if getattr(e, "code", None) == FLOOD_CODE or attempt > retries or not (status is None or status == 429 or 500 <= status <= 599):
                 raise
-            sleep(base * 2**attempt * (1 + rng.random() / 2))
+            sleep(min(2**attempt, longest) + rng.random())
+
+
+class FloodControl:
+    """Retries of a page under flood control (S22): waits of FLOOD_WAITS seconds, as many times in a row as there are waits."""
+
+    def __init__(self, waits: Sequence[float] = FLOOD_WAITS, retries: int | None = None, sleep: Callable[[float], None] = time.sleep):
+        self.waits, self.sleep = waits, sleep
+        self.retries = len(waits) if retries is None else retries
+        self.used = 0
+
+    def reset(self) -> None:
+        """A page arrived: the next flood starts a new series."""
+        self.used = 0
+
+    def wait(self) -> bool:
+        """Wait before the same page is tried again; False if the series has used all retries."""
+        self.used += 1
+        if self.used > self.retries:
+            return False
+        self.sleep(self.waits[min(self.used, len(self.waits)) - 1])
+        return True
+
+    def page(self, call: Callable):
+        """The result of a call that flood control may refuse, or None after the last retry."""
+        while True:
+            try:
+                found = call()
+            except OSError as e:
+                if getattr(e, "code", None) != FLOOD_CODE:
+                    raise
+                if not self.wait():
+                    return None
+                continue
+            self.reset()
+            return found
 
 
 def pages(fetch: Callable[[int], tuple[list[dict], int]], max_rows: int, since: datetime | None = None) -> Iterator[dict]:
@@ -158,44 +207,103 @@ def batches(calls: Sequence, run: Callable[[Sequence], list], size: int = 25) ->
     return out
 
 
-class _Owner(InputPartition):
-    def __init__(self, owner: int):
-        super().__init__(owner)
-        self.owner = owner
+def cursor_pages(fetch: Callable[[str | None], tuple[list[dict], str | None]], max_rows: int) -> Iterator[dict]:
+    """Rows of a source whose pages name the next one: until none is named, an empty page, or the cap."""
+    cursor, seen = None, 0
+    while seen < max_rows:
+        rows, cursor = fetch(cursor)
+        yield from rows[: max_rows - seen]
+        seen += len(rows)
+        if not rows or not cursor:
+            return
 
 
-class _WallReader(DataSourceReader):
-    def __init__(self, options):
-        self.options = options
+class _Keys(InputPartition):
+    def __init__(self, keys: list[str], share: float):
+        super().__init__(keys)
+        self.keys, self.share = keys, share
 
-    def partitions(self):
-        return [_Owner(int(x)) for x in self.options["owners"].split(",")]
 
-    def read(self, partition):
-        """Pages of one owner's posts, from a function named by the option fetch (module:function)."""
-        import importlib
+class _RemoteReader(DataSourceReader):
+    """Reads keys (owners, ids, queries) of a remote method through a function that the option fetch names (module:function).
 
-        module, name = self.options["fetch"].split(":")
-        fetch = getattr(importlib.import_module(module), name)
-        limiter = RateLimiter()
+    Keys are dealt to the number of partitions that the option partitions gives (1 by default), which share the calls a
+    second that are allowed among them, so that together they never make more.
+    """
 
-        def page(offset: int):
-            limiter.acquire()
-            return with_retry(lambda: fetch(partition.owner, offset))
+    def __init__(self, options, kind: str):
+        self.options, self.kind = dict(options), kind
 
-        for row in pages(page, int(self.options.get("max_rows", 10_000))):
-            yield (row["id"], partition.owner, row.get("from_id"), row["date"], row.get("text", ""))
+    def partitions(self):
+        keys = [k.strip() for k in self.options["keys"].split(",") if k.strip()]
+        count = max(1, min(int(self.options.get("partitions", 1)), len(keys)))
+        return [_Keys(keys[k::count], float(self.options.get("calls_a_second", CALLS_A_SECOND)) / count) for k in range(count)]
 
+    def read(self, partition):
+        import importlib
 
-class WallSource(DataSource):
-    """A paged remote wall as a Spark data source, one partition for each owner."""
+        module, name = self.options["fetch"].split(":")
+        fetch, limiter, flood = getattr(importlib.import_module(module), name), RateLimiter(partition.share), FloodControl()
+        most = int(self.options.get("max_rows", 10_000))
+
+        def call(key, at):
+            def once():
+                limiter.acquire()
+                return with_retry(lambda: fetch(key, at))
+
+            return flood.page(once)
+
+        make = REMOTE[self.kind][1]
+        if self.kind in ("wall", "comments", "groups"):
+            for key in partition.keys:
+                for row in pages(lambda offset, key=key: call(key, offset) or ([], 0), most):
+                    yield make(key, row)
+        elif self.kind == "newsfeed":
+            for key in partition.keys:
+                for row in cursor_pages(lambda cursor, key=key: call(key, cursor) or ([], None), most):
+                    yield make(key, row)
+        else:  # many keys in one call, at most a page of them
+            size = BATCH_CALLS if self.kind in ("likes", "resolve") else PAGE_ROWS
+            for start in range(0, len(partition.keys), size):
+                some = partition.keys[start : start + size]
+                for key, row in zip(some, batches(some, lambda part: call(part, None) or [], size), strict=True):
+                    if row is not None:
+                        yield make(key, row)
+
+
+_count = lambda row, name: (row.get(name) or {}).get("count", 0)
+#: Remote methods: the columns of their rows, and a row from a key and a record.
+REMOTE = {
+    "wall": (
+        "owner_id long, id long, from_id long, date long, text string, likes int, reposts int, comments int, views int",
+        lambda k, r: (int(k), r["id"], r.get("from_id"), r["date"], r.get("text", ""), *(_count(r, c) for c in ("likes", "reposts", "comments")), (r.get("views") or {}).get("count")),
+    ),
+    "comments": ("post string, id long, from_id long, date long, text string, likes int", lambda k, r: (k, r["id"], r.get("from_id"), r["date"], r.get("text", ""), _count(r, "likes"))),
+    "users": (
+        "id long, first_name string, last_name string, screen_name string, followers int, is_closed boolean",
+        lambda k, r: (r["id"], r.get("first_name"), r.get("last_name"), r.get("screen_name"), r.get("followers_count"), r.get("is_closed", False)),
+    ),
+    "groups": ("query string, id long, name string, screen_name string, members int, is_closed boolean", lambda k, r: (k, r["id"], r.get("name"), r.get("screen_name"), r.get("members_count"), bool(r.get("is_closed", 0)))),
+    "newsfeed": ("query string, id long, owner_id long, from_id long, date long, text string", lambda k, r: (k, r["id"], r.get("owner_id"), r.get("from_id"), r["date"], r.get("text", ""))),
+    "likes": ("item string, likes int", lambda k, r: (k, r["count"])),
+    "resolve": ("name string, type string, id long", lambda k, r: (k, r.get("type"), r.get("object_id"))),
+}
+
+
+class RemoteSource(DataSource):
+    """A remote method as a Spark data source: wall, comments, users, groups, newsfeed, likes or resolve.
+
+    Options: method, keys (with commas between them), fetch (module:function), and partitions, calls_a_second, max_rows.
+    The function gets a key and an offset, a cursor or, where many keys go in one call, a list of keys, and returns
+    (rows, count), (rows, next cursor) or a row for each key; it raises RemoteError with a status or a code.
+    """
 
     @classmethod
     def name(cls) -> str:
-        return "vociflow_wall"
+        return "vociflow_remote"
 
     def schema(self) -> str:
-        return "id long, owner_id long, from_id long, date long, text string"
+        return REMOTE[self.options["method"]][0]
 
     def reader(self, schema):
-        return _WallReader(self.options)
+        return _RemoteReader(self.options, self.options["method"])
