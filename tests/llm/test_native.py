@@ -13,7 +13,7 @@ from vociflow.llm import quality, queries, url_rules, warc
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_its_sql(spark, duck, sf_dir, name):
-    assert canonical(queries.QUERIES[name](spark, sf_dir).toPandas()) == canonical(duck.execute(queries.SQL[name]).df())
+    assert canonical(queries.QUERIES[name](spark, sf_dir)) == canonical(duck.execute(queries.SQL[name]))
 
 
 def pages(spark, rows):

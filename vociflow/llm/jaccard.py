@@ -376,7 +376,8 @@ def _deal_blocks(rows: DataFrame, block_docs: int) -> DataFrame:
     sizes = labels.groupBy("region").agg(F.sum("n").alias("c"), F.max(F.struct("n", "label")).alias("top")).where("c > top.n")
     number = lambda n: F.ceil(n / block_docs).cast("int")
     sizes = sizes.select("region", F.col("top.label").alias("top"), number(F.col("c") - F.col("top.n")).alias("few"), number(F.col("c")).alias("all"))
-    dealt = rows.join(sizes, "region").withColumn("searches", F.col("label") != F.col("top"))
+    # A table of its own, so that AQE may split the join at a large region.
+    dealt = small_join(rows, stage_table(sizes, "sizes"), "region", "inner").withColumn("searches", F.col("label") != F.col("top"))
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     searching = dealt.where("searches").select("region", block("few").alias("i"), F.explode(to("all")).alias("j"), "node", "label")
@@ -422,9 +423,9 @@ def _join_large(sets: DataFrame, window: DataFrame, num: int, den: int, block_do
         new = cells.where("linked and node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
         links = new if links is None else links.unionByName(new)
         known = components(links).withColumnRenamed("component", "label")
-        rows = labelled(cells.select(F.xxhash64("region", "pivot").alias("region"), "node"))
+        rows = stage_table(labelled(cells.select(F.xxhash64("region", "pivot").alias("region"), "node")), "labelled_cells")
         sizes = rows.groupBy("region").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        rows = stage_table(rows.join(sizes.select("region", "c"), "region"), "open_cells")
+        rows = stage_table(small_join(rows, stage_table(sizes.select("region", "c"), "open"), "region", "inner"), "open_cells")
         links = links.unionByName(joined(rows.where(F.col("c") <= block_docs).drop("c")))
         regions = rows.where(F.col("c") > block_docs).select("region", "node")
         before, size = size, regions.count()
