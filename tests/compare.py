@@ -1,20 +1,28 @@
 """Comparison of results."""
 
-import pandas as pd
+import datetime
+import decimal
+import math
 
 
-def canonical(frame):
-    """Rows of a pandas frame as sorted tuples of texts, with numbers rounded."""
+def canonical(found):
+    """Rows of a DataFrame, or of what DuckDB executed, as sorted tuples of texts by column: numbers rounded, null, NaN and empty texts apart."""
 
     def cell(v):
-        if v is None or v is pd.NA or v != v:
-            return ""
-        if hasattr(v, "__len__") and not isinstance(v, (str, bytes)):
-            return str([cell(x) for x in v])
-        try:
+        if v is None:
+            return "<null>"
+        if isinstance(v, bool):
             return f"{float(v):.6f}"
-        except (TypeError, ValueError):
-            return str(v)
+        if isinstance(v, (int, float, decimal.Decimal)):
+            return "<nan>" if math.isnan(v) else f"{float(v):.6f}"
+        if isinstance(v, datetime.datetime):
+            return v.replace(tzinfo=None).isoformat()
+        if isinstance(v, (list, tuple)):
+            return str([cell(x) for x in v])
+        if isinstance(v, dict):
+            return str([(k, cell(x)) for k, x in sorted(v.items())])
+        return f"'{v}'"
 
-    frame = frame[sorted(frame.columns)].astype(object)
-    return sorted(tuple(cell(v) for v in row) for row in frame.itertuples(index=False))
+    names, rows = (found.columns, found.collect()) if hasattr(found, "collect") else ([d[0] for d in found.description], found.fetchall())
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return [names[k] for k in order], sorted(tuple(cell(row[k]) for k in order) for row in rows)

@@ -189,6 +189,6 @@ def test_raw_export_needs_confirmation(spark, tmp_path):
 def test_import_query_keeps_one_comment_of_each_repeated_id(spark, duck, sf_dir):
     from vociflow.plans import catalog
 
-    found = [r["vk_id"] for r in catalog.composite_key_import_first(spark, sf_dir).select("vk_id").collect()]
+    found = [r["vk_id"] for r in catalog.composite_key_import_join(spark, sf_dir).select("vk_id").collect()]
     wanted = duck.execute("SELECT DISTINCT l_orderkey * 10 + l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 3 = 1").fetchall()
     assert sorted(found) == sorted(x for (x,) in wanted)

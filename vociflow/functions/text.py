@@ -176,6 +176,21 @@ def parse_indicator(message: Column) -> Column:
     return F.struct(part(1).alias("name"), part(2).alias("status"), value.try_cast("double").alias("value"))
 
 
+def encode_list(values: Column) -> Column:
+    """A list of texts as JSON, as lemma lists are stored."""
+    return F.to_json(values)
+
+
+def decode_list(document: Column) -> Column:
+    """A list of texts from JSON; null and broken documents give null."""
+    return F.from_json(document, "array<string>")
+
+
+def gates_json(gates: dict[str, Column]) -> Column:
+    """Named conditions as one JSON object, in the order of their names."""
+    return F.to_json(F.struct(*[gates[n].alias(n) for n in sorted(gates)]))
+
+
 def preview(text: Column, length: int) -> Column:
     """The first characters of a text, with an ellipsis if it is longer."""
     return F.when(F.length(text) > length, F.concat(F.substring(text, 1, length), F.lit("…"))).otherwise(text)

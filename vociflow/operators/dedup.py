@@ -117,6 +117,14 @@ def originality(copy: Column, history: Column, media: Column, length: Column, p:
     )
 
 
+def originality_weight(kind: Column) -> Column:
+    """The weight of an originality kind."""
+    out = F.lit(None).cast("double")
+    for name, weight in ORIGINALITY_WEIGHTS.items():
+        out = F.when(kind == name, F.lit(weight)).otherwise(out)
+    return out
+
+
 def mark_copies(posts: DataFrame, edges: DataFrame) -> DataFrame:
     """posts with is_copy (J8) and originality."""
     copies = edges.select(F.col("duplicate_id").alias("id")).distinct().withColumn("is_copy", F.lit(True))

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from vociflow.functions import scalars
-
 #: Texts that a model gets at once, and characters of a text that the sentiment model reads.
 BATCH, SENTIMENT_CHARS = 50, 2000
 #: The classes of the sentiment model.
@@ -127,8 +125,3 @@ def language(df: DataFrame, make: Callable, text: str = "text", result: str = "l
         return lambda texts: [one(t) for t in texts]
 
     return apply_model(df, text, result, LANGUAGE, first)
-
-
-def lean(of: Column) -> Column:
-    """The saturated balance of a model's distribution."""
-    return scalars.sentiment_lean(of["positive"], of["negative"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,27 +36,50 @@ def mad(df: DataFrame, key: str | None, value: str) -> DataFrame:
     return away.select(*keys, F.when(F.col("n") < 2, F.lit(0.0)).otherwise(MAD_SCALE * F.col("d")).alias("mad"))
 
 
-def huber(values: Column, k: float = 1.345, tolerance: float = 1e-6, rounds: int = 100) -> Column:
-    """Huber's M-estimate of an array by reweighting, as one expression.
+def _middle(values: np.ndarray, times: np.ndarray) -> float:
+    """The median of values that occur so many times each."""
+    order = np.argsort(values)
+    ends = np.cumsum(times[order])
+    n = int(ends[-1])
+    return float(values[order][np.searchsorted(ends, [(n - 1) // 2, n // 2], "right")].mean())
 
-    It starts at the median with the scaled median absolute deviation as scale, and stops changing once converged.
+
+def _huber(values: np.ndarray, times: np.ndarray, k: float, tolerance: float, rounds: int) -> float:
+    if not len(values):
+        return 0.0
+    mu = _middle(values, times)
+    if times.sum() < 3:
+        return mu
+    reach = k * max(MAD_SCALE * _middle(np.abs(values - mu), times), 1e-10)
+    for _ in range(rounds):
+        away = np.abs(values - mu)
+        weight = times * np.where(away <= reach, 1.0, reach / np.maximum(away, 1e-300))
+        before, mu = mu, float(weight @ values / weight.sum())
+        if abs(mu - before) <= tolerance * (1 + abs(before)):
+            break
+    return mu
+
+
+def huber(values: Column, times: Column | None = None, k: float = 1.345, tolerance: float = 1e-6, rounds: int = 100) -> Column:
+    """Huber's M-estimate of an array by reweighting (A22); times says how often each value occurs, once by default.
+
+    It starts at the median with the scaled median absolute deviation as scale, and stops once converged. Arrays go to
+    NumPy in Arrow batches, as their number of rounds is not known.
     """
-    middle = lambda a: F.when(
-        F.size(a) % 2 == 1, F.get(F.array_sort(a), F.floor(F.size(a) / 2).cast("int"))
-    ).otherwise((F.get(F.array_sort(a), (F.size(a) / 2 - 1).cast("int")) + F.get(F.array_sort(a), (F.size(a) / 2).cast("int"))) / 2)
-    start = middle(values)
-    scale = F.greatest(MAD_SCALE * middle(F.transform(values, lambda x: F.abs(x - start))), F.lit(1e-10))
-    state = F.struct(start.alias("mu"), F.lit(False).alias("done"), scale.alias("s"))
 
-    def step(a: Column, _: Column) -> Column:
-        weight = lambda x: F.when(F.abs(x - a["mu"]) <= k * a["s"], F.lit(1.0)).otherwise(k * a["s"] / F.abs(x - a["mu"]))
-        total = F.aggregate(values, F.lit(0.0), lambda t, x: t + weight(x))
-        mean = F.aggregate(values, F.lit(0.0), lambda t, x: t + weight(x) * x) / total
-        near = F.abs(mean - a["mu"]) <= tolerance * (1 + F.abs(a["mu"]))
-        return F.when(a["done"], a).otherwise(F.struct(mean.alias("mu"), near.alias("done"), a["s"].alias("s")))
+    @F.pandas_udf("double")
+    def run(values: pd.Series, times: pd.Series) -> pd.Series:
+        each = lambda v, n: _huber(np.asarray(v, float), np.asarray(n, np.int64), k, tolerance, rounds)
+        return pd.Series([each(v, n) for v, n in zip(values, times, strict=True)], dtype=float)
+
+    return run(values, F.transform(values, lambda _: F.lit(1).cast("long")) if times is None else times)
+
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), state, step, lambda a: a["mu"])
-    return F.when(F.size(values) == 0, F.lit(0.0)).when(F.size(values) < 3, start).otherwise(found)
+def huber_by(df: DataFrame, key: str, value: str) -> DataFrame:
+    """key and mu, Huber's M-estimate of each key's values (A22); equal values are counted first, and nulls left out."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    lists = counted.groupBy(key).agg(F.collect_list(F.struct("__v", "__n")).alias("__l"))
+    return lists.select(key, huber(F.col("__l.__v"), F.col("__l.__n")).alias("mu"))
 
 
 def robust_z(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
@@ -65,7 +90,7 @@ def robust_z(df: DataFrame, columns: list[str], by: list[str] | None = None) ->
     by = by or []
     stats = [e for c in columns for e in (F.median(c).alias(f"__m_{c}"), iqr(F.col(c)).alias(f"__q_{c}"))]
     side = df.groupBy(*by).agg(*stats)
-    joined = df.join(F.broadcast(side), by) if by else df.join(F.broadcast(side), F.lit(True))
+    joined = df.join(side, by) if by else df.join(F.broadcast(side), F.lit(True))  # one row without groups
     z = {f"z_{c}": F.coalesce(F.when(F.col(f"__q_{c}") > 0, (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__q_{c}")), F.lit(0.0)) for c in columns}
     missing = F.lit(False)
     for c in columns:

@@ -18,6 +18,12 @@ def score_posts(posts: DataFrame, primary: list[list[str]], secondary: list[list
     return decided.select("*", "__d.*").drop("__d")
 
 
+def with_processed(posts: DataFrame, processed: DataFrame, compute: Column) -> DataFrame:
+    """posts with the lemmas of their processed text (post_id, lemmas as JSON), or computed ones where there is none."""
+    known = processed.select(F.col("post_id").alias("id"), text.decode_list(F.col("lemmas")).alias("__known"))
+    return posts.join(known, "id", "left").withColumn("lemmas", F.coalesce("__known", compute)).drop("__known")
+
+
 def centroid(vectors: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """Mean vector of each group (A37): means of single places, put together in order."""
     by = by or []

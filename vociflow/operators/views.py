@@ -64,6 +64,11 @@ def sort_table(rows: DataFrame, key: str, ascending: bool = True) -> DataFrame:
     return rows.orderBy(by.asc_nulls_first() if ascending else by.desc_nulls_last(), "vk_id")
 
 
+def newest_sessions(sessions: DataFrame) -> DataFrame:
+    """Sessions, the newest first."""
+    return sessions.orderBy(F.desc("created_at"), F.desc("id"))
+
+
 def by_role(rows: DataFrame, needle: str) -> DataFrame:
     """Rows whose role holds a substring, in any case."""
     return rows.where(F.contains(F.lower("role"), F.lit(needle.lower())))

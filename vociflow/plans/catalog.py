@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vociflow.functions import scalars, text
-from vociflow.operators import bootstrap, dedup, quality, robust, scores, sentiment, topic, views
+from vociflow.operators import bootstrap, dedup, models, quality, robust, scores, sentiment, topic, views
 from vociflow.params import DEFAULT, LATIN
 from vociflow.plans import adapters as t
+from vociflow.plans import doubles
 from vociflow.sources import collection, corpus, importer, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,8 +26,10 @@ def query(sql: str | None = None, needs: str = "", name: str | None = None):
         QUERIES[key] = f
         if sql:
             parts = {"a": t.SQL_AUTHORS, "p": t.SQL_POSTS, "c": t.SQL_COMMENTS, "x": t.SQL_TEXTS}
-            head = ", ".join(parts[n] for n in needs)
-            SQL[key] = (f"WITH {head}{',' if sql.lstrip().startswith('+') else ''} " if head else "") + sql.lstrip().removeprefix("+")
+            head, more = ", ".join(parts[n] for n in needs), sql.lstrip().startswith("+")
+            body = sql.lstrip().removeprefix("+").lstrip()
+            recursive = "RECURSIVE " if body.startswith("RECURSIVE ") else ""
+            SQL[key] = (f"WITH {recursive}{head}{',' if more else ''} " if head else "") + body.removeprefix("RECURSIVE ")
         return f
 
     return add
@@ -205,19 +208,10 @@ def _records(s, d):
     return posts, comments
 
 
-@query("""SELECT DISTINCT (l_orderkey * 10 + l_linenumber)::INTEGER AS vk_id, CASE WHEN o_orderkey % 2 = 0 THEN 'BASELINE' ELSE 'CURRENT' END AS post_window, CASE WHEN bool_and(l_linestatus = 'F') OVER (PARTITION BY l_orderkey, l_linenumber) THEN NULL ELSE 'x' END AS text
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 3 = 1 QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1""")
-def composite_key_import_join(s, d):
-    """Imported comments that match an imported post by both keys."""
-    posts, comments = _records(s, d)
-    once = comments.groupBy("vkId").count().where("count = 1").select("vkId")
-    return importer.import_comments(comments.join(once, "vkId"), importer.import_posts(posts, 1), 1).select("vk_id", "post_window", "text")
-
-
 @query("""SELECT (l_orderkey * 10 + l_linenumber)::INTEGER AS vk_id, CASE WHEN o_orderkey % 2 = 0 THEN 'BASELINE' ELSE 'CURRENT' END AS post_window, CASE WHEN l_linestatus <> 'F' THEN 'x' END AS text
   FROM (FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_suppkey, l_linestatus) = 1) JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 3 = 1""")
-def composite_key_import_first(s, d):
-    """The same over all comments: of those with one id the first stays, by date, author and text."""
+def composite_key_import_join(s, d):
+    """Imported comments that match an imported post by both keys; of those with one id the first stays."""
     posts, comments = _records(s, d)
     place = F.row_number().over(Window.partitionBy("vkId").orderBy("date", "fromId", "text"))
     return importer.import_comments(comments.withColumn("position", place), importer.import_posts(posts, 1), 1).select("vk_id", "post_window", "text")
@@ -403,10 +397,14 @@ def mad(s, d):
     return rounded(robust.mad(_values(s, d), "from_id", "v"))
 
 
-@query()
+@query("""+ RECURSIVE st AS (SELECT from_id, m, greatest(1.4826 * median(abs(k - m)), 1e-10) AS s, count(*) AS n FROM (SELECT from_id, k::DOUBLE AS k, median(k::DOUBLE) OVER (PARTITION BY from_id) AS m FROM posts) GROUP BY 1, 2),
+  r AS (SELECT from_id, m AS mu, 0 AS it, n < 3 AS done FROM st UNION ALL SELECT from_id, mu2, it + 1, abs(mu2 - mu) <= 1e-6 * (1 + abs(mu)) FROM (
+    SELECT from_id, any_value(mu) AS mu, any_value(it) AS it, sum(w * k) / sum(w) AS mu2 FROM (
+      SELECT r.from_id, mu, it, k, CASE WHEN abs(k - mu) <= 1.345 * s THEN 1.0::DOUBLE ELSE 1.345 * s / abs(k - mu) END AS w FROM r JOIN posts USING (from_id) JOIN st USING (from_id) WHERE NOT done AND it < 100) GROUP BY 1))
+  SELECT from_id, round(arg_max(mu, it), 6) AS mu FROM r GROUP BY 1""", "p")
 def huber(s, d):
     """Huber's M-estimate by author."""
-    return rounded(_values(s, d).groupBy("from_id").agg(F.collect_list("v").alias("vs")).select("from_id", robust.huber(F.col("vs")).alias("mu")))
+    return rounded(robust.huber_by(_values(s, d), "from_id", "v"))
 
 
 @query("+ " + _SCORES + _Z + " SELECT vk_id, " + ", ".join(f"round(z_{c}, 6) AS z_{c}" for c in (*robust.STRUCTURAL, *robust.TOPICAL)) + " FROM zed", "apc")
@@ -584,10 +582,12 @@ def cosine_to_centroid(s, d):
     return rounded(_semantic(s, d).select("vec_id", "semantic"), 5)
 
 
-@query("WITH " + _COS + " SELECT vec_id FROM cs WHERE semantic >= 0.55")
+@query("WITH " + _COS.replace("label = 0", "vec_id IN (0, 1)") + " SELECT vec_id, semantic >= 0.55 AS passed FROM cs")
 def semantic_pass(s, d):
-    """Vectors that pass the second filter."""
-    return _semantic(s, d).where("semantic >= 0.55").select("vec_id")
+    """Which vectors pass the second filter, with two reference texts."""
+    e = t.table(s, d, "embeddings")
+    found = topic.semantic_scores(e, e.where("vec_id in (0, 1)"))
+    return found.select("vec_id", (F.col("semantic") >= DEFAULT.semantic).alias("passed"))
 
 
 @query("WITH " + _COS + " SELECT vec_id, round(semantic, 5) AS semantic FROM cs ORDER BY cs.semantic DESC, vec_id LIMIT 10")
@@ -992,12 +992,13 @@ def event_types(s, d):
     return views.event_types(t.table(s, d, "events"))
 
 
-@query("WITH a AS (SELECT c_custkey FROM customer WHERE c_custkey < 1000) SELECT 'UNKNOWN_AUTHOR' AS rule, o_orderkey AS id FROM orders WHERE o_custkey NOT IN (FROM a) UNION ALL SELECT 'ROLE_OF_UNKNOWN', s_suppkey + 950 FROM supplier WHERE s_suppkey + 950 NOT IN (FROM a)")
+@query("""SELECT 'UNKNOWN_AUTHOR' AS rule, id FROM posts WHERE from_id NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'NO_GROUND_TRUTH', id FROM posts WHERE label IS NULL
+  UNION ALL SELECT 'ROLE_OF_UNKNOWN', p_partkey FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer)""", "p")
 def corpus_violations(s, d):
-    """What is wrong with a corpus."""
-    a = t.table(s, d, "customer").where("c_custkey < 1000").select(F.col("c_custkey").alias("id"))
-    p = t.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("from_id"), F.lit(True).alias("ground_truth"))
-    r = t.table(s, d, "supplier").select((F.col("s_suppkey") + 950).alias("author_id"))
+    """What is wrong with a corpus: customers as authors, events as posts, parts as authors with roles."""
+    a = t.table(s, d, "customer").select(F.col("c_custkey").alias("id"))
+    p = t.posts(s, d).select("id", "from_id", F.col("label").alias("ground_truth"))
+    r = t.table(s, d, "part").select(F.col("p_partkey").alias("author_id"))
     return corpus.violations(a, p, r)
 
 
@@ -1038,11 +1039,14 @@ def axis_positions(s, d):
     return rounded(rows.join(F.broadcast(ends), F.lit(True)).select("id", scalars.scale_axis(F.col("combined"), F.col("lo"), F.col("hi")).alias("x")))
 
 
-@query()
+@query("""WITH v AS (SELECT n_nationkey, n_nationkey * 13.0::DOUBLE AS v FROM nation), tops AS (SELECT n_nationkey, CASE WHEN v > 0 THEN (SELECT min(f) FROM (SELECT unnest([1, 1.5, 2, 3, 5, 7.5, 10]::DOUBLE[]) AS f) WHERE f * pow(10, floor(log10(v))) >= v) * pow(10, floor(log10(v))) ELSE 1 END AS top FROM v),
+  steps AS (SELECT n_nationkey, top, (SELECT min(f) FROM (SELECT unnest([1, 2, 2.5, 5, 10]::DOUBLE[]) AS f) WHERE f * pow(10, floor(log10(top / 5))) >= top / 5) * pow(10, floor(log10(top / 5))) AS step FROM tops)
+  SELECT n_nationkey, round(top, 6) AS top, array_to_string(list_transform(range(0, floor(top / step)::BIGINT + 1), lambda k: printf('%.4f', k * step)), ' ') AS ticks FROM steps""")
 def axis_ticks(s, d):
     """Axis maxima and ticks."""
     top = scalars.nice_max(F.col("n_nationkey").cast("double") * 13)
-    return t.table(s, d, "nation").select("n_nationkey", top.alias("top"), scalars.nice_ticks(top).alias("ticks"))
+    shown = F.array_join(F.transform(scalars.nice_ticks(top), lambda x: F.format_string("%.4f", x)), " ")
+    return rounded(t.table(s, d, "nation").select("n_nationkey", top.alias("top"), shown.alias("ticks")))
 
 
 # ---- exports
@@ -1065,7 +1069,159 @@ def raw_export(s, d):
     return store.raw_rows(_export(s, d)).select("vk_id", "author_name", "aud", "role")
 
 
-@query()
+_JSON = " || ',' || chr(10) || ".join(
+    f"""'    "{c}" : "' || """ + {"sufficiency": "'PRELIMINARY'", "comments": "n_comments", "role": "role", "top_vol": "top_vol", "topic_posts": "topic_posts"}.get(c, f"printf('%.4f', round({c}::DOUBLE, 4))") + """ || '"'"""
+    for c in store.EXPORT_COLUMNS
+)
+
+
+@query("+ " + _SCORES + _Z + """, rows AS (SELECT sha256('salt' || vk_id) AS h, '{' || chr(10) || '    "authorHash" : "' || sha256('salt' || vk_id) || '",' || chr(10) || """ + _JSON + """ || chr(10) || '  }' AS row FROM rolled)
+  SELECT array_to_string(['{', '  "schemaVersion" : "2.0",', '  "sessionId" : 1,', '  "sessionName" : "Session #1",', '  "privacyMode" : "HASHED",', '  "scores" : [ ' || string_agg(row, ', ' ORDER BY h) || ' ]', '}'], chr(10)) AS document FROM rows""", "apc")
 def json_export(s, d):
     """A session's scores as one JSON document (K4)."""
     return store.json_document(_export(s, d), 1, "name", b"salt")
+
+
+@query("+ " + _SCORES + _Z + " SELECT sha256('salt' || vk_id) AS author_hash, role FROM rolled", "apc")
+def export_gate(s, d):
+    """Rows of an export for which raw mode was asked for, but not confirmed (K5)."""
+    return store.export_rows(_export(s, d), raw=True, salt=b"salt").select("author_hash", "role")
+
+
+# ---- stored rows
+
+
+@query("SELECT id, from_id FROM posts WHERE from_id % 5 = 2", "p")
+def session_scan(s, d):
+    """Posts of one session in time order."""
+    return store.session_rows(t.posts(s, d).withColumn("session_id", F.col("from_id") % 5), 2).select("id", "from_id")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE sha256(text) IN (SELECT sha256(text) FROM conversations WHERE role = 'user' AND turn = 0)")
+def hash_lookup(s, d):
+    """Rows whose text's hash is in a list."""
+    rows = t.table(s, d, "conversations").withColumn("text_hash", text.text_hash(F.col("text")))
+    return store.with_hashes(rows, rows.where("role = 'user' and turn = 0")).select("conv_id", "turn")
+
+
+@query("SELECT c_custkey AS author_id, CASE WHEN c_custkey % 3 = 0 THEN -1.0 ELSE c_acctbal END::DOUBLE AS score FROM customer UNION ALL SELECT 10000000 + s_suppkey, -1.0 FROM supplier")
+def score_upsert(s, d):
+    """Scores, replaced where new ones are there (K6)."""
+    old = t.table(s, d, "customer").select(F.col("c_custkey").alias("author_id"), F.col("c_acctbal").cast("double").alias("score"))
+    new = old.where("author_id % 3 = 0").select("author_id").unionByName(t.table(s, d, "supplier").select((10_000_000 + F.col("s_suppkey")).alias("author_id")))
+    return store.upsert(old, new.withColumn("score", F.lit(-1.0)), ["author_id"])
+
+
+@query("SELECT id, CASE WHEN k > 50 THEN true ELSE relevant END AS relevant, CASE WHEN k > 50 THEN NULL ELSE vote END AS vote FROM posts", "p")
+def column_update(s, d):
+    """Posts with columns set where a condition holds (K8)."""
+    return store.update(t.posts(s, d), F.col("k") > 50, relevant=F.lit(True), vote=F.lit(None)).select("id", "relevant", "vote")
+
+
+@query("""SELECT * FROM (VALUES (1, 'one', 'a' || chr(10) || 'b', NULL, 30, NULL), (2, 'two', 'a' || chr(10) || 'b', NULL, 30, 1)) v(id, name, primary_ngrams, excluded_ngrams, current_days, session_family_id)""")
+def session_fork(s, d):
+    """A new session, and one that goes on from it."""
+    one = store.new_session(s, {"id": 1, "name": "one", "current_days": 30}, {"primary_ngrams": ["a ", "", "b"], "excluded_ngrams": [" "]})
+    return one.unionByName(store.fork_session(one, 2, name="two")).select("id", "name", "primary_ngrams", "excluded_ngrams", "current_days", "session_family_id")
+
+
+@query("SELECT c_custkey AS id, c_acctbal::DOUBLE AS created FROM customer ORDER BY floor(c_acctbal) DESC, c_custkey DESC LIMIT 25")
+def newest_sessions(s, d):
+    """The first 25 sessions, newest first."""
+    rows = t.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("double").alias("created"), F.timestamp_seconds(F.floor("c_acctbal")).alias("created_at"))
+    return views.newest_sessions(rows).limit(25).select("id", "created")
+
+
+@query("""SELECT o_orderkey::INTEGER AS vk_id, o_custkey::INTEGER AS from_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS text FROM orders""")
+def import_documents(s, d):
+    """Posts of dataset documents, one document an order, with keys that no record has."""
+    post = F.struct(F.col("o_orderkey").alias("vkId"), F.col("o_custkey").alias("fromId"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).alias("text"), F.lit(1).alias("unknown"))
+    made = t.table(s, d, "orders").select(F.to_json(F.struct(F.array(post).alias("posts"), F.lit("x").alias("other"))).alias("document"))
+    return importer.parse_import(made, "document")["posts"].select(F.col("vkId").alias("vk_id"), F.col("fromId").alias("from_id"), "text")
+
+
+@query("+ " + _TOKENS + """, lem AS (SELECT id, CASE WHEN id % 2 = 0 THEN ['kept', 'é"\\'] ELSE list_transform(w, lambda x: lower(x)) END AS l FROM tokens) SELECT id, len(l)::INTEGER AS n, l[1] AS first, l[-1] AS last FROM lem""", "x")
+def processed_text_join(s, d):
+    """Lemmas of processed texts, which are stored as JSON, or computed ones."""
+    kept = F.array(F.lit("kept"), F.lit('é"\\'))
+    processed = t.texts(s, d).where("id % 2 = 0").select(F.col("id").alias("post_id"), text.encode_list(kept).alias("lemmas"))
+    found = topic.with_processed(_tokens(s, d), processed, F.transform("tokens", F.lower))
+    return found.select("id", F.size("lemmas").alias("n"), F.get("lemmas", F.lit(0)).alias("first"), F.try_element_at("lemmas", F.lit(-1)).alias("last"))
+
+
+@query("SELECT id, '{\"long\":' || (k > 50) || ',\"voted\":' || (vote IS NOT NULL) || '}' AS gates FROM posts", "p")
+def gates_json(s, d):
+    """Named conditions as JSON."""
+    return t.posts(s, d).select("id", text.gates_json({"voted": F.col("vote").isNotNull(), "long": F.col("k") > 50}).alias("gates"))
+
+
+@query("+ " + _SCORES + _Z + " SELECT vk_id, role FROM rolled WHERE contains(lower(role), 'giant')", "apc")
+def role_filter(s, d):
+    """Authors whose role holds some text."""
+    return views.by_role(_roles(s, d), "Giant").select("vk_id", "role")
+
+
+@query("SELECT doc_id AS id, CASE WHEN lang = 'de' AND doc_id % 10 >= 5 THEN 'OK' WHEN lang = 'de' THEN 'UNCERTAIN' ELSE 'FILTERED_OUT' END AS status FROM documents")
+def model_language(s, d):
+    """Statuses by a language that a model detected."""
+    status = text.model_language_status(F.coalesce("lang", F.lit("")), (F.col("doc_id") % 10) / 10, "de")
+    return t.table(s, d, "documents").select(F.col("doc_id").alias("id"), status.alias("status"))
+
+
+@query("SELECT vk_id, greatest(0, date_diff('second', first_seen_at, TIMESTAMP '2024-01-31') // 86400) AS days FROM authors", "a")
+def age_days(s, d):
+    """Authors' ages in whole days."""
+    return t.authors(s, d).select("vk_id", scalars.age_days(F.col("first_seen_at"), t.as_of()).alias("days"))
+
+
+@query("SELECT id, CASE originality WHEN 'ORIGINAL' THEN 1.0 WHEN 'REPOST_WITH_COMMENT' THEN 0.5 WHEN 'MEDIA_ONLY' THEN 0.25 ELSE 0.0 END::DOUBLE AS weight FROM (" + SQL["originality"].replace("WITH ", "WITH ", 1) + ")")
+def originality_weights(s, d):
+    """Weights of originality kinds."""
+    return originality(s, d).select("id", dedup.originality_weight(F.col("originality")).alias("weight"))
+
+
+@query("SELECT '# Regions' || chr(10) || chr(10) || '| r_regionkey | r_name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || r_regionkey || ' | ' || r_name || ' |', chr(10) ORDER BY r_regionkey) AS report FROM region")
+def markdown_report(s, d):
+    """A Markdown report (Q8)."""
+    return quality.report(t.table(s, d, "region").select("r_regionkey", "r_name"), "Regions", ["r_regionkey"])
+
+
+# ---- models, with doubles that rules stand for
+
+
+@query("""WITH c AS (SELECT conv_id, turn, left(coalesce(text, ''), 2000) AS t FROM conversations), s AS (SELECT *, length(t) % 7 AS p, (length(t) - length(replace(t, 'e', ''))) % 5 AS q FROM c)
+  SELECT conv_id, turn, CASE WHEN p >= q AND p >= 10 - p - q THEN 'positive' WHEN 10 - p - q >= q THEN 'neutral' ELSE 'negative' END AS label, p / 10.0::DOUBLE AS positive, q / 10.0::DOUBLE AS negative FROM s""")
+def model_sentiment(s, d):
+    """Distributions of a sentiment model."""
+    rows = sentiment.select_service(True, lambda df: models.sentiment(df, doubles.sentiment), lambda df: df)(t.table(s, d, "conversations"))
+    return rows.select("conv_id", "turn", "sentiment.label", "sentiment.positive", "sentiment.negative")
+
+
+@query("SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'NEUTRAL' ELSE role END AS label, CASE WHEN conv_id % 2 = 0 THEN 'fallback_error' ELSE 'model' END AS method FROM conversations")
+def batch_failures(s, d):
+    """Labels where a model's batches failed, without a model in its place."""
+    local = lambda df: df.withColumn("r", sentiment.fallback_label(F.col("role"), F.col("conv_id") % 2 == 0))
+    return sentiment.select_service(False, lambda df: 1 / 0, local)(t.table(s, d, "conversations")).select("conv_id", "turn", "r.label", "r.method")
+
+
+@query(r"SELECT conv_id, turn, array_to_string(list_transform(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> ''), lambda w: regexp_replace(lower(w), 's$', '')), ' ') AS lemmas FROM conversations")
+def model_lemmas(s, d):
+    """Normal forms of words."""
+    found = models.lemmas(t.table(s, d, "conversations").select("conv_id", "turn", "text"), doubles.parses)
+    return found.select("conv_id", "turn", F.array_join("lemmas", " ").alias("lemmas"))
+
+
+@query("""WITH v AS (SELECT conv_id, turn, length(text)::DOUBLE AS a, 1.0::DOUBLE AS b, lead(length(text)) OVER w::DOUBLE AS c FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  SELECT conv_id, turn, round((a * c + b) / sqrt((a * a + b) * (c * c + b)), 3) AS similarity FROM v WHERE c IS NOT NULL""")
+def model_similarity(s, d):
+    """Cosines of the vectors of a turn and the next one."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    pairs = t.table(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("a"), F.lead("text").over(w).alias("b")).where("b is not null")
+    return rounded(models.similarity(pairs, doubles.vectors).select("conv_id", "turn", "similarity"), 3)
+
+
+@query(r"SELECT conv_id, turn, len(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]+'))::INTEGER AS n, regexp_extract(coalesce(text, ''), '[A-Z][a-z]+') AS first, CASE WHEN contains(text, 'e') THEN 'xx' ELSE 'unknown' END AS language FROM conversations")
+def model_entities(s, d):
+    """Named entities and languages."""
+    found = models.language(models.entities(t.table(s, d, "conversations"), doubles.entities), doubles.language)
+    return found.select("conv_id", "turn", F.size("entities").alias("n"), F.coalesce(F.get("entities", F.lit(0))["text"], F.lit("")).alias("first"), "language.language")

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from vociflow import schemas
 
 
+def parse_import(documents: DataFrame, column: str) -> dict[str, DataFrame]:
+    """The record arrays of dataset documents that lie in a column (S1); unknown keys are ignored."""
+    whole = documents.select(F.from_json(column, schemas.IMPORT).alias("d")).select("d.*")
+    return {name: whole.select(F.posexplode(name).alias("position", "r")).select("position", "r.*") for name in ("communities", "authors", "posts", "comments")}
+
+
 def read_import(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The record arrays of a dataset file as DataFrames (S1). Unknown keys are ignored; a missing file is an error."""
     whole = spark.read.schema(schemas.IMPORT).option("multiLine", True).json(path)

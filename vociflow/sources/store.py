@@ -27,6 +27,11 @@ def scan_session(spark: SparkSession, path: str, session_id: int) -> DataFrame:
     return spark.read.parquet(path).where(F.col("session_id") == session_id)
 
 
+def session_rows(df: DataFrame, session_id: int) -> DataFrame:
+    """Rows of one session in time order."""
+    return df.where(F.col("session_id") == session_id).orderBy("published_at", "id")
+
+
 def by_author(posts: DataFrame, author: int) -> DataFrame:
     """One author's posts, newest first."""
     return posts.where(F.col("from_id") == author).orderBy(F.desc("published_at"), "id")
@@ -74,6 +79,16 @@ def with_hashes(df: DataFrame, wanted: DataFrame, key: str = "text_hash") -> Dat
     return df.join(wanted.select(key).distinct(), key, "left_semi")
 
 
+def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The existing rows without those whose keys are new, and the new rows (K6)."""
+    return existing.join(new.select(*keys), keys, "left_anti").select(*existing.columns).unionByName(new.select(*existing.columns))
+
+
+def update(df: DataFrame, condition: Column, **values: Column) -> DataFrame:
+    """df with columns set where a condition holds (K8)."""
+    return df.withColumns({c: F.when(condition, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Append events, metrics or checkpoints."""
     df.write.mode("append").parquet(path)
@@ -128,10 +143,14 @@ def json_document(rows: DataFrame, session_id: int, name: str, salt: bytes, raw:
     return scores.select(F.to_json(F.struct(*head, "scores"), {"pretty": "true"}).alias("document"))
 
 
+def export_rows(rows: DataFrame, raw: bool = False, confirmed: bool = False, salt: bytes | None = None) -> DataFrame:
+    """Rows of an export (K5): raw only if it is both asked for and confirmed."""
+    return raw_rows(rows) if raw and confirmed else safe_rows(rows, salt or os.urandom(16))
+
+
 def export_csv(rows: DataFrame, path: str, raw: bool = False, confirmed: bool = False, salt: bytes | None = None) -> None:
-    """Write a CSV export (K1, K2, K5): raw only if it is both asked for and confirmed. Values are quoted where needed."""
-    out = raw_rows(rows) if raw and confirmed else safe_rows(rows, salt or os.urandom(16))
-    out.write.option("header", True).csv(path)
+    """Write a CSV export (K1, K2, K5). Values are quoted where needed."""
+    export_rows(rows, raw, confirmed, salt).write.option("header", True).csv(path)
 
 
 def top_by(df: DataFrame, order: list[Column], n: int) -> DataFrame:
