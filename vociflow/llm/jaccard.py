@@ -43,10 +43,11 @@ HOT = 1 << 18
 #: Pivots of a region, and the size up to which members that pivots do not part are compared by pairs.
 PIVOTS, SMALL_REGION = 8, 48
 
-#: Shingles and documents of a cluster that one task joins; larger clusters are joined in rounds, and regions by blocks.
+#: Shingles of a cluster that one task joins; larger clusters are joined in rounds, and regions by blocks of documents.
 CLUSTER_SHINGLES, BLOCK_DOCS = 6_000_000, 2_000
-#: Bytes of pivot sets that are broadcast; more are joined by region. Rounds of pivots for a large cluster.
-BROADCAST_PIVOTS, ROUNDS = 16 << 20, 4
+#: Bytes of pivot sets that are broadcast; more are joined by region. Rounds of pivots for a large cluster, and how many times
+#: the documents of a round's regions cells may hold.
+BROADCAST_PIVOTS, ROUNDS, COPIES = 16 << 20, 4, 1.5
 #: Documents of 1,000 that hold a key from which it counts as common without a shuffle, and common keys that are broadcast.
 COMMON_IN_BATCH, COMMON_KEYS = 50, 10_000
 
@@ -279,7 +280,7 @@ class Region:
             inside = [rest & ((cell == k) | (distance[k] <= nearest + 2 * radius + 1e-9)) for k in range(len(rows))]
             # A cell within half the radius of its pivot is linked already: any two in it, and all with the pivot.
             regions = [members[i] for k, i in enumerate(inside) if distance[k][i].max(initial=0) > radius / 2 - 1e-9]
-            if sum(map(len, regions)) <= 1.5 * rest.sum():
+            if sum(map(len, regions)) <= COPIES * rest.sum():
                 stack += regions
             elif rest.sum() <= SMALL_REGION:  # distances do not part them
                 self.compare(members[rest])
@@ -426,15 +427,18 @@ def _join_large(sets: DataFrame, window: DataFrame, num: int, den: int, block_do
         rows = stage_table(labelled(cells.select(F.xxhash64("region", "pivot").alias("region"), "node")), "labelled_cells")
         sizes = rows.groupBy("region").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
         rows = stage_table(small_join(rows, stage_table(sizes.select("region", "c"), "open"), "region", "inner"), "open_cells")
+        before, size = size, rows.count()
+        if size > COPIES * before:  # windows copy too many documents into too many cells
+            regions = rows.select("node")
+            break
         links = links.unionByName(joined(rows.where(F.col("c") <= block_docs).drop("c")))
         regions = rows.where(F.col("c") > block_docs).select("region", "node")
-        before, size = size, regions.count()
-        if not size or size > 1.5 * before:
+        size = regions.count()
+        if not size:
             break
     if size:
         known = components(links).withColumnRenamed("component", "label")
-        left = regions.select("node").distinct()
-        by_shingle = window.withColumnRenamed("key", "region").join(left, "node", "left_semi")
+        by_shingle = window.withColumnRenamed("key", "region").join(regions.select("node").distinct(), "node", "left_semi")
         links = links.unionByName(joined(stage_table(labelled(by_shingle.select("region", "node")), "shingles")))
     return sets.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
@@ -458,8 +462,7 @@ def _grouped(docs: DataFrame, words: int, num: int, den: int, share: float | Non
     edges = small_join(window, centres, "key", "inner").select(F.col("node").alias("u"), "v")
     clusters = components(edges).withColumnRenamed("component", "cluster")
     members = stage_table(clusters.join(equal.select("node", "low", "doc_id", "n"), "node").withColumnRenamed("node", "high"), "members")
-    sizes = members.groupBy("cluster").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
-    large = stage_table(sizes.where((F.col("n") > cluster_shingles) | (F.col("docs") > block_docs)).select("cluster"), "large")
+    large = stage_table(members.groupBy("cluster").agg(F.sum("n").alias("n")).where(F.col("n") > cluster_shingles).select("cluster"), "large")
     to_sets, join = _join_clusters(words, num, den)
     sets = small_join(pairs, members, "doc_id", "inner").select("cluster", "text", "high", "low")
     blobs = sets.mapInArrow(to_sets, "cluster long, high long, low long, blob binary").where("blob is not null")
