@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vociflow.functions import text
@@ -23,11 +23,13 @@ def first_seen(posts: DataFrame) -> DataFrame:
 def exact_edges(posts: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Links (canonical, duplicate) from the earliest post of each normalised text to the others.
 
-    The earliest is an aggregate that joins back, so that a text with very many copies is never sorted in one task.
+    The earliest is an aggregate that joins back, so that a text with very many copies is never sorted in one task. Texts
+    are read and hashed once: both sides start from one exchange of narrow rows, which spreads copies over all tasks.
     """
     rows = posts.where(F.col("own_text_length") >= p.exact_min_length).select("id", "published_at", text.dedup_key(F.col("clean_text")).alias("hash"))
+    rows = rows.repartition("id")
     leaders = rows.groupBy("hash").agg(F.min(F.struct("published_at", "id")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    return rows.join(leaders, "hash").where("id <> first.id").select(
+    return rows.join(leaders, "hash").where(F.struct("published_at", "id") != F.col("first")).select(
         F.col("first.id").alias("canonical_id"), F.col("id").alias("duplicate_id"), F.lit(1.0).alias("similarity"), F.lit("EXACT").alias("method"), "hash", "copies"
     )
 
@@ -50,14 +52,17 @@ def _run_lengths(similarity: float, most: int = 2000) -> dict[int, tuple[int, in
 
 
 def near_pairs(posts: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """All pairs (a earlier, b) of posts with tokens whose similarity is at least the limit within the time window.
+    """All pairs (a, b, similarity, a_at) of posts, a the earlier one and a_at its time, with tokens whose similarity is at
+    least the limit within the time window (J7).
 
     If two token lists differ in t places at most, one of t + 1 equal parts of the first is whole in the second, at most t
     places off: each post names the beginnings of its own parts, and all runs of the lengths that others may look for,
     within neighbouring time buckets. Pairs that meet are compared once, with the exact distance.
     """
     span, least = p.near_hours * 3600, p.near_similarity
-    rows = posts.select("id", "published_at", "tokens").withColumns({"n": F.size("tokens"), "bucket": F.floor(F.unix_timestamp("published_at") / span)}).where("n > 0")
+    # One exchange by id, which all sides of the joins start from, so that tokens are made once.
+    rows = posts.select("id", "published_at", "tokens").repartition("id")
+    rows = rows.withColumns({"n": F.size("tokens"), "bucket": F.floor(F.unix_timestamp("published_at") / span)}).where("n > 0")
     hashes = F.transform("tokens", lambda t: F.xxhash64(t))
     run_at = lambda h, i, run: F.xxhash64(*[F.get(h, i + k) for k in range(run)])
     lengths = _run_lengths(least)
@@ -93,16 +98,15 @@ def near_pairs(posts: DataFrame, p: Params = DEFAULT) -> DataFrame:
     both = both.where(apart <= (1 - least) * F.greatest(F.size("x_tokens"), F.size("y_tokens")) + 1e-9)
     found = both.withColumn("similarity", text.token_similarity(F.col("x_tokens"), F.col("y_tokens"))).where(F.col("similarity") >= least - 1e-12)
     earlier = F.least("x_at", "y_at")
-    return found.select(earlier["id"].alias("a"), F.greatest("x_at", "y_at")["id"].alias("b"), "similarity")
+    return found.select(earlier["id"].alias("a"), F.greatest("x_at", "y_at")["id"].alias("b"), "similarity", earlier["published_at"].alias("a_at"))
 
 
 def near_edges(posts: DataFrame, exact: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """The first link of each near duplicate (D3, K7): long, relevant posts that are no exact copies."""
     able = posts.where((F.col("own_text_length") >= p.near_min_length) & F.col("relevant").eqNullSafe(True))
     able = able.join(exact.select(F.col("duplicate_id").alias("id")), "id", "left_anti")
-    pairs = near_pairs(able, p).join(able.select(F.col("id").alias("a"), "published_at"), "a")
-    place = F.row_number().over(Window.partitionBy("b").orderBy("published_at", "a"))
-    return pairs.withColumn("k", place).where("k = 1").select(F.col("a").alias("canonical_id"), F.col("b").alias("duplicate_id"), "similarity", F.lit("NEAR_DUPLICATE").alias("method"))
+    first = near_pairs(able, p).groupBy("b").agg(F.min(F.struct("a_at", "a", "similarity")).alias("f"))
+    return first.select(F.col("f.a").alias("canonical_id"), F.col("b").alias("duplicate_id"), "f.similarity", F.lit("NEAR_DUPLICATE").alias("method"))
 
 
 def originality(copy: Column, history: Column, media: Column, length: Column, p: Params = DEFAULT) -> Column:

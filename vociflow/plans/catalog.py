@@ -614,14 +614,13 @@ def exact_dup_edges(s, d):
 @query()
 def near_dup_pairs(s, d):
     """Pairs of near duplicates within 72 hours (J7, X15, X16): no SQL; a test compares with all pairs."""
-    rows = _tokens(s, d).where("own_text_length >= 100").persist()
-    return rounded(dedup.near_pairs(rows))
+    return rounded(dedup.near_pairs(_tokens(s, d).where("own_text_length >= 100")).drop("a_at"))
 
 
 @query()
 def near_dup_edges(s, d):
     """The first link of each near duplicate (D3, K7)."""
-    rows = _tokens(s, d).persist()  # read by both sides of every join
+    rows = _tokens(s, d)
     return rounded(dedup.near_edges(rows, dedup.exact_edges(rows)))
 
 
