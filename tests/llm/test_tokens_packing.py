@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from vociflow.llm import packing, tokens
+from vociflow.llm import common, packing, tokens
 
 TEXTS = [
     (3, "Hello, wörld. don't it's <|endoftext|> a<|startoftext|>b ÀB́ x\ty \x1cz 12,5 3. a, ."),
@@ -87,3 +87,44 @@ def test_packing_is_even_and_cuts_little():
     full = cost[: sum(lengths) // packing.SEQUENCE]
     assert full.std() / full.mean() < 0.25
     assert packing.pack([]) == [] and packing.capacities(5) == [4, 1]
+
+
+def plain_pack(lengths, sequence):
+    """The rule word by word: long documents fill sequences first; then descending pieces go to the cheapest sequence with room."""
+    room = packing.capacities(sum(lengths), sequence)
+    full = [k for k, c in enumerate(room) if c == sequence]
+    used, cost, out, left = [0] * len(room), [0.0] * len(room), [], []
+    for doc, n in enumerate(lengths):
+        start = 0
+        while n - start >= sequence and full:
+            k = full.pop(0)
+            out.append((doc, start, sequence, k, 0))
+            used[k], start = sequence, start + sequence
+        if start < n:
+            left.append((n - start, doc, start))
+    for n, doc, start in sorted(left, key=lambda x: (-x[0], x[1], x[2])):
+        while n:
+            fits = [(cost[k], k) for k in range(len(room)) if room[k] - used[k] >= n]
+            k = min(fits)[1] if fits else max((room[k] - used[k], -cost[k], -k) for k in range(len(room)) if room[k] > used[k])[2] * -1
+            take = min(n, room[k] - used[k])
+            out.append((doc, start, take, k, used[k]))
+            used[k], cost[k] = used[k] + take, cost[k] + packing.piece_cost(take)
+            n, start = n - take, start + take
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pieces_go_to_the_cheapest_sequence_with_room(seed):
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(1, [40, 300, 700][seed % 3], 120).tolist()
+    assert sorted(packing.pack(lengths, 256)) == sorted(plain_pack(lengths, 256))
+
+
+def test_long_texts_are_gathered_by_bytes(docs, library):
+    batches = [pa.RecordBatch.from_arrays([pa.array(["word " * 200_000])], ["text"]) for _ in range(60)]
+    sizes = [b.nbytes for b in common.gather(iter(batches), 2000)]
+    assert sum(sizes) >= 60_000_000 and max(sizes) <= common.GATHER_BYTES + 1_100_000
+    rows = [(k, ("" if k % 2 else "ключ 漢字 ") + "long words, " * 80_000) for k in range(4)]
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_files(docs(rows)).collect()}
+    assert got == {k: len(library(t)) for k, t in rows}
+    assert sum(r["length"] for r in packing.pack_documents(docs(rows)).collect()) == sum(got.values())

@@ -38,9 +38,9 @@ DISCOUNT = 0.75
 #: Bytes of text in a block, but for a longer text, which is a block of its own; and rows at most.
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 1 << 16
 #: Training tokens for each part of the table of n-grams.
-PART_TOKENS = 2_000_000
+PART_TOKENS = 1_000_000
 #: Parts that one task merges, one after the other.
-PARTS_A_TASK = 4
+PARTS_A_TASK = 8
 #: Bits of a hash that tell n-grams of one part apart, and the other ones, which deal n-grams to parts.
 KEY_BITS, PART_BITS = 36, 28
 #: The end of a text, and its start as a context; words hold no white space.
