@@ -40,15 +40,16 @@ def test_planted_items_are_found_and_nothing_else(spark, docs, items):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - {d for d, _ in truth}
 
 
-@pytest.mark.parametrize("postings", [decontam.POSTINGS, 50])
-def test_search_finds_all_items_above_their_threshold(items, monkeypatch, postings):
+@pytest.mark.parametrize(("postings", "passages"), [(decontam.POSTINGS, decontam.PASSAGES), (50, 7)])
+def test_search_finds_all_items_above_their_threshold(items, monkeypatch, postings, passages):
     monkeypatch.setattr(decontam, "POSTINGS", postings)
+    monkeypatch.setattr(decontam, "PASSAGES", passages)
     index = decontam.build_index(items)
     rng = np.random.default_rng(1)
     some = [[index.terms[w] for w in decontam._words(items[k][1])[: rng.integers(5, 60)]] for k in range(40)]
     queries = [np.unique(np.concatenate([rng.choice(len(index.terms), 60), own])) for own in some]
     passage, item, score = decontam.search(index, np.concatenate(queries), np.repeat(np.arange(40), [len(q) for q in queries]))
-    level, found = index.levels[-1], 0
+    level, found = index.items, 0
     for k, ids in enumerate(queries):
         exact = np.zeros(len(index.item_ids))
         for t in ids:
@@ -61,6 +62,19 @@ def test_search_finds_all_items_above_their_threshold(items, monkeypatch, postin
     assert found
 
 
+def test_traversal_scores_the_blocks_whose_maxima_reach_the_threshold(items):
+    index = decontam.build_index(items)
+    rng, level = np.random.default_rng(7), index.blocks
+    queries = [np.unique(rng.choice(len(index.terms), rng.integers(1, 120))) for _ in range(60)]
+    passage, block = decontam._traverse(index, np.concatenate(queries), np.repeat(np.arange(60), [len(q) for q in queries]))
+    for k, ids in enumerate(queries):
+        bound = np.zeros(level.count)
+        for t in ids:
+            own = slice(level.starts[t], level.starts[t + 1])
+            bound[level.blocks[own]] += level.maxima[own]
+        assert block[passage == k].tolist() == np.flatnonzero(bound >= 1 - decontam.SLACK).tolist()
+
+
 def test_all_pairs_by_overlap_are_found(spark, docs, items):
     """Retrieval loses no pair that verification accepts: against verifying every document with every item."""
     rng = random.Random(8)

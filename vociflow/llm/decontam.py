@@ -1,13 +1,13 @@
 """Benchmark decontamination: BM25 retrieval of test items for every passage, then verification (operator 10).
 
 The test items are an inverted index with BM25 impacts, and every passage (an overlapping window of a document) is a
-query. An item is retrieved if a passage reaches its threshold, so impacts are divided by their item's threshold and all
-items share one: 1. As in block-max WAND, postings lie in blocks of items, in ascending order of thresholds, that know
-each term's largest impact, and a block is visited only if the maxima of the terms that a passage has in it sum up to the
-threshold. As that threshold never rises (every item above it counts, not the best few), the cursors of WAND visit just
-the blocks with such a sum: they are found in ascending order for many passages at once, by large blocks first and by
-small ones in those that are left, and no block, however many there are, is visited without both bounds. All items
-retrieved are verified by the share of their question's and answer's five-word shingles that the document holds.
+query for block-max WAND. An item is retrieved if a passage reaches its threshold, so impacts are divided by their item's
+threshold and all items share one: 1. Postings lie in blocks of items, in ascending order of thresholds, that know each
+term's largest impact. A passage has a cursor on each of its terms' blocks. Sorted by block, the cursors' largest impacts
+anywhere are added up until they reach the threshold: the block there is the pivot, and no block before it can hold an
+item above the threshold, so that all cursors before it move to it. If the maxima within the pivot block reach the
+threshold as well, its items are scored. Many passages are traversed in step, as rows of arrays. All items above the
+threshold are kept, and verified by the share of their question's and answer's five-word shingles that the document holds.
 """
 
 from __future__ import annotations
@@ -31,10 +31,12 @@ PASSAGE, STRIDE = 128, 64
 K1, B = 1.2, 0.75
 #: Share that a passage must reach of the lowest score among the forms of an item that make a leak.
 THRESHOLD = 0.6
-#: Items in a block of the postings, from large to small blocks; each size is a multiple of the next, and the last is 1.
-BLOCKS = (4, 1)
-#: Postings that are laid out at a time: bounds memory, however many items an index has.
-POSTINGS = 2_000_000
+#: Items in a block of the postings.
+BLOCK = 4
+#: Passages that are traversed together, and postings that are laid out at a time: they bound memory, whatever the index.
+PASSAGES, POSTINGS = 1000, 2_000_000
+#: What sums of numbers in single precision may lack; scores are exact.
+SLACK = 1e-5
 #: Words of a shingle and share of shingles to be found for a leak.
 SHINGLE, OVERLAP = 5, 0.8
 #: Words from which a question alone makes a leak.
@@ -91,11 +93,14 @@ class Level:
 
 @dataclass
 class Index:
-    """Test items as an inverted index with impacts in blocks; impacts are shares of their item's threshold."""
+    """Test items as an inverted index with impacts; impacts are shares of their item's threshold."""
 
     item_ids: list
     terms: dict[str, int]
-    levels: list[Level]
+    #: Postings by block and by item, and each term's largest impact.
+    blocks: Level
+    items: Level
+    largest: np.ndarray
     threshold: np.ndarray
     question: list[tuple[int, np.ndarray]]
     answer: list[tuple[int, np.ndarray]]
@@ -186,10 +191,12 @@ def build_index(items: list[tuple[int, str | None]], statistics: Statistics | No
     place = np.argsort(order)
     share, item_of = impact / threshold[item_of] if n else impact, place[item_of]
     pick = lambda xs: [xs[k] for k in order.tolist()]
-    levels = [_level(size, n, len(terms), term_of, item_of, share) for size in BLOCKS]
+    blocks, items_ = (_level(size, n, len(terms), term_of, item_of, share) for size in (BLOCK, 1))
+    largest = np.maximum.reduceat(blocks.maxima, blocks.starts[:-1]) if terms else np.zeros(0)
     return Index(
-        pick([i for i, _, _ in split]), terms, levels, threshold[order], *[pick([m[j] for m in marks]) for j in range(3)], pick([len(q) for _, q, _ in split])
-    )
+        pick([i for i, _, _ in split]), terms, blocks, items_, largest.astype(np.float32), threshold[order], *[pick([m[j] for m in marks]) for j in range(3)],
+        pick([len(q) for _, q, _ in split]),
+    )
 
 
 def _level(size: int, items: int, terms: int, term_of: np.ndarray, item_of: np.ndarray, share: np.ndarray) -> Level:
@@ -225,13 +232,57 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.arange(len(at)) + np.repeat(lo - (np.cumsum(counts) - counts), counts)
 
 
+def _traverse(index: Index, ids: np.ndarray, passage_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, block), by passage, of the blocks that block-max WAND scores: rows of arrays are passages, columns cursors."""
+    level, last = index.blocks, np.uint32(index.blocks.count)
+    passages, first, sizes = np.unique(passage_of, return_index=True, return_counts=True)
+    width = int(sizes.max())
+    column = np.arange(width, dtype=np.uint32)
+    there = column < sizes[:, None]
+    term = np.zeros(there.shape, np.int32)
+    term[there] = ids
+    at, end = level.starts[term].astype(np.int32), level.starts[term + 1].astype(np.int32)
+    most = np.where(there, index.largest[term], np.float32(0))
+    block = np.where(there, level.blocks[at].astype(np.uint32), last)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def move(cursor: np.ndarray, to: np.ndarray) -> None:
+        """Set cursors to postings; those behind their term's last one are over, and count nothing."""
+        over = to >= end.ravel()[cursor]
+        at.ravel()[cursor] = to
+        block.ravel()[cursor] = np.where(over, last, level.blocks[np.minimum(to, len(level.blocks) - 1)].astype(np.uint32))
+        most.ravel()[cursor[over]] = 0
+
+    while True:
+        order = np.sort(block << np.uint32(8) | column, 1)
+        places = (np.arange(len(order)) * width)[:, None] + (order & np.uint32(255))
+        reached = np.cumsum(most.ravel()[places], 1) >= 1 - SLACK
+        pivot = order[np.arange(len(order)), reached.argmax(1)] >> np.uint32(8)
+        going = reached[:, -1] & (pivot < last)
+        if not going.all():
+            passages, term, at, end, most, block, pivot = (x[going] for x in (passages, term, at, end, most, block, pivot))
+        if not len(passages):
+            break
+        behind = np.flatnonzero(block < pivot[:, None])
+        key = term.ravel()[behind].astype(np.int64) * level.count + pivot[behind // width]
+        move(behind, np.minimum(np.searchsorted(level.keys, key), end.ravel()[behind]).astype(np.int32))
+        on = np.flatnonzero(block == pivot[:, None])
+        bound = np.bincount(on // width, level.maxima[at.ravel()[on]], len(passages))
+        scored = bound >= 1 - SLACK
+        out.append((passages[scored], pivot[scored].astype(np.int64)))
+        move(on, at.ravel()[on] + 1)
+    passage, block = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.lexsort((block, passage))
+    return passage[order], block[order]
+
+
 def _reached(level: Level, passage: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passage, block, sum of maxima), ascending, of the blocks whose sum reaches the threshold, from ranges of postings."""
+    """(passage, item, score), ascending, of the items whose score reaches the threshold, from ranges of postings."""
     at, posting = _ranges(lo, hi)
     cells, inverse = np.unique(passage[at] * level.count + level.blocks[posting], return_inverse=True)
-    bound = np.bincount(inverse, level.maxima[posting], len(cells))
-    good = bound >= 1 - 1e-9
-    return cells[good] // level.count, cells[good] % level.count, bound[good]
+    score = np.bincount(inverse, level.maxima[posting], len(cells))
+    good = score >= 1 - 1e-9
+    return cells[good] // level.count, cells[good] % level.count, score[good]
 
 
 def _runs(passage: np.ndarray, size: np.ndarray) -> Iterator[slice]:
@@ -249,28 +300,24 @@ def _runs(passage: np.ndarray, size: np.ndarray) -> Iterator[slice]:
 def search(index: Index, ids: np.ndarray, passage_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(passage, item, score) of all items that reach their threshold in a passage.
 
-    ids are the distinct terms of the passages in passage_of, which ascend.
+    ids are the distinct terms, 255 at most, of the passages in passage_of, which ascend.
     """
-    top, out = index.levels[0], [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    lo, hi = (top.starts[ids], top.starts[ids + 1]) if top.count else (np.zeros(0, np.int64),) * 2
-    for rows in _runs(passage_of[: len(lo)], hi - lo):
-        found = [_reached(top, passage_of[rows], lo[rows], hi[rows])]
-        for before, level in zip(index.levels, index.levels[1:], strict=False):
-            # The terms of each passage that is left, for each of its blocks: their postings in that block.
-            parts, below = before.size // level.size, []
-            for passage, block, _ in found:
-                first, last = np.searchsorted(passage_of, passage), np.searchsorted(passage_of, passage, "right")
-                for some in _runs(passage, last - first):
-                    at, term = _ranges(first[some], last[some])
-                    base, own = ids[term] * level.count, block[some][at] * parts
-                    a = np.searchsorted(level.keys, base + np.minimum(own, level.count))
-                    b = np.searchsorted(level.keys, base + np.minimum(own + parts, level.count))
-                    has = b > a
-                    below.append(_reached(level, passage[some][at][has], a[has], b[has]))
-            found = below
-        out += found
-    passage, block, bound = (np.concatenate(x) for x in zip(*out, strict=True))
-    return passage, block, bound * index.threshold[block] if len(block) else bound
+    level, out = index.items, [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    starts = np.flatnonzero(np.concatenate([[True], passage_of[1:] != passage_of[:-1]])) if level.count and len(ids) else []
+    for a in range(0, len(starts), PASSAGES):
+        own = slice(starts[a], starts[a + PASSAGES] if a + PASSAGES < len(starts) else len(ids))
+        passage, block = _traverse(index, ids[own], passage_of[own])
+        # The terms of each passage, for each of its blocks: their postings in that block.
+        first, last = np.searchsorted(passage_of, passage), np.searchsorted(passage_of, passage, "right")
+        for some in _runs(passage, last - first):
+            at, term = _ranges(first[some], last[some])
+            base, item = ids[term] * level.count, block[some][at] * BLOCK
+            lo = np.searchsorted(level.keys, base + np.minimum(item, level.count))
+            hi = np.searchsorted(level.keys, base + np.minimum(item + BLOCK, level.count))
+            has = hi > lo
+            out.append(_reached(level, passage[some][at][has], lo[has], hi[has]))
+    passage, item, score = (np.concatenate(x) for x in zip(*out, strict=True))
+    return passage, item, score * index.threshold[item] if len(item) else score
 
 
 def leaks(index: Index, texts: list[bytes | None], known: _Terms) -> list[tuple[int, int, float, float, float, float]]:
