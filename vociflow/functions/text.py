@@ -108,7 +108,7 @@ def parse_ngrams(spec: Column, fallback: Column | None = None) -> Column:
 
 def ngram_hits(lemmas: Column, ngrams: Column) -> Column:
     """How many n-grams have all of their words somewhere among the lemmas, in any order."""
-    return F.size(F.filter(ngrams, lambda g: F.size(F.array_except(g, lemmas)) == 0))
+    return F.size(F.filter(ngrams, lambda g: F.forall(g, lambda w: F.array_contains(lemmas, w))))
 
 
 def match(lemmas: Column, primary: Column, secondary: Column, excluded: Column) -> Column:

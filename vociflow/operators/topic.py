@@ -111,10 +111,17 @@ def search_events(events: DataFrame, needle: str, kind: str | None) -> DataFrame
     return out.where(has("message") | has("event_type"))
 
 
+def source_authors(posts: DataFrame) -> DataFrame:
+    """Posts and votes of each author of each source, the largest first."""
+    found = posts.groupBy("source", "author").agg(F.count("*").alias("n"), F.count("vote").alias("voted"))
+    return found.orderBy("source", F.desc("n"), "author")
+
+
 def source_groups(posts: DataFrame) -> DataFrame:
-    """Posts grouped by source, then author, with totals and vote counts; largest first."""
+    """Posts grouped by source, then author, with totals and vote counts; largest first.
+
+    Authors of a source are rows of source_authors(), as a source may have any number of them.
+    """
     by_author = posts.groupBy("source", "author").agg(F.count("*").alias("n"), F.count("vote").alias("voted"))
-    return by_author.groupBy("source").agg(
-        F.sum("n").alias("total"), F.sum("voted").alias("voted"), F.count("*").alias("authors"),
-        F.sort_array(F.collect_list(F.struct(F.col("n").alias("n"), F.col("author").alias("author"))), asc=False).alias("by_author"),
-    ).orderBy(F.desc("total"), "source")
+    sums = by_author.groupBy("source").agg(F.sum("n").alias("total"), F.sum("voted").alias("voted"), F.count("*").alias("authors"))
+    return sums.orderBy(F.desc("total"), "source")

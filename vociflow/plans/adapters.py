@@ -17,11 +17,16 @@ def as_of():
     return F.lit(AS_OF).cast("timestamp")
 
 
+#: Bytes up to which a table of texts is dealt to all cores; larger ones are read in the splits of their files.
+SMALL_BYTES = 128 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables; texts in fewer files than there are cores are dealt to all cores."""
+    """One of the driver's tables; a small table of texts, which may be one row group, is dealt to all cores."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in ("documents", "pages") and len(df.inputFiles()) < cores else df
+    if name not in ("documents", "pages") or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_BYTES:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism)
 
 
 def authors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -946,7 +946,14 @@ def except_ids(s, d):
 def hierarchy_groups(s, d):
     """Posts by source and author."""
     rows = t.posts(s, d).select(F.col("event_type").alias("source"), F.col("from_id").alias("author"), "vote")
-    return topic.source_groups(rows).drop("by_author")
+    return topic.source_groups(rows)
+
+
+@query("SELECT event_type AS source, from_id AS author, count(*) AS n, count(vote) AS voted FROM posts GROUP BY 1, 2", "p")
+def hierarchy_authors(s, d):
+    """Posts of each author of each source."""
+    rows = t.posts(s, d).select(F.col("event_type").alias("source"), F.col("from_id").alias("author"), "vote")
+    return topic.source_authors(rows)
 
 
 @query("SELECT TIMESTAMP '2024-01-01' + to_days(i::INTEGER * 7) AS start, least(TIMESTAMP '2024-01-01' + to_days(i::INTEGER * 7 + 7), TIMESTAMP '2024-01-31') AS \"end\" FROM range(0, 5) r(i)")
