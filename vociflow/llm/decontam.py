@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from vociflow.llm.common import hold, raw_texts, slices, stage_table, texts_of
+from vociflow.llm.common import hold, raw_texts, slices, stage_table, texts_of, tidy
 
 #: Words of a passage and between passages: an item of STRIDE words or fewer lies whole in some passage.
 PASSAGE, STRIDE = 128, 64
@@ -401,7 +401,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS
     shards, made = indexes(benchmark, max_items)
     for index in made:
         shared = _Shared(docs.sparkSession, index)
-        part = texts_of(docs).select("doc_id", "text").mapInArrow(_leak_rows(shared, to_arrow_type(item_type)), schema)
+        part = texts_of(docs).select("doc_id", "text").mapInArrow(tidy(_leak_rows(shared, to_arrow_type(item_type))), schema)
         if shards > 1:
             part = stage_table(part, "leaks")
             shared.broadcast.destroy()
@@ -456,7 +456,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS
                 bad = {k for k, *_ in leaks(shared.value, raw_texts(batch["text"]), known)}
                 yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_()))
 
-        docs = texts_of(docs).mapInArrow(run, docs.schema)
+        docs = texts_of(docs).mapInArrow(tidy(run), docs.schema)
         if shards > 1:
             docs = stage_table(docs, "kept")
             shared.broadcast.destroy()

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vociflow.llm.common import hold, raw_texts, slices, small_join, stage_table, texts_of
+from vociflow.llm.common import hold, raw_texts, slices, small_join, stage_table, texts_of, tidy
 from vociflow.llm.components import components
 
 #: Documents with at least so many shingles compare only those of a fixed share of the shingle space at first.
@@ -155,7 +155,7 @@ def _describe(words: int, num: int, den: int, share: float):
                 ["doc_id", "mark", "n", "high", "low", "n_part", "n_whole", "keys", "common"],
             )
 
-    return run
+    return tidy(run)
 
 
 DESCRIBED = "doc_id long, mark long, n long, high long, low long, n_part int, n_whole int, keys array<long>, common array<long>"
@@ -204,7 +204,7 @@ def _window_keys(described: DataFrame, common: DataFrame, num: int, den: int) ->
     """
     rows = described.select(F.explode("keys").alias("key"), "node")
     rare = rows.join(F.broadcast(common), "key", "left_anti").repartition("key").sortWithinPartitions("key")
-    shared = rare.mapInArrow(_shared_keys, "node long, key long, df long")
+    shared = rare.mapInArrow(tidy(_shared_keys), "node long, key long, df long")
     shared = shared.unionByName(rows.join(F.broadcast(common), "key", "left_semi").select("node", "key", F.lit(HOT + 1).cast("long").alias("df")))
     held = shared.groupBy("node").agg(F.collect_list(F.struct("df", "key")).alias("held"))
     lacking = F.expr(f"n - ceil(n * {num} / {den})").cast("int")
@@ -343,7 +343,7 @@ def _join_clusters(words: int, num: int, den: int):
         region.join(np.arange(len(pdf)))
         return pd.DataFrame({"high": pdf["high"], "low": pdf["low"], "component": pdf["high"].to_numpy()[region.label]})
 
-    return sets, join
+    return tidy(sets), join
 
 
 def _cells(num: int, den: int):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vociflow.llm.common import hold, slices, texts_of
+from vociflow.llm.common import hold, slices, texts_of, tidy
 
 #: Dimensions of the vectors, and the seed of the letters' random vectors.
 DIMENSIONS, SEED = 1024, 20241
@@ -123,7 +123,7 @@ def learn_prototypes(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     Tasks send sums of DIMENSIONS numbers for each language, however many texts they read.
     """
     rows = texts_of(labelled).where("lang is not null and text is not null").select("text", "lang")
-    sums = rows.mapInArrow(_learn, "lang string, dim int, value long").groupBy("lang", "dim").agg(F.sum("value").alias("value"))
+    sums = rows.mapInArrow(tidy(_learn), "lang string, dim int, value long").groupBy("lang", "dim").agg(F.sum("value").alias("value"))
     found = sums.limit(MAX_LANGUAGES * DIMENSIONS + 1).toPandas()
     if len(found) > MAX_LANGUAGES * DIMENSIONS:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -158,7 +158,7 @@ def predict_languages(docs: DataFrame, langs: list[str], prototypes: np.ndarray)
             found, score, _ = classify(batch["text"].to_pylist(), langs, prototypes)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return texts_of(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double")
+    return texts_of(docs).select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {id_type}, lang_pred string, score double")
 
 
 def keep_known_languages(docs: DataFrame, langs: list[str], prototypes: np.ndarray, min_score: float = MIN_SCORE) -> DataFrame:
@@ -170,4 +170,4 @@ def keep_known_languages(docs: DataFrame, langs: list[str], prototypes: np.ndarr
             least = min_score * np.sqrt(np.minimum(1, sizes / MIN_TRIGRAMS))
             yield batch.filter(pa.array([f != UNKNOWN and s >= m for f, s, m in zip(found, score, least, strict=True)], pa.bool_()))
 
-    return texts_of(docs).mapInArrow(run, docs.schema)
+    return texts_of(docs).mapInArrow(tidy(run), docs.schema)

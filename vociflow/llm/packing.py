@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vociflow.llm.common import gather, slices, texts_of
+from vociflow.llm.common import gather, slices, texts_of, tidy
 from vociflow.llm.tokens import ENCODE_ROWS, default_tokenizer, encoder
 
 #: Tokens of a full sequence.
@@ -149,4 +149,4 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, sequence: int
     """
     rows = texts_of(docs).select("doc_id", "text", F.spark_partition_id().cast("long").alias("part"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_pack_partition(tokenizer or default_tokenizer(), sequence, block_tokens), PIECES.format(id_type))
+    return rows.mapInArrow(tidy(_pack_partition(tokenizer or default_tokenizer(), sequence, block_tokens)), PIECES.format(id_type))

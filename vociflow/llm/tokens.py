@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vociflow.llm.common import gather, hold, new_path, slices, texts_of
+from vociflow.llm.common import gather, hold, new_path, slices, texts_of, tidy
 
 #: Id appended to every document.
 END_ID = 1
@@ -192,7 +192,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, partitions: in
     )
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, part int, start_in_part long, n_tokens long, tokens array<int>"
-    rows.mapInArrow(_encode_sorted(tokenizer), schema).write.options(**FILE_OPTIONS).parquet(path)
+    rows.mapInArrow(tidy(_encode_sorted(tokenizer)), schema).write.options(**FILE_OPTIONS).parquet(path)
 
 
 def read_token_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -235,7 +235,7 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
         .select("doc_id", (F.col("part_start") + F.col("start_in_part")).alias("start"), "n_tokens", "tokens")
     )
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_checksums, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(tidy(_checksums), f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

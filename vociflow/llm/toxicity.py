@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vociflow.llm.common import hold, raw_texts, release, slices, stage_table, texts_of
+from vociflow.llm.common import hold, raw_texts, slices, stage_table, texts_of, tidy
 
 #: Labelled rows of each kind to learn from: the bound of the sample, taken by a hash of doc_id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
@@ -186,7 +186,6 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield flush()
             counts[0].clear(), counts[1].clear()
     yield flush()
-    release()
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, float]:
@@ -278,7 +277,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model:
     sample = stage_table(taken[0].unionAll(taken[1]), "labels")
     # Kept for the reads that follow: the sample's words, and the words that stand for its texts in each round.
     texts = stage_table(texts_of(docs).select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("text", "toxic"), "labelled")
-    counts = texts.mapInArrow(_word_counts, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = texts.mapInArrow(tidy(_word_counts), "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = stage_table(counts.where(F.octet_length("word") >= 3), "words")
     sides = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sides.get(1) or not sides.get(0):
@@ -299,7 +298,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model:
             for batch in slices(batches, TEXTS):
                 yield pa.RecordBatch.from_arrays([pa.array(of(scorer, raw_texts(batch["text"]))), batch["toxic"]], [column, "toxic"])
 
-        return texts.mapInArrow(run, f"{column} {kind}, toxic int").toPandas()
+        return texts.mapInArrow(tidy(run), f"{column} {kind}, toxic int").toPandas()
 
     # At first the word that is most similar to landmarks of the marked kind, by their surprise, stands for its text.
     model = space.fold(np.array([*marked.values(), *[0.0] * (len(space.landmarks) - len(marked))]), 0.0)
@@ -331,4 +330,4 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
             score = scorer.model.probability(scorer.values(raw_texts(batch["text"])))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return texts_of(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, score double, predicted int")
+    return texts_of(docs).select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {id_type}, score double, predicted int")
