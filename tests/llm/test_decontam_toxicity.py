@@ -62,7 +62,9 @@ def test_search_finds_all_items_above_their_threshold(items, monkeypatch, postin
     assert found
 
 
-def test_traversal_scores_the_blocks_whose_maxima_reach_the_threshold(items):
+@pytest.mark.parametrize("following", [decontam.FOLLOWING, 0])
+def test_traversal_scores_the_blocks_whose_maxima_reach_the_threshold(items, monkeypatch, following):
+    monkeypatch.setattr(decontam, "FOLLOWING", following)
     index = decontam.build_index(items)
     rng, level = np.random.default_rng(7), index.blocks
     queries = [np.unique(rng.choice(len(index.terms), rng.integers(1, 120))) for _ in range(60)]

@@ -19,11 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from vociflow.llm.common import hold, raw_texts, slices, stage_table, texts_of, tidy
+from vociflow.llm.common import hold, slices, stage_table, texts_of, tidy
 
 #: Words of a passage and between passages: an item of STRIDE words or fewer lies whole in some passage.
 PASSAGE, STRIDE = 128, 64
@@ -35,6 +36,8 @@ THRESHOLD = 0.6
 BLOCK = 4
 #: Passages that are traversed together, and postings that are laid out at a time: they bound memory, whatever the index.
 PASSAGES, POSTINGS = 1000, 2_000_000
+#: Terms times blocks up to which an index has a table instead of a binary search.
+FOLLOWING = 2_000_000
 #: What sums of numbers in single precision may lack; scores are exact.
 SLACK = 1e-5
 #: Words of a shingle and share of shingles to be found for a leak.
@@ -89,6 +92,12 @@ class Level:
     maxima: np.ndarray
     #: Term and block of each posting as one number, ascending.
     keys: np.ndarray
+    #: For each such number the first posting that is not before it, if there are FOLLOWING numbers or fewer.
+    following: np.ndarray | None
+
+    def seek(self, key: np.ndarray) -> np.ndarray:
+        """The first postings that are not before terms and blocks."""
+        return np.searchsorted(self.keys, key) if self.following is None else self.following[key]
 
 
 @dataclass
@@ -207,7 +216,8 @@ def _level(size: int, items: int, terms: int, term_of: np.ndarray, item_of: np.n
     firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     keys, maxima = keys[firsts], np.maximum.reduceat(share, firsts) if len(firsts) else np.zeros(0)
     starts = np.searchsorted(keys, np.arange(terms + 1) * count)
-    return Level(size, count, starts, keys % max(1, count), maxima, keys)
+    following = np.searchsorted(keys, np.arange(terms * count)).astype(np.int32) if terms * count <= FOLLOWING else None
+    return Level(size, count, starts, keys % max(1, count), maxima, keys, following)
 
 
 class _Terms(dict):
@@ -235,7 +245,8 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _traverse(index: Index, ids: np.ndarray, passage_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(passage, block), by passage, of the blocks that block-max WAND scores: rows of arrays are passages, columns cursors."""
     level, last = index.blocks, np.uint32(index.blocks.count)
-    passages, first, sizes = np.unique(passage_of, return_index=True, return_counts=True)
+    first = np.flatnonzero(np.concatenate([[True], passage_of[1:] != passage_of[:-1]]))
+    passages, sizes = passage_of[first], np.diff([*first, len(passage_of)])
     width = int(sizes.max())
     column = np.arange(width, dtype=np.uint32)
     there = column < sizes[:, None]
@@ -265,7 +276,7 @@ def _traverse(index: Index, ids: np.ndarray, passage_of: np.ndarray) -> tuple[np
             break
         behind = np.flatnonzero(block < pivot[:, None])
         key = term.ravel()[behind].astype(np.int64) * level.count + pivot[behind // width]
-        move(behind, np.minimum(np.searchsorted(level.keys, key), end.ravel()[behind]).astype(np.int32))
+        move(behind, np.minimum(level.seek(key), end.ravel()[behind]).astype(np.int32))
         on = np.flatnonzero(block == pivot[:, None])
         bound = np.bincount(on // width, level.maxima[at.ravel()[on]], len(passages))
         scored = bound >= 1 - SLACK
@@ -320,15 +331,23 @@ def search(index: Index, ids: np.ndarray, passage_of: np.ndarray) -> tuple[np.nd
     return passage, item, score * index.threshold[item] if len(item) else score
 
 
-def leaks(index: Index, texts: list[bytes | None], known: _Terms) -> list[tuple[int, int, float, float, float, float]]:
+def _word_ids(texts: pa.Array, known: _Terms) -> list[np.ndarray]:
+    """The terms of each text's words, without those that have no letter or digit: Arrow splits the texts and numbers their words."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+    numbered = lists.flatten().dictionary_encode()
+    words = numbered.dictionary.cast(pa.binary()).to_pylist()
+    ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[numbered.indices.to_numpy()] if words else np.zeros(0, np.int64)
+    offsets = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py() if len(lists) else np.zeros(1, np.int64)
+    keep = ids > -2
+    ends = np.concatenate([[0], np.cumsum(keep)])[offsets]
+    return np.split(ids[keep], ends[1:-1]) if len(lists) else []
+
+
+def leaks(index: Index, texts: pa.Array, known: _Terms) -> list[tuple[int, int, float, float, float, float]]:
     """(text, item, score, overlap, question overlap, answer overlap) of all verified leaks in the texts."""
-    docs, terms, passage_of, owner = [], [], [], []
+    docs, terms, passage_of, owner = _word_ids(texts, known), [], [], []
     count = 0
-    for k, text in enumerate(texts):
-        words = text.split() if text else []
-        ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        ids = ids[ids > -2]
-        docs.append(ids)
+    for k, ids in enumerate(docs):
         windows = max(1, -(-(len(ids) - STRIDE) // STRIDE)) if len(ids) else 0
         places = np.flatnonzero(ids >= 0)
         if len(places):
@@ -344,7 +363,8 @@ def leaks(index: Index, texts: list[bytes | None], known: _Terms) -> list[tuple[
         return []
     owner = np.concatenate(owner)
     size = len(index.terms)
-    cells = np.unique(np.concatenate(passage_of) * size + np.concatenate(terms))
+    cells = np.sort(np.concatenate(passage_of) * size + np.concatenate(terms))
+    cells = cells[np.concatenate([[True], cells[1:] != cells[:-1]])]
     passage, item, score = search(index, cells % size, cells // size)
     best: dict[tuple[int, int], float] = {}
     for p, i, s in zip(passage.tolist(), item.tolist(), score.tolist(), strict=True):
@@ -429,7 +449,7 @@ def _leak_rows(shared, item_type: pa.DataType):
         index = shared.value
         known = hold(("terms", shared.id), lambda: _Terms(index.terms))
         for batch in slices(batches, TEXTS):
-            rows = leaks(index, raw_texts(batch["text"]), known)
+            rows = leaks(index, batch["text"], known)
             if rows:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -453,7 +473,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = hold(("terms", shared.id), lambda: _Terms(shared.value.terms))
             for batch in slices(batches, TEXTS):
-                bad = {k for k, *_ in leaks(shared.value, raw_texts(batch["text"]), known)}
+                bad = {k for k, *_ in leaks(shared.value, batch["text"], known)}
                 yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_()))
 
         docs = texts_of(docs).mapInArrow(tidy(run), docs.schema)
