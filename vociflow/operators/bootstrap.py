@@ -87,8 +87,8 @@ def two_level(counts: np.ndarray, times: np.ndarray, rng: np.random.Generator, o
     """Intervals of the positive and negative shares of clustered labels.
 
     counts has a row (positive, neutral, negative) for each kind of cluster, and times the clusters of that kind.
-    Clusters are drawn, then within each drawn one as many labels as it has; as labels of equal clusters are drawn alike,
-    each kind is drawn at once. Empty clusters are left out, and fewer than two give none.
+    Clusters are drawn, then within each drawn one as many labels as it has. Empty clusters are left out, and fewer than
+    two give none.
     """
     some = counts.sum(1) > 0
     counts, times = counts[some], times[some]
@@ -96,24 +96,20 @@ def two_level(counts: np.ndarray, times: np.ndarray, rng: np.random.Generator, o
     if n < 2:
         return None
     sizes = counts.sum(1)
-    # Clusters whose labels have the same shares draw together; where all labels are equal there is nothing to draw.
-    shares, kind = np.unique(counts / sizes[:, None], axis=0, return_inverse=True)
-    into = np.zeros((len(sizes), len(shares)), np.int64)
-    into[np.arange(len(sizes)), kind.reshape(-1)] = sizes
-    open_ = shares.max(1) < 1
-    positive = shares[open_, 0]
-    negative = np.divide(shares[open_, 2], 1 - positive, out=np.zeros(len(positive)), where=positive < 1).clip(0, 1)
-    step = max(1, 1_000_000 // (inner * len(shares)))
-    found = []
-    for a in range(0, outer, step):
-        labels = rng.multinomial(n, times / n, min(step, outer - a)) @ into  # labels drawn with each share, by outer iteration
-        drawn = np.repeat(labels[:, None, open_], inner, 1)
-        p = rng.binomial(drawn, positive)
-        q = rng.binomial(drawn - p, negative)
-        sure = (labels[:, ~open_] @ shares[~open_])[:, None]
-        found.append((np.stack([p.sum(2) + sure[..., 0], q.sum(2) + sure[..., 2]], -1) / labels.sum(1)[:, None, None]).reshape(-1, 2))
-    found = np.concatenate(found)
-    return tuple(np.quantile(found[:, 0], TAILS)), tuple(np.quantile(found[:, 1], TAILS))
+    out = []
+    for label in (0, 2):  # each label's interval needs its own share alone: clusters with the same share of it draw together
+        shares, kind = np.unique(counts[:, label] / sizes, return_inverse=True)
+        into = np.zeros((len(sizes), len(shares)), np.int64)
+        into[np.arange(len(sizes)), kind] = sizes
+        some = (shares > 0) & (shares < 1)  # else there is nothing to draw
+        step = max(1, 1_000_000 // (inner * len(shares)))
+        found = []
+        for a in range(0, outer, step):
+            labels = rng.multinomial(n, times / n, min(step, outer - a)) @ into  # labels drawn with each share, by outer iteration
+            drawn = rng.binomial(np.repeat(labels[:, None, some], inner, 1), shares[some]).sum(2) + labels[:, shares == 1].sum(1)[:, None]
+            found.append((drawn / labels.sum(1)[:, None]).ravel())
+        out.append(tuple(np.quantile(np.concatenate(found), TAILS)))
+    return out[0], out[1]
 
 
 INTERVALS = "author_id long, score string, low double, high double"
