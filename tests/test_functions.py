@@ -169,6 +169,8 @@ def test_bootstrap_of_counts_equals_that_of_rows():
     rows = np.repeat(values, times)
     plain = np.quantile(rows[rng.integers(0, 10, (100_000, 10))].mean(1), bootstrap.TAILS)
     assert bootstrap.one_level(values, times, rng, 100_000) == pytest.approx(plain, abs=0.15)
+    many, plain_many = 20 * times, np.quantile(np.repeat(values, 20 * times)[rng.integers(0, 200, (20_000, 200))].mean(1), bootstrap.TAILS)
+    assert bootstrap.one_level(values, many, rng, 20_000) == pytest.approx(plain_many, abs=0.05)
     assert bootstrap.one_level(values, times, rng, 100_000, "sum") == pytest.approx(10 * plain, abs=1.5)
     counts, times = np.array([[2, 0, 0], [1, 1, 0], [2, 2, 0], [0, 1, 3], [0, 0, 1]]), np.array([2, 3, 1, 2, 1])
     clusters = [np.repeat([0, 1, 2], c) for c, n in zip(counts, times, strict=True) for _ in range(n)]

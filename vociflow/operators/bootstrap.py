@@ -73,13 +73,19 @@ def _generator(seed: int, key) -> np.random.Generator:
 def one_level(values: np.ndarray, times: np.ndarray, rng: np.random.Generator, iterations: int, statistic: str = "mean") -> tuple[float, float] | None:
     """The interval of a mean or sum of distinct values and how often each occurs; none for fewer than two (B1).
 
-    Draws with replacement are multinomial counts of the distinct values, made in slices of bounded size.
+    Draws with replacement are places among the rows or, where few values occur often, multinomial counts of the distinct
+    values; they are made in slices of bounded size.
     """
     n = int(times.sum())
     if n < 2:
         return None
-    step = max(1, 2_000_000 // len(values))
-    found = np.concatenate([rng.multinomial(n, times / n, min(step, iterations - k)) @ values for k in range(0, iterations, step)])
+    if 8 * len(values) <= n:
+        step = max(1, 2_000_000 // len(values))
+        sums = [rng.multinomial(n, times / n, min(step, iterations - k)) @ values for k in range(0, iterations, step)]
+    else:
+        rows, step = np.repeat(values, times), max(1, 2_000_000 // n)
+        sums = [rows[rng.integers(0, n, (min(step, iterations - k), n))].sum(1) for k in range(0, iterations, step)]
+    found = np.concatenate(sums)
     return tuple(np.quantile(found / n if statistic == "mean" else found, TAILS))
 
 
@@ -148,7 +154,9 @@ def intervals(samples: DataFrame, iterations: int = 1000, outer: int = 300, inne
             out += [(author, f"{score}_{x}", *f) for x, f in zip(("positive", "negative"), found, strict=True)]
         return pd.DataFrame(out, columns=["author_id", "score", "low", "high"])
 
-    return counted.groupBy("author_id", "score").applyInPandas(run, INTERVALS)
+    # A number of partitions of its own: the counts are few bytes but much work, and would else be put together in few tasks.
+    tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return counted.repartition(tasks, "author_id", "score").groupBy("author_id", "score").applyInPandas(run, INTERVALS)
 
 
 def score_samples(authors: DataFrame, posts: DataFrame, comments: DataFrame) -> DataFrame:
