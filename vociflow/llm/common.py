@@ -5,51 +5,23 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vociflow.stage import new_path, shared_dir, stage_table
+
 #: Largest table, in rows, that an operator broadcasts after counting it; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
 #: Rows and bytes of an Arrow batch of texts, and bytes of batches that are put together.
 BATCH_ROWS, BATCH_BYTES, GATHER_BYTES = 1_000, 16 << 20, 24 << 20
 
-_own_dir: list[str] = []
 _held: dict = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own in a local session.
-
-    On a cluster without that setting this raises, as a machine-local folder would lose data there.
-    """
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        return base.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="vociflow-"))
-    return "file://" + _own_dir[0]
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A path of its own for one intermediate table."""
-    return f"{shared_dir(spark)}/vociflow-{tag}-{uuid.uuid4().hex}"
-
-
-def stage_table(df: DataFrame, tag: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it again: cuts lineage, and survives lost executors."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vociflow.llm import backoff_lm, decontam, jaccard, langid, packing, quality, tokens, toxicity, url_rules, warc
+from vociflow.llm import backoff_lm, decontam, jaccard, langid, layout, merkle, packing, quality, tokens, toxicity, url_rules, warc
 from vociflow.llm.common import crc_fold, table
 
 
@@ -66,6 +66,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents in a layout clustered by source, lang, length and date, and the files that their queries read."""
+    return layout.cluster_layout(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents in a Merkle manifest, one in seven of them held against a changed row."""
+    return merkle.verify_documents(table(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 7) == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_packing": op2_packing,
@@ -77,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op11_layout": op11_layout,
+    "op13_merkle": op13_merkle,
 }
 
 _JACCARD = r"""
@@ -149,4 +161,58 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = f THEN 'respo
   CASE WHEN page_id <> f THEN f END AS refers_to FROM firsts
 """
 
-SQL: dict[str, str] = {"op1_jaccard_join": _JACCARD, "op4_warc": _WARC, "op6_url_filter": _URLS, "op8_quality_rules": _QUALITY}
+#: crc32 of a number's decimal text: each character, then eight shifts, as -1.
+_CRC = """4294967295 - list_reduce(flatten(list_transform(range(1, length(coalesce(doc_id::VARCHAR, '')) + 1),
+    lambda i: [ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, 4294967295::BIGINT)"""
+
+_LAYOUT = f"""
+WITH base AS (
+  SELECT doc_id, source, lang, CASE WHEN text IS NULL THEN -1 ELSE octet_length(encode(text)) END AS length, ({_CRC}) % 365 AS date FROM documents),
+placed AS (
+  SELECT doc_id, 8 * (rank() OVER (ORDER BY source NULLS FIRST) - 1) // count(*) OVER () AS s, 8 * (rank() OVER (ORDER BY lang NULLS FIRST) - 1) // count(*) OVER () AS g,
+    8 * (rank() OVER (ORDER BY length) - 1) // count(*) OVER () AS l, 8 * (rank() OVER (ORDER BY date) - 1) // count(*) OVER () AS d FROM base),
+curve AS (
+  SELECT *, ((d >> 2 & 1) << 11) + ((l >> 2 & 1) << 10) + ((g >> 2 & 1) << 9) + ((s >> 2 & 1) << 8) + ((d >> 1 & 1) << 7) + ((l >> 1 & 1) << 6)
+    + ((g >> 1 & 1) << 5) + ((s >> 1 & 1) << 4) + ((d & 1) << 3) + ((l & 1) << 2) + ((g & 1) << 1) + (s & 1) AS z FROM placed),
+ordered AS (SELECT *, row_number() OVER (ORDER BY z, doc_id NULLS FIRST) - 1 AS position FROM curve),
+filed AS (SELECT *, position // 2000 AS file FROM ordered),
+boxes AS (SELECT file, min(s) AS s0, max(s) AS s1, min(g) AS g0, max(g) AS g1, min(l) AS l0, max(l) AS l1, min(d) AS d0, max(d) AS d1 FROM filed GROUP BY file),
+cells AS (SELECT DISTINCT z, s, g, l, d FROM filed),
+held AS (SELECT DISTINCT file, s, g, l, d FROM filed),
+met AS (SELECT z, count(*) AS n FROM cells JOIN boxes ON s BETWEEN s0 AND s1 AND g BETWEEN g0 AND g1 AND l BETWEEN l0 - 1 AND l1 + 1 AND d BETWEEN d0 - 1 AND d1 + 1 GROUP BY z),
+inside AS (
+  SELECT z, count(DISTINCT file) AS n FROM cells c JOIN held h ON c.s = h.s AND c.g = h.g AND abs(c.l - h.l) <= 1 AND abs(c.d - h.d) <= 1 GROUP BY z)
+SELECT doc_id, z::BIGINT AS z, position::BIGINT AS position, file::BIGINT AS file, met.n::BIGINT AS files_touched, inside.n::BIGINT AS files_matching,
+  concat_ws(',', s0, s1, g0, g1, l0, l1, d0, d1) AS file_bounds
+FROM filed JOIN boxes USING (file) JOIN met USING (z) JOIN inside USING (z)
+"""
+
+_MERKLE = f"""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, lang, n_chars, ({_CRC}) % 7 = 0 AND n_chars IS NOT NULL AS tampered,
+    list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text, (n_chars::HUGEINT + 1)::VARCHAR], lambda v: CASE WHEN v IS NULL THEN '-' ELSE octet_length(encode(v)) || ':' || v END) AS f
+  FROM documents),
+hashed AS (SELECT doc_id, lang, sha256(f[1] || f[2] || f[3] || f[4] || f[5]) AS leaf, CASE WHEN tampered THEN sha256(f[1] || f[2] || f[3] || f[6] || f[5]) END AS claimed FROM fields),
+leaves AS (
+  SELECT *, row_number() OVER () AS k, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM hashed),
+nodes AS (
+  SELECT lang, 0 AS v, i, n, leaf AS h FROM leaves
+  UNION ALL SELECT lang, v + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY lang, v + 1, i // 2, (n + 1) // 2),
+roots AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS v, i, n, h FROM roots
+  UNION ALL SELECT v + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY v + 1, i // 2, (n + 1) // 2),
+walk AS (
+  SELECT k, lang, 0 AS v, i, n, coalesce(claimed, leaf) AS c, '' AS p FROM leaves
+  UNION ALL SELECT k, w.lang, w.v + 1, w.i // 2, (w.n + 1) // 2, sha256(CASE WHEN w.i % 2 = 1 THEN s.h || c ELSE c || coalesce(s.h, '') END), p || coalesce(s.h, '')
+  FROM walk w LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM w.lang AND s.v = w.v AND s.i = xor(w.i, 1) WHERE w.n > 1),
+climb AS (
+  SELECT k, 0 AS v, r.i, r.n, c, p FROM walk w JOIN roots r ON r.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+  UNION ALL SELECT k, w.v + 1, w.i // 2, (w.n + 1) // 2, sha256(CASE WHEN w.i % 2 = 1 THEN s.h || c ELSE c || coalesce(s.h, '') END), p || coalesce(s.h, '')
+  FROM climb w LEFT JOIN tops s ON s.v = w.v AND s.i = xor(w.i, 1) WHERE w.n > 1)
+SELECT doc_id, leaf, r.h AS subroot, t.h AS root, sha256(p) AS proof_sha256, c AS folded_root, c = t.h AS verified
+FROM leaves l JOIN (SELECT * FROM climb WHERE n = 1) USING (k) JOIN roots r ON r.lang IS NOT DISTINCT FROM l.lang, (SELECT h FROM tops WHERE n = 1) t
+"""
+
+SQL: dict[str, str] = {"op1_jaccard_join": _JACCARD, "op4_warc": _WARC, "op6_url_filter": _URLS, "op8_quality_rules": _QUALITY, "op11_layout": _LAYOUT, "op13_merkle": _MERKLE}
