@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vociflow.llm import backoff_lm, decontam, jaccard, langid, layout, merkle, packing, quality, tokens, toxicity, url_rules, warc
+from vociflow.llm import backoff_lm, decontam, jaccard, langid, layout, merkle, packing, quality, rules, tokens, toxicity, url_rules, warc
 from vociflow.llm.common import crc_fold, table
 
 
@@ -71,6 +71,14 @@ def op11_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.cluster_layout(table(spark, sf_dir, "documents"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt from labels of folds 1 to 4."""
+    docs, fold = table(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 5)
+    measured = rules.measure(docs)
+    model = rules.learn(measured, table(spark, sf_dir, "labels"), fold != 0)
+    return rules.score_quality(measured, model).select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs of all documents in a Merkle manifest, one in seven of them held against a changed row."""
     return merkle.verify_documents(table(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 7) == 0)
@@ -88,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
     "op11_layout": op11_layout,
+    "op12_quality_rules": op12_quality_rules,
     "op13_merkle": op13_merkle,
 }
 
