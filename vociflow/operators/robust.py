@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vociflow.operators.selection import quantiles
+from vociflow.stage import stage_table
+
 #: Fixed value: makes the median absolute deviation comparable with a standard deviation.
 MAD_SCALE = 1.4826
 
@@ -82,21 +85,28 @@ def huber_by(df: DataFrame, key: str, value: str) -> DataFrame:
     return lists.select(key, huber(F.col("__l.__v"), F.col("__l.__n")).alias("mu"))
 
 
+def _scaled(c: str, middle: Column, spread: Column) -> Column:
+    return F.coalesce(F.when(spread > 0, (F.col(c) - middle) / spread), F.lit(0.0))
+
+
 def robust_z(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """df with z_<column> = (value - median) / IQR and null_imputed.
 
-    Null values, an IQR of 0, and fewer than two values give 0. Statistics are one row for each group.
+    Null values, an IQR of 0, and fewer than two values give 0. Over the whole table df is written first, and medians and
+    quartiles are selected from it by rounds of bounded size; with by, statistics are one row for each group.
     """
-    by = by or []
-    stats = [e for c in columns for e in (F.median(c).alias(f"__m_{c}"), iqr(F.col(c)).alias(f"__q_{c}"))]
-    side = df.groupBy(*by).agg(*stats)
-    joined = df.join(side, by) if by else df.join(F.broadcast(side), F.lit(True))  # one row without groups
-    z = {f"z_{c}": F.coalesce(F.when(F.col(f"__q_{c}") > 0, (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__q_{c}")), F.lit(0.0)) for c in columns}
+    if by:
+        stats = [e for c in columns for e in (F.median(c).alias(f"__m_{c}"), iqr(F.col(c)).alias(f"__q_{c}"))]
+        df = df.join(df.groupBy(*by).agg(*stats), by)
+        z = {f"z_{c}": _scaled(c, F.col(f"__m_{c}"), F.col(f"__q_{c}")) for c in columns}
+    else:
+        df = stage_table(df, "scores")
+        found = quantiles(df, columns, [0.25, 0.5, 0.75])
+        z = {f"z_{c}": _scaled(c, F.lit(q[1]), F.lit(q[2] - q[0] if n >= 2 else 0.0)) for c, (n, q) in found.items()}
     missing = F.lit(False)
     for c in columns:
         missing |= F.col(c).isNull()
-    out = joined.withColumns(z | {"null_imputed": missing})
-    return out.drop(*[f"__{k}_{c}" for k in "mq" for c in columns])
+    return df.withColumns(z | {"null_imputed": missing}).drop(*[f"__{k}_{c}" for k in "mq" for c in columns])
 
 
 STRUCTURAL, TOPICAL = ("aud", "er_bg", "age"), ("top_vol", "top_focus", "reach")
@@ -110,9 +120,17 @@ def composites(scores: DataFrame) -> DataFrame:
     return z.withColumns({"structural": mean(STRUCTURAL), "topical": mean(TOPICAL)})
 
 
+def _medians(with_composites: DataFrame) -> tuple[int, float | None, float | None]:
+    """The number of rows and the medians of both composites, which are never null; none of no rows."""
+    found = quantiles(with_composites, ["structural", "topical"], [0.5])
+    n = found["structural"][0]
+    return n, *(found[c][1][0] if n else None for c in ("structural", "topical"))
+
+
 def thresholds(with_composites: DataFrame) -> DataFrame:
-    """One row: the medians of both composites."""
-    return with_composites.agg(F.median("structural").alias("theta_structural"), F.median("topical").alias("theta_topical"))
+    """One row: the medians of both composites, null of no rows."""
+    _, structural, topical = _medians(with_composites)
+    return with_composites.sparkSession.createDataFrame([(structural, topical)], "theta_structural double, theta_topical double")
 
 
 def role(s: Column, t: Column, theta_s: Column, theta_t: Column) -> Column:
@@ -135,8 +153,9 @@ def audience_response(positive: Column, neutral: Column, negative: Column) -> Co
 def assign_roles(scores: DataFrame) -> DataFrame:
     """Scores with composites, thresholds, roles, positions and responses (R4); nothing for fewer than two authors."""
     found = composites(scores)
-    side = found.agg(F.median("structural").alias("theta_structural"), F.median("topical").alias("theta_topical"), F.count("*").alias("__n"))
-    out = found.join(F.broadcast(side), F.lit(True)).where("__n >= 2").drop("__n")
+    n, structural, topical = _medians(found)
+    theta = {"theta_structural": F.lit(structural).cast("double"), "theta_topical": F.lit(topical).cast("double")}
+    out = found.withColumns(theta).where(F.lit(n >= 2))
     share = lambda c, d: F.coalesce(F.col(c), F.lit(d))
     pos = [share("pos_positive", 0.0), share("pos_neutral", 1.0), share("pos_negative", 0.0)]
     resp = [share("resp_positive", 0.0), share("resp_neutral", 1.0), share("resp_negative", 0.0)]
