@@ -134,6 +134,39 @@ def test_near_pairs_equal_all_pairs(spark, least):
     assert ((500, 501) in expected) == (least == 0.8)
 
 
+def test_near_pairs_of_boilerplate(spark, monkeypatch):
+    """Every text holds the same passage, and many look for the same elements, which are dealt out in blocks."""
+    monkeypatch.setattr(dedup, "BLOCK", 3)
+    monkeypatch.setattr(dedup, "FREQUENT", 40)
+    rng = np.random.default_rng(8)
+    passage, rows = [f"p{k}" for k in range(30)], []
+    for k in range(120):
+        own = [f"v{rng.integers(6)}" for _ in range(12)] if k % 3 else [f"only{k}x{j}" for j in range(8)]
+        rows.append((k, int(rng.integers(0, 200)) * 3600, own + passage if k % 2 else passage + own))
+    df = spark.createDataFrame(rows, "id long, at long, tokens array<string>").withColumn("published_at", F.timestamp_seconds("at"))
+    found = {(r["a"], r["b"]): r["similarity"] for r in dedup.near_pairs(df, Params(near_similarity=0.85)).collect()}
+    expected = {}
+    for i, at, x in rows:
+        for j, when, y in rows:
+            if (at, i) < (when, j) and when - at <= 72 * 3600:
+                before = list(range(len(y) + 1))
+                for n, a in enumerate(x, 1):
+                    now = [n]
+                    for m, b in enumerate(y, 1):
+                        now.append(min(before[m] + 1, now[-1] + 1, before[m - 1] + (a != b)))
+                    before = now
+                if 1 - before[-1] / max(len(x), len(y)) >= 0.85 - 1e-12:
+                    expected[i, j] = 1 - before[-1] / max(len(x), len(y))
+    assert found == pytest.approx(expected) and len(expected) > 10
+
+
+def test_similarity_with_a_limit(spark):
+    a, b = F.array(*[F.lit(f"t{k}") for k in range(20)]), F.array(*[F.lit(f"t{k if k % 7 else k + 50}") for k in range(20)])
+    assert value(spark, text.token_similarity(a, b)) == pytest.approx(0.85)
+    assert value(spark, text.token_similarity(a, b, 0.85)) == pytest.approx(0.85) and value(spark, text.token_similarity(a, b, 0.9)) == 0
+    assert value(spark, text.token_similarity(F.array().cast("array<string>"), F.array().cast("array<string>"), 0.9)) == 1
+
+
 def test_similarity_of_very_many_tokens(spark):
     one, other = F.transform(F.sequence(F.lit(1), F.lit(43_000)), lambda k: k.cast("string")), F.lit("x")
     assert value(spark, text.token_similarity(F.slice(one, 42_900, 100), F.concat(F.slice(one, 42_900, 99), F.array(other)))) == pytest.approx(0.99)

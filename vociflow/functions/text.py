@@ -134,20 +134,32 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
-def token_similarity(a: Column, b: Column) -> Column:
+def token_similarity(a: Column, b: Column, least: float | None = None) -> Column:
     """1 - Levenshtein distance of two token arrays / the longer length; 1 if both are empty.
 
-    Each distinct token of the pair becomes one character, so that the built-in distance counts tokens.
+    Each token becomes one character, so that the built-in distance counts tokens. Characters come from a hash of the
+    token; where different tokens of a pair share one, another hash is tried, and in the end their places in a list of the
+    pair's tokens are taken. With least, similarities below it are 0, and the distance stops at the edits that it allows.
     """
 
-    def compare(x: Column, y: Column, names: Column) -> Column:
-        def code(tokens: Column) -> Column:
-            # Characters from 3400 on, and past the surrogates, which are no characters, from 10000 on (hexadecimal).
-            place = lambda t: let(F.array_position(names, t), lambda k: F.when(k < 41_984, k + 13_312).otherwise(k + 23_552))
-            return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex(place(t)), 8, "0")), "UTF-32")), "")
+    def coded(numbers: Column) -> Column:
+        # Four-byte characters, of which none is a surrogate, by their hexadecimal numbers.
+        digits = F.transform(numbers, lambda k: F.lpad(F.hex(k + 0x10000), 8, "0"))
+        return F.decode(F.unhex(F.array_join(digits, "")), "UTF-32")
 
+    def compare(x: Column, y: Column, names: Column) -> Column:
         longer = F.greatest(F.size(x), F.size(y))
-        found = 1 - F.levenshtein(code(x), code(y)) / longer
+        hashed = lambda salt: lambda tokens: F.transform(tokens, lambda t: F.pmod(F.xxhash64(t, F.lit(salt)), F.lit(1_000_000)))
+        listed = lambda tokens: F.transform(tokens, lambda t: F.array_position(names, t))
+        apart = lambda salt: F.size(F.array_distinct(hashed(salt)(names))) == F.size(names)
+
+        def distance(code) -> Column:
+            if least is None:
+                return F.levenshtein(coded(code(x)), coded(code(y)))
+            return F.call_function("levenshtein", coded(code(x)), coded(code(y)), F.floor((1 - least) * longer + 1e-9).cast("int"))
+
+        edits = F.when(apart(0), distance(hashed(0))).when(apart(1), distance(hashed(1))).otherwise(distance(listed))
+        found = let(edits, lambda d: F.when(d < 0, F.lit(0.0)).otherwise(1 - d / longer))
         return F.when(longer == 0, F.lit(1.0)).when(F.least(F.size(x), F.size(y)) == 0, F.lit(0.0)).otherwise(found)
 
     return let(a, lambda x: let(b, lambda y: let(F.array_distinct(F.concat(x, y)), lambda names: compare(x, y, names))))

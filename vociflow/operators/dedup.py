@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from vociflow.functions import text
 from vociflow.params import DEFAULT, Params
 from vociflow.sources.store import running_first
+from vociflow.stage import stage_table
 
-#: Longest runs of words that near duplicates are found by.
-RUN = 5
+#: Elements that are broadcast as the most frequent ones, at most; posts that look for an element in one block, about.
+FREQUENT, BLOCK = 100_000, 2_000
 #: Weights of the originality kinds, for information.
 ORIGINALITY_WEIGHTS = {"ORIGINAL": 1.0, "REPOST_WITH_COMMENT": 0.5, "PURE_REPOST": 0.0, "DETECTED_COPY": 0.0, "MEDIA_ONLY": 0.25}
 
@@ -34,69 +35,68 @@ def exact_edges(posts: DataFrame, p: Params = DEFAULT) -> DataFrame:
     )
 
 
-def _parts(n: int, similarity: float) -> int:
-    """Equal parts of n words of which a list that is similar enough has one at least, whichever is the longer one."""
-    return int(n * (1 - similarity) / similarity + 1e-9) + 1
+def _elements(tokens: Column) -> Column:
+    """A number for each token and how often it came up before, so that lists compare as multisets; in no order."""
+    sorted_ = F.sort_array(F.transform(tokens, lambda t: F.xxhash64(t)))
 
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return text.let(starts, lambda at: F.transform(at, lambda p, j: F.struct(F.get(s, p).alias("v"), (F.coalesce(F.get(at, j + 1), F.size(s)) - p).alias("n"))))
 
-def _run_lengths(similarity: float, most: int = 2000) -> dict[int, tuple[int, int | None]]:
-    """The run lengths that lists look for, each with the least and the greatest number of words of those lists.
+    return F.flatten(F.transform(text.let(sorted_, runs), lambda r: F.transform(F.sequence(F.lit(1), r["n"]), lambda k: F.xxhash64(r["v"], k))))
 
-    A run is the beginning of a part, and no longer than it. From some length on all lists look for runs of one length.
+
+def _prefixes(rows: DataFrame, least: float) -> DataFrame:
+    """Postings (id, n, at, bucket, e, place): the rarest elements of each list of n tokens, in one order for all lists.
+
+    Of similar lists the longer one has at most t = (1 - least) * n / least elements that the other lacks, so that among
+    the t + 1 rarest of each one is common to both. Elements of one list alone count for the places, and are left out.
     """
-    found: dict[int, tuple[int, int | None]] = {}
-    for n in range(1, most):
-        run = max(1, min(RUN, n // _parts(n, similarity)))
-        found[run] = (found.get(run, (n, n))[0], n)
-    return {run: (lo, None if hi > most // 2 else hi) for run, (lo, hi) in found.items()}
+    elements = rows.select("id", F.explode(_elements(F.col("tokens"))).alias("e"))
+    counts = stage_table(elements.groupBy("e").agg(F.count("*").alias("df")).where("df > 1"), "elements")
+    often = (counts.agg(F.sum("df")).first()[0] or 0) // FREQUENT
+    # At most FREQUENT elements are more frequent than that. They are broadcast, and no other one is a hot key of the join.
+    known = elements.join(F.broadcast(counts.where(F.col("df") > often)), "e", "left")
+    rare = known.where("df is null").drop("df").join(counts.where(F.col("df") <= often), "e", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    ranked = known.where("df is not null").unionByName(rare).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
+    lacking = F.floor(F.size("es") * (1 - least) / least + 1e-9).cast("int")
+    first = ranked.select("id", F.posexplode(F.slice("es", F.lit(1), lacking + 1)).alias("place", "x")).where("x.df > 1")
+    return first.join(rows.select("id", "n", "at", "bucket"), "id").select("id", "n", "at", "bucket", "x.e", "place")
 
 
 def near_pairs(posts: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """All pairs (a, b, similarity, a_at) of posts, a the earlier one and a_at its time, with tokens whose similarity is at
     least the limit within the time window (J7).
 
-    If two token lists differ in t places at most, one of t + 1 equal parts of the first is whole in the second, at most t
-    places off: each post names the beginnings of its own parts, and all runs of the lengths that others may look for,
-    within neighbouring time buckets. Pairs that meet are compared once, with the exact distance.
+    Posts within neighbouring time buckets meet by their rarest tokens (repeated ones are numbered). An element that very
+    many posts look for is split: one side goes to blocks, the other to all of them. Pairs that meet are compared once,
+    with the exact distance. Posts without tokens pair with nothing.
     """
     span, least = p.near_hours * 3600, p.near_similarity
-    # One exchange by id, which all sides of the joins start from, so that tokens are made once.
-    rows = posts.select("id", "published_at", "tokens").repartition("id")
-    rows = rows.withColumns({"n": F.size("tokens"), "bucket": F.floor(F.unix_timestamp("published_at") / span)}).where("n > 0")
-    hashes = F.transform("tokens", lambda t: F.xxhash64(t))
-    run_at = lambda h, i, run: F.xxhash64(*[F.get(h, i + k) for k in range(run)])
-    lengths = _run_lengths(least)
-    parts = F.floor(F.col("n") * (1 - least) / least + 1e-9).cast("int") + 1
-    size = F.floor(F.col("n") / parts).cast("int")
-    own = F.greatest(F.lit(1), F.least(F.lit(RUN), size))
-
-    def begins(h: Column) -> Column:
-        beginning = lambda i: F.coalesce(*[F.when(own == run, run_at(h, i, run)) for run in lengths])
-        return F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct((k * size).alias("at"), beginning(k * size).alias("run")))
-
-    def runs(h: Column, run: int, lo: int, hi: int | None) -> Column:
-        wanted = (F.col("n") >= run) & (F.col("n") >= lo * least - 1e-9)
-        if hi is not None:
-            wanted &= F.col("n") <= hi / least + 1e-9
-        places = F.sequence(F.lit(0), F.greatest(F.col("n") - run, F.lit(0)))
-        found = F.transform(places, lambda i: F.struct(i.alias("at"), run_at(h, i, run).alias("run")))
-        return F.when(wanted, found).otherwise(F.slice(found, 1, 0))
-
-    left = rows.select(F.col("id").alias("x"), "n", F.explode(text.let(hashes, begins)).alias("r"), "bucket")
-    left = left.select("x", "n", "r.run", F.col("r.at").alias("at"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    all_runs = text.let(hashes, lambda h: F.concat(*[runs(h, run, lo, hi) for run, (lo, hi) in lengths.items()]))
-    right = rows.select(F.col("id").alias("y"), F.col("n").alias("m"), F.explode(all_runs).alias("r"), "bucket").select("y", "m", "r.run", F.col("r.at").alias("place"), "bucket")
-    near_length = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9
-    near_place = F.abs(F.col("at") - F.col("place")) <= (1 - least) * F.greatest("n", "m") + 1e-9
-    met = left.join(right, ["run", "bucket"]).where((F.col("x") != F.col("y")) & near_length & near_place)
-    pairs = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    at = F.unix_micros("published_at")
+    # Tokens are written before they are looked at, so that texts are split once.
+    rows = stage_table(posts.select("id", "published_at", "tokens"), "posts")
+    rows = rows.withColumns({"n": F.size("tokens"), "at": at, "bucket": F.floor(at / (span * 1_000_000))}).where("n > 0")
+    postings = stage_table(_prefixes(rows, least), "postings")
+    wanted = postings.groupBy("e").agg(F.count("*").alias("wanted")).where(F.col("wanted") > F.greatest(F.lit(BLOCK), F.lit(postings.count() // FREQUENT)))
+    blocks = F.ceil(F.coalesce("wanted", F.lit(1)) / BLOCK)
+    split = postings.join(F.broadcast(wanted), "e", "left")  # at most FREQUENT elements
+    x = split.select("e", F.pmod(F.xxhash64("id"), blocks).alias("block"), "bucket", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "at", "place")])
+    y = split.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).withColumn("before", F.explode(F.array(F.lit(0), F.lit(1))))
+    y = y.select("e", "block", (F.col("bucket") - F.col("before")).alias("bucket"), "before", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "at", "place")])
+    longer = F.greatest("x_n", "y_n")
+    once = (F.col("before") == 1) | (F.col("x_id") < F.col("y_id"))
+    near_length = F.least("x_n", "y_n") >= least * longer - 1e-9
+    near_time = F.abs(F.col("x_at") - F.col("y_at")) <= span * 1_000_000
+    # As many elements as similar lists share must be left from the first common one on.
+    enough = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")) >= least * longer - 1e-9
+    pairs = x.join(y, ["e", "block", "bucket"]).where(once & near_length & near_time & enough).select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct()
     side = lambda c: rows.select(F.col("id").alias(c), F.struct("published_at", "id").alias(f"{c}_at"), F.col("tokens").alias(f"{c}_tokens"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
-    both = both.where(F.abs(F.unix_timestamp("x_at.published_at") - F.unix_timestamp("y_at.published_at")) <= span)
+    both = stage_table(pairs, "pairs").join(side("x"), "x").join(side("y"), "y")
     # Tokens that one side alone has are edits at least: most pairs that differ go without a distance.
     apart = F.greatest(F.size(F.array_except("x_tokens", "y_tokens")), F.size(F.array_except("y_tokens", "x_tokens")))
     both = both.where(apart <= (1 - least) * F.greatest(F.size("x_tokens"), F.size("y_tokens")) + 1e-9)
-    found = both.withColumn("similarity", text.token_similarity(F.col("x_tokens"), F.col("y_tokens"))).where(F.col("similarity") >= least - 1e-12)
+    found = both.withColumn("similarity", text.token_similarity(F.col("x_tokens"), F.col("y_tokens"), least)).where(F.col("similarity") >= least - 1e-12)
     earlier = F.least("x_at", "y_at")
     return found.select(earlier["id"].alias("a"), F.greatest("x_at", "y_at")["id"].alias("b"), "similarity", earlier["published_at"].alias("a_at"))
 
