@@ -225,6 +225,47 @@ def test_hashed_intervals_by_join_and_by_array_are_equal(spark):
     assert len(found[0]) == 7 and found[0] == found[1] == found[2]
     mean = {r["key"]: r["m"] for r in rows.groupBy("key").agg(F.avg("x").alias("m")).collect()}
     assert all(low < mean[k] < high for k, low, high, *_ in found[0])
+    leaves = [sorted(tuple(round(x, 9) for x in r) for r in bootstrap.hashed_intervals(rows, "key", "id", wanted, 200, array_rows=n, leaf_rows=3).collect()) for n in (0, 8, 10_000)]
+    assert len(leaves[0]) == 7 and leaves[0] == leaves[1] == leaves[2] != found[0]
+
+
+def test_draws_between_chunks_add_up_and_spread_as_binomial_ones(spark):
+    n, rows = 27_000, 4_000
+    df = spark.range(400).select(F.xxhash64("id").alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("c"))
+    drawn = df.select("h", "c", bootstrap._in_chunk(F.col("h"), F.lit(n).cast("long"), F.col("c"), rows).alias("m")).toPandas()
+    assert set(drawn.groupby("h")["m"].sum()) == {n}
+    for c, own in drawn.groupby("c"):
+        share = min(rows, n - c * rows) / n
+        assert own["m"].mean() == pytest.approx(n * share, rel=0.01) and own["m"].std() == pytest.approx((n * share * (1 - share)) ** 0.5, rel=0.15)
+
+
+def test_intervals_of_a_large_key_are_those_of_plain_draws(spark):
+    rng = np.random.default_rng(4)
+    values = rng.exponential(3, 20_000)
+    df = spark.createDataFrame([(k, 1, float(v)) for k, v in enumerate(values)], "id long, key long, x double")
+    row = bootstrap.hashed_intervals(df, "key", "id", {"mean": F.avg("x")}, 400, array_rows=1_000, leaf_rows=3_000).first()
+    half = 1.96 * values.std() / len(values) ** 0.5
+    assert row["mean_low"] == pytest.approx(values.mean() - half, abs=half / 4) and row["mean_high"] == pytest.approx(values.mean() + half, abs=half / 4)
+
+
+def test_two_level_intervals_of_an_author_are_those_of_a_plain_double_loop(spark):
+    rng = np.random.default_rng(6)
+    names = ["POSITIVE", "NEUTRAL", "NEGATIVE"]
+    clusters = [rng.choice(3, int(rng.integers(1, 7)), p=[0.5, 0.3, 0.2]) for _ in range(25)]
+    rows = [(7, "resp", "cluster", None, k, names[x]) for k, c in enumerate(clusters) for x in c] + [(8, "resp", "cluster", None, 1, "NEUTRAL")]
+    samples = spark.createDataFrame(rows, "author_id long, score string, kind string, value double, cluster long, label string")
+    got = {(r["author_id"], r["score"]): (r["low"], r["high"]) for r in bootstrap.intervals(samples, 1000, 300, 100).collect()}
+    drawn = []
+    for _ in range(1500):
+        chosen = rng.integers(0, 25, 25)
+        for _ in range(4):
+            own = np.concatenate([rng.choice(clusters[k], len(clusters[k])) for k in chosen])
+            drawn.append([(own == x).mean() for x in (0, 2)])
+    plain = np.quantile(np.array(drawn), bootstrap.TAILS, axis=0).T
+    assert set(got) == {(7, "resp_positive"), (7, "resp_negative")}
+    assert got[7, "resp_positive"] == pytest.approx(plain[0], abs=0.03) and got[7, "resp_negative"] == pytest.approx(plain[1], abs=0.03)
+    widths = bootstrap.mean_width(bootstrap.intervals(samples, 1000, 300, 100)).collect()
+    assert [(r["author_id"], r["ci_width"]) for r in widths] == [(7, pytest.approx(np.mean([h - l for l, h in got.values()]), abs=1e-6))]
 
 
 def test_beta_posterior_without_votes(spark):

@@ -11,14 +11,17 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vociflow.functions.text import let
+from vociflow.stage import number_rows, stage_table
+
 TAILS = (0.025, 0.975)
-#: Rows of a key up to which its values travel as an array; the draws of a key with more rows are joined with them.
-ARRAY_ROWS = 10_000
+#: Rows of a key up to which they are collected, and rows of an array that draws pick from.
+ARRAY_ROWS, LEAF_ROWS = 10_000, 4_000
 #: Modulus, multipliers and strides of the hash that draws.
-MODULUS, FIRST, SECOND, BY_ITERATION, BY_PLACE = 2147483647, 48271, 69621, 1000003, 7919
+MODULUS, FIRST, SECOND, BY_ITERATION, BY_PLACE, BY_CHUNK = 2147483647, 48271, 69621, 1000003, 7919, 104729
 
 
 def _start(seed: int, key: Column) -> Column:
@@ -45,23 +48,78 @@ def _iterations(df: DataFrame, seed: int, key: str, iterations: int) -> DataFram
     return _mixed(rows, "__h", F.col("__s") + F.col("__b") * BY_ITERATION)
 
 
-def hashed_intervals(values: DataFrame, key: str, order: str, statistics: dict[str, Column], iterations: int, seed: int = 42, array_rows: int = ARRAY_ROWS) -> DataFrame:
+def _normal(u: Column) -> Column:
+    """The standard normal quantile of u, between 0 and 1, to about 0.00045 (a published rational approximation)."""
+    rest = lambda t: (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
+    return let(u, lambda v: let(F.sqrt(-2 * F.log(F.least(v, 1 - v))), lambda t: F.signum(v - 0.5) * (t - rest(t))))
+
+
+def _in_chunk(h: Column, n: Column, chunk: Column, rows: int) -> Column:
+    """How many of n draws from n rows fall into one of the chunks of so many rows, by a binary tree over the chunks.
+
+    Each node's draws part between its halves by a binomial number, which depends on the iteration's hash and the node
+    alone, so that all chunks of a key find the same tree. Nodes hold far more than 1,000 rows: the binomial quantile is
+    that of the normal distribution, with its skewness.
+    """
+
+    def left_draws(node: Column, middle: Column) -> Column:
+        p = (middle - node["lo"]) * rows / (F.least(node["hi"] * rows, n) - node["lo"] * rows)
+        u = (F.pmod(F.xxhash64(h, node["lo"], node["hi"]), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        spread = lambda p, z: node["drawn"] * p + F.sqrt(node["drawn"] * p * (1 - p)) * z + (1 - 2 * p) / 6 * (z * z - 1)
+        found = let(p, lambda p: let(_normal(u), lambda z: spread(p, z)))
+        return F.greatest(F.lit(0).cast("long"), F.least(node["drawn"], F.round(found).cast("long")))
+
+    def halve(node: Column, _) -> Column:
+        part = lambda lo, hi, drawn: F.struct(lo.alias("lo"), hi.alias("hi"), drawn.alias("drawn"))
+        side = lambda m, left: F.when(chunk < m, part(node["lo"], m, left)).otherwise(part(m, node["hi"], node["drawn"] - left))
+        split = let(F.floor((node["lo"] + node["hi"]) / 2), lambda m: let(left_draws(node, m), lambda left: side(m, left)))
+        return F.when(node["hi"] - node["lo"] <= 1, node).otherwise(split)
+
+    chunks = F.ceil(n / rows)
+    root = F.struct(F.lit(0).cast("long").alias("lo"), chunks.alias("hi"), n.alias("drawn"))
+    return F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(chunks)).cast("int") + 1), root, halve, lambda node: node["drawn"])
+
+
+def _chunks(rows: DataFrame, key: str, order: str, array_rows: int, leaf_rows: int) -> DataFrame:
+    """key, __n, __c and __v: the rows of each key, which has __n, in arrays of leaf_rows, in order.
+
+    Keys of array_rows rows or fewer are collected and cut; the rows of larger ones are numbered in one global order, so
+    that they never meet in one task.
+    """
+    columns = [order, *[c for c in rows.columns if c not in (key, order, "__n")]]
+    whole = rows.where(F.col("__n") <= array_rows).groupBy(key, "__n").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("__v"))
+    cut = whole.withColumn("__c", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("__n") / leaf_rows) - 1)))
+    cut = cut.select(key, "__n", "__c", F.when(F.col("__n") <= leaf_rows, F.col("__v")).otherwise(F.slice("__v", F.col("__c") * leaf_rows + 1, F.lit(leaf_rows))).alias("__v"))
+    large = rows.where(F.col("__n") > array_rows)
+    if not large.limit(1).count():
+        return cut
+    large = stage_table(large, "large")
+    placed = stage_table(number_rows(large, [F.col(key), F.col(order)], large.count(), "__p"), "placed")
+    first = placed.groupBy(key).agg(F.min("__p").alias("__first"))  # a row for more than array_rows rows
+    numbered = placed.join(first, key).withColumn("__c", F.floor((F.col("__p") - F.col("__first")) / leaf_rows))
+    return cut.unionByName(numbered.groupBy(key, "__n", "__c").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("__v")))
+
+
+def hashed_intervals(
+    values: DataFrame, key: str, order: str, statistics: dict[str, Column], iterations: int, seed: int = 42, array_rows: int = ARRAY_ROWS, leaf_rows: int = LEAF_ROWS
+) -> DataFrame:
     """Percentile intervals of statistics over resampled rows, for keys with two rows or more (B1, B2).
 
-    statistics are aggregates over the columns of values; order numbers a key's rows. The values of a key of array_rows
-    rows or fewer lie in one array, from which its draws pick in place; of a larger key draws and rows are joined, so that
-    no large group is collected. Both give the same intervals.
+    statistics are aggregates over the columns of values; order numbers a key's rows. Rows lie in arrays of leaf_rows, from
+    which draws pick in place; where a key has several, a binomial tree says how many of its draws fall to each. So no
+    large group is collected, no draws are shuffled, and array_rows changes the plan alone.
     """
-    columns = [c for c in values.columns if c != key]
     counted = values.groupBy(key).agg(F.count("*").alias("__n")).where("__n >= 2")
-    rows = values.join(counted, key)
-    few = rows.where(F.col("__n") <= array_rows).groupBy(key, "__n").agg(F.sort_array(F.collect_list(F.struct(order, *[c for c in columns if c != order]))).alias("__v"))
-    few = _iterations(few, seed, key, iterations).withColumn("__d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
-    few = _drawn(few).select(key, "__b", F.get("__v", F.col("__i").cast("int")).alias("__r")).select(key, "__b", "__r.*")
-    many = rows.where(F.col("__n") > array_rows).withColumn("__i", F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long") - 1)
-    draws = _drawn(_iterations(many.select(key, "__n", F.col("__i").alias("__d")), seed, key, iterations)).select(key, "__b", "__i")
-    many = draws.join(many, [key, "__i"]).select(key, "__b", *columns)
-    stats = few.unionByName(many).groupBy(key, "__b").agg(*[s.alias(n) for n, s in statistics.items()])
+    # A number of partitions of its own: arrays are few bytes but much work, and would else be put together in few tasks.
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = _chunks(values.join(counted, key), key, order, array_rows, leaf_rows).repartition(tasks, key, "__c")
+    draws = _iterations(chunks, seed, key, iterations)
+    one = F.col("__n") <= leaf_rows
+    draws = draws.withColumn("__m", F.when(one, F.col("__n")).otherwise(_in_chunk(F.col("__h"), F.col("__n"), F.col("__c"), leaf_rows)))
+    draws = _mixed(draws, "__g", F.col("__h") + (F.col("__c") + 1) * BY_CHUNK).withColumns({"__h": F.when(one, F.col("__h")).otherwise(F.col("__g")), "__n": F.size("__v").cast("long")})
+    drawn = _drawn(draws.withColumn("__d", F.explode(F.when(F.col("__m") > 0, F.sequence(F.lit(0).cast("long"), F.col("__m") - 1)))))
+    drawn = drawn.select(key, "__b", F.get("__v", F.col("__i").cast("int")).alias("__r")).select(key, "__b", "__r.*")
+    stats = drawn.groupBy(key, "__b").agg(*[s.alias(n) for n, s in statistics.items()])
     out = [F.percentile(n, F.lit(t)).alias(f"{n}_{end}") for n in statistics for t, end in zip(TAILS, ("low", "high"), strict=True)]
     return stats.groupBy(key).agg(*out)
 

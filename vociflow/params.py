@@ -72,7 +72,7 @@ class Params:
 
 DEFAULT = Params()
 
-#: Parameters of the sensitivity analysis: name, default, low, high, category.
+#: Parameters of the sensitivity analysis (name, default, low, high, category).
 SENSITIVITY = (
     ("huber_k", 1.345, 1.0, 1.7, "ROBUST_STATS"),
     ("bootstrap_B", 1000.0, 500.0, 2000.0, "BOOTSTRAP"),

@@ -327,11 +327,11 @@ def author_detail(s, d):
     return found.select("vk_id", F.array_join(F.transform("posts", lambda p: p["id"].cast("string")), " ").alias("post_ids"))
 
 
-@query("""SELECT id, coalesce(first_name, 'Author #' || from_id) AS author_name, CASE WHEN from_id % 3 = 0 THEN coalesce(n_name, 'Community #' || from_id) END AS community_name
-  FROM posts LEFT JOIN authors ON vk_id = from_id LEFT JOIN nation ON n_nationkey = from_id AND from_id > 0 WHERE from_id > 0""", "ap")
+@query("""SELECT id, coalesce(first_name, 'Author #' || from_id) AS author_name, CASE WHEN from_id % 3 = 0 AND from_id <> 0 THEN coalesce(n_name, 'Community #' || from_id) END AS community_name
+  FROM posts LEFT JOIN authors ON vk_id = from_id LEFT JOIN nation ON n_nationkey = from_id AND from_id <> 0""", "ap")
 def validation_names(s, d):
     """Posts with author and community names."""
-    rows = t.posts(s, d).where("from_id > 0").withColumn("owner_id", F.when(F.col("from_id") % 3 == 0, -F.col("from_id")).otherwise(F.col("from_id")))
+    rows = t.posts(s, d).withColumn("owner_id", F.when(F.col("from_id") % 3 == 0, -F.col("from_id")).otherwise(F.col("from_id")))
     communities = t.table(s, d, "nation").select(F.col("n_nationkey").alias("vk_id"), F.col("n_name").alias("name"))
     return views.validation_rows(rows, t.authors(s, d), communities).select("id", "author_name", "community_name")
 
@@ -556,7 +556,7 @@ def stems(s, d):
     """Stems of words by the published rules (X7): no SQL; tests hold known stems."""
     from vociflow.functions.stem import stem_tokens
 
-    return _tokens(s, d).select("id", F.size(stem_tokens()(F.col("tokens"))).alias("n_stems"))
+    return _tokens(s, d).select("id", stem_tokens()(F.col("tokens")).alias("stems"))
 
 
 # ---- vectors
@@ -742,19 +742,20 @@ def ci_width(s, d):
 # ---- quality
 
 
-_JUDGED = """, judged AS (SELECT vk_id, CASE WHEN vk_id % 4 <> 0 THEN (vk_id % 60) / 100.0 END AS ci_width, topic_posts, n_comments FROM scores),
+_JUDGED = ", lab AS (SELECT * FROM posts WHERE label IS NOT NULL), " + _DRAWS % ("from_id", "label", "from_id", "id", "from_id", "lab", "avg((x = 'POSITIVE')::INT) AS pp, avg((x = 'NEGATIVE')::INT) AS qq") + """,
+  wide AS (SELECT key, round((quantile_cont(pp, 0.975) - quantile_cont(pp, 0.025) + quantile_cont(qq, 0.975) - quantile_cont(qq, 0.025)) / 2, 6) AS ci_width FROM st GROUP BY key),
+  judged AS (SELECT vk_id, ci_width, topic_posts, n_comments FROM scores LEFT JOIN wide ON key = vk_id),
   suff AS (SELECT vk_id, ci_width, CASE WHEN topic_posts < 3 OR n_comments < 10 OR coalesce(ci_width > 0.5, false) THEN 'UNRELIABLE' WHEN topic_posts >= 10 AND n_comments >= 50 AND (ci_width IS NULL OR ci_width <= 0.2) THEN 'RELIABLE' ELSE 'PRELIMINARY' END AS sufficiency FROM judged)"""
 
 
 def _judged(s, d) -> DataFrame:
-    rows = _scores(s, d).withColumn("ci_width", _width())
+    """Authors with the mean width of the intervals of their label shares (B2, A26), and their sufficiency (Q1)."""
+    found = boot_label_ci(s, d)
+    width = (F.col("positive_high") - F.col("positive_low") + F.col("negative_high") - F.col("negative_low")) / 2
+    rows = _scores(s, d).join(found.select(F.col("from_id").alias("vk_id"), F.round(width, 6).alias("ci_width")), "vk_id", "left")
     return rows.select("vk_id", "ci_width", quality.sufficiency(F.col("topic_posts"), F.col("n_comments"), F.col("ci_width")).alias("sufficiency"))
 
 
-def _width() -> Column:
-    return F.when(F.col("vk_id") % 4 != 0, (F.col("vk_id") % 60) / 100.0)
-
-
 @query("+ " + _SCORES + _JUDGED + " SELECT vk_id, sufficiency FROM suff", "apc")
 def sufficiency(s, d):
     """Sufficiency of each author's data (Q1)."""
