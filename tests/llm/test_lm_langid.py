@@ -72,6 +72,36 @@ def test_the_traversal_gives_the_scores_of_a_larger_corpus(docs, monkeypatch):
         assert got[i] == pytest.approx(model.score(backoff_lm.words_of(text.encode())[:-1]), rel=1e-9)
 
 
+def test_walks_take_failure_arcs_and_split_texts_score_alike(docs, monkeypatch):
+    """The query's arcs on one block: failure arcs are counted, and walks of a few words give what whole ones give."""
+    shared = backoff_lm.Vocabulary(9, 2, 4, 2, 1)
+    names, ids, starts = backoff_lm._numbered([b"a b c", b"a b d b c", b"x b c"])
+    counts = np.array([2 if n == b"\t" else {b"\n": 2, b"a": 2, b"b": 3, b"c": 2, b"d": 1}.get(n, 0) for n in names])
+    known = Counter(g for t in (b"\ta b c\n", b"\ta b d b c\n") for w in [[b"\t", *t.strip().split(), b"\n"]] for k in (2, 3) for g in (tuple(w[i : i + k]) for i in range(len(w) - k + 1)))
+    number, two, three = {}, np.full(len(ids), -1), np.full(len(ids), -1)
+    for i in range(len(ids)):
+        if ids[i]:
+            two[i] = number.setdefault((names[ids[i - 1]], names[ids[i]]), len(number))
+            if ids[i - 1]:
+                three[i] = number.setdefault(tuple(names[k] for k in ids[i - 2 : i + 1]), len(number))
+    arcs, reached = backoff_lm.block_arcs(shared, ids, counts, (two, three), np.array([known[g] for g in number]))
+    begin, end = starts + 1, np.array([*starts[1:], len(ids)])
+    whole = arcs.walk(ids, begin, end, reached[starts])
+    # START x: failure arcs from START, then state 0; b, c and the end in states of one and two words: (x, b) is unknown.
+    assert arcs.failures == 1
+    pieces = [(k, i) for k, (a, b) in enumerate(zip(begin, end, strict=True)) for i in range(a, b)]
+    at = np.array([i for _, i in pieces])
+    parts = np.bincount([k for k, _ in pieces], arcs.walk(ids, at, at + 1, reached[at - 1]))
+    assert parts == pytest.approx(whole) and arcs.failures == 2
+
+
+@pytest.mark.parametrize("walk", [1, 3, 1000])
+def test_scores_do_not_depend_on_the_length_of_walks(docs, monkeypatch, walk):
+    expected = {(r["doc_id"], round(r["score"], 9)) for r in backoff_lm.score_texts(docs(ROWS), F.col("doc_id").isin(*HELD)).collect()}
+    monkeypatch.setattr(backoff_lm, "WALK", walk)
+    assert {(r["doc_id"], round(r["score"], 9)) for r in backoff_lm.score_texts(docs(ROWS), F.col("doc_id").isin(*HELD)).collect()} == expected
+
+
 def test_a_text_longer_than_a_block(docs, monkeypatch):
     monkeypatch.setattr(backoff_lm, "BLOCK_BYTES", 1000)
     rows = [(1, "a b c"), (2, " ".join(f"w{k}" for k in range(50_000))), (3, None), (4, "w1 w2 w3")]

@@ -11,8 +11,10 @@ prior / (count(h) + prior), so that the probabilities of each state sum to 1. Wi
 share of all tokens, and the discounts are shared by the unseen words, whose number is estimated (Chao's estimator).
 
 Texts travel in compressed blocks of bounded size. A block sends its n-grams with their training counts to parts by hash,
-as differences of sorted keys, and gets the counts over all blocks back in the same order, without keys; then it is scored
-with the part of the automaton that its texts visit, by one traversal of all its places.
+as differences of sorted keys, and gets the counts over all blocks back in the same order, without keys. From these it
+builds the part of the automaton that its texts visit, states, arcs and failure arcs, and walks all its texts in step, from
+left to right: each carries its state, follows failure arcs where its state has no arc for the next word, and adds up what
+the arcs weigh.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 1 << 16
 PART_TOKENS = 1_000_000
 #: Parts that one task merges, one after the other.
 PARTS_A_TASK = 8
+#: Words after which a text goes on as a walk of its own, from the state that the words before leave.
+WALK = 4_096
 #: Bits of a hash that tell n-grams of one part apart, and the other ones, which deal n-grams to parts.
 KEY_BITS, PART_BITS = 36, 28
 #: The end of a text, and its start as a context; words hold no white space.
@@ -261,7 +265,98 @@ class Vocabulary:
         return np.where(counts > 0, counts - DISCOUNT, DISCOUNT * self.distinct / self.unseen) / self.tokens
 
 
-def _score(shared: Vocabulary, parts: int):
+class Arcs:
+    """States, arcs and failure arcs as arrays; state 0 has no context, and every word is numbered.
+
+    keys are state * words + word of the arcs of all other states, ascending, with weight and target (a state) of each;
+    state 0 has an arc for every word: root and root_target by word. fail and fail_weight are by state.
+    """
+
+    def __init__(self, words: int, fail: np.ndarray, fail_weight: np.ndarray, arcs: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], root: np.ndarray, root_target: np.ndarray):
+        state, word, weight, target = arcs
+        keys = state * words + word
+        order = np.argsort(keys)
+        self.words, self.keys, self.weight, self.target = words, np.append(keys[order], np.iinfo(np.int64).max), weight[order], target[order]
+        self.fail, self.fail_weight, self.root, self.root_target = fail, fail_weight, root, root_target
+        self.failures = 0  # failure arcs that walks have taken
+
+    def walk(self, ids: np.ndarray, begin: np.ndarray, end: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """What the words at the places from begin to end of each walk weigh, all walks in step, from their states on."""
+        order = np.argsort(begin - end, kind="stable")  # the longest first
+        at, left, state = begin[order].copy(), (end - begin)[order], state[order].copy()
+        ends = np.searchsorted(-left, -np.arange(1, left[0] + 1 if len(left) else 1), side="right")  # walks of more than so many words
+        out = np.zeros(len(left))
+        for active in ends.tolist():
+            word, now = ids[at[:active]], state[:active]
+            total, after = np.zeros(active), np.zeros(active, np.int64)
+            todo = np.arange(active)
+            while len(todo):
+                own, read = now[todo], word[todo]
+                place = np.searchsorted(self.keys, own * self.words + read)
+                hit = (self.keys[place] == own * self.words + read) & (own > 0)
+                found = todo[hit]
+                total[found] += self.weight[place[hit]]
+                after[found] = self.target[place[hit]]
+                if hit.all():
+                    break
+                bare = own == 0
+                found = todo[bare]
+                total[found] += self.root[word[found]]
+                after[found] = self.root_target[word[found]]
+                todo = todo[~hit & ~bare]
+                self.failures += len(todo)
+                total[todo] += self.fail_weight[now[todo]]
+                now[todo] = self.fail[now[todo]]
+            out[:active] += total
+            state[:active] = after
+            at[:active] += 1
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+
+
+def block_arcs(shared: Vocabulary, ids: np.ndarray, counts: np.ndarray, grams: tuple[np.ndarray, np.ndarray], times: np.ndarray) -> tuple[Arcs, np.ndarray]:
+    """The part of the automaton that a block's texts visit, and the state after each place.
+
+    ids are the words at all places, counts how often the corpus has each word, START as often as texts. grams are, by
+    place, the numbers of the two and of the three words that end there (-1: none), and times the corpus's counts by number.
+    """
+    two, three = grams
+    words = len(counts)
+    is_two, is_three = two >= 0, three >= 0
+    # States: 0, words that the corpus has, and pairs that it has and that a text goes on from.
+    word_state = np.where(counts > 0, np.cumsum(counts > 0), 0)
+    last = np.full(len(times), -1, np.int64)
+    last[two[is_two]] = np.flatnonzero(is_two)
+    pairs = np.flatnonzero((last >= 0) & (times > 0))
+    pair_state = np.zeros(len(times), np.int64)
+    pair_state[pairs] = int((counts > 0).sum()) + 1 + np.arange(len(pairs))
+    a, b = ids[last[pairs] - 1], ids[last[pairs]]
+    of_word, of_pair = counts[counts > 0].astype(np.float64), times[pairs].astype(np.float64)
+    fail = np.concatenate([np.zeros(1 + len(of_word), np.int64), word_state[b]])
+    fail_weight = np.concatenate([[0.0], np.log10(PRIOR[1] / (of_word + PRIOR[1])), np.log10(PRIOR[2] / (of_pair + PRIOR[2]))])
+    # Arcs of one-word states, then of two-word states; an n-gram's weight goes back to the shorter one's.
+    by_word = shared.word(counts)
+    p2 = np.zeros(len(times))
+    p2[pairs] = (of_pair + PRIOR[1] * by_word[b]) / (counts[a] + PRIOR[1])
+    seen = np.full(len(times), -1, np.int64)
+    seen[three[is_three]] = np.flatnonzero(is_three)
+    triples = np.flatnonzero((seen >= 0) & (times > 0))
+    at = seen[triples]
+    before, after = two[at - 1], two[at]
+    some = (times[before] > 0) & (times[after] > 0)  # always, but for n-grams that share a hash
+    triples, at, before, after = triples[some], at[some], before[some], after[some]
+    p3 = (times[triples] + PRIOR[2] * p2[after]) / (times[before] + PRIOR[2])
+    some = word_state[a] > 0
+    arcs = (
+        np.concatenate([word_state[a][some], pair_state[before]]), np.concatenate([b[some], ids[at]]).astype(np.int64),
+        np.log10(np.concatenate([p2[pairs][some], p3])), np.concatenate([pair_state[pairs][some], pair_state[after]]),
+    )
+    reached = np.where(is_two & (pair_state[two] > 0), pair_state[two], word_state[ids])
+    return Arcs(words, fail, fail_weight, arcs, np.log10(by_word), word_state), reached
+
+
+def _score(shared: Vocabulary, parts: int, walk: int):
     """Rows sorted by block, kind and part: counts of its words and n-grams, then its texts."""
 
     def scored(totals: dict[int, list[bytes]], rows: pa.RecordBatch) -> pa.RecordBatch:
@@ -271,21 +366,20 @@ def _score(shared: Vocabulary, parts: int):
         counts = np.zeros(len(names), np.int64)
         counts[1 + order] = np.concatenate([_unpress(blob) for blob in totals[WORDS]])
         floor = log10(1 / (shared.tokens + shared.distinct + 1))
-        lengths = np.diff([*starts, len(ids)]) - 1
+        ends = np.array([*starts[1:], len(ids)])
+        lengths = ends - starts - 1
         known = np.add.reduceat((counts > 0)[ids].astype(np.int64), starts)
         base = np.add.reduceat(np.log10(counts + 1.0)[ids], starts) + lengths * floor
-        by_word = shared.word(counts)[ids]
         two, three, is_two, is_three = _places(ids, hashes)
         _, inverse = _grams_of(np.concatenate([two[is_two], three[is_three]]), parts)
-        found = np.concatenate([_unpress(blob) for blob in totals[GRAMS]])[inverse].astype(np.float64)
-        n2, n3 = np.zeros(len(ids)), np.zeros(len(ids))
-        n2[is_two], n3[is_three] = found[: int(is_two.sum())], found[int(is_two.sum()) :]
-        # The traversal: arcs by what the contexts of one and of two words before a place give its word.
+        grams = np.full((2, len(ids)), -1, np.int64)
+        grams[0][is_two], grams[1][is_three] = inverse[: int(is_two.sum())], inverse[int(is_two.sum()) :]
         counts[0] = shared.texts
-        one_before, two_before = np.concatenate([[0], counts[ids[:-1]]]), np.concatenate([[0.0], n2[:-1]])
-        p = (n2 + PRIOR[1] * by_word) / (one_before + PRIOR[1])
-        p = np.where(is_three, (n3 + PRIOR[2] * p) / (two_before + PRIOR[2]), p)
-        score = np.add.reduceat(np.where(is_two, np.log10(p), 0.0), starts)
+        arcs, reached = block_arcs(shared, ids, counts, (grams[0], grams[1]), np.concatenate([_unpress(blob) for blob in totals[GRAMS]]).astype(np.int64))
+        # A text's first walk starts behind START; a long text goes on from the state that its words before leave.
+        walks = [(k, at, min(at + walk, end)) for k, (start, end) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)) for at in range(start + 1, end, walk)]
+        owner, begin, end = np.array(walks, np.int64).T
+        score = np.bincount(owner, arcs.walk(ids, begin, end, reached[begin - 1]), len(starts))
         return pa.RecordBatch.from_arrays(
             [
                 rows["doc_id"], rows["held_out"], pa.array(lengths, pa.int64()), pa.array(known, pa.int64()),
@@ -379,4 +473,4 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     together = together.repartition("block").sortWithinPartitions("block", "kind", "part")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return together.mapInArrow(_score(Vocabulary(tokens, texts, *stats), parts), schema)
+    return together.mapInArrow(_score(Vocabulary(tokens, texts, *stats), parts, WALK), schema)
