@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from vociflow.operators import sentiment
 from vociflow.sources import collection, corpus, importer, store
 
 DATASET = {
@@ -192,3 +193,41 @@ def test_import_query_keeps_one_comment_of_each_repeated_id(spark, duck, sf_dir)
     found = [r["vk_id"] for r in catalog.composite_key_import_join(spark, sf_dir).select("vk_id").collect()]
     wanted = duck.execute("SELECT DISTINCT l_orderkey * 10 + l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 3 = 1").fetchall()
     assert sorted(found) == sorted(x for (x,) in wanted)
+
+
+@pytest.mark.parametrize("n", [0, 1, 40])
+def test_a_json_export_in_parts_is_the_document(spark, tmp_path, n):
+    rows = spark.range(n).select(F.col("id").alias("vk_id"), F.lit('a "quoted" \\ name').alias("role"), *[(F.col("id") / 3).alias(c) for c in store.EXPORT_COLUMNS if c != "role"])
+    for raw in (False, True):
+        path = tmp_path / f"{n}{raw}"
+        store.export_json(rows, f"file://{path}", 4, 'se"cret', b"s", raw)
+        parts = "".join(f.read_text() for f in sorted(path.glob("part-*")))
+        assert parts.removesuffix("\n") == store.json_document(rows, 4, 'se"cret', b"s", raw).first()["document"]
+
+
+def test_a_second_run_finds_all_results_without_moving_the_table(spark):
+    texts = spark.createDataFrame([(k, f"text {k % 7}") for k in range(40)] + [(99, None)], "id long, text string")
+    asked = []
+
+    def compute(missing):
+        asked.append(sorted(str(r["text"]) for r in missing.collect()))
+        return missing.select("text_hash", F.upper("text").alias("result"))
+
+    name = "cache_of_a_test"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    first = sentiment.cached_in_table(texts.where("id < 3"), name, "v1", compute)
+    assert first.count() == 3 and asked == [["text 0", "text 1", "text 2"]]
+    whole = sentiment.cached_in_table(texts, name, "v1", compute)
+    assert {(r["text"], r["result"]) for r in whole.collect()} == {(f"text {k}", f"TEXT {k}") for k in range(7)} | {(None, None)}
+    again = sentiment.cached_in_table(texts.where("text is not null"), name, "v1", compute)
+    assert again.count() == 40 and asked[2] == []
+    sentiment.cached_in_table(texts.where("id < 3"), name, "v2", compute)
+    assert len(asked[3]) == 3 and spark.table(name).where("model_version = 'v1' and text_hash is not null").count() == 7
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = again._jdf.queryExecution().sparkPlan().toString(), again._jdf.queryExecution().executedPlan().toString()
+        side = plan[1].split("Initial Plan")[-1].split("Bucketed: true")[0].rsplit("SortMergeJoin", 1)[-1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Bucketed: true" in plan[1] and side.count("Exchange hashpartitioning") <= 1  # that of the texts

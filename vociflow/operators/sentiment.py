@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from vociflow.functions import text
 from vociflow.params import DEFAULT, Lexicon, Params
+from vociflow.stage import stage_table
+
+#: Buckets of a table of cached results.
+CACHE_BUCKETS = 32
 
 
 def _in(word: Column, words: tuple[str, ...]) -> Column:
@@ -98,6 +102,26 @@ def cached(texts: DataFrame, cache: DataFrame, version: str, compute: Callable[[
     return hashed.join(known.unionByName(new.select("text_hash", "result")), "text_hash", "left"), new
 
 
+def cached_in_table(texts: DataFrame, table: str, version: str, compute: Callable[[DataFrame], DataFrame], buckets: int = CACHE_BUCKETS) -> DataFrame:
+    """texts with text_hash and result, from a table that keeps the results of earlier runs.
+
+    compute gets the distinct texts that the table lacks for this version of the model, as rows (text_hash, text), and
+    returns (text_hash, result), whose results are appended before this returns, so that another run finds them. The
+    table is made at first and bucketed by hash: lookups do not move its rows. A null text has no result. One run writes to a table
+    at a time.
+    """
+    spark = texts.sparkSession
+    hashed = texts.withColumn("text_hash", text.text_hash(F.col("text")))
+    distinct = hashed.select("text_hash", "text").where("text_hash is not null").dropDuplicates(["text_hash"])
+    known = lambda: spark.table(table).where(F.col("model_version") == version).select("text_hash", "result")
+    missing = distinct.join(known(), "text_hash", "left_anti") if spark.catalog.tableExists(table) else distinct
+    new = stage_table(compute(missing).withColumn("model_version", F.lit(version)).select("text_hash", "model_version", "result"), "results")
+    if not spark.catalog.tableExists(table) or not new.isEmpty():
+        new.write.bucketBy(buckets, "text_hash").sortBy("text_hash").format("parquet").mode("append").saveAsTable(table)
+        spark.catalog.refreshTable(table)
+    return hashed.join(known(), "text_hash", "left")
+
+
 def fallback_label(label: Column, failed: Column) -> Column:
     """NEUTRAL with score 0.5 and method fallback_error where a model's batch failed."""
     return F.when(failed, F.struct(F.lit("NEUTRAL").alias("label"), F.lit(0.5).alias("score"), F.lit("fallback_error").alias("method"))).otherwise(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from vociflow.params import DEFAULT, LATIN
 from vociflow.plans import adapters as t
 from vociflow.plans import doubles
 from vociflow.sources import collection, corpus, importer, store
-from vociflow.stage import stage_table
+from vociflow.stage import new_path, stage_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -690,6 +691,22 @@ def cache_probe(s, d):
     return found.select("conv_id", "turn", "result")
 
 
+@query("SELECT conv_id, turn, length(text) AS result, 0::BIGINT AS computed_again FROM conversations")
+def cache_write_back(s, d):
+    """Results of all texts by two runs over one table of results: the second finds all that the first wrote."""
+    rows, name = t.table(s, d, "conversations").select("conv_id", "turn", "text"), f"vociflow_cache_{uuid.uuid4().hex}"
+    asked = []
+
+    def compute(missing):
+        asked.append(missing.count())
+        return missing.select("text_hash", F.length("text").alias("result"))
+
+    sentiment.cached_in_table(rows.where("turn % 2 = 0"), name, "v1", compute)
+    sentiment.cached_in_table(rows, name, "v1", compute)
+    again = sentiment.cached_in_table(rows, name, "v1", compute)
+    return again.select("conv_id", "turn", "result", F.lit(asked[-1]).cast("long").alias("computed_again"))
+
+
 # ---- inference
 
 _DRAWS = """v AS (SELECT %s AS key, %s AS x, row_number() OVER (PARTITION BY %s ORDER BY %s) - 1 AS i, count(*) OVER (PARTITION BY %s) AS n FROM %s),
@@ -1090,6 +1107,15 @@ def json_export(s, d):
     return store.json_document(_export(s, d), 1, "name", b"salt")
 
 
+@query(SQL["json_export"].replace(" SELECT array_to_string(['{',", ", doc AS (SELECT array_to_string(['{',", 1).replace("AS document FROM rows", "AS document FROM rows)", 1)
+       + " SELECT line, count(*) AS n FROM (SELECT unnest(string_split(document, chr(10))) AS line FROM doc) GROUP BY 1")
+def json_export_lines(s, d):
+    """A session's scores written as one JSON document in parts, read again by lines (K4)."""
+    path = new_path(s, "export")
+    store.export_json(_export(s, d), path, 1, "name", b"salt")
+    return s.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
 @query("+ " + _SCORES + _Z + " SELECT sha256('salt' || vk_id) AS author_hash, role FROM rolled", "apc")
 def export_gate(s, d):
     """Rows of an export for which raw mode was asked for, but not confirmed (K5)."""
@@ -1148,6 +1174,17 @@ def import_documents(s, d):
     return importer.parse_import(made, "document")["posts"].select(F.col("vkId").alias("vk_id"), F.col("fromId").alias("from_id"), "text")
 
 
+@query("""SELECT o_orderkey::INTEGER AS vk_id, o_custkey::INTEGER AS from_id, o_orderstatus || ' }], "posts": [{' || chr(10) || '\\"' AS text FROM orders""")
+def import_files(s, d):
+    """Posts of dataset files, one document for up to 1,000 orders, read in byte ranges."""
+    text_of = F.concat("o_orderstatus", F.lit(' }], "posts": [{\n\\"'))
+    post = F.struct(F.col("o_orderkey").alias("vkId"), F.col("o_custkey").alias("fromId"), text_of.alias("text"), F.array(F.struct(F.lit("}").alias("posts"))).alias("more"))
+    made = t.table(s, d, "orders").groupBy(F.floor(F.col("o_orderkey") / 1000).alias("g")).agg(F.to_json(F.struct(F.lit("1}").alias("version"), F.collect_list(post).alias("posts"))).alias("value"))
+    path = new_path(s, "files")
+    made.select("value").write.text(path)
+    return importer.read_import(s, path)["posts"].select(F.col("vkId").alias("vk_id"), F.col("fromId").alias("from_id"), "text")
+
+
 @query("+ " + _TOKENS + """, lem AS (SELECT id, CASE WHEN id % 2 = 0 THEN ['kept', 'é"\\'] ELSE list_transform(w, lambda x: lower(x)) END AS l FROM tokens) SELECT id, len(l)::INTEGER AS n, l[1] AS first, l[-1] AS last FROM lem""", "x")
 def processed_text_join(s, d):
     """Lemmas of processed texts, which are stored as JSON, or computed ones."""

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from vociflow import schemas
+from vociflow.sources.json_records import read_arrays, records
+from vociflow.stage import stage_table
 
 
 def read_words(spark: SparkSession, path: str) -> list[str]:
@@ -21,10 +24,11 @@ def read_lexicon(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
 
 
 def read_corpus(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Authors, posts, roles and anomalies of a ground-truth corpus."""
-    whole = spark.read.schema(schemas.CORPUS).option("multiLine", True).json(path)
+    """Authors, posts, roles and anomalies of a ground-truth corpus, read in byte ranges."""
+    arrays = stage_table(read_arrays(spark, path), "corpus")
+    kinds = {f.name: f.dataType.elementType.simpleString() for f in StructType.fromDDL(schemas.CORPUS) if isinstance(f.dataType, ArrayType)}
     names = {"authors": "authors", "posts": "posts", "roles": "ground_truth_roles", "anomalies": "ground_truth_anomalies"}
-    return {k: whole.select(F.explode(c).alias("r")).select("r.*") for k, c in names.items()}
+    return {k: records(arrays, c, kinds[c]).drop("position") for k, c in names.items()}
 
 
 def violations(authors: DataFrame, posts: DataFrame, roles: DataFrame) -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vociflow import schemas
+from vociflow.sources.json_records import read_arrays, records
+from vociflow.stage import stage_table
 
 
 def parse_import(documents: DataFrame, column: str) -> dict[str, DataFrame]:
@@ -15,9 +18,10 @@ def parse_import(documents: DataFrame, column: str) -> dict[str, DataFrame]:
 
 
 def read_import(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The record arrays of a dataset file as DataFrames (S1). Unknown keys are ignored; a missing file is an error."""
-    whole = spark.read.schema(schemas.IMPORT).option("multiLine", True).json(path)
-    return {name: whole.select(F.posexplode(name).alias("position", "r")).select("position", "r.*") for name in ("communities", "authors", "posts", "comments")}
+    """The record arrays of a dataset file as DataFrames, read in byte ranges (S1). Unknown keys are ignored; a missing file is an error."""
+    arrays = stage_table(read_arrays(spark, path), "dataset")
+    kinds = {f.name: f.dataType.elementType.simpleString() for f in StructType.fromDDL(schemas.IMPORT)}
+    return {name: records(arrays, name, kind) for name, kind in kinds.items()}
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

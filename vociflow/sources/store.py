@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vociflow.functions.text import salted_hash
+from vociflow.stage import number_rows, stage_table
 
 # Columns of the exports, in order.
 EXPORT_COLUMNS = (
@@ -143,6 +145,24 @@ def json_document(rows: DataFrame, session_id: int, name: str, salt: bytes, raw:
     return scores.select(F.to_json(F.struct(*head, "scores"), {"pretty": "true"}).alias("document"))
 
 
+def export_json(rows: DataFrame, path: str, session_id: int, name: str, salt: bytes, raw: bool = False) -> None:
+    """Write the document of json_document to a folder, in parts that make it up in the order of their names (K4).
+
+    Records are numbered in their order and written by many tasks; the first part has the head, the last one the foot.
+    """
+    of = safe_rows(rows, salt).withColumnRenamed("author_hash", "authorHash")
+    of = stage_table(of.select("authorHash", *EXPORT_COLUMNS), "export")
+    n = of.count()
+    placed = number_rows(of, [F.col(c) for c in of.columns], n)
+    fields = [F.concat(F.lit(f'    "{c}" : '), F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)) for c in of.columns]
+    record = F.concat(F.when(F.col("position") == 0, "").otherwise("  }, {\n"), F.array_join(F.array(*fields), ",\n"))
+    quoted = json.dumps(name if raw else f"Session #{session_id}", ensure_ascii=False)
+    head = ["{", '  "schemaVersion" : "2.0",', f'  "sessionId" : {session_id},', f'  "sessionName" : {quoted},', f'  "privacyMode" : "{"RAW" if raw else "HASHED"}",', f'  "scores" : [ {"{" if n else "]"}']
+    ends = [(-1, "\n".join(head)), (n, "  } ]\n}" if n else "}")]
+    lines = placed.select(F.col("position").cast("long").alias("position"), record.alias("value")).unionByName(rows.sparkSession.createDataFrame(ends, "position long, value string"))
+    lines.orderBy("position").select("value").write.text(path)
+
+
 def export_rows(rows: DataFrame, raw: bool = False, confirmed: bool = False, salt: bytes | None = None) -> DataFrame:
     """Rows of an export (K5): raw only if it is both asked for and confirmed."""
     return raw_rows(rows) if raw and confirmed else safe_rows(rows, salt or os.urandom(16))
