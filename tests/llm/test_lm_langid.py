@@ -37,7 +37,7 @@ def plain_model(order=3):
     return counts, n, v, score
 
 
-@pytest.mark.parametrize("sizes", [{}, {"BLOCK_BYTES": 30, "PART_TOKENS": 500}, {"BLOCK_ROWS": 1, "PART_TOKENS": 40, "PARTS_A_TASK": 1}])
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK_BYTES": 30, "PART_TOKENS": 500}, {"BLOCK_ROWS": 1, "PART_TOKENS": 40, "PARTS_A_TASK": 1}, {"PART_TOKENS": 100, "DIRECT_PARTS": 1}])
 def test_scores_equal_a_plain_model(docs, monkeypatch, sizes):
     for name, value in sizes.items():
         monkeypatch.setattr(backoff_lm, name, value)
@@ -60,6 +60,24 @@ def test_probabilities_of_a_state_sum_to_one():
         assert sum(10 ** model.step(s, w) for w in words) + unseen * 10 ** model.step(s, b"?") == pytest.approx(1, abs=1e-9)
 
 
+def test_two_steps_of_dealing_give_the_counts_of_one(docs, monkeypatch):
+    """Blocks of single texts, 30 parts in 5 groups, bundles of several blocks: all counts come back to their blocks."""
+    rng = np.random.default_rng(11)
+    rows = [(k, " ".join(f"w{x}" for x in rng.zipf(1.4, 60) % 500)) for k in range(60)] + [(90, None), (91, "")]
+    frame = docs(rows).repartition(12).select("doc_id", F.lit(False).alias("held_out"), "text", F.spark_partition_id().cast("long").alias("task"))
+    blocks = backoff_lm.stage_table(frame.mapInArrow(backoff_lm._pack, backoff_lm.PACKED), "blocks")
+    tokens = blocks.agg(F.sum("tokens")).first()[0]
+    assert blocks.count() == 12
+    monkeypatch.setattr(backoff_lm, "PART_TOKENS", -(-tokens // 30))
+    expected = {(r["doc_id"], round(r["score"], 9)) for r in backoff_lm.score_texts(docs(rows).repartition(12), F.lit(False)).collect()}
+    monkeypatch.setattr(backoff_lm, "DIRECT_PARTS", 4)
+    assert {(r["doc_id"], round(r["score"], 9)) for r in backoff_lm.score_texts(docs(rows).repartition(12), F.lit(False)).collect()} == expected
+    # A bundle's rows are one for each of its group's parts and kinds, whatever the number of its blocks.
+    dealt = blocks.select("block", "blob").mapInArrow(backoff_lm._deal(30, 6), backoff_lm.DEALT).withColumn("unit", F.col("part").cast("long"))
+    bundled = dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(backoff_lm._bundle(30, 6), backoff_lm.DEALT)
+    assert dealt.count() <= 12 * 5 * 2 and bundled.count() == 30 * 2
+
+
 def test_the_traversal_gives_the_scores_of_a_larger_corpus(docs, monkeypatch):
     monkeypatch.setattr(backoff_lm, "PART_TOKENS", 20_000)
     monkeypatch.setattr(backoff_lm, "BLOCK_BYTES", 100_000)

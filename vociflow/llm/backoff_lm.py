@@ -11,7 +11,9 @@ prior / (count(h) + prior), so that the probabilities of each state sum to 1. Wi
 share of all tokens, and the discounts are shared by the unseen words, whose number is estimated (Chao's estimator).
 
 Texts travel in compressed blocks of bounded size. A block sends its n-grams with their training counts to parts by hash,
-as differences of sorted keys, and gets the counts over all blocks back in the same order, without keys. From these it
+as differences of sorted keys, and gets the counts over all blocks back in the same order, without keys. A large corpus
+goes there in two steps, so that rows stay large: blocks deal to groups of parts, bundles of as many blocks put their
+n-grams of a group together and deal these to the group's parts, and counts come back the same way. From these a block
 builds the part of the automaton that its texts visit, states, arcs and failure arcs, and walks all its texts in step, from
 left to right: each carries its state, follows failure arcs where its state has no arc for the next word, and adds up what
 the arcs weigh.
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from math import log10
+from math import ceil, log10, sqrt
 
 import numpy as np
 import pandas as pd
@@ -43,6 +45,8 @@ BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 1 << 16
 PART_TOKENS = 1_000_000
 #: Parts that one task merges, one after the other.
 PARTS_A_TASK = 8
+#: Parts beyond which blocks deal to groups of parts, as many as a group has parts, about.
+DIRECT_PARTS = 2_048
 #: Words after which a text goes on as a walk of its own, from the state that the words before leave.
 WALK = 4_096
 #: Bits of a hash that tell n-grams of one part apart, and the other ones, which deal n-grams to parts.
@@ -54,6 +58,7 @@ WORDS, GRAMS, TEXTS = 1, 2, 3
 PACKED = "block long, texts long, tokens long, blob binary"
 DEALT = "part int, kind int, block long, keys binary, counts binary"
 MERGED = "block long, kind int, part int, blob binary, distinct long, once long, twice long"
+SPREAD = "block long, kind int, part int, blob binary"
 
 
 class _Ids(dict):
@@ -119,13 +124,13 @@ def _words_of_parts(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndar
     return order, part[order]
 
 
-def _press(values: np.ndarray, width: int = 5) -> bytes:
-    """How many numbers there are, and the numbers, below 2^(8 * width), byte by byte of all of them, compressed."""
+def _press(values: np.ndarray, width: int = 8) -> bytes:
+    """How many numbers there are, and the numbers, below 2^(8 * width), byte by byte of all of them, compressed; bytes that are 0 take no room."""
     planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T
     return len(values).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpress(blob: bytes, width: int = 5) -> np.ndarray:
+def _unpress(blob: bytes, width: int = 8) -> np.ndarray:
     count = int.from_bytes(blob[:8], "little")
     planes = np.frombuffer(pa.decompress(blob[8:], count * width, codec="zstd"), np.uint8).reshape(width, count)
     out = np.zeros((count, 8), np.uint8)
@@ -178,26 +183,32 @@ def _unpack(blob: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(blob).read_next_batch()
 
 
-def _deal(parts: int):
-    """Per block and part: its words and its n-grams, ascending, with their training counts."""
+def _rows(block: int, parts: int, each: int, hashes: np.ndarray, hash_counts: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Words and n-grams (ascending) with their counts as rows, one for each kind and each group of so many parts."""
+    out = []
+    order, part = _words_of_parts(hashes, parts)
+    group = part // np.uint64(each)
+    for a, b in _spans(group):
+        out.append((int(group[a]), WORDS, block, hashes[order[a:b]].tobytes(), _press(hash_counts[order[a:b]])))
+    group = (keys >> np.uint64(KEY_BITS)) // np.uint64(each)
+    for a, b in _spans(group):
+        first = np.uint64(int(group[a]) * each << KEY_BITS)
+        out.append((int(group[a]), GRAMS, block, _press(np.diff(keys[a:b], prepend=first)), _press(counts[a:b])))
+    cols = zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["part", "kind", "block", "keys", "counts"])
+
+
+def _deal(parts: int, each: int):
+    """Per block and group of so many parts: its words and its n-grams, ascending, with their training counts."""
 
     def dealt(block: int, rows: pa.RecordBatch) -> pa.RecordBatch:
         names, ids, starts = _numbered(raw_texts(rows["text"]))
         train = np.repeat(~rows["held_out"].to_numpy(zero_copy_only=False), np.diff([*starts, len(ids)]))
         hashes = _hashes(names)
-        out = []
-        order, part = _words_of_parts(hashes[1:], parts)
-        counts = np.bincount(ids[train], minlength=len(names))[1:][order]
-        for a, b in _spans(part):
-            out.append((int(part[a]), WORDS, block, hashes[1:][order[a:b]].tobytes(), _press(counts[a:b])))
         two, three, is_two, is_three = _places(ids, hashes)
         keys, inverse = _grams_of(np.concatenate([two[is_two], three[is_three]]), parts)
         counts = np.bincount(inverse, np.concatenate([train[is_two], train[is_three]]), len(keys)).astype(np.int64)
-        part, keys = keys >> np.uint64(KEY_BITS), keys & np.uint64((1 << KEY_BITS) - 1)
-        for a, b in _spans(part):
-            out.append((int(part[a]), GRAMS, block, _press(np.diff(keys[a:b], prepend=np.uint64(0))), _press(counts[a:b])))
-        cols = zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["part", "kind", "block", "keys", "counts"])
+        return _rows(block, parts, each, hashes[1:], np.bincount(ids[train], minlength=len(names))[1:], keys, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,6 +219,72 @@ def _deal(parts: int):
     return run
 
 
+def _summed(kind: int, rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of dealt rows, ascending, and the sums of their counts."""
+    found = [_row(kind, *r) for r in rows]
+    keys, inverse = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    return keys, np.bincount(inverse, np.concatenate([c for _, c in found]), len(keys)).astype(np.int64)
+
+
+def _bundle(parts: int, each: int):
+    """Rows sorted by unit, a bundle's n-grams of one group of so many parts: put together, and dealt to the group's parts."""
+
+    def dealt(unit: int, group: int, rows: dict[int, list[tuple[bytes, bytes]]]) -> pa.RecordBatch:
+        empty = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        hashes, hash_counts = _summed(WORDS, rows[WORDS]) if rows[WORDS] else empty
+        keys, counts = _summed(GRAMS, rows[GRAMS]) if rows[GRAMS] else empty
+        return _rows(unit, parts, 1, hashes, hash_counts, keys + np.uint64(group * each << KEY_BITS), counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}
+        for batch in batches:
+            for unit, group, kind, *row in zip(*[batch[c].to_pylist() for c in ("unit", "part", "kind", "keys", "counts")], strict=True):
+                if (unit, group) != at:
+                    if at:
+                        yield dealt(*at, held)
+                        release()
+                    at, held = (unit, group), {WORDS: [], GRAMS: []}
+                held[kind].append(tuple(row))
+        if at:
+            yield dealt(*at, held)
+
+    return run
+
+
+def _spread(parts: int):
+    """Rows sorted by unit, kind and part: the totals of a bundle's keys (block is null), then its blocks' rows, which get theirs."""
+
+    def totals(kind: int, sums: list[bytes], rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        found = [np.frombuffer(k, np.uint64) if kind == WORDS else np.cumsum(_unpress(k), dtype=np.uint64) for _, _, k in rows]
+        keys, own = np.unique(np.concatenate(found)), np.concatenate([_unpress(b) for b in sums])
+        if kind == WORDS:
+            order, _ = _words_of_parts(keys, parts)
+            by_key = np.empty_like(own)
+            by_key[order] = own
+            own = by_key
+        blobs = [_press(own[np.searchsorted(keys, k)]) for k in found]
+        cols = [pa.array([b for b, _, _ in rows], pa.int64()), pa.array([kind] * len(rows), pa.int32()), pa.array([g for _, g, _ in rows], pa.int32()), pa.array(blobs, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["block", "kind", "part", "blob"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sums, rows = None, [], []
+        for batch in batches:
+            for unit, kind, part, block, data in zip(*[batch[c].to_pylist() for c in ("unit", "kind", "part", "block", "data")], strict=True):
+                if (unit, kind) != at:
+                    if at:
+                        yield totals(at[1], sums, rows)
+                        release()
+                    at, sums, rows = (unit, kind), [], []
+                if block is None:
+                    sums.append(data)
+                else:
+                    rows.append((block, part, data))
+        if at:
+            yield totals(at[1], sums, rows)
+
+    return run
+
+
 def _row(kind: int, keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     """A dealt row's keys and counts."""
     found = np.frombuffer(keys, np.uint64) if kind == WORDS else np.cumsum(_unpress(keys), dtype=np.uint64)
@@ -451,6 +528,12 @@ class Automaton:
         return total
 
 
+def _totals(dealt: DataFrame, parts: int) -> DataFrame:
+    """Dealt rows merged by part, and written: counts for each row, and how many words there are."""
+    dealt = dealt.repartition(max(1, -(-parts // PARTS_A_TASK)), "part") if parts > PARTS_A_TASK else dealt.repartition("part")
+    return stage_table(dealt.sortWithinPartitions("part", "kind").mapInArrow(_merge, MERGED), "counts")
+
+
 def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
@@ -464,11 +547,23 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     blocks = stage_table(rows.mapInArrow(_pack, PACKED), "blocks")
     tokens, texts = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0))).first()
     parts = min(max(1, -(-tokens // PART_TOKENS)), 1 << PART_BITS)
-    dealt = blocks.select("block", "blob").mapInArrow(_deal(parts), DEALT)
-    dealt = dealt.repartition(max(1, -(-parts // PARTS_A_TASK)), "part") if parts > PARTS_A_TASK else dealt.repartition("part")
-    counts = stage_table(dealt.sortWithinPartitions("part", "kind").mapInArrow(_merge, MERGED), "counts")
+    each = 1 if parts <= DIRECT_PARTS else ceil(sqrt(parts))
+    dealt = blocks.select("block", "blob").mapInArrow(_deal(parts, each), DEALT)
+    if each > 1:
+        # Bundles of as many blocks as there are groups hold about as many n-grams of a group as a block of all.
+        bundles = -(-blocks.count() // -(-parts // each))
+        unit = F.col("part") * F.lit(bundles).cast("long") + F.pmod(F.xxhash64("block"), F.lit(bundles))
+        dealt = stage_table(dealt.withColumn("unit", unit), "dealt")
+        units = max(1, -(-parts // each) * bundles // PARTS_A_TASK)
+        bundled = dealt.repartition(units, "unit").sortWithinPartitions("unit").mapInArrow(_bundle(parts, each), DEALT)
+        counts = _totals(bundled, parts)
+        sums = counts.where("kind > 0").select(F.col("block").alias("unit"), "kind", "part", F.lit(None).cast("long").alias("block"), F.col("blob").alias("data"))
+        both = sums.unionAll(dealt.select("unit", "kind", "part", "block", F.col("keys").alias("data")))
+        together = both.repartition(units, "unit").sortWithinPartitions("unit", "kind", "part").mapInArrow(_spread(parts), SPREAD)
+    else:
+        counts = _totals(dealt, parts)
+        together = counts.where("kind > 0").select("block", "kind", "part", "blob")
     stats = counts.where("kind = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("distinct", "once", "twice")]).first()
-    together = counts.where("kind > 0").select("block", "kind", "part", "blob")
     together = together.unionAll(blocks.select("block", F.lit(TEXTS).alias("kind"), F.lit(0).alias("part"), "blob"))
     together = together.repartition("block").sortWithinPartitions("block", "kind", "part")
     id_type = docs.schema["doc_id"].dataType.simpleString()
