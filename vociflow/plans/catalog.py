@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vociflow.functions import scalars, text
-from vociflow.operators import bootstrap, dedup, models, quality, robust, scores, sentiment, topic, views
+from vociflow.operators import bootstrap, dedup, models, ngram_index, quality, robust, scores, sentiment, topic, views
 from vociflow.params import DEFAULT, LATIN
 from vociflow.plans import adapters as t
 from vociflow.plans import doubles
@@ -519,6 +519,23 @@ def ngram_match(s, d):
     return m.select("id", F.col("m.primary").alias("primary_hits"), F.col("m.secondary").alias("secondary_hits"), "m.excluded")
 
 
+@query("+ " + _TOKENS + """, low AS (SELECT id, list_transform(w, lambda x: lower(x)) AS w FROM tokens), words AS (SELECT DISTINCT id, unnest(w) AS t FROM low),
+  g AS (SELECT DISTINCT kind, list_sort(list_distinct(ws)) AS ws FROM (SELECT 'primary' AS kind, [w[1], w[2]] AS ws FROM low WHERE len(w) > 1 UNION ALL SELECT 'secondary', [w[-2], w[-1]] FROM low WHERE len(w) > 1
+    UNION ALL SELECT * FROM (VALUES ('excluded', ['idiot']), ('excluded', ['scum'])))),
+  hit AS (SELECT id, kind, ws FROM (SELECT kind, ws, unnest(ws) AS t FROM g) JOIN words USING (t) GROUP BY ALL HAVING count(*) = len(ws)),
+  n AS (SELECT id, count(*) FILTER (kind = 'primary') AS p, count(*) FILTER (kind = 'secondary') AS q, count(*) FILTER (kind = 'excluded') > 0 AS x FROM hit GROUP BY 1)
+  SELECT id, CASE WHEN x THEN 0 ELSE coalesce(p, 0) END::INTEGER AS primary_hits, CASE WHEN x THEN 0 ELSE coalesce(q, 0) END::INTEGER AS secondary_hits, coalesce(x, false) AS excluded FROM texts LEFT JOIN n USING (id)""", "x")
+def ngram_index_match(s, d):
+    """Hits of as many n-grams as there are first and last two words of texts, by their rarest words."""
+    rows = stage_table(_tokens(s, d).select("id", F.transform("tokens", F.lower).alias("lemmas")), "lemmas")
+    ends = rows.where("size(lemmas) > 1").select(F.explode(F.array(
+        F.struct(F.lit("primary").alias("kind"), F.slice("lemmas", 1, 2).alias("words")), F.struct(F.lit("secondary").alias("kind"), F.slice("lemmas", -2, 2).alias("words")),
+    )).alias("g")).select("g.kind", F.sort_array(F.array_distinct("g.words")).alias("words"))
+    grams = ends.distinct().unionByName(s.createDataFrame([("excluded", g) for g in EXCLUDED], ends.schema))
+    m = ngram_index.match_many(rows, grams)
+    return m.select("id", F.col("primary").alias("primary_hits"), F.col("secondary").alias("secondary_hits"), "excluded")
+
+
 @query("+ " + _MATCH + " SELECT id, round(l1::DOUBLE, 5) AS l1 FROM lev", "x")
 def l1_score(s, d):
     """Keyword levels."""
