@@ -93,6 +93,23 @@ def test_huber_downweights_an_outlier(spark):
     assert got == pytest.approx(mu, abs=1e-4) and value(spark, robust.huber(F.array(F.lit(5.0), F.lit(5.0), F.lit(5.0)))) == 5
 
 
+def test_huber_of_keys_with_many_values_equals_that_of_arrays(spark, monkeypatch):
+    """Rounds over all values against arrays: ties, outliers, an even and an odd number, two values, NaN, huge ranges, a null key."""
+    rng = np.random.default_rng(5)
+    rows = [("even", float(x)) for x in rng.standard_t(1.5, 600)] + [("odd", float(x)) for x in rng.normal(3, 1e-6, 301)] + [("ties", float(x)) for x in rng.integers(0, 9, 400)]
+    rows += [("two", 1.0), ("two", 4.0), ("nan", float("nan")), ("nan", 1.0), ("nan", 2.0), ("wide", 0.0), ("wide", 1e-300), ("wide", 5e-324), ("wide", 1e300), ("one", 7.0), ("none", None)]
+    rows += [(None, float(x)) for x in rng.exponential(2, 200)]
+    df = spark.createDataFrame(rows, "key string, v double")
+    found = lambda: {r["key"]: r["mu"] for r in robust.huber_by(df, "key", "v").collect()}
+    arrays = found()
+    monkeypatch.setattr(robust, "ARRAY_VALUES", 1)
+    rounds = found()
+    assert set(arrays) == set(rounds) == {"even", "odd", "ties", "two", "nan", "wide", "one", None}
+    assert rounds.pop("nan") is arrays.pop("nan") is None and rounds["two"] == arrays["two"] == 2.5
+    for k in arrays:
+        assert rounds[k] == pytest.approx(arrays[k], rel=1e-11, abs=1e-15), k
+
+
 def test_robust_z_of_nulls(spark):
     rows = spark.createDataFrame([(float(x) if x else None,) for x in (1, None, 3, None, 5)], "v double")
     got = robust.robust_z(rows, ["v"]).orderBy("v").collect()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vociflow.operators.selection import quantiles
@@ -12,6 +12,8 @@ from vociflow.stage import stage_table
 
 #: Fixed value: makes the median absolute deviation comparable with a standard deviation.
 MAD_SCALE = 1.4826
+#: Different values of a key that are one array, at most; bins of a histogram; keys whose state is broadcast, at most.
+ARRAY_VALUES, BINS, BROADCAST_KEYS = 10_000, 256, 100_000
 
 
 def median(x: Column) -> Column:
@@ -78,11 +80,78 @@ def huber(values: Column, times: Column | None = None, k: float = 1.345, toleran
     return run(values, F.transform(values, lambda _: F.lit(1).cast("long")) if times is None else times)
 
 
-def huber_by(df: DataFrame, key: str, value: str) -> DataFrame:
-    """key and mu, Huber's M-estimate of each key's values (A22); equal values are counted first, and nulls left out."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
-    lists = counted.groupBy(key).agg(F.collect_list(F.struct("__v", "__n")).alias("__l"))
-    return lists.select(key, huber(F.col("__l.__v"), F.col("__l.__n")).alias("mu"))
+def _beside(values: DataFrame, state: DataFrame, key: str) -> DataFrame:
+    """values with their key's state: broadcast after counting it, else a shuffle join that AQE may split."""
+    return values.join(F.broadcast(state) if state.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else state, key)
+
+
+def _medians_by(values: DataFrame, key: str) -> DataFrame:
+    """key and median of finite values __v that occur __n times: rounds of histograms between a key's bounds.
+
+    Each round keeps the bin that holds a wanted rank, from its smallest to its largest value, until these are equal; the
+    bounds themselves lie in different bins, so that every round leaves fewer values. Only sums of bins are shuffled.
+    """
+    size = values.groupBy(key).agg(F.sum("__n").alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"))
+    ranks = F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2) + 1, F.floor(F.col("n") / 2) + 1))
+    state = stage_table(size.select(key, F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("below"), "low", "high"), "bounds")
+    done = state.where("low = high")
+    state = state.where("low < high")
+    width = F.col("high") / 2 - F.col("low") / 2
+    inner = F.coalesce(F.floor(F.try_divide(F.col("__v") / 2 - F.col("low") / 2, width) * BINS), F.lit(0))
+    place = F.when(F.col("__v") == F.col("high"), F.lit(BINS - 1)).otherwise(F.least(inner, F.lit(BINS - 2)))
+    order = Window.partitionBy(key, "rank").orderBy("bin")
+    while state.limit(1).count():
+        near = _beside(values, state, key).where(F.col("__v").between(F.col("low"), F.col("high")))
+        bins = near.groupBy(key, "rank", "below", place.alias("bin")).agg(F.sum("__n").alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"))
+        ends = bins.withColumn("end", F.col("below") + F.sum("n").over(order))
+        held = ends.where((F.col("end") - F.col("n") < F.col("rank")) & (F.col("rank") <= F.col("end")))
+        state = stage_table(held.select(key, "rank", (F.col("end") - F.col("n")).alias("below"), "low", "high"), "bounds")
+        done = done.unionByName(state.where("low = high"))
+        state = state.where("low < high")
+    # An odd number of values has one rank, which is both ends of the median.
+    return stage_table(done.groupBy(key).agg((F.min("low") / 2 + F.max("low") / 2).alias("median")), "medians")
+
+
+def _huber_rounds(counted: DataFrame, key: str, k: float, tolerance: float, rounds: int) -> DataFrame:
+    """key and mu of keys with very many different values: every round is one grouped sum, and converged keys leave."""
+    finite = counted.groupBy(key).agg(F.bool_or(F.isnan("__v") | (F.abs("__v") == float("inf"))).alias("bad"))
+    bad = finite.where("bad").select(key, F.lit(None).cast("double").alias("mu"))
+    values = counted.join(finite.where("not bad").select(key), key)
+    middle = _medians_by(values, key)
+    away = _beside(values, middle, key).groupBy(key, F.abs(F.col("__v") - F.col("median")).alias("__v")).agg(F.sum("__n").alias("__n"))
+    spread = _medians_by(stage_table(away, "distances"), key).withColumnRenamed("median", "mad")
+    state = middle.join(spread, key).select(key, F.col("median").alias("mu"), (k * F.greatest(MAD_SCALE * F.col("mad"), F.lit(1e-10))).alias("reach"))
+    done, state = bad, stage_table(state, "huber")
+    distance = F.abs(F.col("__v") - F.col("mu"))
+    weight = F.col("__n") * F.when(distance <= F.col("reach"), F.lit(1.0)).otherwise(F.col("reach") / distance)
+    near = F.abs(F.col("new") - F.col("mu")) <= tolerance * (1 + F.abs("mu"))
+    for _ in range(rounds):
+        if not state.limit(1).count():
+            break
+        moved = _beside(values, state, key).groupBy(key, "mu", "reach").agg((F.sum(weight * F.col("__v")) / F.sum(weight)).alias("new"))
+        moved = stage_table(moved.select(key, F.col("new").alias("mu"), "reach", near.alias("near")), "huber")
+        done = done.unionByName(moved.where("near").select(key, "mu"))
+        state = moved.where("not near").drop("near")
+    return done.unionByName(state.select(key, "mu"))
+
+
+def huber_by(df: DataFrame, key: str, value: str, k: float = 1.345, tolerance: float = 1e-6, rounds: int = 100) -> DataFrame:
+    """key and mu, Huber's M-estimate of each key's values (A22); equal values are counted first, and nulls left out.
+
+    Keys of at most ARRAY_VALUES different values go to NumPy as one array each, others by rounds over all of them; of
+    either, a key with more than two values that holds NaN or an infinity gets null. Both start at the median, and stop at the same tolerance.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    name, key = key, "__k"  # a struct, as null is a key too
+    counted = stage_table(rows.groupBy(F.struct(F.col(name).alias("key")).alias(key), F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n")), "counted")
+    hot = stage_table(counted.groupBy(key).agg(F.count("*").alias("d")).where(F.col("d") > ARRAY_VALUES).select(key), "hot")
+    some = hot.limit(1).count() > 0
+    few = counted.join(hot, key, "left_anti") if some else counted
+    lists = few.groupBy(key).agg(F.collect_list(F.struct("__v", "__n")).alias("__l"))
+    found = lists.select(key, huber(F.col("__l.__v"), F.col("__l.__n"), k, tolerance, rounds).alias("mu"))
+    if some:
+        found = found.unionByName(_huber_rounds(stage_table(_beside(counted, hot, key), "hot_values"), key, k, tolerance, rounds))
+    return found.select(F.col("__k.key").alias(name), "mu")
 
 
 def _scaled(c: str, middle: Column, spread: Column) -> Column:
