@@ -310,3 +310,12 @@ def test_chi_square_of_equal_distributions_is_zero(spark):
 def test_pearson_without_variance_is_zero(spark):
     rows = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "x double, y double")
     assert quality.pearson(rows, "x", "y").first()["r"] == 0
+
+
+def test_disputed_posts_are_filtered_after_their_strata_are_written(spark):
+    """The filter holds no expression of the match, and the rows are the first of the stratum in time order."""
+    rows = spark.range(50).select("id", F.timestamp_seconds(100 - F.col("id")).alias("published_at"), F.split(F.when(F.col("id") % 3 == 0, "a b").otherwise("c d"), " ").alias("lemmas"))
+    scored = topic.score_posts(rows, [["a", "b"]], [["b"]], [["x"]], F.lit(0.2)).select("id", "published_at", "stratum")
+    found = topic.disputed(scored, 5)
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["id"] for r in found.collect()] == [r["id"] for r in scored.orderBy("published_at", "id").collect() if r["stratum"] == "DISPUTED"][:5]

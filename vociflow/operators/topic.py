@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vociflow.functions import scalars, text
+from vociflow.stage import stage_table
 
 
 def score_posts(posts: DataFrame, primary: list[list[str]], secondary: list[list[str]], excluded: list[list[str]], semantic: Column, full: bool = True) -> DataFrame:
@@ -48,8 +49,12 @@ def summary(scored: DataFrame) -> DataFrame:
 
 
 def disputed(scored: DataFrame, n: int = 30) -> DataFrame:
-    """The first disputed posts in time order (T5)."""
-    return scored.where("stratum = 'DISPUTED'").orderBy("published_at", "id").limit(n)
+    """The first disputed posts in time order (T5).
+
+    Strata are written before they are filtered: a filter takes in the expressions of its columns, and would match each
+    text again wherever the stratum's cases name a level or its lemmas.
+    """
+    return stage_table(scored, "scored").where("stratum = 'DISPUTED'").orderBy("published_at", "id").limit(n)
 
 
 def confusion(votes: DataFrame) -> DataFrame:
