@@ -119,8 +119,16 @@ def fork_session(session: DataFrame, new_id: int, **changes) -> DataFrame:
 
 
 def number(c: str) -> Column:
-    """A float with four decimals; null is empty (K3)."""
-    return F.coalesce(F.format_string("%.4f", F.col(c).cast("double")), F.lit("")) if c not in NOT_FLOAT else F.coalesce(F.col(c).cast("string"), F.lit(""))
+    """A float with four decimals; null is empty (K3).
+
+    It is rounded as a double, like SQL's round(x, 4): 0.02175 times 10,000 is below 217.5, so that it gives 0.0217, where
+    its shortest decimal form would go up.
+    """
+    if c in NOT_FLOAT:
+        return F.coalesce(F.col(c).cast("string"), F.lit(""))
+    value = F.col(c).cast("double")
+    size = F.round(F.abs(value) * 1e4) / 1e4
+    return F.coalesce(F.format_string("%.4f", F.when(value < 0, -size).otherwise(size)), F.lit(""))
 
 
 def _plain(c: str) -> Column:
