@@ -231,3 +231,12 @@ def test_a_second_run_finds_all_results_without_moving_the_table(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "Bucketed: true" in plan[1] and side.count("Exchange hashpartitioning") <= 1  # that of the texts
+
+
+def test_exported_floats_are_rounded_as_sql_rounds_them(spark, duck):
+    """Among fractions with a 5 in the fifth place are some whose product with 10,000 is below the tie (0.02175)."""
+    made = "(SELECT k * 1.0::DOUBLE / n AS aud, k * n AS i FROM range(1, 700) a(k), (SELECT unnest([32, 160, 800, 4000, 20000])::BIGINT AS n))"
+    values = [x for (x,) in duck.execute(f"SELECT DISTINCT aud FROM {made} UNION SELECT -0.02175 UNION SELECT -0.00001").fetchall()]
+    wanted = dict(duck.execute("SELECT x, printf('%.4f', round(x, 4)) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values]).fetchall())
+    found = {r["aud"]: r["text"] for r in spark.createDataFrame([(x,) for x in values], "aud double").select("aud", store.number("aud").alias("text")).collect()}
+    assert found == wanted and found[0.02175] == "0.0217"
