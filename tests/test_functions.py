@@ -319,3 +319,23 @@ def test_disputed_posts_are_filtered_after_their_strata_are_written(spark):
     found = topic.disputed(scored, 5)
     assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert [r["id"] for r in found.collect()] == [r["id"] for r in scored.orderBy("published_at", "id").collect() if r["stratum"] == "DISPUTED"][:5]
+
+
+@pytest.mark.parametrize("array_rows, leaf_rows", [(10_000, 4_000), (8, 4_000), (10_000, 7), (0, 7)])
+def test_intervals_in_numpy_are_those_of_aggregates(spark, array_rows, leaf_rows):
+    """Keys with one array and several, null values, a key without values, one with one row, and texts as keys."""
+    rows = spark.createDataFrame([(k, f"k{k % 7 if k < 60 else 9}", None if k % 5 == 1 or k % 7 == 3 else float(k * k % 31)) for k in range(61)], "id long, key string, x double")
+    run = lambda wanted: {r["key"]: r for r in bootstrap.hashed_intervals(rows, "key", "id", wanted, 200, array_rows=array_rows, leaf_rows=leaf_rows).collect()}
+    plain, fast = run({"mean": F.avg("x"), "total": F.sum("x")}), run({"mean": ("mean", F.col("x")), "total": ("sum", F.col("x"))})
+    assert set(plain) == set(fast) and len(fast) == 7
+    for key, row in plain.items():
+        assert list(fast[key]) == [v if not isinstance(v, float) else pytest.approx(v, abs=1e-9) for v in row]
+    assert fast["k3"]["mean_low"] is None
+
+
+def test_registered_intervals_draw_without_a_row_for_each_draw(spark, sf_dir):
+    from vociflow.plans import catalog
+
+    for name in ("boot_mean_ci", "boot_sum_ci", "boot_label_ci", "quality_score"):
+        plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "Generate explode(sequence(0, 999" not in plan and "__i" not in plan, name
