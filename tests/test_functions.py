@@ -339,3 +339,15 @@ def test_registered_intervals_draw_without_a_row_for_each_draw(spark, sf_dir):
     for name in ("boot_mean_ci", "boot_sum_ci", "boot_label_ci", "quality_score"):
         plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "Generate explode(sequence(0, 999" not in plan and "__i" not in plan, name
+
+
+@pytest.mark.parametrize("scale", [0, 1, 400])
+def test_sums_of_binomial_draws_spread_as_such(scale):
+    """Small rows go by their distribution, large ones by draws; a share of a half, rows without labels."""
+    labels, shares, n = scale * np.array([[3, 8, 5], [0, 4, 0], [0, 0, 0]]), np.array([0.2, 0.5, 2 / 3]), 40_000 if scale < 2 else 400
+    found = bootstrap.binomial_sums(labels, shares, np.random.default_rng(5), n)
+    assert found.shape == (3, n) and (found >= 0).all() and (found <= labels.sum(1)[:, None]).all()
+    mean, deviation = labels @ shares, (labels @ (shares * (1 - shares))) ** 0.5
+    assert np.abs(found.mean(1) - mean).max() <= 5 * deviation.max() / n**0.5 and found.std(1) == pytest.approx(deviation, rel=0.15)
+    if scale == 1:
+        assert np.bincount(found[1], minlength=5) / n == pytest.approx([1 / 16, 4 / 16, 6 / 16, 4 / 16, 1 / 16], abs=0.01)
