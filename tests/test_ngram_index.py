@@ -52,3 +52,15 @@ def test_no_posts_or_no_ngrams(spark):
     posts, none = spark.createDataFrame([(1, ["a"], "x")], POSTS), spark.createDataFrame([], GRAMS)
     assert found(ngram_index.match_many(posts, none)) == {1: (0, 0, False)}
     assert ngram_index.match_many(posts.where("id > 1"), spark.createDataFrame([("primary", ["a"])], GRAMS)).count() == 0
+
+
+def test_candidates_are_not_shuffled_and_parts_are_added(spark, monkeypatch):
+    """A frequent word is the rarest of very many n-grams: posts and n-grams are dealt, never joined by words."""
+    rows = [(i, ["x", *[f"w{k}" for k in range(i % 40)]], "k") for i in range(200)]
+    grams = [(k, ["x", f"w{j}", *rest]) for j in range(40) for k, rest in (("primary", []), ("primary", ["w0"]), ("secondary", ["w39"]))] + [("excluded", ["w38", "w1"])]
+    posts, listed = spark.createDataFrame(rows, POSTS), spark.createDataFrame(grams, GRAMS)
+    got = ngram_index.match_many(posts, listed)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert found(got) == loop(rows, grams)
+    monkeypatch.setattr(ngram_index, "PART_GRAMS", 7)
+    assert found(ngram_index.match_many(posts, listed)) == loop(rows, grams)
