@@ -45,3 +45,13 @@ def test_ranges_of_a_file_are_read_by_several_tasks(spark, tmp_path, small_range
     assert read.rdd.getNumPartitions() > 10
     posts = importer.read_import(spark, f"file://{tmp_path}/d.json")["posts"].orderBy("position").collect()
     assert [(r["position"], r["vkId"], r["text"]) for r in posts] == [(k, k, "}{" * (k % 5)) for k in range(300)]
+
+
+def test_only_records_are_written(spark, tmp_path, small_ranges, monkeypatch):
+    """Pieces stay in their ranges: besides a row for each range, the records alone are written, once."""
+    (tmp_path / "d.json").write_text(json.dumps({"posts": [{"vkId": k, "text": "}" * 5} for k in range(300)]}))
+    written = []
+    stage = json_records.stage_table
+    monkeypatch.setattr(json_records, "stage_table", lambda df, tag: (written.append(tag), stage(df, tag))[1])
+    assert importer.read_import(spark, f"file://{tmp_path}/d.json")["posts"].count() == 300
+    assert written.count("records") == 1 and set(written) == {"ranges", "records"}

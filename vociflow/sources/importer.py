@@ -8,7 +8,6 @@ from pyspark.sql.types import StructType
 
 from vociflow import schemas
 from vociflow.sources.json_records import read_arrays, records
-from vociflow.stage import stage_table
 
 
 def parse_import(documents: DataFrame, column: str) -> dict[str, DataFrame]:
@@ -19,7 +18,7 @@ def parse_import(documents: DataFrame, column: str) -> dict[str, DataFrame]:
 
 def read_import(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The record arrays of a dataset file as DataFrames, read in byte ranges (S1). Unknown keys are ignored; a missing file is an error."""
-    arrays = stage_table(read_arrays(spark, path), "dataset")
+    arrays = read_arrays(spark, path)
     kinds = {f.name: f.dataType.elementType.simpleString() for f in StructType.fromDDL(schemas.IMPORT)}
     return {name: records(arrays, name, kind) for name, kind in kinds.items()}
 

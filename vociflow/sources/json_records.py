@@ -3,15 +3,21 @@
 The file is read in byte ranges and cut at every closing brace, inside texts or not. Which cuts are real follows from the
 chain of all pieces from the file's start: the number of quotes before a piece tells whether it begins inside a text, and
 the brackets outside texts tell how deep it is. Both are running sums, taken within ranges and carried on over the sums of
-ranges, so that no task reads more than its range. Pieces between real ends of records are put together and parsed.
+ranges, so that no task reads more than its range. Each sum reads the ranges anew, where they lie; only at the end pieces
+are shuffled, once, and those between real ends of records are put together and parsed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vociflow.stage import stage_table
+from vociflow.stage import BATCH_BYTES, stage_table
 
 #: What an open array counts for in the depth, where an open object counts for 1.
 ARRAY = 1 << 32
@@ -22,15 +28,34 @@ _STRING = r'"[^"\\]*(?:\\.[^"\\]*)*"'
 _HEAD = rf'(?s)^\s*[\]{{]?(?:\s*,?\s*{_STRING}\s*:\s*(?:{_STRING}|\[\s*\]|[^\[{{"]*?))*\s*,?\s*"([^"\\]+)"\s*:\s*\[\s*(?=\{{)'
 
 
+def _within(value: str, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the sum of a column over the earlier rows of the same range; a range's rows follow each other in one partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = None, 0
+        for batch in (b for b in batches if b.num_rows):
+            values, of = np.asarray(batch[value]), [batch["file"], batch["range"]]
+            turns = np.zeros(batch.num_rows, bool)
+            turns[0] = [c[0].as_py() for c in of] != last
+            for c in of:
+                turns[1:] |= np.asarray(pc.not_equal(c[1:], c[:-1]))
+            before = np.cumsum(values) - values
+            before -= np.concatenate([[-total], before[turns]])[np.cumsum(turns)]
+            last, total = [c[-1].as_py() for c in of], int(before[-1] + values[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before)], names=[*batch.schema.names, name])
+
+    return run
+
+
 def _running(df: DataFrame, value: str, name: str) -> DataFrame:
-    """df with the sum of a column over all earlier pieces of the file."""
-    earlier = Window.partitionBy("file", "range").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    """df with the sum of a column over all earlier pieces of the file. df is read twice, and keeps its order and partitions."""
     # A row for each range of a file.
     ranges = df.groupBy("file", "range").agg(F.sum(value).alias("__sum"))
     before = F.coalesce(F.sum("__sum").over(Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = stage_table(ranges.select("file", "range", before.alias("__before")), "ranges")
-    summed = df.withColumn(name, F.coalesce(F.sum(value).over(earlier), F.lit(0)))
-    return summed.join(F.broadcast(offsets), ["file", "range"]).withColumn(name, F.col(name) + F.col("__before")).drop("__before")
+    columns = ", ".join(f"`{n}` {k}" for n, k in df.dtypes)
+    summed = df.mapInArrow(_within(value, name), f"{columns}, `{name}` long")
+    return summed.join(F.broadcast(offsets), ["file", "range"]).select(*df.columns, (F.col(name) + F.col("__before")).alias(name))
 
 
 def _count(text: Column, character: str) -> Column:
@@ -44,29 +69,32 @@ def read_arrays(spark: SparkSession, path: str) -> DataFrame:
     A missing file is an error; texts may hold braces, brackets, quotes and line ends.
     """
     spark.read.text(path).limit(0).count()  # a missing file is an error even before any record is read
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     pieces = spark.read.option("lineSep", "}").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("at"))
     bare = F.regexp_replace("value", _ESCAPED, "")
-    pieces = _running(stage_table(pieces.withColumn("quotes", _count(bare, '"')), "pieces"), "quotes", "quotes_before")
+    pieces = _running(pieces.withColumn("quotes", _count(bare, '"').cast("long")), "quotes", "quotes_before")
     inside = F.col("quotes_before") % 2 == 1
     outside = F.regexp_replace(F.concat(F.when(inside, F.lit('"')).otherwise(F.lit("")), bare), _TEXT, "")
     closes = F.when((F.col("quotes_before") + F.col("quotes")) % 2 == 0, 1).otherwise(0)
     turns = pieces.withColumn("outside", outside).withColumn("closes", closes)
     braces, brackets = _count(F.col("outside"), "{") - F.col("closes"), _count(F.col("outside"), "[") - _count(F.col("outside"), "]")
-    turns = turns.withColumn("change", braces + brackets * F.lit(ARRAY))
-    deep = _running(stage_table(turns.select("file", "range", "at", "value", "closes", "change"), "turns"), "change", "depth")
+    turns = turns.withColumn("change", (braces + brackets * F.lit(ARRAY)).cast("long"))
+    deep = _running(turns.select("file", "range", "at", "value", "closes", "change"), "change", "depth")
     # An object that ends in an array of the outermost object is a record; others that end in the outermost one are left out.
-    deep = deep.withColumn("depth", F.col("depth") + F.col("change")).withColumn("ends", F.when((F.col("closes") == 1) & F.col("depth").isin(0, 1, ARRAY + 1), 1).otherwise(0))
-    placed = _running(stage_table(deep.select("file", "range", "at", "value", "depth", "ends"), "depths"), "ends", "number")
+    deep = deep.withColumn("depth", F.col("depth") + F.col("change"))
+    deep = deep.withColumn("ends", F.when((F.col("closes") == 1) & F.col("depth").isin(0, 1, ARRAY + 1), 1).otherwise(0).cast("long"))
+    placed = _running(deep.select("file", "range", "at", "value", "depth", "ends"), "ends", "number")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("range", "at", "value"))), lambda p: p["value"]), "}")
     whole = placed.groupBy("file", "number").agg(F.concat(joined, F.lit("}")).alias("text"), F.max(F.when(F.col("ends") == 1, F.col("depth"))).alias("depth")).where(F.col("depth") == ARRAY + 1)
-    named = stage_table(whole.withColumn("name", F.nullif(F.regexp_extract("text", _HEAD, 1), F.lit(""))).drop("depth"), "records")
     follows = F.col("text").rlike(r"^\s*,\s*\{")
+    record = F.when(F.col("follows"), F.regexp_replace("text", r"^\s*,\s*", "")).otherwise(F.regexp_replace("text", _HEAD, ""))
+    name = F.when(~F.col("follows"), F.nullif(F.regexp_extract("text", _HEAD, 1), F.lit("")))
+    named = stage_table(whole.withColumn("follows", follows).select("file", "number", "follows", name.alias("name"), record.alias("json")), "records")
     # A row for each array of a file.
     following = F.lead("first").over(Window.partitionBy("of").orderBy("first"))
-    arrays = named.where(~follows).select(F.col("file").alias("of"), F.col("number").alias("first"), F.col("name").alias("array")).withColumn("next", F.coalesce(following, F.lit(1 << 62)))
+    arrays = named.where(~F.col("follows")).select(F.col("file").alias("of"), F.col("number").alias("first"), F.col("name").alias("array")).withColumn("next", F.coalesce(following, F.lit(1 << 62)))
     found = named.join(F.broadcast(arrays), (F.col("file") == F.col("of")) & (F.col("number") >= F.col("first")) & (F.col("number") < F.col("next")))
-    record = F.when(follows, F.regexp_replace("text", r"^\s*,\s*", "")).otherwise(F.regexp_replace("text", _HEAD, ""))
-    return found.select("file", F.col("array").alias("name"), (F.col("number") - F.col("first")).alias("position"), record.alias("json"))
+    return found.select("file", F.col("array").alias("name"), (F.col("number") - F.col("first")).alias("position"), "json")
 
 
 def records(arrays: DataFrame, name: str, schema: str) -> DataFrame:
