@@ -28,34 +28,61 @@ _STRING = r'"[^"\\]*(?:\\.[^"\\]*)*"'
 _HEAD = rf'(?s)^\s*[\]{{]?(?:\s*,?\s*{_STRING}\s*:\s*(?:{_STRING}|\[\s*\]|[^\[{{"]*?))*\s*,?\s*"([^"\\]+)"\s*:\s*\[\s*(?=\{{)'
 
 
-def _within(value: str, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds the sum of a column over the earlier rows of the same range; a range's rows follow each other in one partition."""
+def _walk(what: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Walks along the pieces of ranges, which follow each other in a partition.
+
+    changes: sums of quotes and, for ranges that begin outside (0) and inside (1) of a text, of changes of depth. ends: sums
+    of real ends, from the quotes and the depth before a range. pieces: the number of the record that each piece belongs to.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, total = None, 0
+        last, totals = None, {}
         for batch in (b for b in batches if b.num_rows):
-            values, of = np.asarray(batch[value]), [batch["file"], batch["range"]]
+            column = lambda c: np.asarray(batch[c])  # noqa: B023, E731
+            of = [batch["file"], batch["range"]]
             turns = np.zeros(batch.num_rows, bool)
             turns[0] = [c[0].as_py() for c in of] != last
             for c in of:
                 turns[1:] |= np.asarray(pc.not_equal(c[1:], c[:-1]))
-            before = np.cumsum(values) - values
-            before -= np.concatenate([[-total], before[turns]])[np.cumsum(turns)]
-            last, total = [c[-1].as_py() for c in of], int(before[-1] + values[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before)], names=[*batch.schema.names, name])
+            segment, last = np.cumsum(turns), [c[-1].as_py() for c in of]
+
+            def earlier(key: str, values: np.ndarray) -> np.ndarray:
+                """Sums over the earlier pieces of the range, from batch to batch."""
+                before = np.cumsum(values) - values
+                before -= np.concatenate([[-totals.get(key, 0)], before[turns]])[segment]  # noqa: B023
+                totals[key] = int(before[-1] + values[-1])  # noqa: B023
+                return before
+
+            def summed(**values: np.ndarray) -> pa.RecordBatch:
+                """A row for each range in the batch."""
+                turns[0] = True  # noqa: B023
+                at = np.flatnonzero(turns)  # noqa: B023
+                return pa.RecordBatch.from_pydict({"file": of[0].take(pa.array(at)), "range": of[1].take(pa.array(at))} | {k: np.add.reduceat(v, at) for k, v in values.items()})  # noqa: B023
+
+            quotes = column("quotes")
+            before = earlier("quotes", quotes)
+            if what == "changes":
+                outside, inside = (np.where((before + p) % 2 == 1, column("inside"), column("outside")) for p in (0, 1))
+                yield summed(quotes=quotes, outside=outside, inside=inside)
+                continue
+            before = before + column("quotes_before")
+            change = np.where(before % 2 == 1, column("inside"), column("outside"))
+            depth = column("depth_before") + earlier("change", change) + change
+            # An object that ends in an array of the outermost object is a record; others that end in the outermost one are left out.
+            ends = (((before + quotes) % 2 == 0) & np.isin(depth, (0, 1, ARRAY + 1))).astype(np.int64)
+            if what == "ends":
+                yield summed(ends=ends)
+            else:
+                number = column("ends_before") + earlier("ends", ends)
+                yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("file", "range", "at", "value")], pa.array(number), pa.array(depth, mask=ends == 0)], names=["file", "range", "at", "value", "number", "depth"])
 
     return run
 
 
-def _running(df: DataFrame, value: str, name: str) -> DataFrame:
-    """df with the sum of a column over all earlier pieces of the file. df is read twice, and keeps its order and partitions."""
-    # A row for each range of a file.
-    ranges = df.groupBy("file", "range").agg(F.sum(value).alias("__sum"))
-    before = F.coalesce(F.sum("__sum").over(Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = stage_table(ranges.select("file", "range", before.alias("__before")), "ranges")
-    columns = ", ".join(f"`{n}` {k}" for n, k in df.dtypes)
-    summed = df.mapInArrow(_within(value, name), f"{columns}, `{name}` long")
-    return summed.join(F.broadcast(offsets), ["file", "range"]).select(*df.columns, (F.col(name) + F.col("__before")).alias(name))
+def _before(ranges: DataFrame, value: Column | str, name: str) -> DataFrame:
+    """Rows for each range of a file, with the sum of a column over the earlier ranges."""
+    earlier = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    return ranges.withColumn(name, F.coalesce(F.sum(value).over(earlier), F.lit(0)))
 
 
 def _count(text: Column, character: str) -> Column:
@@ -71,21 +98,28 @@ def read_arrays(spark: SparkSession, path: str) -> DataFrame:
     spark.read.text(path).limit(0).count()  # a missing file is an error even before any record is read
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     pieces = spark.read.option("lineSep", "}").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("at"))
-    bare = F.regexp_replace("value", _ESCAPED, "")
-    pieces = _running(pieces.withColumn("quotes", _count(bare, '"').cast("long")), "quotes", "quotes_before")
-    inside = F.col("quotes_before") % 2 == 1
-    outside = F.regexp_replace(F.concat(F.when(inside, F.lit('"')).otherwise(F.lit("")), bare), _TEXT, "")
-    closes = F.when((F.col("quotes_before") + F.col("quotes")) % 2 == 0, 1).otherwise(0)
-    turns = pieces.withColumn("outside", outside).withColumn("closes", closes)
-    braces, brackets = _count(F.col("outside"), "{") - F.col("closes"), _count(F.col("outside"), "[") - _count(F.col("outside"), "]")
-    turns = turns.withColumn("change", (braces + brackets * F.lit(ARRAY)).cast("long"))
-    deep = _running(turns.select("file", "range", "at", "value", "closes", "change"), "change", "depth")
-    # An object that ends in an array of the outermost object is a record; others that end in the outermost one are left out.
-    deep = deep.withColumn("depth", F.col("depth") + F.col("change"))
-    deep = deep.withColumn("ends", F.when((F.col("closes") == 1) & F.col("depth").isin(0, 1, ARRAY + 1), 1).otherwise(0).cast("long"))
-    placed = _running(deep.select("file", "range", "at", "value", "depth", "ends"), "ends", "number")
+    pieces = pieces.withColumn("bare", F.regexp_replace("value", _ESCAPED, ""))
+    pieces = pieces.withColumn("quotes", _count(F.col("bare"), '"').cast("long"))
+    # What a piece changes in the depth depends on whether it begins inside a text.
+    texts = {"outside": F.regexp_replace("bare", _TEXT, ""), "inside": F.regexp_replace(F.concat(F.lit('"'), "bare"), _TEXT, "")}
+    pieces = pieces.withColumns({f"{k}_text": v for k, v in texts.items()})
+
+    def change(k: str) -> Column:
+        text, closes = F.col(f"{k}_text"), F.when(F.col("quotes") % 2 == (k == "inside") * 1, 1).otherwise(0)
+        return (_count(text, "{") - closes + (_count(text, "[") - _count(text, "]")) * F.lit(ARRAY)).cast("long")
+
+    pieces = pieces.select("file", "range", "at", "value", "quotes", *[change(k).alias(k) for k in texts])
+    turns = pieces.select("file", "range", "quotes", *texts)
+    sums = turns.mapInArrow(_walk("changes"), "file string, range long, quotes long, outside long, inside long").groupBy("file", "range")
+    ranges = _before(sums.agg(*[F.sum(c).alias(c) for c in ("quotes", *texts)]), "quotes", "quotes_before")
+    change_of = F.when(F.col("quotes_before") % 2 == 1, F.col("inside")).otherwise(F.col("outside"))
+    ranges = _before(ranges.withColumn("change", change_of), "change", "depth_before").select("file", "range", "quotes_before", "depth_before")
+    ranges = stage_table(ranges, "ranges")
+    ends = turns.join(F.broadcast(ranges), ["file", "range"]).mapInArrow(_walk("ends"), "file string, range long, ends long").groupBy("file", "range").agg(F.sum("ends").alias("ends"))
+    ranges = stage_table(_before(ends, "ends", "ends_before").drop("ends").join(F.broadcast(ranges), ["file", "range"]), "ranges")
+    placed = pieces.join(F.broadcast(ranges), ["file", "range"]).mapInArrow(_walk("pieces"), "file string, range long, at long, value string, number long, depth long")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("range", "at", "value"))), lambda p: p["value"]), "}")
-    whole = placed.groupBy("file", "number").agg(F.concat(joined, F.lit("}")).alias("text"), F.max(F.when(F.col("ends") == 1, F.col("depth"))).alias("depth")).where(F.col("depth") == ARRAY + 1)
+    whole = placed.groupBy("file", "number").agg(F.concat(joined, F.lit("}")).alias("text"), F.max("depth").alias("depth")).where(F.col("depth") == ARRAY + 1)
     follows = F.col("text").rlike(r"^\s*,\s*\{")
     record = F.when(F.col("follows"), F.regexp_replace("text", r"^\s*,\s*", "")).otherwise(F.regexp_replace("text", _HEAD, ""))
     name = F.when(~F.col("follows"), F.nullif(F.regexp_extract("text", _HEAD, 1), F.lit("")))
