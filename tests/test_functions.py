@@ -177,6 +177,22 @@ def test_near_pairs_of_boilerplate(spark, monkeypatch):
     assert found == pytest.approx(expected) and len(expected) > 10
 
 
+def test_patterns_fit_the_same_characters_as_plain_ones(spark):
+    """Every code point against the plain lists of emoji and word characters; a very long word of changing case is one token."""
+    plain = (
+        r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2600}-\x{26FF}\x{2700}-\x{27BF}"
+        r"\x{FE00}-\x{FE0F}\x{1F900}-\x{1F9FF}\x{200D}\x{20E3}]+"
+    )
+    points = spark.range(0x110000).where("id not between 55296 and 57343")
+    c = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    texts = points.select(c.alias("c"), F.concat(F.lit("aZ"), c, F.lit("9я"), c).alias("t"))
+    tokens = lambda pattern: F.regexp_extract_all("t", F.lit(pattern), F.lit(1))
+    emoji = (F.regexp_replace("t", text.EMOJI, " ") != F.regexp_replace("t", plain, " ")) | (F.col("c").rlike(text.EMOJI) != F.col("c").rlike(plain))
+    assert texts.where(emoji | (tokens(text.TOKEN) != tokens(r"(\[URL]|\[USER]|[а-яёА-ЯЁa-zA-Z0-9]+|[^\s])"))).count() == 0
+    assert texts.where(F.col("c").rlike(text.EMOJI)).count() > 1000
+    assert value(spark, F.size(text.tokenize(F.repeat(F.lit("aZ9я"), 200_000)))) == 1
+
+
 def test_elements_are_ordered_where_they_are(spark):
     """Each list's rarest elements are found without a shuffle of elements, and repeated tokens are told apart."""
     rows = [(k, ["all"] * 3 + [f"w{k // 2}", "some" if k % 2 else "other", *[f"t{j}" for j in range(15)]]) for k in range(40)]
