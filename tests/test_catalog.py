@@ -1,5 +1,6 @@
 """Every registered query of the library against its SQL."""
 
+import duckdb
 import pytest
 
 from compare import canonical
@@ -46,3 +47,32 @@ def test_near_edges_are_first_links(spark, sf_dir):
                 break
     found = {r["duplicate_id"]: r["canonical_id"] for r in catalog.near_dup_edges(spark, sf_dir).collect()}
     assert found == expected
+
+
+#: Of seven authors' topic posts, other posts and views, the second one's topical score is the median, but for its rounding.
+_AT_MEDIAN = zip((1, 3, 4, 1, 2, 3, 6), (4, 7, 0, 2, 3, 7, 4), (300, 300, 300, 0, 300, 400, 400), strict=True)
+_TIED = ", ".join(
+    f"({k}, '{kind}', {value})"
+    for k, (topic, other, views) in enumerate(_AT_MEDIAN, 1)
+    for kind, value in [("view", views)] * (views > 0) + [("purchase", 1)] * (topic - (views > 0)) + [("click", 1)] * other
+)
+ODD_TABLES = {
+    "tied": {
+        "customer": "SELECT * REPLACE (0.5 AS c_acctbal) FROM base WHERE c_custkey BETWEEN 1 AND 7",
+        "events": f"SELECT row_number() OVER () AS event_id, TIMESTAMP '2024-01-25' AS ts, k AS user_id, kind AS event_type, value::DOUBLE AS value, '{{\"k\": 1}}' AS props FROM (VALUES {_TIED}) v(k, kind, value)",
+    },
+    "repeated authors": {"customer": "FROM base UNION ALL FROM base WHERE c_custkey < 9"},
+    "less than a second late": {"events": "SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-01-31 00:00:00.25' WHEN event_id % 3 = 1 THEN TIMESTAMP '2024-01-31' ELSE ts END AS ts) FROM base"},
+}
+
+
+@pytest.mark.parametrize("odd", ODD_TABLES)
+@pytest.mark.parametrize("name", ["json_export", "json_export_lines"])
+def test_exports_of_odd_tables(spark, sf_dir, tmp_path, name, odd):
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for t in ("customer", "events", "lineitem"):
+        made = f"WITH base AS (FROM '{sf_dir}/{t}.parquet') " + ODD_TABLES[odd].get(t, "FROM base")
+        con.execute(f"COPY ({made}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet'")
+    assert canonical(catalog.QUERIES[name](spark, str(tmp_path))) == canonical(con.execute(catalog.SQL[name]))

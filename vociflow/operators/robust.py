@@ -12,6 +12,8 @@ from vociflow.stage import stage_table
 
 #: Fixed value: makes the median absolute deviation comparable with a standard deviation.
 MAD_SCALE = 1.4826
+#: Below a threshold by no more than this is at it: equal sums of three scores differ by rounding.
+AT_THRESHOLD = 1e-12
 #: Different values of a key that are one array, at most; bins of a histogram; keys whose state is broadcast, at most.
 ARRAY_VALUES, BINS, BROADCAST_KEYS = 10_000, 256, 100_000
 
@@ -203,10 +205,9 @@ def thresholds(with_composites: DataFrame) -> DataFrame:
 
 
 def role(s: Column, t: Column, theta_s: Column, theta_t: Column) -> Column:
-    """The quadrant role; values at a threshold count as high."""
-    return (
-        F.when((s >= theta_s) & (t >= theta_t), "AUTHORITATIVE").when(s >= theta_s, "SLEEPING_GIANT").when(t >= theta_t, "TOPIC_DRIVER").otherwise("BACKGROUND_AUTHOR")
-    )
+    """The quadrant role; values at a threshold count as high (R1), as do those that only rounding puts below it."""
+    giant, driver = s >= theta_s - AT_THRESHOLD, t >= theta_t - AT_THRESHOLD
+    return F.when(giant & driver, "AUTHORITATIVE").when(giant, "SLEEPING_GIANT").when(driver, "TOPIC_DRIVER").otherwise("BACKGROUND_AUTHOR")
 
 
 def author_position(positive: Column, neutral: Column, negative: Column) -> Column:
