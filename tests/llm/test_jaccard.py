@@ -5,7 +5,9 @@ import random
 import numpy as np
 import pytest
 
-from vociflow.llm import jaccard
+from pyspark.sql import functions as F
+
+from vociflow.llm import common, jaccard
 
 
 def brute(rows, words, num, den):
@@ -121,3 +123,70 @@ def test_a_region_of_many_near_copies_is_exact():
                 x, y = sorted((label[a], label[b]))
                 label = [x if v == y else v for v in label]
     assert region.label.tolist() == label
+
+
+def test_clusters_of_chance_are_parted_before_rounds(docs, monkeypatch):
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    links = [fresh(3) for _ in range(31)]
+    rows = [(k, " ".join([*links[k], *fresh(60), *links[k + 1], *fresh(60)])) for k in range(30)]  # a chain, two shingles at a time
+    rows += [(100 + k, rows[k][1] + " end") for k in range(0, 30, 3)] + [(200 + k, rows[k][1].replace("w", "v", 12)) for k in range(30)]
+    monkeypatch.setattr(jaccard, "_join_large", lambda *_: pytest.fail("went by rounds"))
+    for blocks in (2, 10_000):
+        got = jaccard.jaccard_components(docs(rows), 3, 90, 100, cluster_shingles=1000, region_docs=blocks).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 3, 90, 100)
+
+
+def test_sketches_part_no_linked_pair():
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (3, 20, 127, 128, 600, 5000, 40_000):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        sets += [np.unique(np.append(base[rng.random(n) > p / 2], rng.integers(0, 2**63, int(n * p / 2)).astype(np.uint64))) for p in (0, 0.01, 0.05, 0.1, 0.2, 0.3) * 2]
+    lookup = jaccard._sketches(1)
+    import pyarrow as pa
+
+    nodes = np.arange(len(sets))
+    sketches = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(jaccard, "shingles", lambda text, *_: sets[int(text)])
+        for k in nodes:
+            mark = jaccard._fingerprint(sets[k])
+            batch = pa.RecordBatch.from_pydict({"text": [str(k)], "node": [mark[0]], "low": [mark[1]]})
+            sketches += [b for out in lookup(iter([batch])) for b in out["sketch"].to_pylist()]
+    label = jaccard._alike(nodes, np.array([len(s) for s in sets]), sketches, 90, 100)
+    for a in nodes:
+        for b in nodes[:a]:
+            both = len(np.intersect1d(sets[a], sets[b]))
+            assert label[a] == label[b] or 100 * both < 90 * (len(sets[a]) + len(sets[b]) - both)
+    assert len(set(label.tolist())) > 10
+
+
+def test_equal_sets_of_other_batches_count_once():
+    import pyarrow as pa
+
+    rows = [(1, 5), (1, 5), (2, 5), (2, 6), (2, 6), (3, 7), (4, 1), (4, 1), (4, 2)]
+    for cut in range(1, len(rows)):
+        batches = [pa.RecordBatch.from_pydict({"key": [k for k, _ in part], "node": [n for _, n in part]}) for part in (rows[:cut], rows[cut:])]
+        out = [tuple(r.values()) for b in jaccard._shared_keys(iter(batches)) for r in b.to_pylist()]
+        assert sorted(out) == [(1, 4, 2), (2, 4, 2), (5, 2, 2), (6, 2, 2)]
+
+
+def test_texts_stay_where_they_are_when_many_go(docs, spark, monkeypatch):
+    rows = corpus(4)
+    table = docs([*rows, rows[0], rows[0], (None, rows[3][1])])
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 3)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard.drop_linked(table)
+        expected = {c for _, c in brute(rows, 5, 80, 100).values()}
+        assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted(expected)
+        assert kept.where("doc_id is null").count() == 1
+        assert jaccard.drop_linked(docs(rows)).where("n = 1")._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    some = docs([(k, "t") for k in range(0, 400, 3)]).select(F.col("doc_id").alias("k"))
+    seen = common.may_match(docs([(k, "t") for k in range(400)]), F.xxhash64("doc_id"), some, F.xxhash64("k")).collect()
+    assert {r["doc_id"] for r in seen if r["__may"]} == set(range(0, 400, 3))

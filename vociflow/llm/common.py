@@ -16,6 +16,9 @@ from vociflow.stage import new_path, shared_dir, stage_table
 #: Largest table, in rows, that an operator broadcasts after counting it; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
+#: Bits of a table of hashes that rows are looked up in before a shuffle, and bits of one of its rows.
+FILTER_BITS, FILTER_ROW = 1 << 26, 1 << 15
+
 #: Rows and bytes of an Arrow batch of texts, and bytes of batches that are put together.
 BATCH_ROWS, BATCH_BYTES, GATHER_BYTES = 1_000, 16 << 20, 24 << 20
 
@@ -39,6 +42,30 @@ def small_join(df: DataFrame, small: DataFrame, on, how: str) -> DataFrame:
     return df.join(small, on, how)
 
 
+def may_match(df: DataFrame, key: Column, others: DataFrame, other_key: Column) -> DataFrame:
+    """df with a column __may: whether others may have a row whose key (a hash of 64 bits) is the same; false is certain.
+
+    Two bits stand for each key, in two tables of 8 MB, whatever the size of others, so that this table is broadcast and df stays where it is.
+    """
+    out, hit = df.withColumn("__hash", key), F.lit(True)
+    for k, digits in enumerate((0, 32)):
+        slot = lambda h, digits=digits: F.pmod(F.shiftright(h, digits), F.lit(FILTER_BITS))
+        row, at = (lambda s: F.floor(s / FILTER_ROW)), (lambda s: F.pmod(s, F.lit(FILTER_ROW)))
+        bits = others.select(slot(other_key).alias("s")).groupBy(row(F.col("s")).alias(f"__row{k}")).agg(F.bitmap_construct_agg(at(F.col("s"))).alias(f"__bits{k}"))
+        out = out.withColumn(f"__row{k}", row(slot(F.col("__hash")))).join(F.broadcast(stage_table(bits, "bits")), f"__row{k}", "left")
+        place = at(slot(F.col("__hash")))
+        byte = F.conv(F.hex(F.substring(F.col(f"__bits{k}"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        hit &= F.coalesce(F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1, F.lit(False))
+    return out.withColumn("__may", hit).select(*[F.col(f"`{c}`") for c in df.columns], "__may")
+
+
+def filtered_join(df: DataFrame, small: DataFrame, on: str, how: str) -> DataFrame:
+    """As small_join, by a column and for long rows of which few find a partner: where the join shuffles, the others leave before."""
+    if small.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        df = may_match(df, F.xxhash64(on), small, F.xxhash64(on)).where("__may").drop("__may")
+    return small_join(df, small, on, how)
+
+
 def hold(key, make):
     """What an operator keeps in a Python worker between tasks; another operator's takes its place, so memory stays bounded."""
     if key not in _held:

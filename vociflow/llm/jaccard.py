@@ -13,8 +13,9 @@ d(x, y) = 1 - |x & y| / |x | y| is a metric. Two levels of pivots partition it:
   cells join recursively, and a cell within half the radius of its pivot needs no comparison at all. Pivots meet all
   members of their region, so that they leave it, whatever its size; members that distances do not part are compared
   by pairs or by their rarest shingles.
-* A cluster too large for one task is parted in the same way by distributed rounds: pivots of each region, cells and
-  windows, until a cell is linked throughout or fits a task.
+* In a large corpus chance joins most regions to one cluster. A cluster too large for one task is parted first between
+  sets of one region that small sketches of both tell apart for certain. What is too large still, a family of near copies,
+  is parted by distributed rounds: pivots of each region, cells and windows, until a cell is linked throughout or fits a task.
 
 Every link is verified on whole sets with integers; no candidate is dropped.
 """
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vociflow.llm.common import hold, raw_texts, slices, small_join, stage_table, texts_of, tidy
+from vociflow.llm.common import BROADCAST_ROWS, filtered_join, hold, may_match, raw_texts, slices, small_join, stage_table, texts_of, tidy
 from vociflow.llm.components import components
 
 #: Documents with at least so many shingles compare only those of a fixed share of the shingle space at first.
@@ -45,6 +46,8 @@ PIVOTS, SMALL_REGION = 8, 48
 
 #: Shingles of a cluster that one task joins; larger clusters are joined in rounds, and regions by blocks of documents.
 CLUSTER_SHINGLES, BLOCK_DOCS = 6_000_000, 2_000
+#: Binary digits of the number of ranges in a sketch, and sets whose sketches one task compares.
+SKETCH_BITS, REGION_DOCS = (6, 12), 10_000
 #: Bytes of pivot sets that are broadcast; more are joined by region. Rounds of pivots for a large cluster, and how many times
 #: the documents of a round's regions cells may hold.
 BROADCAST_PIVOTS, ROUNDS, COPIES = 16 << 20, 4, 1.5
@@ -162,8 +165,9 @@ DESCRIBED = "doc_id long, mark long, n long, high long, low long, n_part int, n_
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (key, node) sorted by key: those whose key two or more rows have, with that number (HOT at most)."""
+    """From rows (key, node) sorted by both: those whose key two or more nodes have, with that number (HOT at most), once each."""
     tail_keys, tail_nodes, hot = np.empty(0, np.int64), np.empty(0, np.int64), None
+    before = None
 
     def out(keys, nodes, counts):
         return pa.RecordBatch.from_arrays(
@@ -182,8 +186,12 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out(keys[keep], nodes[keep], each[keep])
 
     for batch in batches:
-        keys = np.concatenate([tail_keys, batch["key"].to_numpy()])
-        nodes = np.concatenate([tail_nodes, batch["node"].to_numpy()])
+        keys, nodes = batch["key"].to_numpy(), batch["node"].to_numpy()
+        if not len(keys):
+            continue
+        first = np.concatenate([[before != (keys[0], nodes[0])], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])])
+        before = (keys[-1], nodes[-1])
+        keys, nodes = np.concatenate([tail_keys, keys[first]]), np.concatenate([tail_nodes, nodes[first]])
         if not len(keys):
             continue
         last = int(np.searchsorted(keys, keys[-1])) if hot != keys[-1] else len(keys)
@@ -196,19 +204,21 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found
 
 
-def _window_keys(described: DataFrame, common: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows (node, key) of each document's window: its rarest shared shingles, as far as its window reaches.
+def _window_keys(described: DataFrame, equal: DataFrame, common: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (node, key) of each set's window: its rarest shared shingles, as far as its window reaches.
 
     Keys in common come after all others and are not counted, so that no task gets all holders of one of them. Any
-    order of keys finds the same links; rarest first finds them with the fewest comparisons.
+    order of keys finds the same links; rarest first finds them with the fewest comparisons. Keys are shuffled as they
+    were described, equal sets of other batches included: to leave those out first would shuffle and write all keys once more.
     """
-    rows = described.select(F.explode("keys").alias("key"), "node")
-    rare = rows.join(F.broadcast(common), "key", "left_anti").repartition("key").sortWithinPartitions("key")
+    rows = described.select(F.explode("keys").alias("key"), F.col("high").alias("node"))
+    rare = rows.join(F.broadcast(common), "key", "left_anti").repartition("key").sortWithinPartitions("key", "node")
     shared = rare.mapInArrow(tidy(_shared_keys), "node long, key long, df long")
-    shared = shared.unionByName(rows.join(F.broadcast(common), "key", "left_semi").select("node", "key", F.lit(HOT + 1).cast("long").alias("df")))
-    held = shared.groupBy("node").agg(F.collect_list(F.struct("df", "key")).alias("held"))
+    shared = shared.unionByName(rows.join(F.broadcast(common), "key", "left_semi").distinct().select("node", "key", F.lit(HOT + 1).cast("long").alias("df")))
+    # Dealt as rows: lists that tasks have begun are twice as large.
+    held = shared.repartition("node").groupBy("node").agg(F.collect_list(F.struct("df", "key")).alias("held"))
     lacking = F.expr(f"n - ceil(n * {num} / {den})").cast("int")
-    mine = held.join(described.select("node", "n", "n_part", "n_whole"), "node")
+    mine = held.join(equal.select("node", "n", "n_part", "n_whole"), "node")
 
     def window(size: str, bit: int):
         found = F.filter("held", lambda x: x["key"].bitwiseAND(F.lit(1)) == bit)
@@ -386,12 +396,19 @@ def _deal_blocks(rows: DataFrame, block_docs: int) -> DataFrame:
     return searching.unionByName(found).distinct()
 
 
+def _copies(rows: DataFrame, block_docs: int) -> int:
+    """Sets that _deal_blocks hands to tasks at most, by the sizes of regions."""
+    sizes = rows.groupBy("region").agg(F.count("*").alias("c")).where("c > 1")
+    return sizes.agg(F.sum(F.col("c") * F.ceil(F.col("c") / block_docs))).first()[0] or 0
+
+
 def _join_large(sets: DataFrame, window: DataFrame, num: int, den: int, block_docs: int) -> DataFrame:
     """Components (node, component) of clusters too large for a task: sets has cluster, node, low, blob.
 
     In each round every region takes pivots, its documents link with those and go to cells, with windows. A cell whose
     documents are all linked by now is done; one of block_docs documents or fewer is joined by a task; others are the
-    regions of the next round. If cells hardly part them, documents are joined shingle by shingle of their windows.
+    regions of the next round. If cells hardly part them, documents are joined by blocks of a region, or shingle by
+    shingle of their windows.
     """
     blobs = sets.select("node", "blob")
     regions = stage_table(sets.select(F.col("cluster").alias("region"), "node"), "regions")
@@ -429,7 +446,7 @@ def _join_large(sets: DataFrame, window: DataFrame, num: int, den: int, block_do
         rows = stage_table(small_join(rows, stage_table(sizes.select("region", "c"), "open"), "region", "inner"), "open_cells")
         before, size = size, rows.count()
         if size > COPIES * before:  # windows copy too many documents into too many cells
-            regions = rows.select("node")
+            regions = regions.join(rows.select("node").distinct(), "node", "left_semi").select("region", "node")
             break
         links = links.unionByName(joined(rows.where(F.col("c") <= block_docs).drop("c")))
         regions = rows.where(F.col("c") > block_docs).select("region", "node")
@@ -438,12 +455,121 @@ def _join_large(sets: DataFrame, window: DataFrame, num: int, den: int, block_do
             break
     if size:
         known = components(links).withColumnRenamed("component", "label")
-        by_shingle = window.withColumnRenamed("key", "region").join(regions.select("node").distinct(), "node", "left_semi")
-        links = links.unionByName(joined(stage_table(labelled(by_shingle.select("region", "node")), "shingles")))
+        by_shingle = window.withColumnRenamed("key", "region").join(regions.select("node").distinct(), "node", "left_semi").select("region", "node")
+        # Whole regions by blocks, or by shared shingles: whatever copies sets less often.
+        dealt = min((stage_table(r, "dealt") for r in (regions, by_shingle)), key=lambda r: _copies(r, block_docs))
+        links = links.unionByName(joined(stage_table(labelled(dealt), "shingles")))
     return sets.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def _grouped(docs: DataFrame, words: int, num: int, den: int, share: float | None, cluster_shingles: int, block_docs: int) -> DataFrame:
+def _sketches(words: int):
+    """From rows (text, node, low): counts of the set's shingles by ranges of hashes, 8 to a range or 16, 255 at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = hold("word hashes", WordHashes)
+        for batch in slices(batches, 1000):
+            out = []
+            for text, node, low in zip(raw_texts(batch["text"]), batch["node"].to_pylist(), batch["low"].to_pylist(), strict=True):
+                found = shingles(text, words, hashes)
+                if _fingerprint(found) == (node, low):
+                    bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], (len(found) // 8).bit_length()))
+                    counts = np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                    out.append((node, len(found), np.minimum(counts, 255).astype(np.uint8).tobytes()))
+            cols = list(zip(*out, strict=True)) or [()] * 3
+            types = (pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["node", "n", "sketch"])
+
+    return tidy(run)
+
+
+def _alike(nodes: np.ndarray, sizes: np.ndarray, sketches: list[bytes], num: int, den: int) -> np.ndarray:
+    """For each set the least node that it reaches by pairs which sketches and sizes do not tell apart.
+
+    Differences of counts add up to no more than the shingles that one of two sets has alone, of which a linked pair
+    has (a + b) * (den - num) / (den + num) at most for sizes a and b.
+    """
+    order = np.argsort(sizes, kind="stable")
+    sizes, levels = sizes[order], np.array([len(sketches[k]) for k in order])
+    rows, place = {}, np.zeros(len(order), np.int64)
+    for level in np.unique(levels).tolist():
+        of = np.flatnonzero(levels == level)
+        place[of] = np.arange(len(of))
+        rows[level] = np.frombuffer(b"".join(sketches[k] for k in order[of]), np.uint8).reshape(len(of), level).astype(np.int16)
+
+    def fold(counts: np.ndarray, level: int) -> np.ndarray:
+        return counts.reshape(len(counts), level, -1).sum(2) if counts.shape[1] > level else counts
+
+    label, open_ = np.full(len(order), -1), np.ones(len(order), bool)
+    for start in range(len(order)):
+        stack = [start] if open_[start] else []
+        open_[start] = False
+        while stack:
+            x = stack.pop()
+            label[x] = start
+            low, high = np.searchsorted(den * sizes, num * sizes[x]), np.searchsorted(num * sizes, den * sizes[x], "right")
+            others = low + np.flatnonzero(open_[low:high])
+            for level in np.unique(levels[others]).tolist():
+                some = others[levels[others] == level]
+                least = min(level, int(levels[x]))
+                own = fold(rows[int(levels[x])][place[x] : place[x] + 1], least)
+                apart = np.abs(fold(rows[level][place[some]], least) - own).sum(1)
+                near = some[apart * (den + num) <= (sizes[some] + sizes[x]) * (den - num)]
+                open_[near] = False
+                stack += near.tolist()
+    out = np.empty(len(order), np.int64)
+    for start in np.unique(label):
+        out[order[label == start]] = nodes[order[label == start]].min()
+    return out
+
+
+def _alike_in_regions(num: int, den: int):
+    """From rows (region, node, n, sketch) sorted by region: links (u, v) of the sets that are alike in one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def linked(rows: pa.Table) -> pa.RecordBatch:
+            regions, nodes, sizes, sketches = rows["region"].to_numpy(), rows["node"].to_numpy(), rows["n"].to_numpy(), rows["sketch"].to_pylist()
+            starts = np.flatnonzero(np.concatenate([[True], regions[1:] != regions[:-1]]))
+            least = np.concatenate([_alike(nodes[a:b], sizes[a:b], sketches[a:b], num, den) for a, b in zip(starts, np.append(starts[1:], len(regions)), strict=True)])
+            return pa.RecordBatch.from_arrays([pa.array(nodes[nodes != least]), pa.array(least[nodes != least])], ["u", "v"])
+
+        for batch in (b for b in batches if b.num_rows):
+            regions = batch["region"].to_numpy()
+            last = int(np.flatnonzero(regions == regions[-1])[0])
+            if held and held[-1]["region"][0].as_py() != regions[0] or last:
+                yield linked(pa.Table.from_batches([*held, *([batch.slice(0, last)] if last else [])]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield linked(pa.Table.from_batches(held))
+
+    return tidy(run)
+
+
+def _part_clusters(members: DataFrame, texts: DataFrame, window: DataFrame, words: int, num: int, den: int, region_docs: int) -> DataFrame:
+    """The members of clusters, parted where no pair that could link holds them together; members without such a pair leave.
+
+    In a large corpus chains of sets that share a shingle but are quite different join most regions to one cluster. Sets of
+    one region that sketches do not tell apart stay together; a region of more than region_docs sets is dealt by pairs of blocks.
+    """
+    sketches = texts.select("text", F.col("high").alias("node"), "low").mapInArrow(_sketches(words), "node long, n long, sketch binary")
+    sketches = stage_table(sketches.dropDuplicates(["node"]), "sketches")
+    held = stage_table(window.join(sketches.select("node"), "node", "left_semi"), "held")
+    blocks = held.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / region_docs).cast("int").alias("blocks"))
+    # A table of its own, so that AQE may split the join at a key that many windows hold.
+    dealt = small_join(held, stage_table(blocks, "blocks"), "key", "inner")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = dealt.select("node", "key", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    dealt = dealt.select("node", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("region")).join(sketches, "node")
+    dealt = dealt.repartition("region").sortWithinPartitions("region").select("region", "node", "n", "sketch")
+    alike = components(dealt.mapInArrow(_alike_in_regions(num, den), "u long, v long"))
+    return members.drop("cluster").join(alike.select(F.col("node").alias("high"), F.col("component").alias("cluster")), "high").select(members.columns)
+
+
+def _grouped(
+    docs: DataFrame, words: int, num: int, den: int, share: float | None, cluster_shingles: int, block_docs: int, region_docs: int = REGION_DOCS
+) -> DataFrame:
     """Per document: doc_id, mark (a hash of its text), n (size of its set), node (its set), component (the least node it is linked with).
 
     Sets without words, and those that only rows without an id have, have no component.
@@ -452,34 +578,40 @@ def _grouped(docs: DataFrame, words: int, num: int, den: int, share: float | Non
     pairs = texts_of(docs).select("doc_id", "text")
     rows = stage_table(pairs.withColumn("mark", F.xxhash64("text")).mapInArrow(_describe(words, num, den, spark_share), DESCRIBED), "sets")
     common = rows.select(F.explode("common").alias("key")).groupBy("key").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "key").limit(COMMON_KEYS).select("key")
-    # A set is a node of the graph, known by its fingerprint; one of its documents stands for it, whose rows hold the keys.
-    keyed = F.struct("doc_id", "n_part", "n_whole", "keys")
-    equal = rows.where("n > 0 and doc_id is not null").groupBy("high", "low", "n").agg(F.min(F.when(F.size("keys") > 0, keyed)).alias("k"))
-    equal = stage_table(equal.select(F.col("high").alias("node"), "low", "n", "k.doc_id", "k.n_part", "k.n_whole", "k.keys"), "equal")
-    window = stage_table(_window_keys(equal, stage_table(common, "common"), num, den), "windows")
+    # A set is a node of the graph, known by its fingerprint; one of its documents stands for it. Keys stay in the rows.
+    counts = [F.max(c).alias(c) for c in ("n_part", "n_whole")]  # 0 where a batch has the set before
+    equal = rows.where("n > 0 and doc_id is not null").groupBy(F.col("high").alias("node"), "low", "n").agg(F.min("doc_id").alias("doc_id"), *counts)
+    equal = stage_table(equal, "equal")
+    window = stage_table(_window_keys(rows, equal, stage_table(common, "common"), num, den), "windows")
     # A table of its own, so that AQE may split the join at a key that many windows hold.
     centres = stage_table(window.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("c")).where("c > 1").select("key", "v"), "centres")
     edges = small_join(window, centres, "key", "inner").select(F.col("node").alias("u"), "v")
     clusters = components(edges).withColumnRenamed("component", "cluster")
     members = stage_table(clusters.join(equal.select("node", "low", "doc_id", "n"), "node").withColumnRenamed("node", "high"), "members")
-    large = stage_table(members.groupBy("cluster").agg(F.sum("n").alias("n")).where(F.col("n") > cluster_shingles).select("cluster"), "large")
     to_sets, join = _join_clusters(words, num, den)
-    sets = small_join(pairs, members, "doc_id", "inner").select("cluster", "text", "high", "low")
-    blobs = sets.mapInArrow(to_sets, "cluster long, high long, low long, blob binary").where("blob is not null")
-    found = "high long, low long, component long"
-    if large.isEmpty():
-        joined = stage_table(blobs.groupBy("cluster").applyInPandas(join, found).select(F.col("high").alias("node"), "component"), "joined")
-    else:
-        blobs = stage_table(blobs, "blobs")
-        apart = small_join(blobs, large, "cluster", "left_semi").withColumnRenamed("high", "node").dropDuplicates(["node"])
-        joined = small_join(blobs, large, "cluster", "left_anti").groupBy("cluster").applyInPandas(join, found).select(F.col("high").alias("node"), "component")
-        joined = stage_table(joined.unionByName(_join_large(stage_table(apart, "apart"), window, num, den, block_docs)), "joined")
+    beyond = lambda m: stage_table(m.groupBy("cluster").agg(F.sum("n").alias("n")).where(F.col("n") > cluster_shingles).select("cluster"), "large")
+    texts = lambda m: filtered_join(pairs, m, "doc_id", "inner")
+    blobs = lambda m: texts(m).select("cluster", "text", "high", "low").mapInArrow(to_sets, "cluster long, high long, low long, blob binary").where("blob is not null")
+    apart, large = None, beyond(members)
+    if not large.isEmpty():
+        parted = small_join(members, large, "cluster", "left_semi")
+        parted = _part_clusters(parted, texts(parted), window, words, num, den, region_docs)
+        members = stage_table(small_join(members, large, "cluster", "left_anti").unionByName(parted), "parted")
+        large = beyond(members)
+        if not large.isEmpty():
+            apart = stage_table(small_join(members, large, "cluster", "left_semi"), "apart")
+            members = stage_table(small_join(members, large, "cluster", "left_anti"), "members")
+    joined = blobs(members).groupBy("cluster").applyInPandas(join, "high long, low long, component long").select(F.col("high").alias("node"), "component")
+    if apart is not None:
+        sets = stage_table(blobs(apart).withColumnRenamed("high", "node").dropDuplicates(["node"]), "blobs")
+        joined = joined.unionByName(_join_large(sets, window, num, den, block_docs))
+    joined = stage_table(joined, "joined")
     final = equal.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     return rows.select("doc_id", "mark", "n", F.when(F.col("n") > 0, F.col("high")).alias("node")).join(final, "node", "left")
 
 
 def jaccard_components(
-    docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, share: float | None = None, cluster_shingles: int = CLUSTER_SHINGLES, block_docs: int = BLOCK_DOCS
+    docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, share: float | None = None, cluster_shingles: int = CLUSTER_SHINGLES, block_docs: int = BLOCK_DOCS, region_docs: int = REGION_DOCS
 ) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id, the smallest doc_id that links lead to.
 
@@ -489,9 +621,9 @@ def jaccard_components(
     are all returned, rows with one doc_id and different texts are judged apart, a null doc_id names no component (its
     row's component_id is that of its equals, or null), and an empty table gives no rows. Other columns are ignored.
     share is the part of the shingle space in which large sets look for partners: above 1 - num / den any value finds
-    the same links. cluster_shingles and block_docs bound what one task holds, and do not change the result.
+    the same links. cluster_shingles, block_docs and region_docs bound what one task holds, and do not change the result.
     """
-    found = _grouped(docs, words, num, den, share, cluster_shingles, block_docs)
+    found = _grouped(docs, words, num, den, share, cluster_shingles, block_docs, region_docs)
     least = found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least"))
     return found.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
@@ -511,7 +643,13 @@ def drop_linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     on = lambda other: (F.col("doc_id") == other["__id"]) & (F.col("__mark") == other["__of"])
     named = lambda rows: stage_table(rows.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__of")), "marks")
     gone = named(gone)
-    kept = small_join(marked, gone, on(gone), "left_anti")
+    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        kept = marked.join(F.broadcast(gone), on(gone), "left_anti")
+    else:  # ids alone are shuffled: those of rows that look like gone ones, and are not
+        seen = may_match(marked.where("doc_id is not null"), F.xxhash64("doc_id", "__mark"), gone, F.xxhash64("__id", "__of"))
+        taken = named(seen.where("__may").select("doc_id", "__mark").distinct().join(gone, on(gone), "left_anti").withColumnRenamed("__mark", "mark"))
+        back = small_join(seen.where("__may"), taken, on(taken), "left_semi")
+        kept = seen.where("not __may").unionByName(back).drop("__may").unionByName(marked.where("doc_id is null"))
     again = named(judged.where("stays").groupBy("doc_id", "mark").count().where("count > 1"))
     if again.isEmpty():
         return kept.drop("__mark")
