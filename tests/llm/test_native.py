@@ -166,6 +166,17 @@ def test_bad_hosts_are_rejected_and_columns_stay(spark):
     assert (100, False, False) in judged and (0, False, True) in judged
 
 
+def test_documents_are_not_written_to_be_judged(spark, monkeypatch):
+    written = []
+    stage = quality.stage_table
+    monkeypatch.setattr(quality, "stage_table", lambda df, tag: written.append(df.columns) or stage(df, tag))
+    texts = [None, "", "word " * 49, " ".join(f"w{k}" for k in range(50)), "a b c " * 20, " ".join(f"w{k}" for k in range(40)) + " a b c" * 9, "\x0b\n"]
+    table = spark.createDataFrame([(k, t, "s", "r") for k, t in enumerate(texts)], "doc_id long, text string, source string, row string")
+    kept = {r["doc_id"] for r in quality.keep_quality(table).collect()}
+    assert kept == {r["doc_id"] for r in quality.judge_documents(table).where("kept").collect()}
+    assert written[0] == ["host", "n", *quality.RULES]
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark, sf_dir):
     import corpus_pipeline
 
